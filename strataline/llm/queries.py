@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate
+from strataline.llm import decontaminate, repeats
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op10_suffix_array": repeats.op10_suffix_array,
 }
 
 ORACLE_SQL = {
