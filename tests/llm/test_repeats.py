@@ -61,7 +61,8 @@ def test_long_text_and_repeated_rows(spark):
 
 
 def test_cut_keeps_whole_characters(spark):
-    core = "".join(random.Random(4).choice("éüäö") for _ in range(80))
+    rng = random.Random(4)
+    core = "".join(rng.choice("éüäö") for _ in range(80))
     a, b = core + "tail", "ë" + core + "tail!"
     docs = spark.createDataFrame([(1, a, "x"), (2, b, "y"), (3, a, "z"), (4, None, None)], "doc_id long, text string, starts string")
     got = {r.doc_id: r.text for r in R.cut_repeats(docs).collect()}
