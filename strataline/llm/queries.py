@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate, jaccard, repeats
+from strataline.llm import decontaminate, jaccard, quality, repeats
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_quality": quality.op3_quality,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_array": repeats.op10_suffix_array,
 }
