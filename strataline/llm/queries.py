@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate, jaccard, langid, quality, repeats
+from strataline.llm import decontaminate, jaccard, langid, quality, repeats, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_quality": quality.op3_quality,
     "op5_language": langid.op5_language,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_array": repeats.op10_suffix_array,
 }
