@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate, jaccard, langid, quality, repeats, toxicity
+from strataline.llm import decontaminate, embeddings, jaccard, langid, quality, repeats, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_quality": quality.op3_quality,
     "op5_language": langid.op5_language,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_embeddings": embeddings.op7_embeddings,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_array": repeats.op10_suffix_array,
 }
