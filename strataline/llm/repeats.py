@@ -14,8 +14,9 @@ So a suffix array over the seeds alone holds every repeat.
    In each interval the left contexts are scanned in the same way; a group that
    neither side can extend without losing an occurrence is a maximal repeat,
    and every occurrence in it but the first is covered.
-3. Where the order was cut between two tasks, the windows not yet covered of
-   the seed at the cut meet in one aggregation by their full content hash.
+3. Where the order was cut between two tasks, the rows of the seed at the cut
+   are sorted once more, by the bytes left of it.  The few windows that reach a
+   cut in both orders meet in one aggregation by the hash of their content.
 """
 
 from __future__ import annotations
@@ -216,46 +217,102 @@ def covered_spans(seed: np.ndarray, right: np.ndarray, right_size: np.ndarray, l
             yield group[np.argsort(rank[group], kind="stable")], reach, depth
 
 
-def _scan_contexts(least: int, seed_bytes: int):
+def _hits(seed, right, right_size, left, left_size, rank, least: int, seed_bytes: int, left_width: int) -> np.ndarray:
+    """For each row, by the bytes left of the seed, whether that window also starts earlier."""
+    hit = np.zeros((len(seed), left_width + 1), dtype=bool)
+    for rows, reach, depth in covered_spans(seed, right, right_size, left, left_size, rank, least, seed_bytes):
+        later = rows[rank[rows] > rank[rows[0]]]
+        hit[later, max(0, least - depth) : reach + 1] = True
+    return hit
+
+
+def _hit_spans(hit: np.ndarray, doc: np.ndarray, spot: np.ndarray, least: int) -> pa.RecordBatch:
+    edge = np.zeros((len(hit), hit.shape[1] + 2), dtype=np.int8)
+    edge[:, 1:-1] = hit
+    step = np.diff(edge, axis=1)
+    row, low = np.nonzero(step == 1)
+    _, high = np.nonzero(step == -1)
+    return pa.RecordBatch.from_arrays([pa.array(doc[row], pa.int64()), pa.array(spot[row] - (high - 1), pa.int64()), pa.array(spot[row] - low + least, pa.int64())], ["doc_id", "start", "end"])
+
+
+def _edge_reach(seed: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many bytes of `side` each row shares with the first or last row of the block; -1 for other seeds."""
+    reach = np.full(len(seed), -1)
+    for k in (0, len(seed) - 1):
+        rows = np.flatnonzero(seed == seed[k])
+        here = np.full(len(rows), k)
+        reach[rows] = np.maximum(reach[rows], _common(side[rows], size[rows], side[here], size[here]))
+    return reach
+
+
+def _padded(found: pa.RecordBatch, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    have = set(found.schema.names)
+    return pa.RecordBatch.from_arrays([found.column(n) if n in have else pa.nulls(found.num_rows, t) for n, t in zip(names, types)], names)
+
+
+_FIRST_SCHEMA = "doc_id long, start long, end long, seed long, rest binary, before binary, spot long, reach int"
+_FIRST = (["doc_id", "start", "end", "seed", "rest", "before", "spot", "reach"], [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64(), pa.int32()])
+_SECOND_SCHEMA = "doc_id long, start long, end long, h1 long, h2 long"
+_SECOND = (["doc_id", "start", "end", "h1", "h2"], [pa.int64()] * 5)
+
+
+def _block(t: pa.Table, least: int, left_width: int):
+    seed, doc, spot = (np.asarray(t.column(c)) for c in ("seed", "doc_id", "spot"))
+    _, rank = np.unique(np.rec.fromarrays([doc, spot]), return_inverse=True)
+    return seed, doc, spot, rank, *_matrix(t.column("rest"), least), *_matrix(t.column("before"), left_width)
+
+
+def _scan_right(least: int, seed_bytes: int):
+    """Spans found in blocks sorted by the bytes right of the seed.
+
+    A seed at an end of a block may go on in another block.  Its rows are given
+    again, with the bytes shared with that end: only windows within them can be
+    repeated there.
+    """
     left_width = least - seed_bytes
-    weights = [np.array([pow(m, k, 1 << 64) for k in range(least)], dtype=np.uint64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+    lefts = np.arange(left_width + 1)
 
     def scan(batches):
         for t in _blocks(batches, SCAN_ROWS):
-            seed, doc, spot = (np.asarray(t.column(c)) for c in ("seed", "doc_id", "spot"))
-            right, right_size = _matrix(t.column("rest"), least)
-            left, left_size = _matrix(t.column("before"), left_width)
-            _, rank = np.unique(np.rec.fromarrays([doc, spot]), return_inverse=True)
-            hit = np.zeros((len(seed), left_width + 1), dtype=bool)  # by bytes left of the seed
-            for rows, reach, depth in covered_spans(seed, right, right_size, left, left_size, rank, least, seed_bytes):
-                later = rows[rank[rows] > rank[rows[0]]]
-                hit[later, max(0, least - depth) : reach + 1] = True
-            spans_doc, spans_start, spans_end = [], [], []
-            edge = np.zeros((len(seed), left_width + 3), dtype=np.int8)
-            edge[:, 1:-1] = hit
-            row, a = np.nonzero(np.diff(edge, axis=1) == 1)
-            _, b = np.nonzero(np.diff(edge, axis=1) == -1)
-            spans_doc, spans_start, spans_end = doc[row], spot[row] - (b - 1), spot[row] - a + least
-            yield _found(spans_doc, spans_start, spans_end, None, None)
-            # the seeds at both ends of this block may go on in another one
-            ends = (seed == seed[0]) | (seed == seed[-1])
-            flat = np.concatenate([left[:, ::-1], right], axis=1)
-            for k in range(left_width + 1):
-                rows = np.flatnonzero(ends & (k <= left_size) & (least - k <= right_size) & ~hit[:, k])
-                if len(rows):
-                    window = K.byte_values(flat[rows, left_width - k : left_width - k + least])
-                    h1, h2 = (K.mix((window * w).sum(axis=1, dtype=np.uint64)).view(np.int64) for w in weights)
-                    yield _found(doc[rows], spot[rows] - k, spot[rows] - k + least, h1, h2)
+            seed, doc, spot, rank, right, right_size, left, left_size = _block(t, least, left_width)
+            hit = _hits(seed, right, right_size, left, left_size, rank, least, seed_bytes, left_width)
+            yield _padded(_hit_spans(hit, doc, spot, least), *_FIRST)
+            reach = _edge_reach(seed, right, right_size)
+            rows = np.flatnonzero((~hit & (lefts <= left_size[:, None]) & (lefts >= least - reach[:, None])).any(axis=1))
+            again = t.select(["doc_id", "seed", "rest", "before", "spot"]).take(pa.array(rows)).append_column("reach", pa.array(reach[rows], pa.int32()))
+            for batch in again.combine_chunks().to_batches():
+                yield _padded(batch, *_FIRST)
 
     return scan
 
 
-_FOUND_SCHEMA = "doc_id long, start long, end long, h1 long, h2 long"
+def _scan_left(least: int, seed_bytes: int):
+    """The same for those rows in blocks sorted by the bytes left of the seed.
+
+    What is not found here either, and reaches the end of a block on both
+    sides, is given with the hash of its window.
+    """
+    left_width = least - seed_bytes
+    lefts = np.arange(left_width + 1)
+    weights = [np.array([pow(m, k, 1 << 64) for k in range(least)], dtype=np.uint64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
+    def scan(batches):
+        for t in _blocks(batches, SCAN_ROWS):
+            seed, doc, spot, rank, right, right_size, left, left_size = _block(t, least, left_width)
+            order = np.lexsort((right_size, *right.T[::-1], seed))
+            hit = np.zeros((len(seed), left_width + 1), dtype=bool)
+            hit[order] = _hits(seed[order], right[order], right_size[order], left[order], left_size[order], rank[order], least, seed_bytes, left_width)
+            yield _padded(_hit_spans(hit, doc, spot, least), *_SECOND)
+            right_reach, left_reach = np.asarray(t.column("reach")).astype(np.int64), _edge_reach(seed, left, left_size)
+            live = ~hit & (lefts <= np.minimum(left_size, left_reach)[:, None]) & (lefts >= least - np.minimum(right_size, right_reach)[:, None])
+            flat = np.concatenate([left[:, ::-1], right], axis=1)
+            for k in np.flatnonzero(live.any(axis=0)).tolist():
+                rows = np.flatnonzero(live[:, k])
+                window = K.byte_values(flat[rows, left_width - k : left_width - k + least])
+                h1, h2 = (pa.array(K.mix((window * w).sum(axis=1, dtype=np.uint64)).view(np.int64)) for w in weights)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(spot[rows] - k), pa.array(spot[rows] - k + least), h1, h2], _SECOND[0])
 
-def _found(doc, start, end, h1, h2) -> pa.RecordBatch:
-    empty = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), *(empty if h is None else pa.array(h) for h in (h1, h2))], ["doc_id", "start", "end", "h1", "h2"])
+    return scan
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
@@ -276,12 +333,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_doc = regions.where("open").groupBy("doc_id").agg(F.collect_set(F.struct("seed", "start", "end", "spot")).alias("open_seeds"))
     contexts = rows.join(by_doc, "doc_id").mapInArrow(_contexts(), "seed long, rest binary, before binary, doc_id long, spot long")
     order = ["seed", "rest", "doc_id", "spot"]
-    found = settle(contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_contexts(least, seed_bytes), _FOUND_SCHEMA), "intervals")
-    windows = found.where("h1 is not null").select("h1", "h2", "doc_id", "start", "end")
+    first = settle(contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_right(least, seed_bytes), _FIRST_SCHEMA), "intervals")
+    order = ["seed", "before", "doc_id", "spot"]
+    again = first.where("seed is not null").select("seed", "rest", "before", "doc_id", "spot", "reach")
+    second = settle(again.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_left(least, seed_bytes), _SECOND_SCHEMA), "ends")
+    windows = second.where("h1 is not null")
     firsts = settle(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first < last").drop("last"), "windows")
     across = windows.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
-    whole = regions.where("not open").select("doc_id", "start", "end")
-    return whole.unionByName(found.where("h1 is null").select("doc_id", "start", "end")).unionByName(across.select("doc_id", "start", "end"))
+    parts = [regions.where("not open"), first.where("seed is null"), second.where("h1 is null"), across]
+    spans = [x.select("doc_id", "start", "end") for x in parts]
+    return spans[0].unionByName(spans[1]).unionByName(spans[2]).unionByName(spans[3])
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:

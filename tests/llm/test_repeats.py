@@ -40,7 +40,7 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 60_000), (2, 37), (3, 5)])
+@pytest.mark.parametrize("seed,block", [(1, 60_000), (2, 37), (3, 5), (4, 2)])
 def test_matches_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(R, "SCAN_ROWS", block)
     rows = corpus(seed)
