@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate, embeddings, jaccard, langid, quality, repeats, toxicity
+from strataline.llm import decontaminate, embeddings, jaccard, langid, quality, repeats, toxicity, wrappers
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language": langid.op5_language,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_embeddings": embeddings.op7_embeddings,
+    "op8_html": wrappers.op8_html,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_array": repeats.op10_suffix_array,
 }
