@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strataline.llm import decontaminate, embeddings, jaccard, langid, quality, repeats, tokencounts, toxicity, wrappers
+from strataline.llm import decontaminate, embeddings, jaccard, langid, pieces, quality, repeats, tokencounts, toxicity, wrappers
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_counts": tokencounts.op2_token_counts,
     "op3_quality": quality.op3_quality,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_language": langid.op5_language,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_embeddings": embeddings.op7_embeddings,
