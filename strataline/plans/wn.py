@@ -128,8 +128,8 @@ _add("wn13_waypoint_progress", wn13, oracle(TURNS, """route AS (SELECT * FROM (V
 "hop3 AS (SELECT h.attempt, s1, s2, min(step) FILTER (WHERE action = 'user' AND step > s2) AS s3 FROM hop2 h JOIN turns USING (attempt) GROUP BY 1, 2, 3)",
 "hop4 AS (SELECT h.attempt, s1, s2, s3, min(step) FILTER (WHERE action = 'assistant' AND step > s3) AS s4 FROM hop3 h JOIN turns USING (attempt) GROUP BY 1, 2, 3, 4)",
 body="SELECT attempt, CASE WHEN s1 IS NULL THEN 0 WHEN s2 IS NULL THEN 1 WHEN s3 IS NULL THEN 2 WHEN s4 IS NULL THEN 3 ELSE 4 END AS reached FROM hop4"))
-_add("wn14_running_score", lambda s, d: O.running_sum(V.log(s, d).where("case_id <= 20"), ["case_id"], ["line_no"], "k", "total").select("case_id", "line_no", "total"),
-     oracle(LOG, body="SELECT case_id, line_no, CAST(sum(k) OVER (PARTITION BY case_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM log WHERE case_id <= 20"))
+_add("wn14_running_score", lambda s, d: O.running_sum(V.log(s, d), ["case_id"], ["line_no"], "k", "total").select("case_id", "line_no", "total"),
+     oracle(LOG, body="SELECT case_id, line_no, CAST(sum(k) OVER (PARTITION BY case_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM log"))
 
 
 def wn15(spark, d):
@@ -176,9 +176,9 @@ _add("wn20_microbatches", wn20, oracle(TURNS, body="SELECT attempt, (rn - 1) //
 
 
 def wn21(spark, d):
-    p = V.anchors(spark, d).join(V.table(spark, d, "pages").select("page_id", F.substring("html", 1, 3000).alias("content")), "page_id")
+    p = V.anchors(spark, d).join(V.table(spark, d, "pages").select("page_id", F.col("html").alias("content")), "page_id")
     return O.document_order(p, ["page_id"], "content", F.concat(F.lit(">"), F.col("target"), F.lit("<")), "pos").select("page_id", "pos", F.col("place").cast("long").alias("place"))
 
 
-_add("wn21_document_order", wn21, oracle(ANCHORS, """x AS (SELECT a.page_id, a.pos, strpos(substring(p.html, 1, 3000), '>' || a.target || '<') AS spot, length(substring(p.html, 1, 3000)) AS n FROM anchors a JOIN pages p USING (page_id))""",
+_add("wn21_document_order", wn21, oracle(ANCHORS, """x AS (SELECT a.page_id, a.pos, strpos(p.html, '>' || a.target || '<') AS spot, length(p.html) AS n FROM anchors a JOIN pages p USING (page_id))""",
      body="SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN spot = 0 THEN n + pos ELSE spot END, pos) AS place FROM x"))
