@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "candidates",
     )
     wanted = pairs.select("class_id").distinct()
-    sets = rows.join(wanted, rows.doc_id == wanted.class_id).select("class_id", "text").mapInArrow(_sets(size), "class_id long, grams binary").dropDuplicates(["class_id"])
+    sets = rows.join(wanted.hint("merge"), rows.doc_id == wanted.class_id).select("class_id", "text").mapInArrow(_sets(size), "class_id long, grams binary").dropDuplicates(["class_id"])
     ready = pairs.join(classes.select("class_id", "n_copies"), "class_id").join(sets, "class_id")
     verified = settle(
         ready.select(*key, "class_id", "partners", "n_copies", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "class_id long, links long, root long"),
@@ -319,7 +319,7 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows repeated under one id leave one row.  Rows with a null id stay.
     """
     drop = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(drop, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    left = docs.join(drop.hint("merge"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
     named = left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
     return named.unionByName(left.where(F.col(doc_id).isNull()))
 
