@@ -159,6 +159,12 @@ class HashTable:
             open_[np.flatnonzero(free)[which]] = False
             left, at = left[open_], (at[open_] + np.uint64(1)) & self.mask
 
+    def __reduce__(self):
+        full = self.rows >= 0
+        keys = np.empty(int(full.sum()), np.uint64)
+        keys[self.rows[full]] = self.keys[full]
+        return HashTable, (keys,)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is absent."""
         at = mix(keys) & self.mask
