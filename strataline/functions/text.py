@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,16 +21,16 @@ def normalise_title(title: Column) -> Column:
     return squeeze(F.replace(decoded, F.lit("_"), F.lit(" ")))
 
 
-@F.pandas_udf("string")
-def fold(texts: pd.Series) -> pd.Series:
-    """NFKC, link markup without brackets, white space collapsed, full case folding."""
-    import re
-    import unicodedata
-
+def _fold(texts: pd.Series) -> pd.Series:
     link = re.compile(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]")
     return texts.map(lambda t: None if t is None else " ".join(link.sub(r"\1", unicodedata.normalize("NFKC", t)).split()).casefold())
 
 
+def fold(text: Column | str) -> Column:
+    """NFKC, link markup without brackets, white space collapsed, full case folding."""
+    return F.pandas_udf(_fold, "string")(text)
+
+
 def fold_ascii(text: Column) -> Column:
     """The same for texts of plain ASCII, without leaving the JVM."""
     return F.lower(squeeze(F.regexp_replace(text, "\\[\\[(?:[^\\]|]*\\|)?([^\\]]*)\\]\\]", "$1")))

@@ -226,3 +226,6 @@ _add("so08_total_order", lambda s, d: V.anchors(s, d).select("page_id", "pos", F
 _add("so09_saturation", lambda s, d: V.facts(s, d).groupBy("object").agg(F.count("*").alias("n"), (F.count("*") >= 100).alias("saturated")), oracle(FACTS, body="SELECT object, count(*) AS n, count(*) >= 100 AS saturated FROM facts GROUP BY 1"))
 _add("so10_link_page", lambda s, d: O.ranked(V.anchors(s, d).where(F.contains(F.lower("target"), F.lit("th"))), ["page_id"], ["pos"], "rn").where("rn between 2 and 4").select("page_id", "target", F.col("rn").cast("long").alias("rn")),
      oracle(ANCHORS, body="SELECT page_id, target, rn FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM anchors WHERE contains(lower(target), 'th')) WHERE rn BETWEEN 2 AND 4"))
+_add("fn23_file_fingerprint", lambda s, d: G.file_fingerprints(s, f"{d}/region.parquet").select("length", "sha256"))
+_add("sk09_score_report", lambda s, d: V.log(s, d).groupBy("model", "case_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "correct").alias("correct"), F.count_if(F.col("label") == "other").alias("other"), F.max("occurrence").alias("occurrences")).orderBy("model", "case_id"),
+     oracle(LOG, body="SELECT model, case_id, count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS correct, count(*) FILTER (WHERE label = 'other') AS other, max(occurrence) AS occurrences FROM log GROUP BY 1, 2"))

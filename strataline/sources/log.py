@@ -62,3 +62,13 @@ def cached_misses(requests: DataFrame, cache: DataFrame, parts: list[str]) -> tu
 
 def content_address(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *columns), 256)
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files, read as binary in the tasks."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_scores(df: DataFrame, path: str) -> None:
+    """A score report as CSV with a header; an existing one is an error."""
+    df.write.mode("errorifexists").option("header", True).csv(path)
