@@ -11,7 +11,12 @@ from strataline.sources.views import FACTS, LINKS, LOG, TURNS, oracle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-OK = F.when(F.col("arm") == "conflict", F.col("label") == "stick_new").otherwise(F.col("label") == "correct")
+
+
+def _correct():
+    return F.when(F.col("arm") == "conflict", F.col("label") == "stick_new").otherwise(F.col("label") == "correct")
+
+
 OK_SQL = "(CASE WHEN arm = 'conflict' THEN label = 'stick_new' ELSE label = 'correct' END)"
 CELLS = f"cell AS (SELECT model, arm, distance, occurrence, count(*) FILTER (WHERE {OK_SQL}) AS successes, count(*) AS n FROM log WHERE slot IN ('ripple', 'control') GROUP BY 1, 2, 3, 4)"
 
@@ -23,7 +28,7 @@ def _add(name, query, sql=None):
 
 
 def cells(s, d):
-    return A.cells(V.log(s, d).where("slot in ('ripple', 'control')"), ["model", "arm", "distance", "occurrence"], OK)
+    return A.cells(V.log(s, d).where("slot in ('ripple', 'control')"), ["model", "arm", "distance", "occurrence"], _correct())
 
 
 def per_case(s, d, **aggs):
@@ -36,7 +41,7 @@ def per_case_sql(**aggs):
 
 
 _add("ag01_accuracy_cells", cells, oracle(LOG, CELLS, body="SELECT * FROM cell"))
-_add("ag02_correct_counts", lambda s, d: V.log(s, d).groupBy("arm").agg(F.sum(OK.cast("long")).alias("s"), F.count("*").alias("n"), (F.count_if(F.lit(False)) == 0).alias("empty_is_null")),
+_add("ag02_correct_counts", lambda s, d: V.log(s, d).groupBy("arm").agg(F.sum(_correct().cast("long")).alias("s"), F.count("*").alias("n"), (F.count_if(F.lit(False)) == 0).alias("empty_is_null")),
      oracle(LOG, body=f"SELECT arm, count(*) FILTER (WHERE {OK_SQL}) AS s, count(*) AS n, true AS empty_is_null FROM log GROUP BY 1"))
 _add("ag03_pk_counts", lambda s, d: V.log(s, d).where("slot = 'pk'").groupBy("model", "case_id").agg(F.count_if(F.col("label") == "stick_old").alias("stick_old"), F.count("*").alias("n")),
      oracle(LOG, body="SELECT model, case_id, count(*) FILTER (WHERE label = 'stick_old') AS stick_old, count(*) AS n FROM log WHERE slot = 'pk' GROUP BY 1, 2"))
@@ -69,7 +74,7 @@ _add("ag09_radius", lambda s, d: A.radius(cells(s, d), ["model", "arm"], 3, 20).
 
 
 def transitions(s, d):
-    log = V.log(s, d).where("distance is not null").withColumn("ok", OK)
+    log = V.log(s, d).where("distance is not null").withColumn("ok", _correct())
     return A.paired_transitions(log, ["case_id", "model", "distance"], "occurrence", "ok", "line_no")
 
 

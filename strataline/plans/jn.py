@@ -12,7 +12,16 @@ from strataline.sources.views import ANCHORS, FACTS, LINKS, LOG, REVISIONS, TURN
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-CUT, UNTIL = F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")
+
+
+def _cutoff():
+    return F.lit("2024-01-10").cast("date")
+
+
+def _until():
+    return F.lit("2024-01-12").cast("date")
+
+
 #: Tenures: anchors are the objects of purchases, holders their subjects.
 TENURES = """t AS (SELECT object AS anchor, subject AS holder, start, "end" FROM facts WHERE property = 'purchase')"""
 SPINES = """later AS (SELECT DISTINCT anchor, holder, start FROM t WHERE start > DATE '2024-01-10' AND start <= DATE '2024-01-12'),
@@ -31,7 +40,7 @@ def tenures(s, d):
 
 
 def spines(s, d):
-    return J.anchor_spines(tenures(s, d), CUT, UNTIL)
+    return J.anchor_spines(tenures(s, d), _cutoff(), _until())
 
 
 _add("jn01_cutoff_anchor_spine", spines, oracle(FACTS, TENURES, SPINES, body="SELECT * FROM spine"))
@@ -40,7 +49,7 @@ _add("jn01_cutoff_anchor_spine", spines, oracle(FACTS, TENURES, SPINES, body="SE
 def jn02(s, d):
     t = tenures(s, d)
     wanted = V.facts(s, d).where("property = 'error' and start = date '2024-01-11'").select(F.col("object").alias("anchor")).distinct()
-    return J.anchor_spines(t.join(wanted, "anchor", "left_semi"), CUT, UNTIL)
+    return J.anchor_spines(t.join(wanted, "anchor", "left_semi"), _cutoff(), _until())
 
 
 _add("jn02_event_first_spine", jn02, oracle(FACTS, "t0 AS (SELECT object AS anchor, subject AS holder, start, \"end\" FROM facts WHERE property = 'purchase')", "t AS (SELECT * FROM t0 WHERE anchor IN (SELECT object FROM facts WHERE property = 'error' AND start = DATE '2024-01-11'))", SPINES, body="SELECT * FROM spine"))
@@ -50,7 +59,7 @@ _add("jn03_pair_novelty", lambda s, d: J.novel_pairs(J.novel_pairs(spines(s, d),
 
 def jn04(s, d):
     targets = V.table(s, d, "part").where("p_size = 1").select((F.col("p_partkey") % 100).alias("object")).distinct()
-    return V.facts(s, d).join(targets, "object").where(T.holds_at(F.col("start"), F.col("end"), CUT)).select("subject", "object", "property").distinct()
+    return V.facts(s, d).join(targets, "object").where(T.holds_at(F.col("start"), F.col("end"), _cutoff())).select("subject", "object", "property").distinct()
 
 
 _add("jn04_inverse_anchor", jn04, oracle(FACTS, body="""SELECT DISTINCT subject, object, property FROM facts WHERE object IN (SELECT p_partkey % 100 FROM part WHERE p_size = 1) AND (start IS NULL OR start <= DATE '2024-01-10') AND ("end" IS NULL OR "end" >= DATE '2024-01-10')"""))
@@ -58,7 +67,7 @@ _add("jn04_inverse_anchor", jn04, oracle(FACTS, body="""SELECT DISTINCT subject,
 
 def jn05(s, d):
     f = V.facts(s, d)
-    return J.inverse_unique(f, f.where("property = 'signup'").select("object").distinct(), CUT, F.lit("2024-01-20").cast("date"), 40)
+    return J.inverse_unique(f, f.where("property = 'signup'").select("object").distinct(), _cutoff(), F.lit("2024-01-20").cast("date"), 40)
 
 
 _add("jn05_inverse_transition", jn05, oracle(FACTS, "r AS (SELECT * FROM facts WHERE start > DATE '2024-01-10' AND start <= DATE '2024-01-20' AND object IN (SELECT object FROM facts WHERE property = 'signup'))",
@@ -67,7 +76,7 @@ _add("jn05_inverse_transition", jn05, oracle(FACTS, "r AS (SELECT * FROM facts W
 
 def jn06(s, d):
     moves = T.successor_transitions(V.facts(s, d).where("property = 'purchase'"), "subject", "object", ["start", "fact_id"]).where("start > date '2024-01-10'")
-    held = V.facts(s, d).where("property = 'view'").where(T.holds_at(F.col("start"), F.col("end"), CUT)).select(F.col("object").alias("to_holder"), F.col("subject").alias("anchor"))
+    held = V.facts(s, d).where("property = 'view'").where(T.holds_at(F.col("start"), F.col("end"), _cutoff())).select(F.col("object").alias("to_holder"), F.col("subject").alias("anchor"))
     return moves.join(held, "to_holder").where("anchor <> subject").select("subject", "to_holder", "anchor", "start").dropDuplicates()
 
 
@@ -77,11 +86,11 @@ _add("jn06_anchor_hash_join", jn06, oracle(FACTS, "m AS (SELECT subject, lag(obj
 
 def jn07(s, d):
     f = V.facts(s, d)
-    first = T.first_unique(f.where(T.in_window(F.col("start"), CUT, F.lit("2024-01-25").cast("date")) & (F.col("property") == "click")), ["subject"], "start", "object")
+    first = T.first_unique(f.where(T.in_window(F.col("start"), _cutoff(), F.lit("2024-01-25").cast("date")) & (F.col("property") == "click")), ["subject"], "start", "object")
     nxt = f.where("property = 'click'").select(F.col("object"), F.col("subject").alias("successor"), F.col("start").alias("next_start"))
     succ = first.join(nxt, "object").where("next_start > start and successor <> subject")
     best = T.first_unique(succ, ["subject", "object", "start"], "next_start", "successor")
-    held = J.first_per(f.where("property = 'view'").where(T.holds_at(F.col("start"), F.col("end"), CUT)).select("subject", F.col("object").alias("held"), F.col("start").alias("held_since"), "fact_id"), ["subject"], [F.desc("held_since"), "fact_id"])
+    held = J.first_per(f.where("property = 'view'").where(T.holds_at(F.col("start"), F.col("end"), _cutoff())).select("subject", F.col("object").alias("held"), F.col("start").alias("held_since"), "fact_id"), ["subject"], [F.desc("held_since"), "fact_id"])
     return best.join(held, "subject").select("subject", "object", "start", "next_start", "successor", "held", "held_since")
 
 

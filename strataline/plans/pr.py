@@ -12,10 +12,13 @@ from strataline.sources.views import FACTS, LOG, TURNS, oracle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-AT = F.lit("2024-01-15").cast("date")
 D = "DATE '2024-01-15'"
 
 
+def _at():
+    return F.lit("2024-01-15").cast("date")
+
+
 def _add(name, query, sql=None):
     QUERIES[name] = query
     if sql:
@@ -26,17 +29,17 @@ def _ids(rows):
     return rows.select("fact_id")
 
 
-_add("pr01_open_interval", lambda s, d: _ids(V.facts(s, d).where(T.holds_at(F.col("start"), F.col("end"), AT))),
+_add("pr01_open_interval", lambda s, d: _ids(V.facts(s, d).where(T.holds_at(F.col("start"), F.col("end"), _at()))),
      oracle(FACTS, body=f'SELECT fact_id FROM facts WHERE (start IS NULL OR start <= {D}) AND ("end" IS NULL OR "end" >= {D})'))
 
 
 def pr02(s, d):
     g = V.facts(s, d).groupBy("subject", "property", "object").agg(F.collect_set("start").alias("starts"), F.collect_set("end").alias("ends"))
-    return g.where(T.holds_since_start(F.col("starts"), F.col("ends"), AT)).select("subject", "property", "object")
+    return g.where(T.holds_since_start(F.col("starts"), F.col("ends"), _at())).select("subject", "property", "object")
 
 
 _add("pr02_start_required", pr02, oracle(FACTS, body=f'SELECT subject, property, object FROM facts GROUP BY 1, 2, 3 HAVING min(start) <= {D} AND (max("end") IS NULL OR max("end") >= {D})'))
-_add("pr03_current_claim", lambda s, d: _ids(V.facts(s, d).where(T.current_claim(F.nullif(F.col("start"), F.lit("2024-01-05").cast("date")), F.col("end"), F.col("rank"), AT))),
+_add("pr03_current_claim", lambda s, d: _ids(V.facts(s, d).where(T.current_claim(F.nullif(F.col("start"), F.lit("2024-01-05").cast("date")), F.col("end"), F.col("rank"), _at()))),
      oracle(FACTS, body=f"""SELECT fact_id FROM (SELECT *, nullif(start, DATE '2024-01-05') AS st FROM facts) WHERE (st IS NOT NULL OR "end" IS NOT NULL OR rank = 'preferred') AND (st IS NULL OR st <= {D}) AND ("end" IS NULL OR "end" >= {D})"""))
 _add("pr04_preferred_rank", lambda s, d: _ids(T.preferred_rank(V.facts(s, d), ["subject", "property"])),
      oracle(FACTS, body="SELECT fact_id FROM (SELECT *, max(CASE WHEN rank = 'preferred' THEN 1 ELSE 0 END) OVER (PARTITION BY subject, property) AS p FROM facts WHERE rank <> 'deprecated') WHERE p = 0 OR rank = 'preferred'"))

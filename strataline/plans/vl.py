@@ -12,7 +12,14 @@ from strataline.sources.views import FACTS, LOG, REVISIONS, TURNS, oracle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-LO, HI = F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date")
+
+
+def _low():
+    return F.lit("2024-01-10").cast("date")
+
+
+def _high():
+    return F.lit("2024-01-20").cast("date")
 
 
 def _add(name, query, sql=None):
@@ -22,14 +29,14 @@ def _add(name, query, sql=None):
 
 
 def _certificates(s, d):
-    return C.certificate(V.facts(s, d), ["subject", "property"], "start", "object", LO, HI)
+    return C.certificate(V.facts(s, d), ["subject", "property"], "start", "object", _low(), _high())
 
 
 CERT = """c AS (SELECT DISTINCT subject, property, start, object FROM facts WHERE start > DATE '2024-01-10' AND start <= DATE '2024-01-20'),
 g AS (SELECT subject, property, min(start) AS selected_date, sha256(string_agg(CAST(start AS VARCHAR) || '|' || CAST(object AS VARCHAR), ';' ORDER BY start, object)) AS digest FROM c GROUP BY 1, 2),
 f AS (SELECT g.subject, g.property, selected_date, digest, CASE WHEN count(*) = 1 THEN min(object) END AS selected FROM g JOIN c ON c.subject = g.subject AND c.property = g.property AND c.start = selected_date GROUP BY 1, 2, 3, 4)"""
 _add("vl01_certificate", lambda s, d: _certificates(s, d).drop("candidates"), oracle(FACTS, CERT, body="SELECT subject, property, selected, selected_date, digest FROM f"))
-_add("vl02_certificate_errors", lambda s, d: _certificates(s, d).select("subject", "property", F.array_join(C.certificate_errors("start", "object", LO, F.col("subject") % 100), ",").alias("errors")),
+_add("vl02_certificate_errors", lambda s, d: _certificates(s, d).select("subject", "property", F.array_join(C.certificate_errors("start", "object", _low(), F.col("subject") % 100), ",").alias("errors")),
      oracle(FACTS, CERT, body="SELECT subject, property, concat_ws(',', CASE WHEN selected IS NULL THEN 'ambiguous' END, CASE WHEN selected IS NULL OR selected <> subject % 100 THEN 'unexpected' END) AS errors FROM f"))
 
 

@@ -12,7 +12,14 @@ from strataline.sources.views import ANCHORS, FACTS, LOG, REVISIONS, TURNS, orac
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-LO, HI = F.lit("2024-01-03").cast("date"), F.lit("2024-01-20").cast("date")
+
+
+def _low():
+    return F.lit("2024-01-03").cast("date")
+
+
+def _high():
+    return F.lit("2024-01-20").cast("date")
 
 
 def _add(name, query, sql=None):
@@ -32,7 +39,7 @@ WHERE from_holder IS NOT NULL AND from_holder <> to_holder"""))
 
 
 def wn02(spark, d):
-    rows = V.facts(spark, d).where(T.in_window(F.col("start"), LO, HI))
+    rows = V.facts(spark, d).where(T.in_window(F.col("start"), _low(), _high()))
     return T.first_unique(rows, ["subject", "property"], "start", "object")
 
 
