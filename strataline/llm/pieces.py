@@ -33,7 +33,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 _MARK = 0x2581  # the model's space mark
 _LITERAL = 0x110001  # stands for a space mark that the text itself has
-_LATTICE_BYTES = 3 << 20  # texts whose distinct units share one lattice
+_LATTICE_BYTES = 3 << 19  # texts whose distinct units share one lattice
 _WALK_BYTES = 1 << 19  # of these, the texts that are sampled together
 _NONE, _BYTES = 65535, 65534
 _U64 = 0xFFFFFFFFFFFFFFFF
