@@ -8,8 +8,9 @@ host's wrapper, an expression of tags, slots, `?` and `+` without alternatives.
 
 Every task aligns the pages it reads into one partial wrapper for each host, so
 only wrappers are shuffled; partial wrappers are aligned with each other in
-rounds of bounded fan-in.  The wrapper then tells which slots belong to the
-main text, and every page is read through the wrapper of its host.
+rounds of bounded fan-in.  The wrapper then tells which slots may belong to the
+main text, and every page is read through the wrapper of its host, from the
+best candidate that the page has.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Node:
     def __init__(self, key: str, text: str | None = None, chars: int = 0):
         self.key, self.text, self.chars = key, text, chars  # text None in a text item: a slot
         self.optional = self.repeated = False
-        self.seen, self.below, self.role = 1, [], False
+        self.seen, self.below, self.role = 1, [], ()
 
     def pack(self) -> list:
         return [self.key, int(self.optional), int(self.repeated), self.text, self.seen, self.chars, [x.pack() for x in self.below]]
@@ -205,13 +206,34 @@ def _chars(node: Node) -> int:
     return node.chars if node.key == _TEXT else 0 if _furniture(node.key) else sum(_chars(x) for x in node.below)
 
 
-def mark_main(wrapper: list[Node], pages: int) -> list[Node]:
-    """Give the role of main text to the slots of the wrapper that hold it.
+def _innermost(wrapper: list[Node], chars) -> list[Node]:
+    """The innermost level that holds most of the text, by the given count of an item's characters."""
+    level = wrapper
+    while True:
+        inner = max((x for x in level if x.key != _TEXT and not _furniture(x.key)), key=chars, default=None)
+        if inner is None or not chars(inner) or chars(inner) < 0.6 * sum(map(chars, level)) or inner.repeated or inner.key.split(".")[0] in ("p", "li", "h1", "h2", "h3"):
+            return level
+        level = inner.below
 
-    The main level is the largest article or main element, else the element
-    named as content with the most text, else the innermost element that holds
-    most of the text.  Texts equal on all of three pages or more are no slots
-    and count only inside an article or main element.
+
+def _texts(level: list[Node], sure: bool) -> Iterator[Node]:
+    for x in level:
+        if x.key == _TEXT:
+            yield x
+        elif not _furniture(x.key) and (sure or x.key.split(".")[0] != "header"):
+            yield from _texts(x.below, sure)
+
+
+def mark_main(wrapper: list[Node]) -> list[frozenset]:
+    """Give the role of main text to the slots of the wrapper that may hold it.
+
+    A host may have several layouts, so every article or main element is a
+    candidate, after them every element named as content, then the innermost
+    level that holds most of the other text; within a class the one with most
+    text over all pages comes first.  A slot's role lists its candidates.  The
+    outcome has, for each candidate in this order, the candidates that are read
+    with it: articles go with articles.  A text inside a candidate counts whether
+    or not it is equal on all pages.
     """
 
     def every(nodes: list[Node]) -> Iterator[Node]:
@@ -221,70 +243,65 @@ def mark_main(wrapper: list[Node], pages: int) -> list[Node]:
                 yield from every(x.below)
 
     elements = list(every(wrapper))
-    named = [x for x in elements if x.key.split(".")[0] in ("article", "main")] or [x for x in elements if not _MAIN_WORDS.isdisjoint(x.key.split(".")[1:])]
-    if named:
-        best = max(named, key=_chars)
-        roots, sure = ([best] if _chars(best) else []) or named, best.key.split(".")[0] in ("article", "main")
-        if sure:
-            roots = [x for x in named if x.key.split(".")[0] == best.key.split(".")[0]]
-    else:
-        level, sure = wrapper, False
-        while True:
-            inner = max((x for x in level if x.key != _TEXT and not _furniture(x.key)), key=_chars, default=None)
-            if inner is None or _chars(inner) < 0.6 * sum(map(_chars, level)) or inner.repeated or inner.key.split(".")[0] in ("p", "li", "h1", "h2", "h3"):
-                break
-            level = inner.below
-        roots = [_level(level)]
-
-    def mark(node: Node) -> None:
-        for x in node.below:
-            if x.key == _TEXT:
-                x.role = sure or x.text is None or pages < 3
-            elif not _furniture(x.key) and (sure or x.key.split(".")[0] != "header"):
-                mark(x)
+    tags = [x for x in elements if x.key.split(".")[0] in ("article", "main")]
+    words = [x for x in elements if x not in tags and not _MAIN_WORDS.isdisjoint(x.key.split(".")[1:])]
+    named = {id(x) for x in tags + words}
 
-    for x in roots:
-        mark(x)
-    return wrapper
+    def unnamed(node: Node) -> int:
+        return 0 if id(node) in named or node.key != _TEXT and _furniture(node.key) else node.chars if node.key == _TEXT else sum(map(unnamed, node.below))
 
+    roots = [(x.below, x.key.split(".")[0]) for x in sorted(tags, key=_chars, reverse=True)]
+    roots += [(x.below, "") for x in sorted(words, key=_chars, reverse=True)]
+    roots.append((_innermost(wrapper, unnamed), ""))
+    for k, (level, tag) in enumerate(roots):
+        for x in _texts(level, bool(tag)):
+            x.role += (k,)
+    return [frozenset(j for j, (_, other) in enumerate(roots) if other == tag) if tag else frozenset([k]) for k, (_, tag) in enumerate(roots)]
 
-def _level(nodes: list[Node]) -> Node:
-    node = Node("")
-    node.below = nodes
-    return node
 
-
-def read_main(items: list, wrapper: list[Node]) -> str:
-    """The main text of a page read through a wrapper."""
-    parts: list[str] = []
+def read_main(items: list, wrapper: list[Node], choices: list[frozenset]) -> str:
+    """The main text of a page read through a wrapper: that of the first candidate which has text on this page."""
+    parts: list[tuple[str, Node | None]] = []
+    here: set[int] = set()
 
     def walk(level: list, nodes: list[Node]) -> None:
         k = 0
         for x in level:
             if x == " ":
-                parts.append(" ")
+                parts.append((" ", None))
                 continue
             key = _TEXT if isinstance(x, str) else x[0]
-            at = next((i for i in range(k, len(nodes)) if nodes[i].key == key), None)
-            if at is None:
-                at = next((i for i in range(k) if nodes[i].key == key), None)
-                if at is None:
-                    continue
-            else:
-                k = at
+            places = [i for i in (*range(k, len(nodes)), *range(k)) if nodes[i].key == key]
+            if not places:
+                continue
+            at = places[0]
+            if len(places) > 1 and key != _TEXT:  # layouts in different order: an item that has all that this one holds
+                holds = {_TEXT if isinstance(y, str) else y[0] for y in x[1] if y != " "}
+                at = next((i for i in places if holds.issubset(y.key for y in nodes[i].below)), at)
+            k = max(k, at)
+            here.add(id(nodes[at]))
             if isinstance(x, str):
-                if nodes[at].role:
-                    parts.append(html.unescape(x))
+                parts.append((html.unescape(x), nodes[at]))
                 continue
             block = key.split(".", 1)[0] in _BLOCK
             if block:
-                parts.append(" ")
+                parts.append((" ", None))
             walk(x[1], nodes[at].below)
             if block:
-                parts.append(" ")
+                parts.append((" ", None))
+
+    def chars(node: Node) -> int:
+        return 0 if id(node) not in here else node.chars if node.key == _TEXT else 0 if _furniture(node.key) else sum(map(chars, node.below))
 
     walk(items, wrapper)
-    return " ".join("".join(parts).split())
+    found = {k for text, node in parts if node is not None and not text.isspace() for k in node.role}
+    if found:
+        chosen = choices[min(found)]
+        kept = [text for text, node in parts if node is None or not chosen.isdisjoint(node.role)]
+    else:  # a layout without any candidate: the level that holds most of what this page has
+        inside = {id(x) for x in _texts(_innermost(wrapper, chars), False)}
+        kept = [text for text, node in parts if node is None or id(node) in inside]
+    return " ".join("".join(kept).split())
 
 
 def _host_wrappers(batches):
@@ -358,7 +375,7 @@ def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host"))
 
     def read(batches):
-        last, wrapper = None, []
+        last, wrapper, choices = None, [], []
         for batch in batches:
             texts = []
             for one, packed in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
@@ -366,9 +383,9 @@ def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
                     texts.append("")
                     continue
                 if packed != last:
-                    n, w = json.loads(packed)
-                    last, wrapper = packed, mark_main([Node.unpack(x) for x in w], n)
-                texts.append(read_main(nested(one), wrapper))
+                    last, wrapper = packed, [Node.unpack(x) for x in json.loads(packed)[1]]
+                    choices = mark_main(wrapper)
+                texts.append(read_main(nested(one), wrapper, choices))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)

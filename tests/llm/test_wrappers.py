@@ -46,3 +46,18 @@ def test_expression_and_empty(spark):
     b = W.wrapper_of(W.nested("<ul><li>c</li></ul><hr><p>x</p>"))
     assert "".join(x.expression() for x in W.align(a, b)) == "<ul>(<li>#PCDATA</li>)+</ul>(<hr></hr>)?<p>x</p>"
     assert W.extract_main(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_layouts_mixed_on_one_host(spark):
+    rng = random.Random(9)
+    rows, expect = [], {}
+    for k in range(60):
+        title, blocks = article(rng, k)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in blocks)
+        kind = (["article"] * 6 + ["main", "content", "post", "table"])[k % 10]
+        page = {"article": f"<article>{body}</article>", "main": f"<main>{body}</main>", "content": f'<div class="content">{body}</div>', "post": f'<div class="post">{body}</div>', "table": f"<table><tr><td>{body}</td></tr></table>"}[kind]
+        url = "http://mixed.example.org/" if k < 30 else None
+        rows.append((k, url, f"<body><nav><p>menu {k}</p></nav>{page}<footer>foot {k}</footer></body>"))
+        expect[k] = " ".join([title.replace("&amp;", "&"), *blocks])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in W.extract_main(pages).collect()} == expect
