@@ -15,6 +15,7 @@ best candidate that the page has.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -132,6 +133,11 @@ def _key(name: str, attributes: str) -> str:
     return ".".join([name, *words])
 
 
+def _whole(text: str) -> str:
+    """A text to be compared: a long one is its beginning and a hash of all of it."""
+    return text if len(text) <= 200 else f"{text[:160]}… {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def wrapper_of(items: list) -> list[Node]:
     """A level of one page as a wrapper: following items of one kind are folded into a repeated group."""
     out: list[Node] = []
@@ -141,8 +147,9 @@ def wrapper_of(items: list) -> list[Node]:
                 continue
             if out and out[-1].key == _TEXT:
                 out[-1].chars += len(x)
+                out[-1].text = _whole(f"{out[-1].text} {x.strip()}")
                 continue
-            node = Node(_TEXT, x.strip()[:200], len(x))
+            node = Node(_TEXT, _whole(x.strip()), len(x))
         else:
             node = Node(x[0])
             node.below = wrapper_of(x[1])

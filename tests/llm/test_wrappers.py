@@ -61,3 +61,16 @@ def test_layouts_mixed_on_one_host(spark):
         expect[k] = " ".join([title.replace("&amp;", "&"), *blocks])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {r.page_id: r.text for r in W.extract_main(pages).collect()} == expect
+
+
+def test_texts_with_a_common_opening_or_equal_on_all_pages(spark):
+    opening = "the same words again " * 15
+    a, b = (W.wrapper_of(W.nested(f"<p>{opening}{x}</p><p>x<!-- -->{x}</p>")) for x in ("one", "two"))
+    assert "".join(x.expression() for x in W.align(a, b)) == "(<p>#PCDATA</p>)+"
+    a, b = (W.wrapper_of(W.nested(f"<h1>{opening}{x}</h1><h2>x<!-- -->{x}</h2><h3>{opening}</h3>")) for x in ("one", "two"))
+    assert [x.below[0].text is None for x in W.align(a, b)] == [True, True, False]
+    page = '<body><div class="content"><h1>News</h1><p>{}</p></div><div class="footer">foot</div></body>'
+    bodies = {f"open{k}": opening + f"end {k}" for k in range(4)} | {f"same{k}": "mirrored text" for k in range(4)}
+    rows = [(k, f"http://{name[:4]}.example.org/{k}", page.format(body), body) for k, (name, body) in enumerate(bodies.items())]
+    got = W.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, body string").repartition(3))
+    assert {r.page_id: r.text for r in got.collect()} == {k: f"News {body}" for k, _, _, body in rows}
