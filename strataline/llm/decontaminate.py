@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
+from strataline.llm.shared import settle
 
 WINDOW_WORDS = 13
 BENCHMARK_BYTES = 64 << 20
@@ -147,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         part = rows.mapInArrow(scan, schema + (", row long" if keep_row else ""))
         found = part if found is None else found.unionByName(part)
     if len(blocks) > 1:
-        found = _merge_blocks(found)
+        found = _merge_blocks(found).drop("row")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (words_per_hit * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -162,26 +163,76 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
         if(size(done) > 0 and element_at(done, -1).last >= x.first,
            concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end), 'first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last)))),
            concat(done, array(x))))""")
-    return by_row.withColumn("spans", joined).select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "items", "spans")
+    return by_row.withColumn("spans", joined).select("row", "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "items", "spans")
+
+
+def _found_in_blocks(docs: DataFrame, blocks: list[tuple[list, list]], text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """docs with a row number `_row`, and (_row, n_words, n_hit, spans) of the rows that some block hits.
+
+    Each task holds one block.  docs are written once, so that a number stays
+    with its row; only the findings are shuffled.
+    """
+    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for ids, texts in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(ids, texts, window))
+
+        def scan(batches, shared=shared):
+            for batch in batches:
+                out = [x for x in _scan(batch, "text", shared.value) if x[2]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").take(pa.array([x[0] for x in out], pa.int64())),
+                        pa.nulls(len(out), pa.int64()),
+                        pa.array([x[1] for x in out], pa.int64()),
+                        pa.nulls(len(out), pa.list_(pa.string())),
+                        pa.array([[dict(zip(_SPAN_FIELDS, s)) for s in x[4]] for x in out], _SPANS),
+                    ],
+                    ["row", "doc_id", "n_words", "items", "spans"],
+                )
+
+        part = numbered.select(F.col("_row").alias("row"), F.col(text).alias("text")).mapInArrow(scan, "row long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long,first:long,last:long>>")
+        found = part if found is None else found.unionByName(part)
+    return numbered, _merge_blocks(found).select(F.col("row").alias("_row"), "n_words", "n_hit", "spans")
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    raw, kept, at = text.encode(), [], 0
+    for s, e in spans:
+        kept.append(raw[at:s])
+        at = e
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
-    """docs with the hit spans cut out of their texts; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast([BenchmarkWindows(i, t, window) for i, t in benchmark_blocks(benchmark, item_id, item_text)])
+    """docs with the hit spans cut out of their texts; all columns stay.
+
+    Every span is found in the text as it came, also where the benchmark makes several blocks.
+    """
+    blocks = benchmark_blocks(benchmark, item_id, item_text)
     place = docs.columns.index(text)
+    if len(blocks) > 1:
+        names = docs.columns
+        numbered, found = _found_in_blocks(docs, blocks, text, window)
+
+        def cut_found(batches):
+            for batch in batches:
+                texts, spans = batch.column(place).to_pylist(), batch.column("_spans").to_pylist()
+                columns = list(batch.columns[: len(names)])
+                columns[place] = pa.array([_cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)], columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        joined = numbered.join(found.select("_row", F.col("spans").alias("_spans")), "_row", "left")
+        return joined.select(*names, "_spans").mapInArrow(cut_found, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*blocks[0], window))
 
     def cut(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            for windows in shared.value:
-                trial = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-                for row, _, _, _, spans in _scan(trial, "text", windows):
-                    if spans:
-                        raw, kept, at = texts[row].encode(), [], 0
-                        for s, e, _, _ in spans:
-                            kept.append(raw[at:s])
-                            at = e
-                        texts[row] = b"".join([*kept, raw[at:]]).decode()
+            trial = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+            for row, _, _, _, spans in _scan(trial, "text", shared.value):
+                if spans:
+                    texts[row] = _cut(texts[row], [x[:2] for x in spans])
             columns = list(batch.columns)
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
@@ -190,17 +241,23 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, words_per_hit: int = 20) -> DataFrame:
-    """docs without the contaminated documents; all columns stay, nothing is shuffled."""
-    for ids, texts in benchmark_blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(ids, texts, window))
+    """docs without the contaminated documents; all columns stay.
 
-        def keep(batches, shared=shared):
-            for batch in batches:
-                ok = [not (x[2] > 0 and words_per_hit * x[2] >= x[1]) for x in _scan(batch, text, shared.value)]
-                yield batch.filter(pa.array(ok, pa.bool_()))
+    With a benchmark of one block nothing is shuffled; with several, the blocks'
+    spans of a document are merged before it is judged, as in contamination().
+    """
+    blocks = benchmark_blocks(benchmark, item_id, item_text)
+    if len(blocks) > 1:
+        numbered, found = _found_in_blocks(docs, blocks, text, window)
+        return numbered.join(found.where(words_per_hit * F.col("n_hit") >= F.col("n_words")), "_row", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*blocks[0], window))
+
+    def keep(batches):
+        for batch in batches:
+            ok = [not (x[2] > 0 and words_per_hit * x[2] >= x[1]) for x in _scan(batch, text, shared.value)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,24 @@ def test_query_digest(spark, tmp_path):
         text = next(t for d, t, _ in DOCS if d == r.doc_id)
         _, _, found = brute(text, ITEMS)
         assert r.n_items == len(found) and r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_hits_spread_over_blocks(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as C
+
+    names = ["alpha", "beta", "gamma", "delta"]
+    items = [(k, " ".join(f"{x}{i}" for i in range(13))) for k, x in enumerate(names)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    spread = "v " * 500 + " ".join(t for _, t in items[:2]) + " u" * 300 + f" {items[2][1]} " + "u " * 100  # 4 % of words in all
+    seam = items[0][1] + " " + " ".join(items[1][1].split()[:6]) + f" {items[2][1]} " + " ".join(items[1][1].split()[6:])
+    docs = spark.createDataFrame([(1, spread, 7), (2, "u " * 100 + spread[1000:], 7), (3, seam, 7), (4, None, None), (None, "clean words", 7)], "doc_id long, text string, n_words int").repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut = lambda: {r.doc_id: (r.text, r.n_words) for r in D.remove_spans(docs, bench).collect()}
+    kept = lambda: {r.doc_id for r in C.decontamination_stage(spark, docs, str(tmp_path)).collect()}
+    one, whole = cut(), kept()
+    assert whole == {1, 4, None}
+    assert len(D.benchmark_blocks(bench, "item_id", "text", 40)) > 3
+    monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (40,))
+    assert cut() == one and kept() == whole
+    assert whole == {r.doc_id for r in D.contamination(docs, bench).where("not contaminated").collect()}
