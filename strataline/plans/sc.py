@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,13 +41,33 @@ def sc05(s, d):
 _add("sc05_alias_scan", sc05, "WITH a AS (SELECT l_orderkey % 3000 AS k, min(l_partkey) AS p FROM lineitem GROUP BY 1) SELECT o_orderkey AS key, p_brand FROM orders LEFT JOIN a ON o_orderkey = k LEFT JOIN part ON p_partkey = coalesce(p, o_orderkey)")
 
 
+SC06_SINCE, SC06_UNTIL = date(1996, 1, 1), date(1999, 12, 31)
+
+
+def _edit_days(s, d):
+    """Distinct edit dates of the window, with their number for each page."""
+    days = V.revisions(s, d).where(F.to_date("ts").between(F.lit(SC06_SINCE), F.lit(SC06_UNTIL))).select("page", F.to_date("ts").alias("day")).distinct()
+    return days.withColumn("n", F.count("*").over(Window.partitionBy("page")))
+
+
 def sc06(s, d):
-    days = V.revisions(s, d).where("to_date(ts) between date '1996-01-01' and date '1999-12-31'").select("page", F.to_date("ts").alias("day")).distinct()
-    n = F.count("*").over(Window.partitionBy("page"))
-    return days.withColumn("n", n).where("n <= 6").select("page", "day")
+    return _edit_days(s, d).where("n <= 6").select("page", "day")
+
+
+def sc06_probes(s, d):
+    """The rest of sc06: pages over its cap, with the edit dates met by 20 evenly spaced probes."""
+    span = (SC06_UNTIL - SC06_SINCE).days
+    dates = F.array(*[F.lit(SC06_SINCE + timedelta(days=round(span * k / 19))) for k in range(20)])
+    busy = _edit_days(s, d).where("n > 6").select("page").distinct()
+    points = busy.select("page", F.explode(dates).alias("probe")).withColumn("at", T.end_of_day(F.col("probe")).cast(V.revisions(s, d).schema["ts"].dataType))
+    versions = V.revisions(s, d).select("page", "ts", "revision_id").join(busy, "page", "left_semi")
+    met = T.as_of(points, versions, "page", "at", "ts", "revision_id").select("page", F.to_date("version.ts").alias("day"))
+    return met.where(F.col("day") >= F.lit(SC06_SINCE)).distinct()
 
 
 _add("sc06_revision_dates", sc06, oracle(REVISIONS, body="SELECT page, day FROM (SELECT page, day, count(*) OVER (PARTITION BY page) AS n FROM (SELECT DISTINCT page, CAST(ts AS DATE) AS day FROM revisions WHERE CAST(ts AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')) WHERE n <= 6"))
+_add("sc06_revision_date_probes", sc06_probes, oracle(REVISIONS, "days AS (SELECT DISTINCT page, CAST(ts AS DATE) AS day FROM revisions)", "busy AS (SELECT page FROM days WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1 HAVING count(*) > 6)", "probe AS (SELECT DATE '1996-01-01' + CAST(round(1460.0 * k / 19) AS INTEGER) AS asked FROM range(20) t(k))",
+     body="SELECT DISTINCT page, day FROM (SELECT page, asked, max(day) AS day FROM days JOIN busy USING (page) JOIN probe ON day <= asked GROUP BY 1, 2) WHERE day >= DATE '1996-01-01'"))
 _add("sc07_paginated_revisions", lambda s, d: O.ranked(V.revisions(s, d), ["page"], ["ts", "revision_id"], "rn").select("page", "revision_id", F.floor((F.col("rn") - 1) / 4).alias("page_no"), ((F.col("rn") % 4) == 0).alias("page_end")),
      oracle(REVISIONS, body="SELECT page, revision_id, (rn - 1) // 4 AS page_no, rn % 4 = 0 AS page_end FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ts, revision_id) AS rn FROM revisions)"))
 _add("sc08_entity_batch", lambda s, d: V.table(s, d, "part").join(V.facts(s, d).select(F.col("object").alias("p_partkey")).distinct(), "p_partkey", "left_semi").select("p_partkey", "p_name", "p_brand"),

@@ -53,3 +53,11 @@ def test_matches_oracle(spark, con, name):
 def test_runs_twice_alike(spark, name):
     first, second = (rows(QUERIES[name](spark, DATA).toPandas()) for _ in range(2))
     assert first == second and first[1]
+
+
+def test_revision_dates_of_every_page(spark, con):
+    listed, probed = (QUERIES[f"sc06_{x}"](spark, DATA).toPandas() for x in ("revision_dates", "revision_date_probes"))
+    pages = con.execute("SELECT DISTINCT o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'").df()
+    assert len(probed) and not set(listed["page"]) & set(probed["page"])
+    assert set(listed["page"]) | set(probed["page"]) == set(pages["o_custkey"])
+    assert probed.groupby("page").size().max() <= 20
