@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +182,38 @@ def pheromones(steps: pd.DataFrame, evaporation: float = 0.15, low: float = 0.05
     return pd.DataFrame([(run, e, round(x, 9)) for e, x in sorted(level.items())], columns=["run", "edge", "pheromone"])
 
 
+def replay_pheromones(steps: DataFrame, evaporation: float = 0.15, low: float = 0.05, high: float = 5.0, tail: int = 4) -> DataFrame:
+    """pheromones() of every run as a stream over rows sorted by run and step.
+
+    A task holds the levels and the last `tail` edges of one run, so a run may have any number of steps.
+    """
+
+    def replay(batches):
+        run, level, trail = None, None, []
+
+        def give():
+            edges = sorted(level, key=lambda e: (e is None, e))
+            return pa.RecordBatch.from_arrays([pa.array([run] * len(edges), pa.int64()), pa.array(edges, pa.int64()), pa.array([round(level[e], 9) for e in edges], pa.float64())], ["run", "edge", "pheromone"])
+
+        for batch in batches:
+            for one, edge, reward in zip(*(batch.column(c).to_pylist() for c in ("run", "edge", "reward"))):
+                if level is None or one != run:
+                    if level is not None:
+                        yield give()
+                    run, level, trail = one, {}, []
+                trail = [*trail, edge][-tail:]
+                level.setdefault(edge, 1.0)
+                for e in level:
+                    level[e] = max(low, level[e] * (1 - evaporation))
+                for distance, e in enumerate(reversed(trail) if reward > 0 else [edge]):
+                    level[e] = min(high, max(low, level[e] + reward * 0.6**distance))
+        if level is not None:
+            yield give()
+
+    rows = steps.select(F.col("run").cast("long").alias("run"), "step", F.col("edge").cast("long").alias("edge"), F.col("reward").cast("double").alias("reward"))
+    return rows.repartition("run").sortWithinPartitions("run", "step").mapInArrow(replay, "run long, edge long, pheromone double")
+
+
 def ant_search(p: pd.DataFrame, seed: str, ants: int = 4, expansions: int = 40, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0) -> pd.DataFrame:
     """Ants walk the group's edges by roulette over exp(beta score + alpha ln(level) + gamma heuristic).
 

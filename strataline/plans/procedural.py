@@ -57,7 +57,7 @@ def lg02(s, d):
 
 def se08(s, d):
     steps = V.log(s, d).select(F.col("case_id").alias("run"), F.col("line_no").alias("step"), (F.col("k") % 12).alias("edge"), F.when(F.col("label") == "correct", 1.0).when(F.col("label") == "other", -0.5).otherwise(0.2).alias("reward"))
-    return P.per_group(steps, "run", P.pheromones, "run long, edge long, pheromone double")
+    return P.replay_pheromones(steps)
 
 
 QUERIES.update(

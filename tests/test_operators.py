@@ -156,3 +156,11 @@ def test_streams_match_batches(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").where("key = 'k1'").count() == 0
     assert spark.read.parquet(f"{tmp_path}/out").count() == 30 - 8
+
+
+def test_pheromones_of_a_long_run(spark):
+    n = P.MOST_ROWS + 50
+    steps = spark.range(n).selectExpr("if(id < 20, 2, 1) as run", "id as step", "id * id % 7 as edge", "if(id % 3 = 0, -0.5D, 0.2D) as reward").repartition(3)
+    frame = steps.toPandas()
+    expect = {tuple(r) for run in (1, 2) for r in P.pheromones(frame[frame["run"] == run]).itertuples(index=False)}
+    assert {tuple(r) for r in P.replay_pheromones(steps).collect()} == expect
