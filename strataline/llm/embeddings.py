@@ -30,6 +30,7 @@ LEAF_ROWS = 64
 FAN_OUT = 16
 GRID_DIMS = 4
 BOX_DIMS = 12
+SUMS = 16
 _SLACK = 1e-6  # boxes are kept in single precision
 
 
@@ -82,10 +83,23 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield size, np.flatnonzero(sizes == size)
 
 
+def _add_up(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for size, part in zip(batch.column("size").to_pylist(), batch.column("part").to_pylist()):
+            total[size] = total.get(size, 0) + np.array(part)
+    for size, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([part.tolist()], pa.list_(pa.float64()))], ["size", "part"])
+
+
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector size, the axes of greatest variance, from sums over all vectors."""
+    """For each vector size, the axes of greatest variance, from sums over all vectors.
+
+    The tasks' sums are added up in SUMS tasks before they reach the driver.
+    """
     sums: dict[int, np.ndarray] = {}
-    for r in classes.select("vector").mapInArrow(_moments, "size int, part array<double>").collect():
+    schema = "size int, part array<double>"
+    for r in classes.select("vector").mapInArrow(_moments, schema).repartition(SUMS).mapInArrow(_add_up, schema).collect():
         sums[r["size"]] = sums.get(r["size"], 0) + np.array(r.part).reshape(r["size"] + 2, r["size"])
     axes = {}
     for size, s in sums.items():
@@ -140,7 +154,7 @@ def _cut_blocks(shared):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([task * (1 << 32) + count]), pa.array([label]), pa.array([size], pa.int32()), pa.array([_box(u @ shared.value[size]).tolist()], pa.list_(pa.float32())),
-                    pa.array([np.asarray(t.column("class_id")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()),
+                    pa.array([np.asarray(t.column("node")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()),
                 ],
                 ["block", "label", "size", "box", "ids", "copies", "vectors"],
             )
@@ -162,6 +176,15 @@ def _cut_blocks(shared):
     return run
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks numbered without gaps in the order of the sequence; the driver sees one count for each task."""
+    task = F.shiftright("block", 32)
+    counts = sorted((r.task, r.n) for r in blocks.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
+    bases = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    known = blocks.sparkSession.createDataFrame([(t, b - 1) for (t, _), b in zip(counts, bases)], "task long, base long")
+    return blocks.withColumn("task", task).join(F.broadcast(known), "task").withColumn("block", F.col("base") + F.col("block").bitwiseAND((1 << 32) - 1)).drop("task", "base")
+
+
 def _level(nodes: DataFrame) -> DataFrame:
     """Runs of FAN_OUT following nodes, with the boxes around them."""
     mins, maxs = (F.array(*[f(F.col("box")[k]) for k in range(lo, lo + BOX_DIMS)]) for f, lo in ((F.min, 0), (F.max, BOX_DIMS)))
@@ -180,7 +203,7 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     and goes down one level at a time, leaving out distant pairs.
     """
     nodes = blocks.select("label", "size", F.col("block").alias("node"), "box")
-    # tasks number their blocks in order, so equal quotients are neighbours in the sequence
+    # numbers have no gaps, so each level has one FAN_OUT-th of the nodes of the one below
     levels = [settle(nodes.withColumn("up", F.floor(F.col("node") / FAN_OUT)), "level")]
     while len(levels) < 12 and (levels[-1].groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0) > FAN_OUT:
         levels.append(settle(_level(levels[-1]).withColumn("up", F.floor(F.col("node") / FAN_OUT)), "level"))
@@ -253,7 +276,7 @@ def _join_blocks(shared, cosine: float, eps: float):
                     np.minimum.at(root, j, low)
                 count = links[0] if same else np.concatenate(links)
                 rows = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(count[rows]), pa.array(root[rows])], ["class_id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(count[rows]), pa.array(root[rows])], ["node", "links", "root"])
 
     return run
 
@@ -264,32 +287,37 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Vectors link if their labels are equal and not null and their cosine, in
     double precision, is `cosine` or more.  A vector that is null, empty, zero
     or has a null or non-finite component links with nothing; so does one with a
-    null label or id.  Vectors of different sizes do not link.  Rows repeated
-    under one id count as copies.  component_id: least vec_id reachable by
+    null label or id.  Vectors of different sizes do not link.  Every row is a
+    vector of its own: rows repeated under one id link with each other if their
+    vectors do, and count as others.  component_id: least vec_id reachable by
     links; kept: vec_id = component_id, and true for a null id.
     """
     eps = float(np.sqrt(2 - 2 * cosine)) + _SLACK
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("vector"))
     named = settle(rows.mapInArrow(_read_vectors, "vec_id long, label long, n1 long, n2 long, vector binary"), "vectors")
-    classes = settle(named.groupBy("label", "n1", "n2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
+    least = named.groupBy("label", "n1", "n2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = settle(least.withColumn("node", F.monotonically_increasing_id()), "classes")  # an id may have several vectors
     shared = spark.sparkContext.broadcast(principal_axes(classes))
     cells = [f"cell{k}" for k in range(GRID_DIMS)]
-    order = ["label", "size", *cells, "along", "class_id"]
-    schema = "class_id long, label long, copies long, vector binary, size int, " + ", ".join(f"{c} int" for c in cells) + ", along double"
-    placed = classes.select("class_id", "label", "copies", "vector").mapInArrow(_cells(shared, eps), schema)
+    order = ["label", "size", *cells, "along", "node"]
+    schema = "node long, label long, copies long, vector binary, size int, " + ", ".join(f"{c} int" for c in cells) + ", along double"
+    placed = classes.select("node", "label", "copies", "vector").mapInArrow(_cells(shared, eps), schema)
     blocks = settle(
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).select("class_id", "label", "size", "copies", "vector")
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "label", "size", "copies", "vector")
         .mapInArrow(_cut_blocks(shared), "block long, label long, size int, box array<float>, ids binary, copies binary, vectors binary"),
         "blocks",
     )
-    one, two = (blocks.select(F.col("block").alias(x), *([F.col("size")] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "vectors"))) for x in "ab")
-    work = block_pairs(blocks, eps).join(one, "a").join(two, "b")
-    found = settle(work.mapInArrow(_join_blocks(shared, cosine, eps), "class_id long, links long, root long"), "vector-links")
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    result = classes.select("label", "n1", "n2", "class_id", "copies").join(links, "class_id", "left").join(joined, F.col("class_id") == F.col("node"), "left")
-    result = settle(result.select("label", "n1", "n2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "vector-result")
+    numbered = _numbered(blocks)
+    one, two = (numbered.select(F.col("block").alias(x), *([F.col("size")] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "vectors"))) for x in "ab")
+    work = block_pairs(numbered, eps).join(one, "a").join(two, "b")
+    found = settle(work.mapInArrow(_join_blocks(shared, cosine, eps), "node long, links long, root long"), "vector-links", spent=(blocks,))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    heads = joined.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("head"))
+    result = classes.select("label", "n1", "n2", "node", "class_id", "copies").join(links, "node", "left").join(joined.join(heads, "component").select("node", "head"), "node", "left")
+    result = result.select("label", "n1", "n2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "class_id").alias("component_id"))
+    result = settle(result, "vector-result", spent=(found, classes))
     linked = named.select("vec_id", "label", "n1", "n2").join(result, ["label", "n1", "n2"]).select("vec_id", "n_links", "component_id")
     usable = F.expr("vec_id is not null and label is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity')) and exists(vector, x -> x <> 0)")
     rest = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

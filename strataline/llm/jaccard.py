@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import components, settle
+from strataline.llm.shared import components, settle, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -31,7 +31,9 @@ HASHES = 128
 BAND_ROWS = 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK = 512  # classes of a block, and their shingles
+BLOCK_GRAMS = 1 << 20
+UNIT_BYTES = 8 << 20
 
 _rng = np.random.RandomState(971)
 _MULTIPLY = _rng.randint(1, 1 << 62, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,7 +61,6 @@ def _signatures(size: int):
     def sign(batches):
         for batch in batches:
             data, offsets, _ = K.column_bytes(batch.column("text"))
-            ids = np.asarray(batch.column("doc_id"))
             for a, b in K.pieces(offsets):
                 grams, own, h, owner = shingles(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], size)
                 if not len(own):
@@ -72,7 +73,8 @@ def _signatures(size: int):
                 first = np.searchsorted(owner, rows)
                 last = np.searchsorted(owner, rows, side="right")
                 names = [K.span_hash(K.prefix_sums(v), first, last).view(np.int64) for v in (h, K.mix(h + np.uint64(77)))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + rows]), pa.array(names[0]), pa.array(names[1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "s1", "s2", "sig"])
+                size_of = np.diff(np.r_[at, len(own)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(a + rows)) for c in ("doc_id", "h")), pa.array(names[0]), pa.array(names[1]), pa.array(size_of), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "h", "s1", "s2", "n_grams", "sig"])
 
     return sign
 
@@ -92,12 +94,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _band_rows(batches):
     for batch in batches:
+        grams = np.asarray(batch.column("n_grams"))
         sig = _sig_matrix(batch.column("sig"))
         keys = band_keys(sig)
         n = keys.shape[1]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("class_id")), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(sig)))],
-            ["bucket", "class_id", "band"],
+            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("node")), n)), pa.array(np.repeat(grams, n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(sig)))],
+            ["bucket", "node", "n_grams", "band"],
         )
 
 
@@ -117,19 +120,25 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole units of the sorted rows, and the first row of each unit."""
-    held: pa.Table | None = None
+def _units(batches: Iterator[pa.RecordBatch], most_bytes: int = UNIT_BYTES) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units of the sorted rows, of about `most_bytes` or one unit, and the first row of each unit."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        part = pa.Table.from_batches([batch])
-        held = part if held is None else pa.concat_tables([held, part])
-        if held.num_rows >= rows:
-            cut = _unit_starts(held)
-            if cut[-1]:
-                yield held.slice(0, cut[-1]).combine_chunks(), cut[:-1]
-                held = held.slice(cut[-1])
-    if held is not None and held.num_rows:
-        yield held.combine_chunks(), _unit_starts(held)
+        for k in range(0, batch.num_rows, 1_000):
+            held.append(batch.slice(k, 1_000))
+            size += held[-1].nbytes
+            if size >= most_bytes:
+                t = pa.Table.from_batches(held)
+                cut = _unit_starts(t)
+                if cut[-1]:
+                    yield t.slice(0, cut[-1]).combine_chunks(), cut[:-1]
+                    held = t.slice(cut[-1]).to_batches()
+                    size = sum(x.nbytes for x in held)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        if t.num_rows:
+            yield t, _unit_starts(t)
 
 
 def _unit_starts(t: pa.Table) -> np.ndarray:
@@ -161,7 +170,7 @@ def _candidates(threshold: float, tolerance: float):
     def prune(batches):
         for t, starts in _units(batches):
             ends = np.r_[starts[1:], t.num_rows]
-            bucket, class_id, band, own, i, j = (np.asarray(t.column(c)) for c in ("bucket", "class_id", "band", "own", "i", "j"))
+            bucket, node, band, own, i, j = (np.asarray(t.column(c)) for c in ("bucket", "node", "band", "own", "i", "j"))
             sig = _sig_matrix(t.column("sig"))
             keys = band_keys(sig)
             got_a, got_b = [], []
@@ -184,8 +193,8 @@ def _candidates(threshold: float, tolerance: float):
             rows = np.union1d(a, b)
             counts = np.searchsorted(a, rows, side="right") - np.searchsorted(a, rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[rows]), pa.array(i[rows]), pa.array(j[rows]), pa.array(class_id[rows]), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(class_id[b]))],
-                ["bucket", "i", "j", "class_id", "partners"],
+                [pa.array(bucket[rows]), pa.array(i[rows]), pa.array(j[rows]), pa.array(node[rows]), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(node[b]))],
+                ["bucket", "i", "j", "node", "partners"],
             )
 
     return prune
@@ -195,7 +204,7 @@ def _sets(size: int):
     def make(batches):
         for batch in batches:
             data, offsets, _ = K.column_bytes(batch.column("text"))
-            ids = np.asarray(batch.column("class_id"))
+            ids = np.asarray(batch.column("node"))
             for a, b in K.pieces(offsets):
                 grams, own, _, _ = shingles(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], size)
                 order = np.lexsort((grams, own))
@@ -203,7 +212,7 @@ def _sets(size: int):
                 new = np.r_[True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])] if len(own) else np.zeros(0, bool)
                 grams, own = grams[new], own[new]
                 at = np.searchsorted(own, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array([grams[at[k] : at[k + 1]].tobytes() for k in range(b - a)], pa.binary())], ["class_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array([grams[at[k] : at[k + 1]].tobytes() for k in range(b - a)], pa.binary())], ["node", "grams"])
 
     return make
 
@@ -213,9 +222,9 @@ def _verify(threshold: float):
         return shared >= threshold * union - 1e-9
 
     def check(batches):
-        for t, starts in _units(batches, 2_000):
+        for t, starts in _units(batches):
             ends = np.r_[starts[1:], t.num_rows]
-            ids, copies = np.asarray(t.column("class_id")), np.asarray(t.column("n_copies"))
+            ids, copies = np.asarray(t.column("node")), np.asarray(t.column("n_copies"))
             sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
             size = np.array([len(x) for x in sets], np.int64)
             lists = t.column("partners").combine_chunks()
@@ -241,7 +250,7 @@ def _verify(threshold: float):
                     np.minimum.at(own, a, low)
                     np.minimum.at(own, b, low)
             linked = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(links[linked]), pa.array(root[linked])], ["class_id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(links[linked]), pa.array(root[linked])], ["node", "links", "root"])
 
     return check
 
@@ -262,47 +271,65 @@ def _shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return np.rint(total[a, b]).astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links, component_id, kept), one row per row of docs.
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
 
-    class_id: least doc_id among the documents with the same words in the same
-    order.  n_links: other documents whose shingle sets reach the threshold,
-    copies included.  component_id: least doc_id reachable by links.  kept:
-    doc_id = component_id.
 
-    Words are lower-cased runs of letters and digits.  A text of fewer words
-    than a shingle is one shingle; a text without words, or a null one, links
-    with nothing and is kept.  Rows repeated under one id count as copies of
-    each other.  A row with a null id links with nothing: its class and
-    component are null and it is kept.  Other columns are not read.
+def _linked(rows: DataFrame, size: int, threshold: float, tolerance: float) -> DataFrame:
+    """(doc_id, h, class_id, n_links, first) of the rows with an id and words; first: the least (doc_id, h) of the group.
+
+    Classes go by a number of their own, since an id may have several texts.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(rows.where("doc_id is not null").mapInArrow(_signatures(size), "doc_id long, s1 long, s2 long, sig binary"), "signatures")
-    classes = settle(signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "classes")
-    # two classes may have one least id only if an id has several texts; the names stay apart by s1, s2
-    bands = classes.select("class_id", "sig").mapInArrow(_band_rows, "bucket long, class_id long, band int")
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = bands.join(full, "bucket").select("bucket", "band", "class_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    units = members.join(classes.select("class_id", "sig"), "class_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "sig")
+    signed = settle(rows.where("doc_id is not null").mapInArrow(_signatures(size), "doc_id long, h long, s1 long, s2 long, n_grams long, sig binary"), "signatures")
+    least = signed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"))
+    classes = settle(least.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("node", "n_grams", "sig").mapInArrow(_band_rows, "bucket long, node long, n_grams long, band int")
+    full = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int")
+    members = bands.join(full, "bucket").select("bucket", "band", "node", blocks.alias("blocks"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = members.join(classes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "sig")
     key = ["bucket", "i", "j"]
     pairs = settle(
-        units.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(threshold, tolerance), "bucket long, i int, j int, class_id long, partners array<long>"),
+        units.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates(threshold, tolerance), "bucket long, i int, j int, node long, partners array<long>"),
         "candidates",
     )
-    wanted = pairs.select("class_id").distinct()
-    sets = rows.join(wanted.hint("merge"), rows.doc_id == wanted.class_id).select("class_id", "text").mapInArrow(_sets(size), "class_id long, grams binary").dropDuplicates(["class_id"])
-    ready = pairs.join(classes.select("class_id", "n_copies"), "class_id").join(sets, "class_id")
+    wanted = pairs.select("node").distinct().join(classes.select("node", "first.*"), "node")
+    texts = rows.join(wanted.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    sets = texts.select("node", "text").mapInArrow(_sets(size), "node long, grams binary")
+    ready = pairs.join(classes.select("node", "n_copies"), "node").join(sets, "node")
     verified = settle(
-        ready.select(*key, "class_id", "partners", "n_copies", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "class_id long, links long, root long"),
-        "links",
-    )
-    links = verified.groupBy("class_id").agg(F.sum("links").alias("links"))
-    joined = components(verified.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    named = classes.select("s1", "s2", "class_id", "n_copies").join(links, "class_id", "left").join(joined, F.col("class_id") == F.col("node"), "left")
-    named = settle(named.select("s1", "s2", "class_id", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "named")
-    found = signed.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "component_id")
+        ready.select(*key, "node", "partners", "n_copies", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "node long, links long, root long"),
+        "verified", spent=(pairs,),
+    )
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    heads = joined.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("head"))
+    named = classes.select("s1", "s2", "node", "first", "n_copies").join(links, "node", "left").join(joined.join(heads, "component").select("node", "head"), "node", "left")
+    named = named.select("s1", "s2", F.col("first.doc_id").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "first").alias("first"))
+    named = settle(named, "named", spent=(verified, classes))
+    return signed.select("doc_id", "h", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "h", "class_id", "n_links", "first")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links, component_id, kept), one row per row of docs.
+
+    class_id: least doc_id among the documents with the same words in the same
+    order.  n_links: other rows whose shingle sets reach the threshold, copies
+    included.  component_id: least doc_id reachable by links.  kept: doc_id =
+    component_id.
+
+    Words are lower-cased runs of letters and digits.  A text of fewer words
+    than a shingle is one shingle; a text without words, or a null one, links
+    with nothing and is kept.  Every row is a document of its own: rows repeated
+    under one id with equal words are copies of each other, with other words
+    they have links and a group of their own.  A row with a null id links with
+    nothing: its class and component are null and it is kept.  Other columns are
+    not read.
+    """
+    rows = _rows(docs, doc_id, text)
+    found = _linked(rows, size, threshold, tolerance).select("doc_id", "class_id", "n_links", F.col("first.doc_id").alias("component_id"))
     # rows without words take part in nothing
     rest = rows.where("doc_id is null").unionByName(rows.where(~_has_word(F.col("text")) & F.col("doc_id").isNotNull()))
     rest = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
@@ -316,14 +343,19 @@ def _has_word(text):
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates: the one with the least id.
 
-    Rows repeated under one id leave one row.  Rows with a null id stay.
+    If that id has several texts in the group, the one with the least hash
+    stays.  Rows that repeat an id and its text leave one row, the least by
+    their other columns.  An id keeps those of its texts that are in different
+    groups.  Rows with a null id, and texts without words, stay.
     """
-    drop = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(drop.hint("merge"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
-    named = left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(left.where(F.col(doc_id).isNull()))
+    here = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_h": F.xxhash64(F.col(text)), "_n": F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())})
+    gone = _linked(_rows(docs, doc_id, text), SHINGLE_WORDS, THRESHOLD, TOLERANCE).where("first <> struct(doc_id, h)").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    left = here.join(gone.hint("merge"), ["_id", "_h"], "left_anti")
+    order = [x.name for x in docs.schema if x.name != text and not any(k in x.dataType.simpleString() for k in ("map<", "variant"))]
+    one = left.groupBy("_id", "_h", "_n").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
+    return one.select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, link counts and groups of all documents: five words, similarity 0.8 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -9,28 +9,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "8m"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder of this machine takes its place.
+    Where the setting is absent, a local session (as in tests) takes a temporary
+    folder of its machine; on a cluster that is an error.
     """
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         have = getattr(spark, "_strataline_folder", None) or tempfile.mkdtemp(prefix="strataline-")
         spark._strataline_folder = have
     return have.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends there."""
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes for the session, unless it has a smaller bound: rows may hold long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().settings().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def settle(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: the lineage ends there.
+
+    spent: settled tables that nothing but df needs any more; they are deleted.
+    """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/strataline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strataline_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._strataline_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,29 +67,37 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+ROUNDS = 64
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links(a, b); component is the least node reachable.
 
     Rounds of large-star and small-star: each round joins the links with the
-    least neighbour of each node, both distributed, until nothing changes.
+    least neighbour of each node, both distributed, until all links point at
+    roots.  The rows of a hub meet in sort-merge joins only, which adaptive
+    execution splits; its least neighbour comes from partial aggregates.  After
+    ROUNDS rounds without an end (their number grows with the logarithm of the
+    nodes) an error is raised.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    for _ in range(64):
+    for _ in range(ROUNDS):
+        if not _open_nodes(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node keeps its own least neighbour, so that no link is lost
-        large = large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = settle(large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links", spent=(edges,))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        # all nodes point at roots, and no root points anywhere: stars
-        seen = edges.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or seen[0] == 0:
-            break
-        state = seen
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", spent=(large,))
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def _open_nodes(edges: DataFrame) -> int:
+    """Nodes that point at several others, or point and are pointed at; none are left in a graph of stars."""
+    ends = edges.select("u", F.lit(1).alias("goes"), F.lit(0).alias("comes")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("goes"), F.lit(1).alias("comes")))
+    seen = ends.groupBy("u").agg(F.sum("goes").alias("goes"), F.max("comes").alias("comes"))
+    return seen.agg(F.count_if((F.col("goes") > 1) | (F.col("goes") > 0) & (F.col("comes") > 0))).first()[0]

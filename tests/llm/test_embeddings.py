@@ -50,3 +50,18 @@ def test_matches_brute_force(spark, monkeypatch, block, leaf, fan):
 
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(i, v, y) for i, v, y in corpus() if v and None not in v]
+    rows += [(len(rows) + 50, *rows[0][1:]), (len(rows) + 51, *rows[0][1:])]
+    rows = [(k, [float(np.float32(x)) for x in v], y) for k, (_, v, y) in enumerate(rows)]
+    plain, of = brute(rows), lambda k: k // 2
+    want = sorted((of(k), plain[k][0], min(of(j) for j in plain if plain[j][1] == plain[k][1])) for k in plain)
+    df = spark.createDataFrame([(of(k), v, y) for k, v, y in rows], "vec_id long, embedding array<float>, label int").repartition(3)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df).collect()) == want
+
+
+def test_block_numbers_have_no_gaps(spark):
+    blocks = spark.createDataFrame([((task << 32) + k, "x") for task in (0, 3, 4, 9) for k in range(1, task + 2)], "block long, label string")
+    assert sorted(r.block for r in E._numbered(blocks).collect()) == list(range(1 + 4 + 5 + 10))
