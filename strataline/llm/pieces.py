@@ -37,6 +37,9 @@ _LATTICE_BYTES = 3 << 19  # texts whose distinct units share one lattice
 _WALK_BYTES = 1 << 19  # of these, the texts that are sampled together
 _NONE, _BYTES = 65535, 65534
 _U64 = 0xFFFFFFFFFFFFFFFF
+_LONG = 2_048  # a unit of more characters is taken in lanes of so many, all lanes together
+_MATCHED = 1 << 17  # places whose pieces are looked up together
+_NEARLY_ONE = -1e-6  # log-probability of steps above which the rest is summed from its own terms
 
 
 class PieceModel:
@@ -52,9 +55,13 @@ class PieceModel:
         rank = np.array([min(-sp.get_score(i), n) if sp.get_score(i) < 0 else n for i in range(n)], float)
         self.logp = -np.log(rank + 1) - np.log((1 / (rank + 1)).sum())
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
+        self.step_logp = np.full(1 << 16, -np.inf)
+        self.step_logp[:n] = self.logp.astype(np.float32)
         self.bytes_of = [names[i].replace(chr(_MARK), " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids.tolist()):
             self.bytes_of[i] = bytes([b])
+        self.byte_at = np.concatenate([[0], np.cumsum([len(x) for x in self.bytes_of])])
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.longest = max(len(names[i]) for i in ids)
         # every prefix of a piece, so that a search stops where no piece goes on
         prefixes = sorted({names[i][:k] for i in ids for k in range(1, len(names[i]) + 1)})
@@ -72,6 +79,13 @@ class PieceModel:
         raw = b"".join([self.bytes_of[i] for i in ids])
         return raw[1:].decode("utf-8", "replace")
 
+    def spelt(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of many pieces, and where the bytes of each run ids[.. ends[k]] end."""
+        size = self.byte_at[ids + 1] - self.byte_at[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.byte_at[ids] - stop[:-1], size) + np.arange(stop[-1])
+        return self.all_bytes[at], stop[ends]
+
 
 class Lattice:
     """The units of many texts, with the choice probabilities at each place of the distinct ones."""
@@ -113,17 +127,32 @@ class Lattice:
             at += size
 
     def _forward(self, first: np.ndarray, size: np.ndarray, known: np.ndarray) -> None:
-        model, longest = self.model, self.model.longest
+        longest = self.model.longest
         self.base = np.concatenate([[0], np.cumsum(size + 1)])
         states = int(self.base[-1])
         self.piece = np.full((states, longest), _NONE, np.uint16)
         weight = np.full((states, longest), -np.inf, np.float32)
-        unit = np.repeat(np.arange(len(size)), size)
-        inner = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-        at, left = first[unit] + inner, size[unit] - inner
-        state = self.base[unit] + inner
+        ends = np.cumsum(size)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, _MATCHED):  # places of the units, some at a time
+            place = np.arange(lo, min(lo + _MATCHED, int(ends[-1])))
+            unit = np.searchsorted(ends, place, side="right")
+            inner = place - (ends[unit] - size[unit])
+            self._match(first[unit] + inner, size[unit] - inner, self.base[unit] + inner, known, weight)
+        self.mass = mass = np.zeros(states)
+        self.choice = weight  # a place's shares take the room of its weights
+        long_ = int(np.searchsorted(-size, -_LONG))  # units of more than _LONG come first
+        for unit in range(long_):
+            self._forward_long(int(self.base[unit]), int(size[unit]), weight)
+        base, size = self.base[long_:-1], size[long_:]
+        for e in range(1, int(size.max(initial=0)) + 1):
+            rows = base[: np.searchsorted(-size, -e, side="right")] + e
+            self._settle_rows(rows, weight, min(e, longest))
+
+    def _match(self, at: np.ndarray, left: np.ndarray, state: np.ndarray, known: np.ndarray, weight: np.ndarray) -> None:
+        """Pieces that start at characters `at`, of which `left` remain in their unit, put where they end."""
+        model = self.model
         live = np.flatnonzero(known[at])
-        for k in range(1, longest + 1):
+        for k in range(1, model.longest + 1):
             live = live[left[live] >= k]
             if not len(live):
                 break
@@ -134,47 +163,121 @@ class Lattice:
             self.piece[state[live[ok]] + k, k - 1] = ids[ok]
             weight[state[live[ok]] + k, k - 1] = model.logp[ids[ok]]
         odd = np.flatnonzero(~known[at])  # written in bytes
-        width = 1 + (self.points[at[odd]] > 0x7F) + (self.points[at[odd]] > 0x7FF) + ((self.points[at[odd]] > 0xFFFF) & (self.points[at[odd]] != _LITERAL))
+        point = self.points[at[odd]]
+        width = 1 + (point > 0x7F) + (point > 0x7FF) + ((point > 0xFFFF) & (point != _LITERAL))
         self.piece[state[odd] + 1, 0] = _BYTES
         weight[state[odd] + 1, 0] = width * model.logp[model.byte_ids[0]]
-        mass = np.zeros(states)
-        self.choice = np.ones((states, longest), np.float32)
-        for e in range(1, int(size.max(initial=0)) + 1):
-            rows = self.base[: np.searchsorted(-size, -e, side="right")] + e
-            reach = min(e, longest)
-            part = weight[rows, :reach] + mass[rows[:, None] - np.arange(1, reach + 1)]
+
+    def _settle_rows(self, rows: np.ndarray, weight: np.ndarray, reach: int) -> None:
+        """Masses and shares of places whose predecessors are known."""
+        part = weight[rows, :reach] + self.mass[rows[:, None] - np.arange(1, reach + 1)]
+        top = part.max(axis=1)
+        p = np.exp(part - top[:, None])
+        total = p.sum(axis=1)
+        self.mass[rows] = top + np.log(total)
+        share = np.cumsum(p, axis=1) / total[:, None]
+        self.choice[rows, :reach] = share / share[:, -1:]
+        self.choice[rows, reach:] = 1
+
+    def _forward_long(self, base: int, size: int, weight: np.ndarray) -> None:
+        """The forward pass of one long unit, cut into lanes that advance together.
+
+        Each lane first finds how the masses at its end follow from those of the
+        `longest` places at its start; one scan over the lanes gives the masses at
+        all starts, and with them the lanes are run once more.
+        """
+        longest = self.model.longest
+        lanes = -(-size // _LONG)
+        step = np.full((lanes * _LONG, longest), -np.inf, np.float32)
+        step[:size] = weight[base + 1 : base + size + 1]
+        step = step.reshape(lanes, _LONG, longest)
+        window = np.broadcast_to(np.eye(longest), (lanes, longest, longest)).copy()  # lane, start place, place behind
+        scale = np.zeros((lanes, longest))
+        full = lanes - 1  # the last lane has no follower
+        for t in range(_LONG if full else 0):
+            new = np.einsum("nk,njk->nj", np.exp(step[:full, t].astype(np.float64)), window[:full])
+            window[:full, :, 1:] = window[:full, :, :-1].copy()
+            window[:full, :, 0] = new
+            if t % 8 == 7:
+                top = window[:full].max(axis=2)
+                top[top == 0] = 1
+                window[:full] /= top[:, :, None]
+                scale[:full] += np.log(top)
+        behind = np.full((lanes, longest), -np.inf)
+        behind[0, 0] = 0
+        with np.errstate(divide="ignore"):
+            for k in range(full):
+                behind[k + 1] = np.logaddexp.reduce((behind[k] + scale[k])[:, None] + np.log(window[k]), axis=0)
+        masses = np.full((lanes, _LONG + longest), -np.inf)
+        masses[:, longest - 1 :: -1] = behind
+        for t in range(_LONG):
+            part = step[:, t] + masses[:, t : t + longest][:, ::-1]
             top = part.max(axis=1)
-            p = np.exp(part - top[:, None])
-            total = p.sum(axis=1)
-            mass[rows] = top + np.log(total)
-            share = np.cumsum(p, axis=1) / total[:, None]
-            self.choice[rows, :reach] = share / share[:, -1:]
-        self.mass = mass
+            top[np.isneginf(top)] = 0
+            with np.errstate(divide="ignore"):
+                masses[:, t + longest] = top + np.log(np.exp(part - top[:, None]).sum(axis=1))
+        self.mass[base + 1 : base + size + 1] = masses[:, longest:].ravel()[:size]
+        for lo in range(1, size + 1, 1 << 16):
+            rows = base + np.arange(lo, min(size + 1, lo + (1 << 16)))
+            part = weight[rows].astype(np.float64) + self.mass[np.maximum(rows[:, None] - np.arange(1, longest + 1), 0)]
+            share = np.cumsum(np.exp(part - self.mass[rows][:, None]), axis=1)
+            self.choice[rows] = share / share[:, -1:]
+
+    def step_logs(self, state: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Log-probability of the step to `step` + 1 places before, from the masses themselves."""
+        piece = self.piece[state, step]
+        return np.where(piece == _BYTES, 0.0, np.minimum(self.model.step_logp[piece] + self.mass[state - step - 1] - self.mass[state], 0.0))
+
+    def row_logs(self, state: int) -> np.ndarray:
+        """Log-probabilities of all steps from one place; -inf where there is no piece."""
+        if self.piece[state, 0] == _BYTES:
+            return np.where(np.arange(self.model.longest) == 0, 0.0, -np.inf)
+        return self.model.step_logp[self.piece[state]] + self.mass[np.maximum(state - np.arange(1, self.model.longest + 1), 0)] - self.mass[state]
 
     def walk(self, lane: np.ndarray, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sampled paths from place `at` of units `lane` to their starts: (lane, state, length, log p), lane by lane."""
         state = self.base[self.row[lane]] + at
         floor = self.base[self.row[lane]]
-        lanes, states, lengths, logs = [], [], [], []
+        lanes, states, lengths = [], [], []
+        for k in np.flatnonzero(at > _LONG).tolist():
+            found, length = self._walk_long(int(floor[k]), int(at[k]), seed[k])
+            lanes.append(np.full(len(found), k))
+            states.append(found)
+            lengths.append(length)
+            state[k] = floor[k]
         here = np.flatnonzero(state > floor)
         while len(here):
             s = state[here]
-            u = _uniform(seed[here] ^ K.mix((s - floor[here]).astype(np.uint64) + np.uint64(0x51ED27)))
-            c = self.choice[s]
-            step = (c <= u[:, None]).sum(axis=1)
-            p = c[np.arange(len(s)), step].astype(np.float64) - np.where(step > 0, c[np.arange(len(s)), np.maximum(step - 1, 0)], 0)
+            u = _uniform(seed[here] ^ K.mix((s - floor[here]).astype(np.uint64) + _PLACE_SALT))
+            step = (self.choice[s] <= u[:, None]).sum(axis=1)
             lanes.append(here)
             states.append(s)
             lengths.append(step + 1)
-            logs.append(np.log(p))
             state[here] = s - step - 1
             here = here[state[here] > floor[here]]
         if not lanes:
             z = np.zeros(0, np.int64)
             return z, z, z, np.zeros(0)
-        lanes = np.concatenate(lanes)
+        lanes, states, lengths = np.concatenate(lanes), np.concatenate(states), np.concatenate(lengths)
         order = np.argsort(lanes, kind="stable")
-        return lane[lanes[order]], np.concatenate(states)[order], np.concatenate(lengths)[order], np.concatenate(logs)[order]
+        states, lengths = states[order], lengths[order]
+        return lane[lanes[order]], states, lengths, self.step_logs(states, lengths - 1)
+
+    def _walk_long(self, floor: int, at: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The same walk through one long unit: the draws of all its places at once, then the places met."""
+        length = np.empty(at + 1, np.int64)
+        for lo in range(1, at + 1, 1 << 16):
+            place = np.arange(lo, min(at + 1, lo + (1 << 16)))
+            u = _uniform(seed ^ K.mix(place.astype(np.uint64) + _PLACE_SALT))
+            length[place] = (self.choice[floor + place] <= u[:, None]).sum(axis=1) + 1
+        back, met = length.tolist(), []
+        while at > 0:
+            met.append(at)
+            at -= back[at]
+        return floor + np.array(met), length[met]
+
+
+_PLACE_SALT = np.uint64(0x51ED27)
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -217,48 +320,67 @@ class Search:
         value = -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
         heapq.heappush(self.heap, (-value, self.draws, node))
 
-    def open_range(self, bound: float, path: Path, a: int, b: int) -> None:
+    def open_range(self, lattice: Lattice, bound: float, path: Path, a: int, b: int) -> None:
         """Segmentations that leave `path` first at a step in [a, b)."""
         if a < b:
             gone = float(path.before[b] - path.before[a])
-            if gone < 0:
-                self.put(bound, float(path.before[a]) + math.log(-math.expm1(gone)), ("range", path, a, b))
-
-    def open_step(self, bound: float, path: Path, t: int, without: tuple, p: np.ndarray) -> None:
+            mass = float(path.before[a]) + math.log(-math.expm1(gone)) if gone < _NEARLY_ONE else _log_sum(self.leaving(lattice, path, a, b))
+            if mass > -math.inf:
+                self.put(bound, mass, ("range", path, a, b))
+
+    def leaving(self, lattice: Lattice, path: Path, a: int, b: int) -> np.ndarray:
+        """Log-mass of the segmentations that leave `path` at each step of [a, b), from the terms of the other lengths."""
+        out = np.empty(b - a)
+        for t in range(a, b):
+            logs = lattice.row_logs(int(path.state[t]))
+            logs[int(path.length[t]) - 1] = -np.inf
+            out[t - a] = _log_sum(logs)
+        return out + path.before[a] + np.concatenate([[0.0], np.cumsum(path.logs[a : b - 1])])
+
+    def open_step(self, lattice: Lattice, bound: float, path: Path, t: int, without: tuple) -> None:
         """Segmentations that leave `path` at step t by a length not in `without`."""
-        left = p.copy()
-        left[list(without)] = 0
-        rest = float(left.sum())
-        if rest > 1e-9:
-            self.put(bound, float(path.before[t]) + math.log(rest), ("step", path, t, without))
+        logs = lattice.row_logs(int(path.state[t]))
+        logs[list(without)] = -np.inf
+        rest = _log_sum(logs)
+        if rest > -math.inf:
+            self.put(bound, float(path.before[t]) + rest, ("step", path, t, without))
+
+    def pick(self, logs: np.ndarray) -> int:
+        """A place drawn by its weight, given as a logarithm."""
+        total = np.cumsum(np.exp(logs - logs.max()))
+        return min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), int(np.flatnonzero(np.diff(total, prepend=0))[-1]))
 
     def take(self, lattice: Lattice) -> tuple | None:
         """The best set left: its bound, and how its best member leaves a known path (path, step, length, log p)."""
-        while self.heap:
-            value, _, node = heapq.heappop(self.heap)
-            bound, path = -value, node[1]
-            if node[0] == "range":
-                a, b = node[2], node[3]
-                # masses below exp(-45) of the first are lost in the sum anyway
+        if not self.heap:
+            return None
+        value, _, node = heapq.heappop(self.heap)
+        bound, path = -value, node[1]
+        if node[0] == "range":
+            a, b = node[2], node[3]
+            if path.before[b] - path.before[a] < _NEARLY_ONE:
+                # what leaves after a fall of exp(-45) is beyond the precision of the sum
                 near = a + max(1, int(np.searchsorted(-path.before[a:b], 45 - path.before[a])))
                 total = np.cumsum(np.exp(path.before[a:near] - path.before[a]) * -np.expm1(path.logs[a:near]))
-                t = a + min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), near - a - 1)
-                without = (int(path.length[t]) - 1,)
-                self.open_range(bound, path, a, t)
-                self.open_range(bound, path, t + 1, b)
+                t = a + min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), int(np.flatnonzero(np.diff(total, prepend=0))[-1]))
             else:
-                t, without = node[2], node[3]
-            p = np.diff(lattice.choice[path.state[t]].astype(np.float64), prepend=0.0)
-            left = p.copy()
-            left[list(without)] = 0
-            if not (left > 1e-9).any():
-                continue
-            left[left <= 1e-9] = 0
-            total = np.cumsum(left)
-            k = min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), int(np.flatnonzero(left)[-1]))
-            self.open_step(bound, path, t, (*without, k), p)
-            return bound, path, t, k, math.log(p[k])
-        return None
+                t = a + self.pick(self.leaving(lattice, path, a, b))
+            without = (int(path.length[t]) - 1,)
+            self.open_range(lattice, bound, path, a, t)
+            self.open_range(lattice, bound, path, t + 1, b)
+        else:
+            t, without = node[2], node[3]
+        logs = lattice.row_logs(int(path.state[t]))
+        open_ = logs.copy()
+        open_[list(without)] = -np.inf
+        k = self.pick(open_)
+        self.open_step(lattice, bound, path, t, (*without, k))
+        return bound, path, t, k, min(float(logs[k]), 0.0)
+
+
+def _log_sum(logs: np.ndarray) -> float:
+    top = float(logs.max())
+    return top if top == -math.inf else top + math.log(float(np.exp(logs - top).sum()))
 
 
 def sample_texts(lattice: Lattice, first: int, last: int, seeds: np.ndarray, samples: int) -> list[Search]:
@@ -290,7 +412,7 @@ def sample_texts(lattice: Lattice, first: int, last: int, seeds: np.ndarray, sam
                 step = ((old.lane[t],), (old.state[t],), (k + 1,), (logp,))
                 path = Path(*(np.concatenate([x[:t], y, z]) for x, y, z in zip((old.lane, old.state, old.length, old.logs), step, tail)))
             search.best.append((bound, path))
-            search.open_range(bound, path, keep, len(path.logs))
+            search.open_range(lattice, bound, path, keep, len(path.logs))
         following = []
         for d, *_ in pending if turn + 1 < samples else ():
             got = searches[d].take(lattice)
@@ -304,10 +426,16 @@ def sample_texts(lattice: Lattice, first: int, last: int, seeds: np.ndarray, sam
 
 
 def path_ids(lattice: Lattice, paths: list[Path]) -> list[np.ndarray]:
-    """Piece ids of each path in text order; characters without a piece give their bytes' ids."""
+    """Piece ids of each path in text order."""
+    ids, ends = flat_ids(lattice, paths)
+    return np.split(ids, ends[:-1])
+
+
+def flat_ids(lattice: Lattice, paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all paths in text order, and where each path ends; characters without a piece give their bytes' ids."""
     sizes = [len(p.lane) for p in paths]
     if not sum(sizes):
-        return [np.zeros(0, np.int32) for _ in paths]
+        return np.zeros(0, np.int32), np.zeros(len(paths), np.int64)
     lane, state, length = (np.concatenate([getattr(p, x) for p in paths]) for x in ("lane", "state", "length"))
     new = np.ones(len(lane), bool)
     new[1:] = lane[1:] != lane[:-1]
@@ -330,7 +458,7 @@ def path_ids(lattice: Lattice, paths: list[Path]) -> list[np.ndarray]:
         spread = np.repeat(ids, counts)
         spread[np.repeat(ids == _BYTES, counts)] = lattice.model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         ids, cuts = spread, total[cuts]
-    return np.split(ids, cuts[:-1])
+    return ids, cuts
 
 
 def log_inclusion(log_p: float, threshold: float | None) -> float:
@@ -351,48 +479,63 @@ def _model(raw: bytes) -> PieceModel:
     return _models[hash(raw)]
 
 
-def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 7, model_file: str = MODEL_FILE, with_ids: bool = True) -> DataFrame:
-    """Sampled segmentations of every row: (key, sample, n_pieces, log_prob, log_inclusion, ids_sha256, round_trip, ids).
+_OUT = {"sample": ("int", pa.int32()), "n_pieces": ("long", pa.int64()), "log_prob": ("double", pa.float64()), "log_inclusion": ("double", pa.float64()), "ids_sha256": ("string", pa.string()), "round_trip": ("boolean", pa.bool_())}
+
+
+def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 7, model_file: str = MODEL_FILE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sampled segmentations of every row: (key, sample, n_pieces, log_prob, log_inclusion, ids_sha256, round_trip, ids) and the columns `carry` of docs.
 
     One row for each of the `samples` distinct segmentations of a text, in
     falling order of their perturbed log-probabilities (sample 0, 1, ...); a
-    text with fewer segmentations has fewer rows.  A null or empty text has one
-    empty segmentation with log_prob and log_inclusion 0.  round_trip: decoding
-    gives the text again.  The draws depend on key, seed and text alone; rows
-    repeated under one key get the same samples, a null key counts as zero.
-    with_ids: the ids themselves, else an empty array; ids_sha256 is of the ids
-    as little-endian 32-bit integers.
+    text with fewer segmentations has all it has.  ids: the pieces themselves;
+    ids_sha256 is of them as little-endian 32-bit integers.  A null or empty
+    text has one empty segmentation with log_prob and log_inclusion 0.
+    round_trip: decoding gives the text again.  The draws depend on key, seed and
+    text alone; rows repeated under one key get the same samples, a null key
+    counts as zero.  A carried column that has the name of one of these columns
+    is left out.  A task holds about 100 bytes for each character of the longest
+    run of text without a space, beside bounded blocks of texts.
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
+    names = ["key", *_OUT, "ids"]
+    carried = [c for c in carry if c not in names]
 
     def run(batches):
         model = _model(shared.value)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             keys = K.mix(K.mix(batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) + np.uint64(seed))
-            offsets = K.column_bytes(batch.column("text"))[1]
+            data, offsets, _ = K.column_bytes(batch.column("text"))
             for lo, hi in K.pieces(offsets, _LATTICE_BYTES):
                 lattice = Lattice(model, texts[lo:hi])
                 for a, b in K.pieces(offsets[lo : hi + 1], _WALK_BYTES):
                     searches = sample_texts(lattice, a, b, keys[lo + a : lo + b], samples)
-                    paths = [p for x in searches for _, p in x.best or [(0.0, _EMPTY)]]
-                    found = iter(zip(paths, path_ids(lattice, paths)))
-                    out = []
+                    ids, ends = flat_ids(lattice, [p for x in searches for _, p in x.best or [(0.0, _EMPTY)]])
+                    spelt, spelt_ends = model.spelt(ids, ends)
+                    rows, out, at, spelt_at = [], [], 0, 0
                     for row, search in zip(range(lo + a, lo + b), searches):
                         threshold = -search.heap[0][0] if search.heap else None
-                        for k in range(max(1, len(search.best))):
-                            path, ids = next(found)
+                        own = data[offsets[row] : offsets[row + 1]].tobytes()
+                        for k, (_, path) in enumerate(search.best or [(0.0, _EMPTY)]):
+                            end, spelt_end = int(ends[len(rows)]), int(spelt_ends[len(rows)])
                             log_p = float(path.before[-1])
-                            same = (model.decode(ids.tolist()) if len(ids) else "") == texts[row]
-                            out.append((row, k, len(ids), log_p, log_inclusion(log_p, threshold), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), same, ids if with_ids else ()))
-                    rows, *rest = zip(*out)
-                    types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(rest, types))], ["key", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_sha256", "round_trip", "ids"])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(F.col(key).cast("string")), F.lit(0)).alias("seed"))
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, sample int, n_pieces long, log_prob double, log_inclusion double, ids_sha256 string, round_trip boolean, ids array<int>")
+                            same = spelt[spelt_at + 1 : spelt_end].tobytes() == own
+                            out.append((k, end - at, log_p, log_inclusion(log_p, threshold), hashlib.sha256(ids[at:end].astype("<i4").tobytes()).hexdigest(), same))
+                            rows.append(row)
+                            at, spelt_at = end, spelt_end
+                    taken = pa.array(rows)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(taken), *(pa.array(x, t) for x, (_, t) in zip(zip(*out), _OUT.values())), lists, *(batch.column(3 + k).take(taken) for k in range(len(carried)))],
+                        [*names, *carried],
+                    )
+
+    seeds = F.coalesce(F.xxhash64(F.col(key).cast("string")), F.lit(0)).alias("seed")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), seeds, *(F.col(c) for c in carried))
+    kinds = "".join(f", `{x.name}` {x.dataType.simpleString()}" for x in docs.select(*carried).schema)
+    return rows.toDF("key", "text", "seed", *(f"c{k}" for k in range(len(carried)))).mapInArrow(run, f"key {dict(rows.dtypes[:1])['key']}, " + ", ".join(f"{n} {t}" for n, (t, _) in _OUT.items()) + f", ids array<int>{kinds}")
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
@@ -410,5 +553,5 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every whole document."""
-    return sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False).drop("ids").withColumnRenamed("key", "doc_id")
+    """Two distinct sampled segmentations of every whole document, with their piece ids."""
+    return sample_segmentations(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")

@@ -57,6 +57,63 @@ def test_first_samples_follow_the_distribution(text):
     assert abs(np.mean(weights) - 1) < 0.03
 
 
+@pytest.mark.parametrize("text", ["the cat", "in", "= ab", "日x", "national"])
+def test_all_segmentations_come_once(text):
+    """More samples than there are give every segmentation, however improbable, with its own probability."""
+    want = every(text)
+    lattice = P.Lattice(MODEL, [text])
+    (search,) = P.sample_texts(lattice, 0, 1, K.mix(np.arange(3, 4, dtype=np.uint64)), len(want) + 3)
+    got = [tuple(x.tolist()) for x in P.path_ids(lattice, [p for _, p in search.best])]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+    assert all(abs(p.before[-1] - want[i]) < 1e-4 for (_, p), i in zip(search.best, got)) and not search.heap
+
+
+def test_improbable_branches_are_found():
+    """With one piece made nearly certain, the other ways have less than 1e-15, and all still come."""
+    model = P.PieceModel(open(P.MODEL_FILE, "rb").read())
+    text = "the"
+    sure = next(i for i in range(len(model.bytes_of)) if model.bytes_of[i] == b" the")
+    model.logp = model.logp - 40.0
+    model.logp[sure] = -0.001
+    model.step_logp[: len(model.logp)] = model.logp.astype(np.float32)
+    ways = len(every(text))
+    for samples in (2, ways):
+        lattice = P.Lattice(model, [text] * 30)
+        searches = P.sample_texts(lattice, 0, 30, K.mix(np.arange(30, dtype=np.uint64)), samples)
+        for s in searches:
+            paths = [tuple(x.tolist()) for x in P.path_ids(lattice, [p for _, p in s.best])]
+            assert len(set(paths)) == samples and paths[0] == (sure,) and s.best[1][1].before[-1] < -35
+
+
+def test_long_units_in_lanes(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(["the", "of", "qu", "tion", "er", "x", "日", "==="]) for _ in range(3000))
+    seeds = K.mix(np.arange(2, dtype=np.uint64))
+    found = []
+    for lane in (1 << 40, 257, 64):
+        monkeypatch.setattr(P, "_LONG", lane)
+        lattice = P.Lattice(MODEL, [text, text[:999]])
+        paths = [p for s in P.sample_texts(lattice, 0, 2, seeds, 3) for _, p in s.best]
+        found.append(([x.tolist() for x in P.path_ids(lattice, paths)], [p.before[-1] for p in paths]))
+    assert all(x[0] == found[0][0] and np.allclose(x[1], found[0][1], atol=1e-6) for x in found)
+
+
+def test_carried_columns_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "some words", "x", 5, {"a": 1}), (1, "some words", "y", 6, None), (None, None, None, None, None)], "doc_id long, text string, lang string, sample int, `odd name` map<string,int>")
+    got = P.sample_segmentations(docs, carry=tuple(docs.columns)).collect()
+    assert got[0].asDict().keys() == {"key", *P._OUT, "ids", "doc_id", "text", "lang", "odd name"}
+    assert sorted((r.lang, r["odd name"], r.text, r.sample) for r in got if r.lang) == [("x", {"a": 1}, "some words", 0), ("x", {"a": 1}, "some words", 1), ("y", None, "some words", 0), ("y", None, "some words", 1)]
+    assert len({tuple(r.ids) for r in got if r.lang}) == 2
+
+
+def test_unspaced_million(spark):
+    text = "abcdefghij" * 100_000
+    got = P.sample_segmentations(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 2 and all(r.round_trip for r in got)
+
+
 def test_round_trip_and_edges(spark):
     texts = ["plain words here", "", None, " lead  and trail ", "▁ literal ▁▁ marks", "tab\tnew\nline\r\n", "日本語 😀 é\x00", "\U0010ffff▁x", "=" * 5000, "word " * 60_000, "a"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "no key", "x")], "doc_id long, text string, key string")
