@@ -4,7 +4,8 @@ The word windows of the benchmark form a hash set that is broadcast to the
 tasks scanning the training documents.  Every hit is verified word by word.
 The set is broadcast only when the benchmark's bytes are within a stated
 bound; a larger benchmark is taken in blocks of items, each within the bound,
-and the blocks' findings meet in one aggregation.
+one after the other.  Each block scans the documents once, and the blocks'
+findings meet in one aggregation: there is one verdict over all of them.
 """
 
 from __future__ import annotations
@@ -17,60 +18,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import settle
+from strataline.llm.shared import settle, table
 
 WINDOW_WORDS = 13
-BENCHMARK_BYTES = 64 << 20
+BENCHMARK_BYTES = 24 << 20  # a block's set takes about seven times this in each Python worker, and is sent as twice this
 _SPAN_FIELDS = ("start", "end", "first", "last")
 _SPANS = pa.list_(pa.struct([(x, pa.int64()) for x in _SPAN_FIELDS]))
 
 
 class BenchmarkWindows:
-    """Hash set of the windows of benchmark items, with the words to verify a hit."""
+    """Hash set of the windows of benchmark items, with the words to verify a hit.
+
+    All words stand in one byte buffer, each with a space behind.  A set has, for
+    each window size, its distinct hashes and the places (first words) of each;
+    a place tells both the words and the item.
+    """
 
     def __init__(self, item_ids: list, texts: list, window: int = WINDOW_WORDS):
-        self.by_size: dict[int, tuple[K.HashTable, list[tuple[tuple[bytes, ...], list[int]]]]] = {}
-        self.names = [str(x) for x in item_ids]
         data, offsets, _ = K.column_bytes(pa.array(texts, pa.large_string()))
         low, starts, ends, owner = K.words(data, offsets[:-1] if len(texts) else np.zeros(1, np.int64))
-        hashes, raw = K.word_hashes(low, starts, ends), low.tobytes()
-        found: dict[int, dict[int, list]] = {}
-        for item in range(len(texts)):
-            own = slice(*np.searchsorted(owner, [item, item + 1]))
-            n = own.stop - own.start
-            if not n:
-                continue
-            size = min(window, n)
-            first, h = K.window_hashes(hashes[own], np.zeros(n, np.int64), size)
-            for i, key in zip(first.tolist(), h.tolist()):
-                spelt = tuple(raw[a:b] for a, b in zip(starts[own][i : i + size].tolist(), ends[own][i : i + size].tolist()))
-                for entry in found.setdefault(size, {}).setdefault(key, []):
-                    if entry[0] == spelt:
-                        entry[1].append(item)
-                        break
-                else:
-                    found[size][key].append((spelt, [item]))
-        for size, entries in found.items():
-            self.by_size[size] = (K.HashTable(np.array(list(entries), dtype=np.uint64)), list(entries.values()))
+        self.names, self.window = [str(x) for x in item_ids], window
+        self.buffer, self.word_at = spaced(low, starts, ends)
+        self.item = owner.astype(np.int32)
+        self._index()
+
+    def __reduce__(self):
+        return BenchmarkWindows._read, (self.names, self.window, self.buffer, self.word_at, self.item)
+
+    @staticmethod
+    def _read(*parts) -> BenchmarkWindows:
+        out = BenchmarkWindows.__new__(BenchmarkWindows)
+        out.names, out.window, out.buffer, out.word_at, out.item = parts
+        out._index()
+        return out
+
+    def _index(self) -> None:
+        self.by_size: dict[int, tuple[K.PackedTable, np.ndarray, np.ndarray]] = {}
+        count = np.bincount(self.item, minlength=len(self.names))
+        hashes = K.word_hashes(self.buffer, self.word_at[:-1].astype(np.int64), self.word_at[1:].astype(np.int64) - 1)
+        for size in np.unique(np.minimum(count[count > 0], self.window)).tolist():
+            mine = np.flatnonzero((count[self.item] >= size) if size == self.window else (count[self.item] == size))
+            first, h = K.window_hashes(hashes[mine], self.item[mine], size)
+            order = np.argsort(h, kind="stable")
+            new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+            self.by_size[size] = (K.PackedTable(h[order][new]), np.r_[new, len(h)].astype(np.int32), mine[first[order]].astype(np.int32))
 
     def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words stand in a verified window, and the items found in each text."""
         change = np.zeros(len(starts) + 1, dtype=np.int32)
         items: dict[int, set[int]] = {}
-        hashes = K.word_hashes(low, starts, ends)
-        for size, (keys, entries) in self.by_size.items():
+        hashes, own = K.word_hashes(low, starts, ends), None
+        for size, (keys, cuts, places) in self.by_size.items():
             first, h = K.window_hashes(hashes, owner, size)
             row = keys.find(h)
-            for i, r in zip(first[row >= 0].tolist(), row[row >= 0].tolist()):
-                spelt = tuple(low[a:b].tobytes() for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist()))
-                for known, owners in entries[r]:
-                    if known == spelt:
-                        change[i] += 1
-                        change[i + size] -= 1
-                        items.setdefault(int(owner[i]), set()).update(owners)
+            found = np.flatnonzero(row >= 0)
+            if len(found) and own is None:
+                own, own_at = spaced(low, starts, ends)
+            for i, r in zip(first[found].tolist(), row[found].tolist()):
+                said = own[own_at[i] : own_at[i + size]].tobytes()
+                same = [int(self.item[p]) for p in places[cuts[r] : cuts[r + 1]].tolist() if self.buffer[self.word_at[p] : self.word_at[p + size]].tobytes() == said]
+                if same:
+                    change[i] += 1
+                    change[i + size] -= 1
+                    items.setdefault(int(owner[i]), set()).update(same)
         return np.cumsum(change[:-1]) > 0, items
 
 
+def spaced(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in one buffer, each with a space behind, and where each starts (and the last ends)."""
+    size = ends - starts + 1
+    at = np.r_[0, np.cumsum(size)]
+    from_ = np.repeat(starts - at[:-1], size) + np.arange(at[-1])
+    out = low[np.minimum(from_, max(len(low) - 1, 0))] if len(low) else np.zeros(0, np.uint8)
+    out[at[1:] - 1] = 32
+    return out, at.astype(np.int32 if at[-1] < 1 << 31 else np.int64)
+
+
 def _scan(batch: pa.RecordBatch, text: str, windows: BenchmarkWindows) -> Iterator[tuple]:
     """(row, words, hit words, items, spans) of each text; a span is bytes [start, end) and words [first, last)."""
     data, offsets, _ = K.column_bytes(batch.column(text))
@@ -91,21 +114,64 @@ def _scan(batch: pa.RecordBatch, text: str, windows: BenchmarkWindows) -> Iterat
             yield a + i, int(n_words[i]), int(n_hit[i]), items.get(i, ()), spans.get(i, [])
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, most_bytes: int = BENCHMARK_BYTES) -> list[tuple[list, list]]:
-    """The benchmark as lists of ids and texts, each of at most `most_bytes` (one item at least).
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, most_bytes: int | None = None) -> tuple[int, Iterator[tuple[list, list]]]:
+    """How many blocks the benchmark makes, and the blocks: ids and texts, of at most about `most_bytes` (one item at least).
 
     Usual benchmarks make one block.  The size is known before anything is
-    collected, and items are split over blocks by a hash of their text.
+    collected; items are split over blocks by a hash, and the driver holds one
+    block at a time.
     """
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // most_bytes + 1
-    blocks = []
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k)
-        got = part.collect()
-        blocks.append(([r.item for r in got], [r.text for r in got]))
-    return blocks
+    n = total // (most_bytes or BENCHMARK_BYTES) + 1
+
+    def each():
+        for k in range(n):
+            got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k)).collect()
+            yield [r.item for r in got], [r.text for r in got]
+
+    return n, each()
+
+
+_FOUND = "row long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long,first:long,last:long>>"
+
+
+def _scan_block(rows: DataFrame, shared, all_rows: bool) -> DataFrame:
+    """Findings of one block in rows(row, text): of all rows, or of those with a hit."""
+
+    def scan(batches):
+        windows = shared.value
+        for batch in batches:
+            out = [x for x in _scan(batch, "text", windows) if all_rows or x[2]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row").take(pa.array([x[0] for x in out], pa.int64())),
+                    pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()),
+                    pa.array([sorted(windows.names[i] for i in x[3]) for x in out], pa.list_(pa.string())),
+                    pa.array([[dict(zip(_SPAN_FIELDS, s)) for s in x[4]] for x in out], _SPANS),
+                ],
+                ["row", "n_words", "n_hit", "items", "spans"],
+            )
+
+    return rows.mapInArrow(scan, _FOUND)
+
+
+def _blocks_found(docs: DataFrame, blocks: Iterator[tuple[list, list]], text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """docs with a row number `_row`, and the merged findings of all blocks by `row`.
+
+    docs are written once, so that a number stays with its row.  Each block is
+    scanned and its findings written before the next is read, so driver and
+    tasks hold one block; only the findings are shuffled.
+    """
+    spark = docs.sparkSession
+    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for ids, texts in blocks:
+        shared = spark.sparkContext.broadcast(BenchmarkWindows(ids, texts, window))
+        part = settle(_scan_block(numbered.select(F.col("_row").alias("row"), F.col(text).alias("text")), shared, False), "hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return numbered, _merge_blocks(found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, words_per_hit: int = 20) -> DataFrame:
@@ -113,49 +179,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     One row per row of docs.  A null or empty text has no words and is clean;
     an empty benchmark leaves all clean; null items are ignored, repeated items
-    are each named; rows with a null id come back under the null id.
+    are each named; repeated rows and rows with a null id come back as they came.
     `contaminated`: some word is hit, and at least one of each `words_per_hit`.
     Spans are byte and word ranges of the text.  Other columns are not read.
     """
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long,first:long,last:long>>"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, item_id, item_text)
-    if len(blocks) > 1:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-    found = None
-    for ids, texts in blocks:
-        shared = spark.sparkContext.broadcast(BenchmarkWindows(ids, texts, window))
-        keep_row = len(blocks) > 1
-
-        def scan(batches, shared=shared, keep_row=keep_row):
-            windows = shared.value
-            for batch in batches:
-                out = list(_scan(batch, "text", windows))
-                columns = [
-                    batch.column("doc_id"),
-                    pa.array([x[1] for x in out], pa.int64()),
-                    pa.array([x[2] for x in out], pa.int64()),
-                    pa.array([sorted(windows.names[i] for i in x[3]) for x in out], pa.list_(pa.string())),
-                    pa.array([[dict(zip(_SPAN_FIELDS, s)) for s in x[4]] for x in out], _SPANS),
-                ]
-                names = ["doc_id", "n_words", "n_hit", "items", "spans"]
-                if keep_row:
-                    columns.append(batch.column("row"))
-                    names.append("row")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-        part = rows.mapInArrow(scan, schema + (", row long" if keep_row else ""))
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) > 1:
-        found = _merge_blocks(found).drop("row")
+    n, blocks = benchmark_blocks(benchmark, item_id, item_text)
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*next(blocks), window))
+        found = _scan_block(rows.select(F.col("doc_id").alias("row"), "text"), shared, True).withColumnRenamed("row", "doc_id")
+    else:
+        numbered, hit = _blocks_found(rows, blocks, "text", window)
+        # the number of words of the rows without a hit, by an empty block
+        words = _scan_block(numbered.select(F.col("_row").alias("row"), "text"), docs.sparkSession.sparkContext.broadcast(BenchmarkWindows([], [], window)), True).select("row", "n_words")
+        found = numbered.select(F.col("_row").alias("row"), "doc_id").join(words, "row").join(hit.drop("n_words"), "row", "left")
+        found = found.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, F.array().cast(hit.schema[c].dataType)).alias(c) for c in ("items", "spans")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (words_per_hit * F.col("n_hit") >= F.col("n_words")))
 
 
 def _merge_blocks(found: DataFrame) -> DataFrame:
     """One row per document from the findings of several benchmark blocks."""
     by_row = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
     # spans of different blocks may overlap: fold them, in order, into disjoint ones
@@ -163,37 +208,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
         if(size(done) > 0 and element_at(done, -1).last >= x.first,
            concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end), 'first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last)))),
            concat(done, array(x))))""")
-    return by_row.withColumn("spans", joined).select("row", "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "items", "spans")
-
-
-def _found_in_blocks(docs: DataFrame, blocks: list[tuple[list, list]], text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """docs with a row number `_row`, and (_row, n_words, n_hit, spans) of the rows that some block hits.
-
-    Each task holds one block.  docs are written once, so that a number stays
-    with its row; only the findings are shuffled.
-    """
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = None
-    for ids, texts in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(ids, texts, window))
-
-        def scan(batches, shared=shared):
-            for batch in batches:
-                out = [x for x in _scan(batch, "text", shared.value) if x[2]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").take(pa.array([x[0] for x in out], pa.int64())),
-                        pa.nulls(len(out), pa.int64()),
-                        pa.array([x[1] for x in out], pa.int64()),
-                        pa.nulls(len(out), pa.list_(pa.string())),
-                        pa.array([[dict(zip(_SPAN_FIELDS, s)) for s in x[4]] for x in out], _SPANS),
-                    ],
-                    ["row", "doc_id", "n_words", "items", "spans"],
-                )
-
-        part = numbered.select(F.col("_row").alias("row"), F.col(text).alias("text")).mapInArrow(scan, "row long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long,first:long,last:long>>")
-        found = part if found is None else found.unionByName(part)
-    return numbered, _merge_blocks(found).select(F.col("row").alias("_row"), "n_words", "n_hit", "spans")
+    return by_row.withColumn("spans", joined).select("row", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first)").alias("n_hit"), "items", "spans")
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -207,13 +222,14 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
     """docs with the hit spans cut out of their texts; all columns stay.
 
-    Every span is found in the text as it came, also where the benchmark makes several blocks.
+    Every span is found in the text as it came, also where the benchmark makes
+    several blocks.  Null and empty texts stay as they are.
     """
-    blocks = benchmark_blocks(benchmark, item_id, item_text)
+    n, blocks = benchmark_blocks(benchmark, item_id, item_text)
     place = docs.columns.index(text)
-    if len(blocks) > 1:
+    if n > 1:
         names = docs.columns
-        numbered, found = _found_in_blocks(docs, blocks, text, window)
+        numbered, found = _blocks_found(docs, blocks, text, window)
 
         def cut_found(batches):
             for batch in batches:
@@ -222,9 +238,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                 columns[place] = pa.array([_cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans)], columns[place].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        joined = numbered.join(found.select("_row", F.col("spans").alias("_spans")), "_row", "left")
+        joined = numbered.join(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
         return joined.select(*names, "_spans").mapInArrow(cut_found, docs.schema)
-    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*blocks[0], window))
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*next(blocks), window))
 
     def cut(batches):
         for batch in batches:
@@ -245,12 +261,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     With a benchmark of one block nothing is shuffled; with several, the blocks'
     spans of a document are merged before it is judged, as in contamination().
+    Null and empty texts are clean and stay, whatever their id.
     """
-    blocks = benchmark_blocks(benchmark, item_id, item_text)
-    if len(blocks) > 1:
-        numbered, found = _found_in_blocks(docs, blocks, text, window)
-        return numbered.join(found.where(words_per_hit * F.col("n_hit") >= F.col("n_words")), "_row", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*blocks[0], window))
+    n, blocks = benchmark_blocks(benchmark, item_id, item_text)
+    if n > 1:
+        numbered, found = _blocks_found(docs, blocks, text, window)
+        gone = found.where(words_per_hit * F.col("n_hit") >= F.col("n_words")).select(F.col("row").alias("_row"))
+        return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*next(blocks), window))
 
     def keep(batches):
         for batch in batches:
@@ -262,7 +280,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of contamination() over documents and benchmark."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),

@@ -82,17 +82,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(ROUNDS):
-        if not _open_nodes(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node keeps its own least neighbour, so that no link is lost
-        large = settle(large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links", spent=(edges,))
+        large = large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", spent=(large,))
+        edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", spent=(edges,))
+        if not _open_nodes(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 

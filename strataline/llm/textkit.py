@@ -181,3 +181,36 @@ class HashTable:
             row[left[done]] = got[done]
             left, at = left[~done], at[~done]
         return row
+
+
+class PackedTable(HashTable):
+    """The same for few lookups and many keys: four bytes a slot beside the keys, which keep their order."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.asarray(keys, dtype=np.uint64)
+        size = 1 << max(4, int(np.ceil(np.log2(max(1, len(self.keys)) * 1.5))))
+        self.mask = np.uint64(size - 1)
+        self.rows = np.full(size, -1, dtype=np.int32)
+        left, at = np.arange(len(self.keys)), mix(self.keys) & self.mask
+        while len(left):
+            free = self.rows[at] < 0
+            slot, which = np.unique(at[free], return_index=True)
+            self.rows[slot] = left[free][which]
+            open_ = np.ones(len(left), dtype=bool)
+            open_[np.flatnonzero(free)[which]] = False
+            left, at = left[open_], (at[open_] + np.uint64(1)) & self.mask
+
+    def __reduce__(self):
+        return PackedTable, (self.keys,)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is absent."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        left, at = np.arange(len(keys)), mix(keys) & self.mask
+        while len(left):
+            row = self.rows[at]
+            same = (row >= 0) & (self.keys[row] == keys[left]) if len(self.keys) else np.zeros(len(left), bool)
+            out[left[same]] = row[same]
+            on = (row >= 0) & ~same
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out

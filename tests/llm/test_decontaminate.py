@@ -1,4 +1,6 @@
 import hashlib
+import pickle
+import random
 import re
 
 import pytest
@@ -35,6 +37,15 @@ DOCS = [
 ]
 
 
+def test_set_is_a_small_multiple_of_the_benchmark():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(500)]
+    windows = D.BenchmarkWindows(list(range(500)), texts)
+    arrays = [windows.buffer, windows.word_at, windows.item] + [x for t, cuts, places in windows.by_size.values() for x in (t.keys, t.rows, cuts, places)]
+    size = sum(map(len, texts))
+    assert sum(x.nbytes for x in arrays) < 8 * size and len(pickle.dumps(windows)) < 3 * size
+
+
 @pytest.mark.parametrize("most_bytes", [1 << 20, 40])
 def test_matches_brute_force(spark, monkeypatch, most_bytes):
     monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (most_bytes,))
@@ -87,7 +98,7 @@ def test_hits_spread_over_blocks(spark, monkeypatch, tmp_path):
     kept = lambda: {r.doc_id for r in C.decontamination_stage(spark, docs, str(tmp_path)).collect()}
     one, whole = cut(), kept()
     assert whole == {1, 4, None}
-    assert len(D.benchmark_blocks(bench, "item_id", "text", 40)) > 3
+    assert D.benchmark_blocks(bench, "item_id", "text", 40)[0] > 3
     monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (40,))
     assert cut() == one and kept() == whole
     assert whole == {r.doc_id for r in D.contamination(docs, bench).where("not contaminated").collect()}
