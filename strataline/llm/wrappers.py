@@ -8,9 +8,12 @@ host's wrapper, an expression of tags, slots, `?` and `+` without alternatives.
 
 Every task aligns the pages it reads into one partial wrapper for each host, so
 only wrappers are shuffled; partial wrappers are aligned with each other in
-rounds of bounded fan-in.  The wrapper then tells which slots may belong to the
-main text, and every page is read through the wrapper of its host, from the
-best candidate that the page has.
+rounds of bounded fan-in.  The wrapper then tells which items may belong to the
+main text: a text that stays the same over the pages of a host, an item that
+only some pages have, and lists of links speak against it, texts that vary speak
+for it.  Element names of HTML count by themselves, class words only beside such
+evidence.  Every page is read through the wrapper of its host, from the best
+candidate that the page has.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +33,10 @@ from strataline.llm.shared import settle, table
 
 FAN_IN = 32
 HELD_HOSTS = 2_000
+WRAPPER_BYTES = 16 << 20  # wrappers of all hosts up to this size are broadcast
+SALTS = 16
+DEPTH = 200  # elements nested deeper are read as neighbours of their parents
+LEVEL = 1_000  # longer levels are aligned by pieces of so many items
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -42,10 +50,11 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset("br body html option caption td th tr tbody thead tfoot title".split())
 _OWN_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-_FURNITURE_TAGS = frozenset("head nav footer aside form button select menu dialog title figcaption".split())
-_FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments disqus reply replies widget toolbar pagination pager tags copyright masthead".split()
+_FURNITURE_TAGS = frozenset("head nav footer aside form button select menu dialog title".split())
+_NEVER_MAIN = frozenset(
+    "ad ads advert advertisement advertising sponsor sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar complementary contentinfo cookie cookies consent popup modal newsletter subscribe signup login comment comments disqus reply replies masthead".split()
 )
+_SELDOM_MAIN = frozenset("banner menu side footer notice alert overlay search share sharing social related recommended widget toolbar pagination pager tags copyright".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
 _MAIN_WORDS = frozenset("main article articlebody content post entry story".split())
 _TEXT = "#"
@@ -81,7 +90,8 @@ class Node:
 def nested(page: str) -> list:
     """The tokens of a page, nested: [tag key, items below] for tags, and texts as strings.
 
-    Tags that are never closed end with the level that holds them.
+    Tags that are never closed end with the level that holds them; what is nested
+    deeper than DEPTH stands beside its parents.
     """
     root: list = ["", []]
     stack, at = [root], 0
@@ -119,17 +129,20 @@ def nested(page: str) -> list:
                     break
         item: list = [_key(name, m[4]), []]
         stack[-1][1].append(item)
-        if name not in _VOID and not m[4].rstrip().endswith("/"):
+        if len(stack) < DEPTH and name not in _VOID and not m[4].rstrip().endswith("/"):
             stack.append(item)
     if at < len(page) and not page[at:].isspace():
         stack[-1][1].append(page[at:])
     return root[1]
 
 
+_DIGITS, _OTHER = re.compile(r"[0-9]+"), re.compile(r"[^a-z#-]")
+
+
 def _key(name: str, attributes: str) -> str:
     if "=" not in attributes:
         return name
-    words = sorted({w.lower() for m in _NAMED.finditer(attributes) for w in re.split(r"[^A-Za-z]+", m[2] or m[3] or m[4] or "") if w})
+    words = sorted({_OTHER.sub("_", _DIGITS.sub("#", w.lower())) for m in _NAMED.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").split()})
     return ".".join([name, *words])
 
 
@@ -153,40 +166,53 @@ def wrapper_of(items: list) -> list[Node]:
         else:
             node = Node(x[0])
             node.below = wrapper_of(x[1])
-        if out and out[-1].key == node.key:
-            _join(out[-1], node)
-            out[-1].repeated, out[-1].seen = True, 1
-        else:
-            out.append(node)
+        _put(out, node)
     return out
 
 
-def _join(a: Node, b: Node) -> None:
+def _put(out: list[Node], node: Node) -> None:
+    """Add an item to a level; after one of its kind it makes a repeated group with it."""
+    if out and out[-1].key == node.key:
+        _join(out[-1], node, same_pages=True)
+        out[-1].repeated = True
+    else:
+        out.append(node)
+
+
+def _join(a: Node, b: Node, same_pages: bool = False) -> None:
+    """Let item a match what b matches; `seen` counts pages."""
     a.optional |= b.optional
     a.repeated |= b.repeated
-    a.seen += b.seen
+    a.seen = max(a.seen, b.seen) if same_pages else a.seen + b.seen
     a.chars += b.chars
     if a.key == _TEXT:
         a.text = a.text if a.text == b.text else None
     else:
-        a.below = align(a.below, b.below)
+        a.below = align(a.below, b.below, same_pages)
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
+def align(a: list[Node], b: list[Node], same_pages: bool = False) -> list[Node]:
     """One level that matches both: the longest common sequence of keys is kept, the rest is optional."""
     if [x.key for x in a] == [x.key for x in b]:
         for x, y in zip(a, b):
-            _join(x, y)
+            _join(x, y, same_pages)
         return a
+    out: list[Node] = []
+    for k in range(0, max(len(a), len(b)), LEVEL):
+        _align_part(a[k : k + LEVEL], b[k : k + LEVEL], same_pages, out)
+    return out
+
+
+def _align_part(a: list[Node], b: list[Node], same_pages: bool, out: list[Node]) -> None:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i].key == b[j].key:
-            _join(a[i], b[j])
+            _join(a[i], b[j], same_pages)
             node, i, j = a[i], i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             node, i = a[i], i + 1
@@ -194,41 +220,75 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         else:
             node, j = b[j], j + 1
             node.optional = True
-        if out and out[-1].key == node.key:
-            _join(out[-1], node)
-            out[-1].repeated = True
-        else:
-            out.append(node)
-    return out
+        _put(out, node)
+
+
+def _fixed(node: Node) -> bool:
+    """Whether all text of an item is the same on two pages or more."""
+    if node.key == _TEXT:
+        return node.text is not None and node.seen > 1
+    return any(_all_chars(x) for x in node.below) and all(_fixed(x) for x in node.below if _all_chars(x))
 
 
-def _furniture(key: str) -> bool:
-    name, *words = key.split(".")
+def _all_chars(node: Node, tag: str = "") -> int:
+    """Characters of an item over all pages; with a tag, those inside elements of that tag."""
+    if node.key == _TEXT:
+        return 0 if tag else node.chars
+    return sum(_all_chars(x, "" if node.key.split(".")[0] == tag else tag) for x in node.below)
+
+
+def _furniture(node: Node) -> bool:
+    """Whether an item is no main text: by its element, by a sure class word, or by another class word with evidence of the wrapper.
+
+    Evidence is text that is the same on all pages, an item that some pages
+    lack, or text that is mostly links.  Without class words, links that are
+    the same on all pages are furniture.
+    """
+    name, *words = node.key.split(".")
     if name == "article":  # a reader comment may be an article of its own
         return not _COMMENT_WORDS.isdisjoint(words)
-    return name in _FURNITURE_TAGS or (name not in ("body", "html", "main") and not _FURNITURE_WORDS.isdisjoint(words))
+    if name in _FURNITURE_TAGS:
+        return True
+    if name in ("body", "html", "main"):
+        return False
+    parts = [w.split("-") for w in words]
+    if any(p[0] in _NEVER_MAIN or p[-1] in _NEVER_MAIN for p in parts):
+        return True
+    named = any(not _SELDOM_MAIN.isdisjoint(p) for p in parts)
+    if not named and name != "a" and "a" not in (x.key.split(".")[0] for x in node.below):
+        return False
+    all_ = _all_chars(node)
+    links = all_ and (all_ if name == "a" else _all_chars(node, "a")) > 0.5 * all_
+    return bool((links or node.optional or _fixed(node)) if named else (links and not node.optional and _fixed(node) and name != "a"))
 
 
 def _chars(node: Node) -> int:
-    return node.chars if node.key == _TEXT else 0 if _furniture(node.key) else sum(_chars(x) for x in node.below)
+    return node.chars if node.key == _TEXT else 0 if _furniture(node) else sum(_chars(x) for x in node.below)
 
 
 def _innermost(wrapper: list[Node], chars) -> list[Node]:
     """The innermost level that holds most of the text, by the given count of an item's characters."""
     level = wrapper
     while True:
-        inner = max((x for x in level if x.key != _TEXT and not _furniture(x.key)), key=chars, default=None)
+        inner = max((x for x in level if x.key != _TEXT and not _furniture(x)), key=chars, default=None)
         if inner is None or not chars(inner) or chars(inner) < 0.6 * sum(map(chars, level)) or inner.repeated or inner.key.split(".")[0] in ("p", "li", "h1", "h2", "h3"):
             return level
         level = inner.below
 
 
-def _texts(level: list[Node], sure: bool) -> Iterator[Node]:
+def _texts(level: list[Node], sure: bool, varied: bool = False) -> Iterator[Node]:
+    """Texts of a level that are main text; varied: without those that are the same on all pages."""
     for x in level:
+        if varied and _fixed(x):
+            continue
         if x.key == _TEXT:
             yield x
-        elif not _furniture(x.key) and (sure or x.key.split(".")[0] != "header"):
-            yield from _texts(x.below, sure)
+        elif not _furniture(x) and (sure or x.key.split(".")[0] != "header"):
+            yield from _texts(x.below, sure, varied)
+
+
+def _named_main(node: Node) -> bool:
+    return any(not _MAIN_WORDS.isdisjoint((w, w.split("-")[0])) for w in node.key.split(".")[1:])
 
 
 def mark_main(wrapper: list[Node]) -> list[frozenset]:
@@ -236,40 +296,66 @@ def mark_main(wrapper: list[Node]) -> list[frozenset]:
 
     A host may have several layouts, so every article or main element is a
     candidate, after them every element named as content, then the innermost
-    level that holds most of the other text; within a class the one with most
-    text over all pages comes first.  A slot's role lists its candidates.  The
-    outcome has, for each candidate in this order, the candidates that are read
-    with it: articles go with articles.  A text inside a candidate counts whether
-    or not it is equal on all pages.
+    level that holds most of the other text that varies from page to page (of
+    all text, if none varies); within a class the one with most text over all
+    pages comes first, of equal ones the first in the page.  A slot's role lists
+    its candidates.  The outcome has, for each candidate in this order, the
+    candidates that are read with it: articles go with articles.  Inside an
+    article or an element named as content a text counts whether or not it is
+    equal on all pages; in another level only texts that vary do, if any does.
     """
 
     def every(nodes: list[Node]) -> Iterator[Node]:
         for x in nodes:
-            if x.key != _TEXT and not _furniture(x.key):
+            if x.key != _TEXT and not _furniture(x):
                 yield x
                 yield from every(x.below)
 
     elements = list(every(wrapper))
     tags = [x for x in elements if x.key.split(".")[0] in ("article", "main")]
-    words = [x for x in elements if x not in tags and not _MAIN_WORDS.isdisjoint(x.key.split(".")[1:])]
+    words = [x for x in elements if x.key.split(".")[0] not in ("article", "main", "body", "html") and _named_main(x)]
     named = {id(x) for x in tags + words}
 
-    def unnamed(node: Node) -> int:
-        return 0 if id(node) in named or node.key != _TEXT and _furniture(node.key) else node.chars if node.key == _TEXT else sum(map(unnamed, node.below))
-
-    roots = [(x.below, x.key.split(".")[0]) for x in sorted(tags, key=_chars, reverse=True)]
-    roots += [(x.below, "") for x in sorted(words, key=_chars, reverse=True)]
-    roots.append((_innermost(wrapper, unnamed), ""))
-    for k, (level, tag) in enumerate(roots):
-        for x in _texts(level, bool(tag)):
+    def unnamed(node: Node, varied: bool) -> int:
+        if node.key == _TEXT:
+            return 0 if varied and _fixed(node) else node.chars
+        return 0 if id(node) in named or _furniture(node) else sum(unnamed(x, varied) for x in node.below)
+
+    roots = [(x.below, x.key.split(".")[0], False) for x in sorted(tags, key=_chars, reverse=True)]
+    roots += [(x.below, "", False) for x in sorted(words, key=_chars, reverse=True)]
+    varied = any(unnamed(x, True) for x in wrapper)
+    roots.append((_innermost(wrapper, lambda x: unnamed(x, varied)), "", varied))
+    for k, (level, tag, varied) in enumerate(roots):
+        for x in _texts(level, bool(tag), varied):
             x.role += (k,)
-    return [frozenset(j for j, (_, other) in enumerate(roots) if other == tag) if tag else frozenset([k]) for k, (_, tag) in enumerate(roots)]
+    return [frozenset(j for j, (_, other, _) in enumerate(roots) if other == tag) if tag else frozenset([k]) for k, (_, tag, _) in enumerate(roots)]
+
 
+class Places:
+    """Where the items of each key stand in a level."""
 
-def read_main(items: list, wrapper: list[Node], choices: list[frozenset]) -> str:
+    def __init__(self):
+        self.known: dict[int, dict[str, list[int]]] = {}
+
+    def find(self, nodes: list[Node], key: str, k: int) -> list[int]:
+        """Places of the key, those from k on first."""
+        here = self.known.get(id(nodes))
+        if here is None:
+            here = self.known[id(nodes)] = {}
+            for i, x in enumerate(nodes):
+                here.setdefault(x.key, []).append(i)
+        places = here.get(key, [])
+        if len(places) < 2:
+            return places
+        at = bisect_left(places, k)
+        return places[at : at + 8] + places[: min(at, 8)]
+
+
+def read_main(items: list, wrapper: list[Node], choices: list[frozenset], places_of: Places | None = None) -> str:
     """The main text of a page read through a wrapper: that of the first candidate which has text on this page."""
     parts: list[tuple[str, Node | None]] = []
     here: set[int] = set()
+    places_of = places_of or Places()
 
     def walk(level: list, nodes: list[Node]) -> None:
         k = 0
@@ -278,7 +364,7 @@ def read_main(items: list, wrapper: list[Node], choices: list[frozenset]) -> str
                 parts.append((" ", None))
                 continue
             key = _TEXT if isinstance(x, str) else x[0]
-            places = [i for i in (*range(k, len(nodes)), *range(k)) if nodes[i].key == key]
+            places = places_of.find(nodes, key, k)
             if not places:
                 continue
             at = places[0]
@@ -298,7 +384,7 @@ def read_main(items: list, wrapper: list[Node], choices: list[frozenset]) -> str
                 parts.append((" ", None))
 
     def chars(node: Node) -> int:
-        return 0 if id(node) not in here else node.chars if node.key == _TEXT else 0 if _furniture(node.key) else sum(map(chars, node.below))
+        return 0 if id(node) not in here else node.chars if node.key == _TEXT else 0 if _furniture(node) else sum(map(chars, node.below))
 
     walk(items, wrapper)
     found = {k for text, node in parts if node is not None and not text.isspace() for k in node.role}
@@ -375,28 +461,59 @@ def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
     """(page_id, url, text, n_chars) of every row, read through the wrapper of its host.
 
     A null or empty page gives an empty text.  Pages without a host in their url
-    share one wrapper.  Character references are decoded, white space in a block
+    share one wrapper.  Repeated pages and ids give a row each; other columns are
+    not read.  Wrappers of up to WRAPPER_BYTES in all are broadcast, so pages are
+    not shuffled; more are joined with salted hosts.  Character references are decoded, white space in a block
     becomes one space, and blocks are joined by one space in page order.
     """
     known = infer_wrappers(pages, url, page)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host"))
-
-    def read(batches):
-        last, wrapper, choices = None, [], []
+    schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long"
+    size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    if size <= WRAPPER_BYTES:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in known.collect()})
+
+        def read(batches):
+            readers: dict[str, _Reader] = {}
+            for batch in batches:
+                yield _read_batch(batch, ((host, shared.value.get(host)) for host in batch.column("host").to_pylist()), readers)
+
+        return rows.mapInArrow(read, schema)
+    # a host's pages are spread over SALTS keys, and its wrapper goes to each
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
+
+    def read_joined(batches):
+        readers: dict[str, _Reader] = {}
         for batch in batches:
-            texts = []
-            for one, packed in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-                if not one or packed is None:
-                    texts.append("")
-                    continue
-                if packed != last:
-                    last, wrapper = packed, [Node.unpack(x) for x in json.loads(packed)[1]]
-                    choices = mark_main(wrapper)
-                texts.append(read_main(nested(one), wrapper, choices))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    kinds = dict(rows.dtypes)
-    return rows.join(known.hint("merge"), "host", "left").mapInArrow(read, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+            yield _read_batch(batch, zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()), readers)
+
+    return joined.mapInArrow(read_joined, schema)
+
+
+class _Reader:
+    """A wrapper made ready to read pages."""
+
+    def __init__(self, packed: str):
+        self.wrapper = [Node.unpack(x) for x in json.loads(packed)[1]]
+        self.choices, self.places = mark_main(self.wrapper), Places()
+
+    def read(self, page: str) -> str:
+        return read_main(nested(page), self.wrapper, self.choices, self.places)
+
+
+def _read_batch(batch: pa.RecordBatch, wrappers: Iterator[tuple[str, str | None]], readers: dict[str, _Reader]) -> pa.RecordBatch:
+    texts = []
+    for page, (host, packed) in zip(batch.column("html").to_pylist(), wrappers):
+        if not page or packed is None:
+            texts.append("")
+            continue
+        if host not in readers:
+            if len(readers) >= HELD_HOSTS:
+                readers.clear()
+            readers[host] = _Reader(packed)
+        texts.append(readers[host].read(page))
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

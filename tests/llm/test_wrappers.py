@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -74,3 +75,66 @@ def test_texts_with_a_common_opening_or_equal_on_all_pages(spark):
     rows = [(k, f"http://{name[:4]}.example.org/{k}", page.format(body), body) for k, (name, body) in enumerate(bodies.items())]
     got = W.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, body string").repartition(3))
     assert {r.page_id: r.text for r in got.collect()} == {k: f"News {body}" for k, _, _, body in rows}
+
+
+def soup(title, body, side):
+    return f'<body><div class="x1"><div class="q"><p>{side}</p><p>{side}</p></div><div class="r"><h1>{title}</h1><p>{body}</p></div></div><div class="z">Made by us</div></body>'
+
+
+def test_the_host_tells_what_the_page_alone_does_not(spark):
+    """A long text that all pages of a host share is no main text, though it is the most on each page."""
+    side = "the same long text beside every page of this host " * 8
+    rows = [(k, f"http://soup.example.org/{k}", soup(f"Title {k}", f"own text of page {k}", side)) for k in range(6)]
+    got = {r.page_id: r.text for r in W.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: f"Title {k} own text of page {k}" for k in range(6)}
+    alone = W.wrapper_of(W.nested(rows[0][2]))
+    assert "own text" not in W.read_main(W.nested(rows[0][2]), alone, W.mark_main(alone))
+
+
+def test_class_words_need_evidence(spark):
+    """Inside an article, words such as share or tags drop an item only if it is fixed, optional or links."""
+    page = (
+        '<article><h1>T {k}</h1><figure><img src="a"><figcaption>caption {k}</figcaption></figure><p class="tags">prose {k} here</p><p class="share-price">price {k}</p>'
+        '<div class="side-effects">effects {k}</div><div class="share">Share this</div><div class="tags"><a href="/a">one {k}</a> <a href="/b">two</a></div>{note}<div class="comment-list"><p>hi {k}</p></div><div class="ad">buy {k}</div></article>'
+    )
+    rows = [(k, "http://a.example.org/", page.format(k=k, note='<div class="notice">late {k}</div>' if k % 2 else "")) for k in range(6)]
+    got = {r.page_id: r.text for r in W.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {k: f"T {k} caption {k} prose {k} here price {k} effects {k}" for k in range(6)}
+
+
+def test_deep_wide_long_and_repeated_pages(spark, monkeypatch):
+    deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000
+    wide = [f"<article>{''.join(f'<p>a{i}</p><table><tr><td>{i}</td></tr></table>' for i in range(n))}</article>" for n in (3000, 2900)]
+    long_ = f"<article><p>{'word ' * 400_000}</p></article>"
+    rows = [(1, "http://d.example.org/", deep), (2, "http://w.example.org/", wide[0]), (3, "http://w.example.org/", wide[1]), (4, "http://l.example.org/", long_), (4, "http://l.example.org/", long_), (5, None, deep)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    texts = {}
+    for most in (W.WRAPPER_BYTES, -1):  # by broadcast and by the salted join
+        monkeypatch.setattr(W, "WRAPPER_BYTES", most)
+        texts[most] = sorted((r.page_id, r.text) for r in W.extract_main(pages).collect())
+        assert len(texts[most]) == 6
+    assert len(set(map(str, texts.values()))) == 1
+    got = dict(texts[-1])
+    assert got[1] == got[5] == "deep text" and got[4] == ("word " * 400_000).strip()
+    assert got[2] == " ".join(f"a{i} {i}" for i in range(3000)) and got[3] == " ".join(f"a{i} {i}" for i in range(2900))
+
+
+def test_alignment_keeps_a_longest_common_sequence():
+    """Against all common sequences of small streams."""
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = (["".join(rng.choice("pqrs")) for _ in range(rng.randint(0, 6))] for _ in "ab")
+        a, b = ([k for i, k in enumerate(x) if i == 0 or x[i - 1] != k] for x in (a, b))
+        common = max((c for n in range(len(a) + 1) for c in itertools.combinations(range(len(a)), n) if is_part([a[i] for i in c], b)), key=len)
+        level = [W.Node(k) for k in a]
+        out = W.align(level, [W.Node(k) for k in b])
+        both = [x for x in out if x.seen == 2]
+        assert len(both) <= len(common) and sum(not x.optional for x in out) <= len(common)
+        assert len(common) == len(both) or any(x.repeated for x in out)
+        for keys in (a, b):  # the level matches both streams
+            assert is_part(keys, [k for x in out for k in ([x.key] * 3 if x.repeated else [x.key])])
+
+
+def is_part(small, large):
+    it = iter(large)
+    return all(k in it for k in small)
