@@ -22,7 +22,11 @@ def cap_links(links: DataFrame, source: str, order: list[str], cap: int) -> Data
 
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, distance) within `depth` steps.  edges: source, target; seeds: node."""
+    """(node, distance) within `depth` steps.  edges: source, target; seeds: node.
+
+    The edges are written once, so that no level computes them anew.
+    """
+    edges = settle(edges.select("source", "target"), "edges")
     found = settle(seeds.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
     frontier = found
     for level in range(1, depth + 1):

@@ -15,9 +15,11 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.operators.staging import settle
+
 MOST_ROWS = 100_000
 _TAG = re.compile(r"<!--.*?-->|<(script|style|sup|figure|nav|noscript)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
 _HREF = re.compile(r"""href\s*=\s*["']([^"']*)["']""", re.I)
@@ -102,20 +104,37 @@ def per_group(rows: DataFrame, group: str, function: Callable[[pd.DataFrame], pd
     return rows.groupBy(group).applyInPandas(run, schema)
 
 
+def greedy_pool(rows: DataFrame, total: int, per_cell: int, order: list[str], keys: tuple[str, str, str] = ("family", "property", "source")) -> DataFrame:
+    """The rows that a greedy pick of `total` can take, if it takes greater values of `order` first within equal (family, property, source).
+
+    per_cell: how many rows the caps allow of one (family, property, source).
+    Exact: a row is taken before a better one of its family and property only if
+    the better one's source is used, and at most `total` sources are; so are the
+    bounds for a family and source, and for a family.  The pool is bounded by the
+    parameters and the number of families, whatever the number of rows.
+    """
+    family, prop, source = keys
+    pair = total * per_cell + 1
+    for by, most in (([family, prop, source], per_cell), ([family, prop], pair), ([family, source], pair), ([family], 2 * total * pair + 1)):
+        w = Window.partitionBy(*by).orderBy(*(F.desc_nulls_last(c) for c in order))
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+    return rows
+
+
 def diverse_by_popularity(p: pd.DataFrame, total: int, per_family: int, per_property: int, per_source: int) -> pd.DataFrame:
-    """Repeated pick of the greatest ln(max(1, views) + 1) / (1 + 2 f + p + s) under three caps."""
+    """Repeated pick of the greatest ln(max(1, views) + 1) / (1 + 2 f + p + s) under three caps; ties go to more views, then to the greatest id."""
     left = p.sort_values("id").to_dict("records")
     used: dict[tuple, int] = {}
     caps = {"family": per_family, "property": per_property, "source": per_source}
     out = []
     while left and len(out) < total:
-        best, at = -1.0, -1
+        best, at = None, -1
         for i, r in enumerate(left):
             n = {c: used.get((c, r[c]), 0) for c in caps}
             if all(n[c] < caps[c] for c in caps):
-                score = math.log(max(1, r["views"]) + 1) / (1 + 2 * n["family"] + n["property"] + n["source"])
-                if score > best:
-                    best, at = score, i
+                score = math.log1p(max(1, r["views"])) / (1 + 2 * n["family"] + n["property"] + n["source"])
+                if best is None or (score, r["views"], r["id"]) > best:
+                    best, at = (score, r["views"], r["id"]), i
         if at < 0:
             break
         r = left.pop(at)
@@ -126,7 +145,7 @@ def diverse_by_popularity(p: pd.DataFrame, total: int, per_family: int, per_prop
 
 
 def diverse_by_coverage(p: pd.DataFrame, total: int, caps: dict[str, int]) -> pd.DataFrame:
-    """Repeated pick of the row with most new families, then new properties, then score, then least id."""
+    """Repeated pick of the row with most new families, then new properties, then score, then greatest id."""
     left = p.sort_values("id").to_dict("records")
     used: dict[tuple, int] = {}
     out = []
@@ -134,7 +153,7 @@ def diverse_by_coverage(p: pd.DataFrame, total: int, caps: dict[str, int]) -> pd
         open_ = [r for r in left if all(used.get((c, r[c]), 0) < n for c, n in caps.items())]
         if not open_:
             break
-        best = max(open_, key=lambda r: (("family", r["family"]) not in used, ("property", r["property"]) not in used, r["score"], -r["id"]))
+        best = max(open_, key=lambda r: (("family", r["family"]) not in used, ("property", r["property"]) not in used, r["score"], r["id"]))
         left.remove(best)
         for c in {*caps, "family", "property"}:
             used[c, best[c]] = used.get((c, best[c]), 0) + 1
@@ -214,51 +233,74 @@ def replay_pheromones(steps: DataFrame, evaporation: float = 0.15, low: float =
     return rows.repartition("run").sortWithinPartitions("run", "step").mapInArrow(replay, "run long, edge long, pheromone double")
 
 
-def ant_search(p: pd.DataFrame, seed: str, ants: int = 4, expansions: int = 40, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0) -> pd.DataFrame:
-    """Ants walk the group's edges by roulette over exp(beta score + alpha ln(level) + gamma heuristic).
+def _drawn(*parts) -> Column:
+    """SHA-256 of the parts, in hex: the source of every random draw."""
+    return F.sha2(F.concat_ws("|", *(x if isinstance(x, Column) else F.lit(str(x)) for x in parts)), 256)
+
+
+def _gumbel(hex_: Column) -> Column:
+    u = (F.conv(F.substring(hex_, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
 
-    p: run, source, target, score, heuristic, start.  An ant stops where no
-    unvisited target is left; its last edges are rewarded by its mean score.
+def random_walks(links: DataFrame, starts: DataFrame, seed: str, stop: float, most: int) -> DataFrame:
+    """(run, steps, path): seeded walks from starts(run, start), all of them one link at a time.
+
+    A walk ends with probability `stop` after each step, where a page has no
+    link, and after `most` pages.  The next page is the one with the least hash
+    of (seed, run, step, page): a uniform pick without an order of the links.
     """
-    out = []
-    run = p["run"].iloc[0]
-    edges = {k: list(g[["target", "score", "heuristic"]].sort_values("target").itertuples(index=False)) for k, g in p.groupby("source")}
-    level: dict = {}
-    budget = expansions
+    links = settle(links.select("source", "target").distinct(), "links")
+    live = settle(starts.select("run", F.col("start").alias("at"), F.col("start").cast("string").alias("path")), "walk")
+    out = live.select("run", F.lit(1).cast("long").alias("steps"), "path")
+    for k in range(most - 1):
+        going = live.where(F.substring(_drawn(seed, F.col("run").cast("string"), k, "stop"), 1, 8) >= f"{int(stop * (1 << 32)):08x}")
+        step = going.join(links, going.at == links.source).groupBy("run", "path").agg(F.min_by("target", _drawn(seed, F.col("run").cast("string"), k, F.col("target").cast("string"))).alias("at"))
+        live = settle(step.select("run", "at", F.concat_ws(">", "path", F.col("at").cast("string")).alias("path")), "walk")
+        out = out.unionByName(live.select("run", F.lit(k + 2).cast("long").alias("steps"), "path"))
+    return out.groupBy("run").agg(F.max("steps").alias("steps"), F.max_by("path", "steps").alias("path"))
+
+
+def ant_search(edges: DataFrame, starts: DataFrame, seed: str, ants: int = 4, steps: int = 10, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0) -> DataFrame:
+    """(run, ant, steps, path, reward): ants that walk edges(source, target, score, heuristic) from starts(run, start).
+
+    The ants of a run follow each other, since each leaves pheromone for the
+    next; all runs advance together, one join of their places with the edges for
+    each step.  The next target is drawn with weight exp(beta score + alpha
+    ln(level) + gamma heuristic), by the greatest of the logarithms with Gumbel
+    noise.  An ant stops where no unvisited target is left and after `steps`.
+    All levels evaporate by 0.15 after each ant, then its last four edges are
+    rewarded by its mean score, less with distance.
+    """
+    edges = settle(edges.groupBy("source", "target").agg(F.max("score").alias("score"), F.max("heuristic").alias("heuristic")), "edges")
+    levels, out = None, None
     for ant in range(ants):
-        at, seen, gained, path = p["start"].iloc[0], set(), [], []
-        while budget > 0:
-            seen.add(at)
-            open_ = [e for e in edges.get(at, []) if e[0] not in seen]
-            if not open_:
-                break
-            budget -= 1
-            logit = [beta * e[1] + alpha * math.log(level.get((at, e[0]), 1.0)) + gamma * e[2] for e in open_]
-            top = max(logit)
-            weight = [math.exp(x - top) for x in logit]
-            u, k = uniform(seed, run, ant, len(path)) * sum(weight), 0
-            while k + 1 < len(weight) and u >= weight[k]:
-                u -= weight[k]
-                k += 1
-            path.append((at, open_[k][0]))
-            gained.append(open_[k][1])
-            at = open_[k][0]
-        reward = sum(gained) / len(gained) if gained else 0.0
-        for e in level:
-            level[e] = max(0.05, level[e] * 0.85)
-        for distance, e in enumerate(reversed(path[-4:])):
-            level[e] = min(5.0, max(0.05, level.get(e, 1.0) + reward * 0.6**distance))
-        out.append((run, ant, len(path), ">".join(str(b) for _, b in path), round(reward, 6)))
-    return pd.DataFrame(out, columns=["run", "ant", "steps", "path", "reward"])
-
-
-def random_walk(p: pd.DataFrame, seed: str, stop: float, most: int) -> pd.DataFrame:
-    """A seeded walk over the group's edges, ending with probability `stop` after each step."""
-    run, at, path = p["run"].iloc[0], p["start"].iloc[0], []
-    edges = {k: sorted(g["target"]) for k, g in p.groupby("source")}
-    for k in range(most):
-        path.append(at)
-        if at not in edges or uniform(seed, run, k, "stop") < stop:
-            break
-        at = edges[at][int(uniform(seed, run, k) * len(edges[at]))]
-    return pd.DataFrame([(run, len(path), ">".join(map(str, path)))], columns=["run", "steps", "path"])
+        live = settle(starts.select("run", F.array("start").alias("seen"), F.array().cast("array<double>").alias("gains")), "ants")
+        ended = None
+        for k in range(steps):
+            here = live.withColumn("source", F.element_at("seen", -1))
+            open_ = here.join(edges, "source").where(~F.array_contains("seen", F.col("target")))
+            if levels is not None:
+                open_ = open_.join(levels, ["run", "source", "target"], "left")
+            level = F.coalesce("level", F.lit(1.0)) if levels is not None else F.lit(1.0)
+            noise = _gumbel(_drawn(seed, F.col("run").cast("string"), ant, k, F.col("target").cast("string")))
+            value = beta * F.col("score") + alpha * F.log(level) + gamma * F.col("heuristic") + noise
+            pick = open_.groupBy("run").agg(F.max_by(F.struct("target", "score"), F.struct(value, "target")).alias("x"))
+            moved = live.join(pick, "run", "left")
+            grown = moved.select("run", F.when(F.col("x").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("x.target"))).alias("seen"), F.when(F.col("x").isNull(), F.col("gains")).otherwise(F.concat("gains", F.array("x.score"))).alias("gains"), F.col("x").isNull().alias("over"))
+            grown = settle(grown, "ants")
+            stuck = grown.where("over").drop("over")
+            ended = stuck if ended is None else ended.unionByName(stuck)
+            live = grown.where("not over").drop("over")
+        done = live if ended is None else live.unionByName(ended)
+        reward = F.when(F.size("gains") > 0, F.aggregate("gains", F.lit(0.0), lambda s, x: s + x) / F.size("gains")).otherwise(0.0)
+        done = settle(done.withColumn("reward", reward), "ants")
+        row = done.select("run", F.lit(ant).cast("long").alias("ant"), F.size("gains").cast("long").alias("steps"), F.array_join(F.slice(F.col("seen").cast("array<string>"), 2, steps), ">").alias("path"), F.round("reward", 6).alias("reward"))
+        out = row if out is None else out.unionByName(row)
+        laid = done.where(F.size("gains") > 0).select("run", "reward", F.posexplode(F.sequence(F.lit(1), F.least(F.lit(4), F.size("gains")))).alias("distance", "back"), "seen")
+        laid = laid.select("run", F.element_at("seen", -F.col("back") - 1).alias("source"), F.element_at("seen", -F.col("back")).alias("target"), (F.col("reward") * F.pow(F.lit(0.6), F.col("distance"))).alias("more"))
+        old = laid.limit(0).select("run", "source", "target", F.lit(1.0).alias("level")) if levels is None else levels
+        faded = old.withColumn("level", F.greatest(F.lit(0.05), F.col("level") * 0.85))
+        both = faded.join(laid, ["run", "source", "target"], "full")
+        levels = settle(both.select("run", "source", "target", F.least(F.lit(5.0), F.greatest(F.lit(0.05), F.coalesce("level", F.lit(1.0)) + F.coalesce("more", F.lit(0.0)))).alias("level")), "levels")
+    return out

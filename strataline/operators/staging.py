@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session has none, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one where a local session has none, as in tests."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         have = getattr(spark, "_level_folder", None) or tempfile.mkdtemp(prefix="levels-")
         spark._level_folder = have
     return have.rstrip("/")

@@ -84,7 +84,10 @@ tr AS (SELECT case_id, model, distance, CASE WHEN c AND n THEN 'stable_correct'
 KINDS = ["stable_correct", "reversion", "recovery", "stable_wrong"]
 _add("ag10_transitions", lambda s, d: transitions(s, d).groupBy("model").pivot("kind", KINDS).count(),
      oracle(LOG, TRANS, body="SELECT model, " + ", ".join(f"nullif(count(*) FILTER (WHERE kind = '{k}'), 0) AS {k}" for k in KINDS) + " FROM tr GROUP BY 1"))
-_add("ag11_mcnemar", lambda s, d: transitions(s, d).groupBy("model", "distance").agg(F.count_if(F.col("kind") == "reversion").alias("b"), F.count_if(F.col("kind") == "recovery").alias("c")).select("model", "distance", "b", "c", F.round(A.mcnemar(F.col("b"), F.col("c")), 6).alias("p")))
+_add("ag11_mcnemar", lambda s, d: transitions(s, d).groupBy("model", "distance").agg(F.count_if(F.col("kind") == "reversion").alias("b"), F.count_if(F.col("kind") == "recovery").alias("c")).select("model", "distance", "b", "c", F.round(A.mcnemar(F.col("b"), F.col("c")), 6).alias("p")),
+     oracle(LOG, TRANS, "g AS (SELECT model, distance, count(*) FILTER (WHERE kind = 'reversion') AS b, count(*) FILTER (WHERE kind = 'recovery') AS c FROM tr GROUP BY 1, 2)",
+            "t AS (SELECT *, unnest(range(0, b + c + 1)) AS i FROM g)", "m AS (SELECT *, exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0)) AS pmf, exp(lgamma(b + c + 1) - lgamma(b + 1) - lgamma(c + 1) - (b + c) * ln(2.0)) AS own FROM t)",
+            body="SELECT model, distance, b, c, CASE WHEN b + c > 0 THEN round(least(1.0, sum(pmf) FILTER (WHERE pmf <= own * (1 + 1e-9) + 1e-12)), 6) END AS p FROM m GROUP BY model, distance, b, c"))
 _add("ag12_gate_attrition", lambda s, d: V.log(s, d).groupBy("model", "arm", "slot", "distance").agg(F.count("*").alias("attempts"), F.count_if(F.col("k") > 30).alias("hits"), F.count_if((F.col("k") > 30) & (F.col("label") == "correct")).alias("eligible")),
      oracle(LOG, body="SELECT model, arm, slot, distance, count(*) AS attempts, count(*) FILTER (WHERE k > 30) AS hits, count(*) FILTER (WHERE k > 30 AND label = 'correct') AS eligible FROM log GROUP BY 1, 2, 3, 4"))
 _add("ag13_transition_pivot", lambda s, d: transitions(s, d).groupBy("model", "distance").pivot("kind").count().na.fill(0),
@@ -113,8 +116,8 @@ _add("ag16_factorised_admission", lambda s, d: A.admission(V.log(s, d).where("sl
 _add("ag17_single_probe_admission", lambda s, d: per_case(s, d, ok="count_if(label = 'stick_new') * 4 <= count(*) or count_if(label = 'stick_old') * 5 >= 4 * count(*)"), per_case_sql(ok="count(*) FILTER (WHERE label = 'stick_new') * 4 <= count(*) OR count(*) FILTER (WHERE label = 'stick_old') * 5 >= 4 * count(*)"))
 _add("ag18_relation_profile", lambda s, d: V.facts(s, d).groupBy("property").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("sources"), F.countDistinct("object").alias("targets"), F.count("end").alias("with_end"), F.count_if(F.col("rank") == "preferred").alias("preferred"), F.count_if(F.col("start").isNotNull() & F.col("end").isNotNull()).alias("complete")),
      oracle(FACTS, body="""SELECT property, count(*) AS n, count(DISTINCT subject) AS sources, count(DISTINCT object) AS targets, count("end") AS with_end, count(*) FILTER (WHERE rank = 'preferred') AS preferred, count(*) FILTER (WHERE start IS NOT NULL AND "end" IS NOT NULL) AS complete FROM facts GROUP BY 1"""))
-_add("ag19_support_rate", lambda s, d: V.log(s, d).groupBy("arm").agg(F.try_divide(F.count_if(F.col("label") == "correct") * 64, F.count_if(F.col("slot") == "none")).alias("rate"), F.count_if(F.col("label") == "correct").alias("supported")),
-     oracle(LOG, body="SELECT arm, CAST(NULL AS DOUBLE) AS rate, count(*) FILTER (WHERE label = 'correct') AS supported FROM log GROUP BY 1"))
+_add("ag19_support_rate", lambda s, d: V.log(s, d).groupBy("arm").agg(F.try_divide(F.count_if(_correct() & F.col("slot").isin("ripple", "pk")), F.count_if(F.col("slot").isin("ripple", "pk"))).alias("rate"), F.count_if(_correct()).alias("supported")),
+     oracle(LOG, body=f"SELECT arm, CAST(count(*) FILTER (WHERE {OK_SQL} AND slot IN ('ripple', 'pk')) AS DOUBLE) / nullif(count(*) FILTER (WHERE slot IN ('ripple', 'pk')), 0) AS rate, count(*) FILTER (WHERE {OK_SQL}) AS supported FROM log GROUP BY 1"))
 
 
 def ag20(s, d):
@@ -126,8 +129,8 @@ def ag20(s, d):
 _add("ag20_source_comparison", ag20, oracle(LOG, "g AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS passed, CAST(sum(occurrence) AS BIGINT) AS hops, count(DISTINCT model) AS families FROM log GROUP BY 1)", body="SELECT *, (SELECT bool_and(n >= 20) FROM g) AS conclusive FROM g"))
 _add("ag21_grouping_counts", lambda s, d: A.grouping_counts(V.log(s, d), ["slot", "model", "arm", "label"]),
      oracle(LOG, body=" UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM log GROUP BY {c}" for c in ("slot", "model", "arm", "label"))))
-_add("ag22_primary_metrics", lambda s, d: V.log(s, d).agg(F.count("*").alias("n"), *(F.count_if(F.expr(e)).alias(a) for a, e in (("m1", "label = 'correct'"), ("m2", "k > 50"), ("m3", "distance is null"), ("m4", "arm = 'conflict'"))), F.max(F.when(F.lit(False), 1)).alias("empty")),
-     oracle(LOG, body="SELECT count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS m1, count(*) FILTER (WHERE k > 50) AS m2, count(*) FILTER (WHERE distance IS NULL) AS m3, count(*) FILTER (WHERE arm = 'conflict') AS m4, CAST(NULL AS INTEGER) AS empty FROM log"))
+_add("ag22_primary_metrics", lambda s, d: V.log(s, d).agg(F.count("*").alias("n"), *(F.count_if(F.expr(e)).alias(a) for a, e in (("m1", "label = 'correct'"), ("m2", "k > 50"), ("m3", "distance is null"), ("m4", "arm = 'conflict'"))), F.max(F.when(F.col("distance").isNull() & (F.col("label") == "correct"), F.col("k"))).alias("m5")),
+     oracle(LOG, body="SELECT count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS m1, count(*) FILTER (WHERE k > 50) AS m2, count(*) FILTER (WHERE distance IS NULL) AS m3, count(*) FILTER (WHERE arm = 'conflict') AS m4, max(k) FILTER (WHERE distance IS NULL AND label = 'correct') AS m5 FROM log"))
 
 
 def ag23(s, d):
@@ -197,10 +200,14 @@ _add("ag39_replay_report", lambda s, d: V.turns(s, d).groupBy("action").agg(F.co
 def ag40(s, d):
     w = Window.partitionBy("case_id").orderBy("line_no")
     total = F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return V.log(s, d).where("slot = 'gate'").select("case_id", "line_no", total.alias("total")).withColumn("delta", F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0)))
+    # every row adds to its case's meter; the gate's rows read it, and what was used between two readings is their difference
+    read = V.log(s, d).select("case_id", "line_no", "slot", total.alias("total")).where("slot = 'gate'").drop("slot")
+    return read.withColumn("delta", F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0)))
 
 
-_add("ag40_usage_delta", ag40, oracle(LOG, body="SELECT case_id, line_no, CAST(sum(k) OVER (PARTITION BY case_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, k AS delta FROM log WHERE slot = 'gate'"))
+_add("ag40_usage_delta", ag40, oracle(LOG, "meter AS (SELECT case_id, line_no, slot, k, count(*) FILTER (WHERE slot = 'gate') OVER (PARTITION BY case_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - CASE WHEN slot = 'gate' THEN 1 ELSE 0 END AS part FROM log)",
+    "used AS (SELECT case_id, part, CAST(sum(k) AS BIGINT) AS delta, max(line_no) FILTER (WHERE slot = 'gate') AS line_no FROM meter GROUP BY 1, 2)",
+    body="SELECT u.case_id, u.line_no, CAST((SELECT sum(k) FROM log l WHERE l.case_id = u.case_id AND l.line_no <= u.line_no) AS BIGINT) AS total, delta FROM used u WHERE u.line_no IS NOT NULL"))
 
 
 def ag41(s, d):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataline.operators import ordering as O
 from strataline.operators import temporal as T
+from strataline.operators.staging import shared_folder
 from strataline.sources import log as G
 from strataline.sources import views as V
 from strataline.sources.views import ANCHORS, FACTS, LOG, REVISIONS, oracle
@@ -104,7 +107,8 @@ def sc14(s, d):
 
 _add("sc14_skip_bad_lines", sc14, "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 50 = 0 AS is_error FROM events")
 _add("sc15_fail_fast_lines", lambda s, d: V.table(s, d, "events").select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"}).alias("r")).select("event_id", "r.k"), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-_add("sc16_typed_documents", lambda s, d: V.table(s, d, "events").select("event_id", F.from_json("props", "k long, missing string").alias("r")).select("event_id", "r.k", F.col("r.missing").isNull().alias("incomplete")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS incomplete FROM events")
+_add("sc16_typed_documents", lambda s, d: V.table(s, d, "events").select("event_id", F.from_json(F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", '"k"', '"other"')).otherwise(F.col("props")), "k long, other long").alias("r")).select("event_id", "r.k", "r.other", F.col("r.k").isNull().alias("incomplete")),
+     "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS other, event_id % 3 = 0 AS incomplete FROM events")
 
 
 def sc17(s, d):
@@ -242,12 +246,56 @@ def so03(s, d):
 
 
 _add("so03_compaction", so03, oracle(LOG, body="SELECT case_id, line_no FROM (SELECT *, count(*) FILTER (WHERE label = 'other') OVER (PARTITION BY case_id) AS n, row_number() OVER (PARTITION BY case_id, label = 'other' ORDER BY line_no) AS r FROM log) WHERE label = 'other' OR r <= greatest(30 - n, 0)"))
-_add("so07_hash_pick", lambda s, d: V.log(s, d).select("line_no", O.hash_pick(F.lit(17), F.concat(F.lit("case|"), F.col("line_no").cast("string"))).alias("pick")))
+_add("so07_hash_pick", lambda s, d: V.log(s, d).select("line_no", O.hash_pick(F.lit(17), F.concat(F.lit("case|"), F.col("line_no").cast("string"))).alias("pick")),
+     "SELECT event_id AS line_no, CAST(CAST('0x' || substring(sha256('case|' || CAST(event_id AS VARCHAR)), 1, 16) AS UBIGINT) % 17 AS BIGINT) AS pick FROM events")
 _add("so08_total_order", lambda s, d: V.anchors(s, d).select("page_id", "pos", F.row_number().over(Window.partitionBy("page_id").orderBy(F.lower("target"), "target", "pos")).cast("long").alias("place")),
      oracle(ANCHORS, body="SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY lower(target), target, pos) AS place FROM anchors"))
 _add("so09_saturation", lambda s, d: V.facts(s, d).groupBy("object").agg(F.count("*").alias("n"), (F.count("*") >= 100).alias("saturated")), oracle(FACTS, body="SELECT object, count(*) AS n, count(*) >= 100 AS saturated FROM facts GROUP BY 1"))
 _add("so10_link_page", lambda s, d: O.ranked(V.anchors(s, d).where(F.contains(F.lower("target"), F.lit("th"))), ["page_id"], ["pos"], "rn").where("rn between 2 and 4").select("page_id", "target", F.col("rn").cast("long").alias("rn")),
      oracle(ANCHORS, body="SELECT page_id, target, rn FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM anchors WHERE contains(lower(target), 'th')) WHERE rn BETWEEN 2 AND 4"))
-_add("fn23_file_fingerprint", lambda s, d: G.file_fingerprints(s, f"{d}/region.parquet").select("length", "sha256"))
+_add("fn23_file_fingerprint", lambda s, d: G.file_fingerprints(s, f"{d}/*.parquet").select(F.regexp_extract("path", "([^/]+[.]parquet(/.*)?)$", 1).alias("file"), "length", "sha256"))
+
+
+def _state(s, d):
+    return V.log(s, d).groupBy("model", "arm").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
+def sk03(s, d):
+    """A store made from one arm, more rows of the other, read back."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    G.append_new(_state(s, d).where("arm = 'control'"), path)
+    G.append_more(_state(s, d).where("arm = 'conflict'"), path)
+    return s.read.parquet(path)
+
+
+def sk04(s, d):
+    """A second store at the same path is refused, and the first stays."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    G.append_new(_state(s, d), path)
+    refused = False
+    try:
+        G.append_new(_state(s, d).withColumn("n", F.lit(0).cast("long")), path)
+    except AnalysisException:
+        refused = True
+    return s.read.parquet(path).withColumn("refused", F.lit(refused))
+
+
+def sk05(s, d):
+    """A document is replaced whole; the variant that refuses leaves it."""
+    path = f"{shared_folder(s)}/document-{uuid.uuid4().hex}.json"
+    G.replace_document(_state(s, d).withColumn("n", F.lit(0).cast("long")), path)
+    G.replace_document(_state(s, d), path)
+    refused = False
+    try:
+        G.replace_document(_state(s, d).limit(1), path, refuse=True)
+    except FileExistsError:
+        refused = True
+    return s.read.schema("model string, arm string, n long, k long").json(path).withColumn("refused", F.lit(refused))
+
+
+_STATE_SQL = "SELECT model, arm, count(*) AS n, CAST(sum(k) AS BIGINT) AS k{} FROM log GROUP BY 1, 2"
+_add("sk03_result_store", sk03, oracle(LOG, body=_STATE_SQL.format("")))
+_add("sk04_no_overwrite", sk04, oracle(LOG, body=_STATE_SQL.format(", true AS refused")))
+_add("sk05_atomic_replace", sk05, oracle(LOG, body=_STATE_SQL.format(", true AS refused")))
 _add("sk09_score_report", lambda s, d: V.log(s, d).groupBy("model", "case_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "correct").alias("correct"), F.count_if(F.col("label") == "other").alias("other"), F.max("occurrence").alias("occurrences")).orderBy("model", "case_id"),
      oracle(LOG, body="SELECT model, case_id, count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS correct, count(*) FILTER (WHERE label = 'other') AS other, max(occurrence) AS occurrences FROM log GROUP BY 1, 2"))

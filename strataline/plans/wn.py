@@ -104,8 +104,8 @@ def wn09(spark, d):
 
 _add("wn09_even_sample", wn09, oracle(REVISIONS, """days AS (SELECT page, day, row_number() OVER (PARTITION BY page ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY page) AS n FROM (SELECT DISTINCT page, CAST(ts AS DATE) AS day FROM revisions))""",
 "picks AS (SELECT DISTINCT page, CASE WHEN n <= 4 THEN k ELSE CAST(round_even(k * (n - 1) / 3.0, 0) AS BIGINT) END AS i FROM (SELECT DISTINCT page, n FROM days), range(4) t(k) WHERE n > 4 OR k < n)", body="SELECT page, day FROM days JOIN picks USING (page, i)"))
-_add("wn10_round_robin", lambda s, d: O.round_robin(V.facts(s, d).where("start = date '2024-01-05'"), "property", ["fact_id"], 60).select("fact_id", "property", "lap"),
-     oracle(FACTS, body="SELECT fact_id, property, lap FROM (SELECT fact_id, property, row_number() OVER (PARTITION BY property ORDER BY fact_id) - 1 AS lap FROM facts WHERE start = DATE '2024-01-05') ORDER BY lap, property LIMIT 60"))
+_add("wn10_round_robin", lambda s, d: O.round_robin(V.facts(s, d), "property", ["fact_id"], 60).select("fact_id", "property", "lap"),
+     oracle(FACTS, body="SELECT fact_id, property, lap FROM (SELECT fact_id, property, row_number() OVER (PARTITION BY property ORDER BY fact_id) - 1 AS lap FROM facts) ORDER BY lap, property LIMIT 60"))
 
 
 def wn11(spark, d):

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files of any size, read by splits.
+
+    A split's lines are numbered in order; the counts of a file's earlier splits,
+    one row for each split, are added.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return lines.join(splits, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, fail_fast: bool = False) -> DataFrame:
-    """JSON lines with their file and line number.
+    """JSON lines with their file and line number; blank lines count but give no row.
 
     Bad lines come back with `corrupt` set, or abort the read with fail_fast.
-    Line numbers are taken at ingest, one task per file, since the order of the
-    lines carries meaning.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    text = text.where(F.trim("line") != "").withColumn("line_no", F.col("line_no").cast("long") + 1)
+    text = numbered_lines(spark, path).where(F.trim("line") != "")
     parsed = text.withColumn("row", F.from_json("line", schema + ", corrupt string", {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}))
     return parsed.select("file", "line_no", "row.*")
 
@@ -38,6 +50,40 @@ def append_new(df: DataFrame, path: str, slots: list[str] | None = None) -> None
     (writer.partitionBy(*slots) if slots else writer).parquet(path)
 
 
+def append_more(df: DataFrame, path: str) -> None:
+    """Adds rows to a result store that exists; one that does not is an error."""
+    where, files = _path(df.sparkSession, path)
+    if not files.exists(where):
+        raise ValueError(f"no store at {path}")
+    df.write.mode("append").parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_document(df: DataFrame, path: str, refuse: bool = False) -> None:
+    """Replaces a JSON document whole: it is staged beside its place and renamed into it.
+
+    Readers see the old document or the new one.  With `refuse` an existing
+    document is an error and stays.
+    """
+    spark = df.sparkSession
+    where, files = _path(spark, path)
+    if refuse and files.exists(where):
+        raise FileExistsError(path)
+    stage, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    df.write.json(stage.toString())
+    had = files.exists(where) and files.rename(where, old)
+    if not files.rename(stage, where):
+        if had:
+            files.rename(old, where)
+        raise OSError(f"cannot rename into {path}")
+    if had:
+        files.delete(old, True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new, and rows of old whose keys new has not."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

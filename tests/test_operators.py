@@ -1,10 +1,13 @@
 import datetime as dt
+import hashlib
 import math
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strataline.functions import labels as LB
 from strataline.functions import text as X
 from strataline.operators import analytics as A
 from strataline.operators import graph as G
@@ -164,3 +167,90 @@ def test_pheromones_of_a_long_run(spark):
     frame = steps.toPandas()
     expect = {tuple(r) for run in (1, 2) for r in P.pheromones(frame[frame["run"] == run]).itertuples(index=False)}
     assert {tuple(r) for r in P.replay_pheromones(steps).collect()} == expect
+
+
+def test_greedy_pool_loses_nothing(spark):
+    """The greedy picks from the pool are those from all rows."""
+    rng = random.Random(3)
+    rows = [(i, 0, rng.choice(["a", "a", "a", "b", "c"]), rng.choice([1, 1, 1, 2, 3, 4, 5]), rng.choice([1, 1, 2, 3, 4, 5, 6, 7]), rng.randint(0, 9), float(rng.randint(0, 5))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, grp int, family string, property long, source long, views long, score double").withColumn("_place", -F.col("id"))
+    whole = df.drop("_place").toPandas()
+    total = 6
+    for order, each, pick in (
+        (["views", "id"], 2, lambda p: P.diverse_by_popularity(p, total, 3, 3, 2)),
+        (["score", "id"], 2, lambda p: P.diverse_by_coverage(p, total, {"source": 2, "family": 3, "property": 3})),
+        (["_place"], 1, lambda p: P.capped_round_robin(p, total, "family", {"source": 1, "property": 2})),
+    ):
+        pool = P.greedy_pool(df, total, each, order).drop("_place").toPandas()
+        assert len(pool) < len(whole) / 4 and list(pick(pool)["id"]) == list(pick(whole)["id"])
+
+
+def test_popularity_ties_go_to_views_then_the_greatest_id():
+    p = pd.DataFrame({"id": [1, 2, 3, 4], "family": list("aabb"), "property": 1, "source": [1, 2, 3, 4], "views": [0, 1, 1, 0]})
+    assert list(P.diverse_by_popularity(p, 4, 9, 9, 9)["id"])[:2] == [3, 2]
+
+
+def plain_ants(edges, starts, seed, ants, steps):
+    """Ants one after the other, by dicts."""
+    out = []
+    for run, start in starts:
+        level = {}
+        for ant in range(ants):
+            seen, gains = [start], []
+            for k in range(steps):
+                open_ = [e for e in edges if e[0] == seen[-1] and e[1] not in seen]
+                if not open_:
+                    break
+
+                def value(e):
+                    h = hashlib.sha256(f"{seed}|{run}|{ant}|{k}|{e[1]}".encode()).hexdigest()
+                    u = (int(h[:13], 16) + 0.5) / 2**52
+                    return (e[2] + math.log(level.get(e[:2], 1.0)) + e[3] - math.log(-math.log(u)), e[1])
+
+                best = max(open_, key=value)
+                seen.append(best[1])
+                gains.append(best[2])
+            reward = sum(gains) / len(gains) if gains else 0.0
+            level = {e: max(0.05, x * 0.85) for e, x in level.items()}
+            for distance, e in enumerate(list(zip(seen, seen[1:]))[::-1][:4]):
+                level[e] = min(5.0, max(0.05, level.get(e, 1.0) + reward * 0.6**distance))
+            out.append((run, ant, len(gains), ">".join(map(str, seen[1:])), round(reward, 6)))
+    return sorted(out)
+
+
+def test_ant_search_equals_ants_one_by_one(spark):
+    rng = random.Random(5)
+    edges = [(a, b, rng.randint(0, 9) / 10, rng.randint(0, 9) / 10) for a in range(12) for b in rng.sample(range(14), 3) if a != b]
+    starts = [(7, 0), (8, 3), (9, 13)]
+    got = P.ant_search(spark.createDataFrame(edges, "source long, target long, score double, heuristic double"), spark.createDataFrame(starts, "run long, start long"), "s", ants=3, steps=3)
+    assert sorted(map(tuple, got.collect())) == plain_ants(edges, starts, "s", 3, 3)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 10)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k}" + "x" * (k % 50) + "\n" for k in range(1, n + 1)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        got = L.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(got) == 3010 and all(r.line.rstrip("x") == f"{r.file[-5]}{r.line_no}" for r in got)
+
+
+def test_leaks_are_literal(spark):
+    texts = spark.createDataFrame([(1, "xThe secret of THE seamstress"), (2, "the  secret of the sea"), (3, "nothing. one, two"), (4, None), (5, "")], "id long, text string")
+    secrets = spark.createDataFrame([("a", "the secret of the sea"), ("b", "One, Two"), ("c", "one two three"), ("d", None)], "key string, secret string")
+    assert sorted(map(tuple, LB.leaks(texts, secrets, "id", "text", "key", "secret").collect())) == [(1, "a"), (3, "b")]
+
+
+def test_document_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/d.json"
+    for k in (1, 2):
+        L.replace_document(spark.createDataFrame([(k,)], "k int"), path)
+        assert [r.k for r in spark.read.json(path).collect()] == [k] and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(FileExistsError):
+        L.replace_document(spark.createDataFrame([(3,)], "k int"), path, refuse=True)
+    assert [r.k for r in spark.read.json(path).collect()] == [2]
+    with pytest.raises(ValueError):
+        L.append_more(spark.createDataFrame([(3,)], "k int"), f"{tmp_path}/none")
