@@ -33,7 +33,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 _MARK = 0x2581  # the model's space mark
 _LITERAL = 0x110001  # stands for a space mark that the text itself has
-_LATTICE_BYTES = 3 << 19  # texts whose distinct units share one lattice
+_LATTICE_BYTES = 1 << 21  # texts whose distinct units share one lattice
 _WALK_BYTES = 1 << 19  # of these, the texts that are sampled together
 _NONE, _BYTES = 65535, 65534
 _U64 = 0xFFFFFFFFFFFFFFFF
@@ -67,7 +67,12 @@ class PieceModel:
         prefixes = sorted({names[i][:k] for i in ids for k in range(1, len(names[i]) + 1)})
         points = np.frombuffer("".join(prefixes).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(x) for x in prefixes])
-        self.table = K.HashTable(K.span_hash(K.prefix_sums(K.mix(points.astype(np.uint64))), np.concatenate([[0], ends[:-1]]), ends))
+        starts = np.concatenate([[0], ends[:-1]])
+        key = np.zeros(len(prefixes), np.uint64)
+        for k in range(self.longest):
+            on = np.flatnonzero(starts + k < ends)
+            key[on] = _longer(key[on], K.mix(points[starts[on] + k].astype(np.uint64)))
+        self.table = K.HashTable(key)
         of = {names[i]: i for i in ids}
         self.piece_of = np.array([of.get(x, _NONE) for x in prefixes], np.uint16)
         single = np.zeros(0x110002, bool)
@@ -87,6 +92,11 @@ class PieceModel:
         return self.all_bytes[at], stop[ends]
 
 
+def _longer(key: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Keys of strings with one more character."""
+    return key * np.uint64(0x9E3779B97F4A7C15) + code
+
+
 class Lattice:
     """The units of many texts, with the choice probabilities at each place of the distinct ones."""
 
@@ -109,14 +119,15 @@ class Lattice:
         at = np.flatnonzero(start)
         self.first, self.size = at[:-1], np.diff(at)
         self.owner = np.searchsorted(bounds, self.first, side="right") - 1
-        self.sums = K.prefix_sums(K.mix(points.astype(np.uint64)))
-        names = K.span_hash(self.sums, self.first, self.first + self.size)
+        self.codes = K.mix(points.astype(np.uint64))
+        names = K.span_hash(K.prefix_sums(self.codes), self.first, self.first + self.size)
         _, which, row = np.unique(names, return_index=True, return_inverse=True)
         order = np.argsort(-self.size[which], kind="stable")  # the longest first
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.row = place[row] if len(row) else row
         self._forward(self.first[which][order], self.size[which][order], known)
+        del self.codes
 
     def _restore_literals(self, texts: list[str], sizes: np.ndarray) -> None:
         at = 0
@@ -152,16 +163,19 @@ class Lattice:
         """Pieces that start at characters `at`, of which `left` remain in their unit, put where they end."""
         model = self.model
         live = np.flatnonzero(known[at])
+        key = np.zeros(len(live), np.uint64)
         for k in range(1, model.longest + 1):
-            live = live[left[live] >= k]
+            key = _longer(key, self.codes[at[live] + k - 1])
+            found = model.table.find(key)
+            ids = np.where(found >= 0, model.piece_of[found], _NONE)
+            ok = np.flatnonzero(ids != _NONE)
+            ends = state[live[ok]] + k
+            self.piece[ends, k - 1] = ids[ok]
+            weight[ends, k - 1] = model.logp[ids[ok]]
+            on = (found >= 0) & (left[live] > k)
+            live, key = live[on], key[on]
             if not len(live):
                 break
-            found = model.table.find(K.span_hash(self.sums, at[live], at[live] + k))
-            live = live[found >= 0]
-            ids = model.piece_of[found[found >= 0]]
-            ok = ids != _NONE
-            self.piece[state[live[ok]] + k, k - 1] = ids[ok]
-            weight[state[live[ok]] + k, k - 1] = model.logp[ids[ok]]
         odd = np.flatnonzero(~known[at])  # written in bytes
         point = self.points[at[odd]]
         width = 1 + (point > 0x7F) + (point > 0x7FF) + ((point > 0xFFFF) & (point != _LITERAL))
@@ -226,7 +240,12 @@ class Lattice:
     def step_logs(self, state: np.ndarray, step: np.ndarray) -> np.ndarray:
         """Log-probability of the step to `step` + 1 places before, from the masses themselves."""
         piece = self.piece[state, step]
-        return np.where(piece == _BYTES, 0.0, np.minimum(self.model.step_logp[piece] + self.mass[state - step - 1] - self.mass[state], 0.0))
+        out = self.model.step_logp[piece]
+        out += self.mass[state - step - 1]
+        out -= self.mass[state]
+        np.minimum(out, 0.0, out=out)
+        out[piece == _BYTES] = 0.0
+        return out
 
     def row_logs(self, state: int) -> np.ndarray:
         """Log-probabilities of all steps from one place; -inf where there is no piece."""
@@ -246,10 +265,12 @@ class Lattice:
             lengths.append(length)
             state[k] = floor[k]
         here = np.flatnonzero(state > floor)
+        few = at.max(initial=0) < len(_PLACES)
         while len(here):
             s = state[here]
-            u = _uniform(seed[here] ^ K.mix((s - floor[here]).astype(np.uint64) + _PLACE_SALT))
-            step = (self.choice[s] <= u[:, None]).sum(axis=1)
+            place = s - floor[here]
+            u = _uniform(seed[here] ^ (_PLACES[place] if few else _place_noise(place)))
+            step = (self.choice[s] > u[:, None]).argmax(axis=1)  # shares rise to one, and u is below it
             lanes.append(here)
             states.append(s)
             lengths.append(step + 1)
@@ -268,8 +289,8 @@ class Lattice:
         length = np.empty(at + 1, np.int64)
         for lo in range(1, at + 1, 1 << 16):
             place = np.arange(lo, min(at + 1, lo + (1 << 16)))
-            u = _uniform(seed ^ K.mix(place.astype(np.uint64) + _PLACE_SALT))
-            length[place] = (self.choice[floor + place] <= u[:, None]).sum(axis=1) + 1
+            u = _uniform(seed ^ _place_noise(place))
+            length[place] = (self.choice[floor + place] > u[:, None]).argmax(axis=1) + 1
         back, met = length.tolist(), []
         while at > 0:
             met.append(at)
@@ -277,7 +298,11 @@ class Lattice:
         return floor + np.array(met), length[met]
 
 
-_PLACE_SALT = np.uint64(0x51ED27)
+def _place_noise(place: np.ndarray) -> np.ndarray:
+    return K.mix(place.astype(np.uint64) + np.uint64(0x51ED27))
+
+
+_PLACES = _place_noise(np.arange(_LONG + 1))
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -347,8 +372,12 @@ class Search:
 
     def pick(self, logs: np.ndarray) -> int:
         """A place drawn by its weight, given as a logarithm."""
-        total = np.cumsum(np.exp(logs - logs.max()))
-        return min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), int(np.flatnonzero(np.diff(total, prepend=0))[-1]))
+        return self.pick_weight(np.exp(logs - logs.max()))
+
+    def pick_weight(self, weights: np.ndarray) -> int:
+        total = np.cumsum(weights)
+        k = int(np.searchsorted(total, self.uniform() * total[-1], side="right"))
+        return k if k < len(total) else int(np.searchsorted(total, total[-1]))
 
     def take(self, lattice: Lattice) -> tuple | None:
         """The best set left: its bound, and how its best member leaves a known path (path, step, length, log p)."""
@@ -360,9 +389,9 @@ class Search:
             a, b = node[2], node[3]
             if path.before[b] - path.before[a] < _NEARLY_ONE:
                 # what leaves after a fall of exp(-45) is beyond the precision of the sum
-                near = a + max(1, int(np.searchsorted(-path.before[a:b], 45 - path.before[a])))
-                total = np.cumsum(np.exp(path.before[a:near] - path.before[a]) * -np.expm1(path.logs[a:near]))
-                t = a + min(int(np.searchsorted(total, self.uniform() * total[-1], side="right")), int(np.flatnonzero(np.diff(total, prepend=0))[-1]))
+                near = a + max(1, int(np.searchsorted(-path.before[a : a + 4096], 45 - path.before[a]))) if path.before[min(b, a + 4096)] < path.before[a] - 45 else b
+                near = min(near, b)
+                t = a + self.pick_weight(np.exp(path.before[a:near] - path.before[a]) * -np.expm1(path.logs[a:near]))
             else:
                 t = a + self.pick(self.leaving(lattice, path, a, b))
             without = (int(path.length[t]) - 1,)
@@ -509,28 +538,32 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
             keys = K.mix(K.mix(batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) + np.uint64(seed))
             data, offsets, _ = K.column_bytes(batch.column("text"))
             for lo, hi in K.pieces(offsets, _LATTICE_BYTES):
-                lattice = Lattice(model, texts[lo:hi])
-                for a, b in K.pieces(offsets[lo : hi + 1], _WALK_BYTES):
-                    searches = sample_texts(lattice, a, b, keys[lo + a : lo + b], samples)
-                    ids, ends = flat_ids(lattice, [p for x in searches for _, p in x.best or [(0.0, _EMPTY)]])
-                    spelt, spelt_ends = model.spelt(ids, ends)
-                    rows, out, at, spelt_at = [], [], 0, 0
-                    for row, search in zip(range(lo + a, lo + b), searches):
-                        threshold = -search.heap[0][0] if search.heap else None
-                        own = data[offsets[row] : offsets[row + 1]].tobytes()
-                        for k, (_, path) in enumerate(search.best or [(0.0, _EMPTY)]):
-                            end, spelt_end = int(ends[len(rows)]), int(spelt_ends[len(rows)])
-                            log_p = float(path.before[-1])
-                            same = spelt[spelt_at + 1 : spelt_end].tobytes() == own
-                            out.append((k, end - at, log_p, log_inclusion(log_p, threshold), hashlib.sha256(ids[at:end].astype("<i4").tobytes()).hexdigest(), same))
-                            rows.append(row)
-                            at, spelt_at = end, spelt_end
-                    taken = pa.array(rows)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(taken), *(pa.array(x, t) for x, (_, t) in zip(zip(*out), _OUT.values())), lists, *(batch.column(3 + k).take(taken) for k in range(len(carried)))],
-                        [*names, *carried],
-                    )
+                yield from sampled(model, batch, texts, keys, data, offsets, lo, hi)
+
+    def sampled(model, batch, texts, keys, data, offsets, lo, hi):
+        """The rows [lo, hi) of a batch; their lattice goes when they are done."""
+        lattice = Lattice(model, texts[lo:hi])
+        for a, b in K.pieces(offsets[lo : hi + 1], _WALK_BYTES):
+            searches = sample_texts(lattice, a, b, keys[lo + a : lo + b], samples)
+            ids, ends = flat_ids(lattice, [p for x in searches for _, p in x.best or [(0.0, _EMPTY)]])
+            spelt, spelt_ends = model.spelt(ids, ends)
+            rows, out, at, spelt_at = [], [], 0, 0
+            for row, search in zip(range(lo + a, lo + b), searches):
+                threshold = -search.heap[0][0] if search.heap else None
+                own = data[offsets[row] : offsets[row + 1]].tobytes()
+                for k, (_, path) in enumerate(search.best or [(0.0, _EMPTY)]):
+                    end, spelt_end = int(ends[len(rows)]), int(spelt_ends[len(rows)])
+                    log_p = float(path.before[-1])
+                    same = spelt[spelt_at + 1 : spelt_end].tobytes() == own
+                    out.append((k, end - at, log_p, log_inclusion(log_p, threshold), hashlib.sha256(ids[at:end].astype("<i4").tobytes()).hexdigest(), same))
+                    rows.append(row)
+                    at, spelt_at = end, spelt_end
+            taken = pa.array(rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), *(pa.array(x, t) for x, (_, t) in zip(zip(*out), _OUT.values())), lists, *(batch.column(3 + k).take(taken) for k in range(len(carried)))],
+                [*names, *carried],
+            )
 
     seeds = F.coalesce(F.xxhash64(F.col(key).cast("string")), F.lit(0)).alias("seed")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), seeds, *(F.col(c) for c in carried))
