@@ -91,20 +91,117 @@ def is_simple(path: Column) -> Column:
     return F.size(F.array_distinct(path)) == F.size(path)
 
 
-def beam(start: DataFrame, expand: Callable[[DataFrame], DataFrame], depth: int, width: int, per_state: int, seed: str) -> DataFrame:
-    """Best `width` states after each of `depth` expansions.
+def _text(values: str, by: str = ">") -> Column:
+    return F.array_join(F.col(values).cast("array<string>"), by)
 
-    States: path array, score.  expand(states) gives candidate rows (path,
-    score).  Cycles go, the best `per_state` children of a parent stay, equal
-    end states keep their best score, and ties break on SHA-256 of seed and path.
+
+def single_dated(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """The target of the first (or last) date of each key; keys with several targets on that date give nothing.
+
+    rows: keys, at, target.  Two aggregates with map-side combine, so a hot key
+    costs a row per date and task.
+    """
+    days = rows.groupBy(*keys, "at").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    pick = F.max if last else F.min
+    return days.groupBy(*keys).agg(pick(F.struct("at", "lo", "hi")).alias("d")).where("d.lo = d.hi").select(*keys, "d.at", F.col("d.lo").alias("target"))
+
+
+def discover_chains(facts: DataFrame, rates: DataFrame, support: DataFrame, cutoff: str, hops: int, width: int, per_state: int, per_property: int, families: int, novelty: int, seed: str) -> DataFrame:
+    """Chains of facts, each the next of its property after the one before: (path, properties, score).
+
+    facts: source, property, target, at.  rates: property, family, rate.
+    support: source, target of the edges that count as verified.  A chain begins
+    with the last single fact of a page and property until `cutoff`.  An
+    expansion takes the next single fact of each property, the first `per_state`
+    by new family, date, property and target; a property may occur
+    `per_property` times, a page once, and the edge must be verified.  A new
+    family scores `novelty`, each hop the rate of its property.  The best
+    `width` chains go on, so a broadcast frontier is bounded by that parameter;
+    chains of two hops or more and at least `families` families are returned.
+    """
+    verified = support.select("source", "target").distinct()
+    key = F.concat_ws("|", _text("path"), _text("properties", ","))
+    tie = F.sha2(F.concat(F.lit(f"{seed}|"), key), 256)
+
+    def best(rows: DataFrame) -> DataFrame:
+        rows = rows.join(verified, ["source", "target"], "left_semi").select("path", "properties", "seen", "at", "score")
+        return settle(rows.orderBy(F.desc("score"), tie).limit(width).withColumn("state", key), "chains")
+
+    first = single_dated(facts.where(F.col("at") <= F.lit(cutoff).cast("date")), ["source", "property"], True).where("source <> target").join(rates, "property")
+    states = best(first.select("source", "target", F.array("source", "target").alias("path"), F.array("property").alias("properties"), F.array("family").alias("seen"), "at", (novelty + F.col("rate")).alias("score")))
+    done = []
+    for _ in range(hops - 1):
+        ends = states.select("state", F.element_at("path", -1).alias("source"), F.col("at").alias("since"))
+        later = facts.join(F.broadcast(ends), "source").where(F.col("at") > F.col("since"))
+        found = single_dated(later, ["state", "source", "property"], False).join(rates, "property").withColumnRenamed("at", "day").join(F.broadcast(states), "state")
+        fresh = ~F.array_contains("seen", F.col("family"))
+        order = Window.partitionBy("state").orderBy(~fresh, "day", "property", "target")
+        found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_state)
+        found = found.where((F.size(F.filter("properties", lambda x: x == F.col("property"))) < per_property) & ~F.array_contains("path", F.col("target")))
+        states = best(found.select(
+            "source", "target", F.array_append("path", F.col("target")).alias("path"), F.array_append("properties", F.col("property")).alias("properties"),
+            F.array_union("seen", F.array("family")).alias("seen"), F.col("day").alias("at"), (F.col("score") + F.when(fresh, novelty).otherwise(0) + F.col("rate")).alias("score"),
+        ))
+        done.append(states.where(F.size("seen") >= families).select("path", "properties", "score"))
+        if states.isEmpty():
+            break
+    out = done[0] if done else states.where("false").select("path", "properties", "score")
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def search(start: DataFrame, links: DataFrame, answers: DataFrame, width: int, per_state: int, budget: int, seed: str, page_rows: int | None = None, list_gain: int = 0, submit_gain: int = 0, keep_blocked: bool = True) -> DataFrame:
+    """Beam search with terminal states: (path, shown, status, score, final) of the retained states.
+
+    start: node.  links: source, target, place (1, 2, ... on its page), gain.
+    answers: node, the pages on which a submission passes its gate.  Actions of
+    an open state are to follow a link, to submit, and, with `page_rows`, to
+    list that many more links: then only listed links can be followed.  The best
+    `per_state` actions of a state are executed, states in order, until `budget`
+    actions are spent in all; moves to a page of the path are spent too, and
+    dropped.  A state without a kept child (with keep_blocked) or without any
+    action (without) stays as exhausted.  Submitted and exhausted states compete
+    with the others.  States with one page, listing, set of pages and status
+    count as one; the best `width` go on, so a broadcast frontier is bounded by
+    that parameter.  `final` marks the best submitted state, or the best at all.
     """
-    tie = F.sha2(F.concat(F.lit(f"{seed}|"), F.array_join(F.col("path").cast("array<string>"), ">")), 256)
-    states = start
-    for _ in range(depth):
-        grown = expand(states).where(is_simple(F.col("path"))).withColumn("_tie", tie)
-        parent = F.array_join(F.slice("path", 1, F.size("path") - 1).cast("array<string>"), ">")
-        own = Window.partitionBy(parent).orderBy(F.desc("score"), "_tie")
-        end = Window.partitionBy(F.element_at("path", -1)).orderBy(F.desc("score"), "_tie")
-        kept = grown.withColumn("_a", F.row_number().over(own)).where(F.col("_a") <= per_state).withColumn("_b", F.row_number().over(end)).where("_b = 1")
-        states = settle(kept.orderBy(F.desc("score"), "_tie").limit(width).select("path", "score"), "beam")
-    return states
+    key = F.concat_ws("|", _text("path"), F.col("shown").cast("string"))
+    digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256)
+    links = settle(links.select("source", "target", "place", "gain"), "links")
+    goals = answers.select(F.col("node").alias("page")).distinct()
+
+    def best(rows: DataFrame) -> DataFrame:
+        same = Window.partitionBy(F.element_at("path", -1), "shown", F.array_sort("path"), "status").orderBy(F.desc("score"), digest(key))
+        rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+        rows = rows.orderBy(F.desc("score"), digest(key, F.col("status"))).limit(width)
+        return settle(rows.withColumn("state", key).withColumn("page", F.element_at("path", -1)), "search")
+
+    names = ["path", "shown", "status", "score"]
+    zero = F.lit(0).cast("long")
+    states = best(start.select(F.array("node").alias("path"), zero.alias("shown"), F.lit("open").alias("status"), zero.alias("score")))
+    while budget > 0 and not (live := states.where("status = 'open'")).isEmpty():
+        near = links.join(F.broadcast(live), F.col("source") == F.col("page"))
+        legal = near if page_rows is None else near.where("place <= shown")
+        own = ["state", *names]
+        actions = legal.select(*own, F.concat(F.lit("follow:"), F.col("target").cast("string")).alias("action"), "target", F.col("gain").cast("long").alias("gain"))
+        none = F.lit(None).cast("long").alias("target")
+        if page_rows is not None:
+            actions = actions.unionByName(near.where("place = shown + 1").select(*own, F.lit("list").alias("action"), none, F.lit(list_gain).cast("long").alias("gain")))
+        actions = actions.unionByName(live.join(goals, "page").select(*own, F.lit("submit").alias("action"), none, F.lit(submit_gain).cast("long").alias("gain")))
+        ranked = Window.partitionBy("state").orderBy(F.desc("gain"), digest(F.col("state"), F.col("action")))
+        turn = Window.orderBy(F.desc("score"), digest(F.col("state")), "_r")
+        chosen = actions.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= per_state)
+        spent = settle(chosen.withColumn("_t", F.row_number().over(turn)).where(F.col("_t") <= budget), "spent")
+        kept = spent.where(F.col("target").isNull() | ~F.array_contains("path", F.col("target")))
+        left = live.join((kept if keep_blocked else chosen).select("state").distinct(), "state", "left_anti")
+        moved = kept.select(
+            F.when(F.col("target").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("target"))).alias("path"),
+            F.when(F.col("action") == "list", F.col("shown") + (page_rows or 0)).when(F.col("action") == "submit", F.col("shown")).otherwise(zero).alias("shown"),
+            F.when(F.col("action") == "submit", "submitted").otherwise("open").alias("status"), (F.col("score") + F.col("gain")).alias("score"),
+        )
+        blocked = left.select("path", "shown", F.lit("exhausted").alias("status"), "score")
+        states = best(states.where("status <> 'open'").select(*names).unionByName(moved).unionByName(blocked))
+        budget -= spent.count()
+    first = Window.orderBy(F.desc(F.col("status") == "submitted"), F.desc("score"), digest(key, F.col("status")))
+    return states.select(*names, (F.row_number().over(first) == 1).alias("final"))

@@ -79,29 +79,82 @@ _add("gr11_titles_by_distance", lambda s, d: G.distances(capped(s, d), seed(s, 1
      recursive(LINKS, CAP3, bfs_sql("target", 4), body="SELECT distance, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM (SELECT node, min(distance) AS distance FROM walk GROUP BY 1) GROUP BY 1"))
 
 
-def _beam(s, d, depth=2, width=20):
-    edges = V.links(s, d).select("source", "target", (F.col("pos") % 101).alias("gain"))
-    start = s.createDataFrame([([1], 0), ([2], 0), ([3], 0)], "path array<long>, score long")
+FAMILY = "CASE WHEN property IN ('view', 'click') THEN 'browse' WHEN property = 'error' THEN 'fault' ELSE 'trade' END"
+
+
+def gr12(s, d):
+    f = V.facts(s, d)
+    rates = f.groupBy("property").agg(F.floor(F.count_if(F.col("rank") == "preferred") * 100 / F.count("*")).alias("rate")).withColumn("family", F.expr(FAMILY))
+    facts = f.where("rank <> 'deprecated'").select(F.col("subject").alias("source"), "property", F.col("object").alias("target"), F.col("start").alias("at"))
+    chains = G.discover_chains(facts, rates, V.links(s, d), "2024-01-05", 3, 40, 5, 2, 2, 300, "s")
+    return chains.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("properties", ",").alias("properties"), "score")
+
+
+def chains_sql(hops, width):
+    key = "array_to_string(nodes, '>') || '|' || array_to_string(props, ',')"
+    best = lambda q: f"SELECT *, {key} AS state FROM ({q}) WHERE EXISTS (SELECT 1 FROM links l WHERE l.source = nodes[-2] AND l.target = nodes[-1]) ORDER BY score DESC, sha256('s|' || {key}) LIMIT {width}"
+    parts = [
+        "f AS MATERIALIZED (SELECT subject AS source, property, object AS target, start AS since FROM facts WHERE rank <> 'deprecated')",
+        f"rates AS MATERIALIZED (SELECT property, {FAMILY} AS family, count(*) FILTER (WHERE rank = 'preferred') * 100 // count(*) AS rate FROM facts GROUP BY 1)",
+        "d1 AS (SELECT source, property, since, min(target) AS lo, max(target) AS hi FROM f WHERE since <= DATE '2024-01-05' GROUP BY 1, 2, 3)",
+        "n1 AS (SELECT source, property, max(since) AS since, arg_max(lo, since) AS lo, arg_max(hi, since) AS hi FROM d1 GROUP BY 1, 2)",
+        f"s1 AS MATERIALIZED ({best('SELECT [source, lo] AS nodes, [property] AS props, [family] AS seen, since, 300 + rate AS score FROM n1 JOIN rates USING (property) WHERE lo = hi AND lo <> source')})",
+    ]
+    for k in range(2, hops + 1):
+        grown = f"SELECT list_append(nodes, t) AS nodes, list_append(props, property) AS props, CASE WHEN known THEN seen ELSE list_append(seen, family) END AS seen, day AS since, score + CASE WHEN known THEN 0 ELSE 300 END + rate AS score FROM c{k} WHERE rn <= 5 AND NOT list_contains(nodes, t) AND (SELECT count(*) FROM (SELECT unnest(props) AS x) WHERE x = property) < 2"
+        parts += [
+            f"d{k} AS (SELECT state, property, f.since, min(target) AS lo, max(target) AS hi FROM s{k - 1} s JOIN f ON source = nodes[-1] AND f.since > s.since GROUP BY 1, 2, 3)",
+            f"n{k} AS (SELECT state, property, min(since) AS day, arg_min(lo, since) AS t, arg_min(hi, since) AS hi FROM d{k} GROUP BY 1, 2)",
+            f"c{k} AS (SELECT *, list_contains(seen, family) AS known, row_number() OVER (PARTITION BY state ORDER BY list_contains(seen, family), day, property, t) AS rn FROM n{k} JOIN s{k - 1} USING (state) JOIN rates USING (property) WHERE t = hi)",
+            f"s{k} AS MATERIALIZED ({best(grown)})",
+        ]
+    body = " UNION ALL ".join(f"SELECT array_to_string(nodes, '>') AS path, array_to_string(props, ',') AS properties, score FROM s{k} WHERE len(seen) >= 2" for k in range(2, hops + 1))
+    return oracle(FACTS, LINKS, *parts, body=body)
 
-    def expand(states):
-        return states.join(edges, F.element_at(states.path, -1) == edges.source).select(F.concat("path", F.array("target")).alias("path"), (F.col("score") + F.col("gain")).alias("score"))
 
-    return G.beam(start, expand, depth, width, 5, "s").select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "score")
+_add("gr12_beam_discovery", gr12, chains_sql(3, 40))
 
 
-def beam_sql(depth, width):
-    parts = ["e AS (SELECT source, target, pos % 101 AS gain FROM links)", "s0 AS (SELECT CAST(x AS VARCHAR) AS path, [x] AS nodes, CAST(0 AS BIGINT) AS score FROM (VALUES (CAST(1 AS BIGINT)), (2), (3)) v(x))"]
-    for k in range(1, depth + 1):
-        parts += [
-            f"g{k} AS (SELECT path || '>' || CAST(target AS VARCHAR) AS path, list_append(nodes, target) AS nodes, score + gain AS score, path AS parent, target FROM s{k - 1} JOIN e ON source = nodes[-1] WHERE NOT list_contains(nodes, target))",
-            f"a{k} AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, sha256('s|' || path)) AS ra FROM g{k})",
-            f"b{k} AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, sha256('s|' || path)) AS rb FROM a{k} WHERE ra <= 5)",
-            f"s{k} AS (SELECT path, nodes, score FROM b{k} WHERE rb = 1 ORDER BY score DESC, sha256('s|' || path) LIMIT {width})",
-        ]
-    return oracle(LINKS, *parts, body=f"SELECT path, score FROM s{depth}")
+def _search(s, d, width, per_state, budget, page_rows=None, keep_blocked=True):
+    links = O.ranked(V.links(s, d), ["source"], ["pos", "target"], "place").withColumn("gain", F.col("pos") % 101 - 100)
+    answers = V.facts(s, d).where("property = 'purchase' and rank = 'preferred' and object % 2 = 0").select(F.col("subject").alias("node")).distinct()
+    out = G.search(seed(s, 1, 2, 3), links, answers, width, per_state, budget, "s", page_rows, -5, -10, keep_blocked)
+    return out.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
-_add("gr12_beam_discovery", _beam, beam_sql(2, 20))
+def search_sql(width, per_state, budget, page_rows=None, keep_blocked=True, rounds=16):
+    key = "array_to_string(nodes, '>') || '|' || CAST(shown AS VARCHAR)"
+
+    def best(rows):
+        one = f"SELECT *, row_number() OVER (PARTITION BY nodes[-1], shown, list_sort(nodes), status ORDER BY score DESC, sha256('s|' || {key})) AS n FROM {rows}"
+        return f"SELECT nodes, shown, status, score, {key} AS state FROM ({one}) WHERE n = 1 ORDER BY score DESC, sha256('s|' || {key} || '|' || status) LIMIT {width}"
+
+    parts = [
+        "e AS MATERIALIZED (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos, target) AS place, pos % 101 - 100 AS gain FROM links)",
+        "goal AS MATERIALIZED (SELECT DISTINCT subject AS node FROM facts WHERE property = 'purchase' AND rank = 'preferred' AND object % 2 = 0)",
+        "p0 AS (SELECT [x] AS nodes, CAST(0 AS BIGINT) AS shown, 'open' AS status, CAST(0 AS BIGINT) AS score FROM (VALUES (CAST(1 AS BIGINT)), (2), (3)) v(x))",
+        f"s0 AS MATERIALIZED ({best('p0')})",
+        f"left0 AS MATERIALIZED (SELECT CAST({budget} AS BIGINT) AS left_over)",
+    ]
+    for k in range(1, rounds + 1):
+        own = "nodes, shown, score, state"
+        acts = f"SELECT {own}, 'follow:' || CAST(target AS VARCHAR) AS action, target, gain FROM o{k} JOIN e ON source = nodes[-1]{' WHERE place <= shown' if page_rows else ''}"
+        if page_rows:
+            acts += f" UNION ALL SELECT {own}, 'list', NULL, -5 FROM o{k} JOIN e ON source = nodes[-1] WHERE place = shown + 1"
+        acts += f" UNION ALL SELECT {own}, 'submit', NULL, -10 FROM o{k} JOIN goal ON node = nodes[-1]"
+        parts += [
+            f"o{k} AS MATERIALIZED (SELECT * FROM s{k - 1} WHERE status = 'open' AND (SELECT left_over FROM left{k - 1}) > 0)",
+            f"r{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY gain DESC, sha256('s|' || state || '|' || action)) AS r FROM ({acts})) WHERE r <= {per_state})",
+            f"x{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, sha256('s|' || state), r) AS t FROM r{k}) WHERE t <= (SELECT left_over FROM left{k - 1}))",
+            f"left{k} AS MATERIALIZED (SELECT left_over - (SELECT count(*) FROM x{k}) AS left_over FROM left{k - 1})",
+            f"y{k} AS MATERIALIZED (SELECT * FROM x{k} WHERE target IS NULL OR NOT list_contains(nodes, target))",
+            f"p{k} AS (SELECT nodes, shown, status, score FROM s{k - 1} WHERE status <> 'open' OR (SELECT left_over FROM left{k - 1}) <= 0"
+            f" UNION ALL SELECT CASE WHEN target IS NULL THEN nodes ELSE list_append(nodes, target) END, CASE action WHEN 'list' THEN shown + {page_rows or 0} WHEN 'submit' THEN shown ELSE 0 END, CASE action WHEN 'submit' THEN 'submitted' ELSE 'open' END, score + gain FROM y{k}"
+            f" UNION ALL SELECT nodes, shown, 'exhausted', score FROM o{k} WHERE state NOT IN (SELECT state FROM {'y' if keep_blocked else 'r'}{k}))",
+            f"s{k} AS MATERIALIZED ({best(f'p{k}')})",
+        ]
+    body = f"SELECT array_to_string(nodes, '>') AS path, shown, status, score, row_number() OVER (ORDER BY status = 'submitted' DESC, score DESC, sha256('s|' || {key} || '|' || status)) = 1 AS final FROM s{rounds}"
+    return oracle(FACTS, LINKS, *parts, body=body)
 
 
 def gr13(s, d):
@@ -147,8 +200,8 @@ _add("se01_legal_links", lambda s, d: O.ranked(V.links(s, d), ["source"], ["pos"
 _add("se02_verified_actions", lambda s, d: routes(s, d).join(V.links(s, d).select("source", "target"), ["source", "target"], "left_semi").select("route", "step"), oracle(LINKS, ROUTES, body="SELECT route, step FROM r WHERE EXISTS (SELECT 1 FROM links l WHERE l.source = r.source AND l.target = r.target)"))
 _add("se03_environment_manifest", lambda s, d: V.links(s, d).groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("target")).cast("array<string>"), ","), 256).alias("digest")),
      oracle(LINKS, body="SELECT source, count(*) AS n, sha256(string_agg(CAST(target AS VARCHAR), ',' ORDER BY target)) AS digest FROM links GROUP BY 1"))
-_add("se04_beam_search", lambda s, d: _beam(s, d, 3, 10), beam_sql(3, 10))
-_add("se05_wide_beam_search", lambda s, d: _beam(s, d, 2, 60), beam_sql(2, 60))
+_add("se04_beam_search", lambda s, d: _search(s, d, 10, 5, 120), search_sql(10, 5, 120))
+_add("se05_wide_beam_search", lambda s, d: _search(s, d, 30, 4, 150, 10, False), search_sql(30, 4, 150, 10, False))
 
 
 def se06(s, d):

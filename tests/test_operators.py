@@ -254,3 +254,30 @@ def test_document_replaced_whole(spark, tmp_path):
     assert [r.k for r in spark.read.json(path).collect()] == [2]
     with pytest.raises(ValueError):
         L.append_more(spark.createDataFrame([(3,)], "k int"), f"{tmp_path}/none")
+
+
+def test_search_keeps_terminal_states_and_stops_at_the_budget(spark):
+    links = spark.createDataFrame([(1, 2, 1, -1), (1, 3, 2, -2), (2, 1, 1, -1), (3, 4, 1, -9)], "source long, target long, place long, gain long")
+    start, answers = spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([(3,)], "node long")
+    rows = lambda df: sorted((tuple(r.path), r.shown, r.status, r.score, r.final) for r in df.collect())
+    # page 2 leads back only, page 3 submits or goes on to page 4, which has no links
+    assert rows(G.search(start, links, answers, 10, 5, 100, "s", submit_gain=-3)) == [((1, 2), 0, "exhausted", -1, False), ((1, 3), 0, "submitted", -5, True), ((1, 3, 4), 0, "exhausted", -11, False)]
+    assert rows(G.search(start, links, answers, 10, 5, 1, "s")) == [((1, 2), 0, "open", -1, True)]
+    assert rows(G.search(start, links, answers, 10, 5, 0, "s")) == [((1,), 0, "open", 0, True)]
+    # with pages of one link, a state whose actions all lead back is not kept
+    got = rows(G.search(start, links, answers, 10, 5, 3, "s", page_rows=1, list_gain=-1, keep_blocked=False))
+    assert got == [((1,), 2, "open", -2, True), ((1, 2), 0, "open", -2, False)]
+    assert rows(G.search(start.where("false"), links, answers, 10, 5, 3, "s")) == []
+
+
+def test_chains_take_single_next_facts_within_the_caps(spark):
+    day = lambda n: D(2024, 1, n)
+    facts = spark.createDataFrame(
+        [(1, "a", 2, day(1)), (2, "a", 3, day(6)), (2, "a", 9, day(8)), (2, "b", 4, day(7)), (2, "b", 5, day(7)), (2, "c", 1, day(6)), (3, "b", 6, day(9)), (3, "a", 7, day(9))],
+        "source long, property string, target long, at date",
+    )
+    rates = spark.createDataFrame([("a", "x", 10), ("b", "y", 20), ("c", "x", 5)], "property string, family string, rate long")
+    got = G.discover_chains(facts, rates, facts, "2024-01-05", 3, 10, 5, 2, 1, 300, "s").collect()
+    # b is ambiguous at page 2, c leads back, a third a is over the cap
+    assert sorted((tuple(r.path), tuple(r.properties), r.score) for r in got) == [((1, 2, 3), ("a", "a"), 320), ((1, 2, 3, 6), ("a", "a", "b"), 640)]
+    assert G.discover_chains(facts, rates, facts.where("target <> 6"), "2024-01-05", 3, 10, 5, 2, 2, 300, "s").collect() == []
