@@ -7,8 +7,6 @@ costs one level.  Depth and caps are explicit, and truncation is reported.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
