@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
@@ -35,6 +35,7 @@ from strataline.llm.shared import settle
 LEAST_BYTES = 100
 SEED_BYTES = 24
 SCAN_ROWS = 60_000
+SMALL_ROWS = 100_000  # rows of 24 bytes that may be broadcast
 _POSITION_BITS = np.uint64(21)
 _POSITION_MASK = np.uint64((1 << 21) - 1)
 
@@ -79,7 +80,7 @@ def _seed_rows(least: int, seed: int):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
+            ids, base = np.asarray(batch.column("doc_id")), np.asarray(batch.column("base"))
             data, offsets, _ = K.column_bytes(batch.column("text"))
             for a, b in K.pieces(offsets):
                 lo, hi = int(offsets[a]), int(offsets[b])
@@ -93,7 +94,7 @@ def _seed_rows(least: int, seed: int):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(h.view(np.int64)), pa.array(region.view(np.int64)), pa.array(ids[a + own]),
-                                pa.array(first - bounds[own] + (cut - lo)), pa.array((off * 128 + count).astype(np.int32)),
+                                pa.array(base[a + own] + first - bounds[own] + (cut - lo)), pa.array((off * 128 + count).astype(np.int32)),
                             ],
                             ["seed", "region", "doc_id", "start", "shape"],
                         )
@@ -146,9 +147,9 @@ def _contexts():
             flat = lists.flatten()
             own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             seed, start, end, spot = (np.asarray(flat.field(k)) for k in range(4))
-            base = offsets[own]
+            base = offsets[own] - np.asarray(batch.column("base"))[own]  # of the document's first byte
             ids = np.asarray(batch.column("doc_id"))[own]
-            fits = (base + end) <= offsets[own + 1]
+            fits = (base + start >= offsets[own]) & (base + end <= offsets[own + 1])
             left, right = [], []
             for b, s, e, q in zip(base[fits].tolist(), start[fits].tolist(), end[fits].tolist(), spot[fits].tolist()):
                 left.append(raw[b + s : b + q][::-1].tobytes())
@@ -315,15 +316,37 @@ def _scan_left(least: int, seed_bytes: int):
     return scan
 
 
+def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with `_cut_id` and `_cut_base`: where the text of a row starts in its document.
+
+    A document is all the different texts of one id, one after the other by
+    hash; matches stay inside one text.  Nearly every id has one text, so only
+    the texts that start behind others are named, and joined by broadcast while
+    they are few.
+    """
+    named = docs.withColumns({"_cut_id": F.col(doc_id).cast("long"), "_cut_h": F.xxhash64(F.col(text))})
+    texts = named.where(F.col("_cut_id").isNotNull()).select("_cut_id", "_cut_h", F.octet_length(F.col(text)).cast("long").alias("_cut_n")).where("_cut_n > 0").distinct()
+    before = Window.partitionBy("_cut_id").orderBy("_cut_h").rowsBetween(Window.unboundedPreceding, -1)
+    behind = settle(texts.withColumn("_cut_base", F.sum("_cut_n").over(before)).where("_cut_base > 0").drop("_cut_n"), "texts")
+    side = F.broadcast(behind) if behind.count() <= SMALL_ROWS else behind.hint("merge")
+    return named.join(side, ["_cut_id", "_cut_h"], "left").drop("_cut_h").withColumn("_cut_base", F.coalesce("_cut_base", F.lit(0).cast("long")))
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """(doc_id, start, end): byte spans covered by strings of `least` bytes that also start earlier.
 
     Earlier means a smaller doc_id, or the same document and an earlier start.
     The spans of a document may overlap.  Texts that are null, empty or shorter
-    than `least` bytes, and rows with a null id, give none.  Rows repeated under
-    one id are one document.  Other columns are not read.
+    than `least` bytes, and rows with a null id, give none.  Rows that repeat an
+    id and its text are one document; if an id has several texts, its offsets
+    run on through them in the order of their hashes (xxhash64).  Other columns
+    are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and octet_length(text) >= " + str(least))
+    return _spans(_placed(docs.select(doc_id, text), doc_id, text), text, least, seed_bytes)
+
+
+def _spans(placed: DataFrame, text: str, least: int, seed_bytes: int) -> DataFrame:
+    rows = placed.select(F.col("_cut_id").alias("doc_id"), F.col(text).alias("text"), F.col("_cut_base").alias("base")).where("doc_id is not null and octet_length(text) >= " + str(least))
     seeds = rows.mapInArrow(_seed_rows(least, seed_bytes), _SEED_SCHEMA)
     order = ["seed", "region", "doc_id", "start"]
     regions = settle(
@@ -369,70 +392,84 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return grouped.mapInArrow(merge, "doc_id long, starts array<long>, ends array<long>")
 
 
-def _kept(raw: np.ndarray, starts: list[int], ends: list[int]) -> bytes:
+def _kept(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     keep = np.ones(len(raw), dtype=bool)
-    for s, e in zip(starts, ends):
+    for s, e in zip(starts.tolist(), ends.tolist()):
         keep[s:e] = False
     return raw[keep].tobytes()
 
 
+def _own_runs(batch: pa.RecordBatch, row: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the document that lie in the text of a row, from the start of the text."""
+    base = batch.column("_cut_base")[row].as_py()
+    starts, ends = (np.asarray(batch.column(c)[row].values if batch.column(c)[row].is_valid else [], np.int64) - base for c in ("_cut_starts", "_cut_ends"))
+    starts, ends = np.maximum(starts, 0), np.minimum(ends, size)
+    return starts[starts < ends], ends[starts < ends]
+
+
+def _with_runs(docs: DataFrame, doc_id: str, text: str, least: int, seed_bytes: int) -> DataFrame:
+    """docs with `_cut_id`, `_cut_base` and the covered runs `_cut_starts` and `_cut_ends` of the row's document."""
+    placed = _placed(docs, doc_id, text)
+    runs = merge_spans(_spans(placed, text, least, seed_bytes))
+    return placed.join(runs.select(F.col("doc_id").alias("_cut_id"), F.col("starts").alias("_cut_starts"), F.col("ends").alias("_cut_ends")), "_cut_id", "left")
+
+
 def removal_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """Per row of docs: n_bytes, removed bytes and runs, and SHA-256 of the bytes that stay.
 
-    A null text has no bytes.  Rows with a null id lose nothing.
+    A null text has no bytes.  Rows with a null id lose nothing.  Rows that
+    repeat an id and its text fare alike; of several texts of an id each loses
+    what also starts in one before it (in the order of hashes).
     """
-    runs = merge_spans(repeated_spans(docs, doc_id, text, least, seed_bytes))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(runs, "doc_id", "left")
+    rows = _with_runs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", least, seed_bytes)
 
     def digest(batches):
         for batch in batches:
             data, offsets, _ = K.column_bytes(batch.column("text"))
-            starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
             removed, count, sums = [], [], []
             for i in range(batch.num_rows):
                 raw = data[offsets[i] : offsets[i + 1]]
-                kept = raw.tobytes() if starts[i] is None else _kept(raw, starts[i], ends[i])
+                starts, ends = _own_runs(batch, i, len(raw))
+                kept = _kept(raw, starts, ends) if len(starts) else raw.tobytes()
                 removed.append(len(raw) - len(kept))
-                count.append(len(starts[i] or ()))
+                count.append(len(starts))
                 sums.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string())],
+                [batch.column("_cut_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sums, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("_cut_id", "text", "_cut_base", "_cut_starts", "_cut_ends").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """docs with the repeated spans cut out of their texts; other columns stay.
 
-    Only whole characters go, so the texts stay valid.  Documents of which
-    nothing is left are dropped; texts that were null or empty stay.
+    Only whole characters go, so the texts stay valid.  Rows of which nothing
+    is left are dropped; texts that were null or empty stay.  Several texts of
+    one id are parts of one document, as in repeated_spans.
     """
-    runs = merge_spans(repeated_spans(docs, doc_id, text, least, seed_bytes)).select(F.col("doc_id").alias("_cut_doc"), F.col("starts").alias("_cut_starts"), F.col("ends").alias("_cut_ends"))
     names = docs.columns
-    rows = docs.join(runs, F.col(doc_id).cast("long") == F.col("_cut_doc"), "left").drop("_cut_doc")
+    rows = _with_runs(docs, doc_id, text, least, seed_bytes).select(*names, "_cut_base", "_cut_starts", "_cut_ends")
     place = names.index(text)
 
     def cut(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            starts, ends = batch.column("_cut_starts").to_pylist(), batch.column("_cut_ends").to_pylist()
-            stay = []
-            for i, s in enumerate(starts):
-                if s:
-                    raw = np.frombuffer(texts[i].encode(), np.uint8)
-                    whole = np.r_[(raw & 0xC0) != 0x80, True]
-                    for k in range(len(s)):
-                        while not whole[s[k]]:
-                            s[k] += 1
-                        while ends[i][k] > s[k] and not whole[ends[i][k]]:
-                            ends[i][k] -= 1
-                    texts[i] = _kept(raw, s, ends[i]).decode()
-                stay.append(not s or bool(texts[i]))
+            stay = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(np.asarray(batch.column("_cut_starts").is_valid())).tolist():
+                raw = np.frombuffer((texts[i] or "").encode(), np.uint8)
+                starts, ends = _own_runs(batch, i, len(raw))
+                if not len(starts):
+                    continue
+                # the next start of a character from each start, the last one before each end
+                whole = np.flatnonzero(np.r_[(raw & 0xC0) != 0x80, True])
+                starts, ends = whole[np.searchsorted(whole, starts)], whole[np.searchsorted(whole, ends, side="right") - 1]
+                texts[i] = _kept(raw, starts, ends).decode()
+                stay[i] = bool(texts[i])
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
 
     return rows.mapInArrow(cut, docs.schema)
 

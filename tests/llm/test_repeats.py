@@ -60,6 +60,26 @@ def test_long_text_and_repeated_rows(spark):
     assert got == [(1, 0, 0), (1, 0, 0), (2, 3000, 1)]
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_ids_with_several_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "SMALL_ROWS", most)
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, other = fresh(150), fresh(120)
+    rows = [(1, core + fresh(40)), (1, fresh(30) + core), (1, fresh(300)), (2, fresh(10) + core), (2, other), (2, "short"), (2, None), (3, other + "!"), (3, fresh(200)), (None, core)]
+    rows += rows[:2]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, _n int").repartition(2)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in R.removal_digest(docs).collect())
+    # one of the two texts of id 1 that hold the core comes first, the other one loses it
+    lost = [x for x in got if x[0] == 1 and x[2]]
+    assert len(lost) == 2 and len(set(lost)) == 1 and lost[0][2:] == (150, 1)
+    assert [x for x in got if x[0] != 1] == sorted([(0, 150, 0, 0), (2, 160, 150, 1), (2, 120, 0, 0), (2, 5, 0, 0), (2, 0, 0, 0), (3, 121, 120, 1), (3, 200, 0, 0)])
+    cut = [(r.doc_id, r.text) for r in R.cut_repeats(docs).collect()]
+    assert sum(core in (t or "") for i, t in cut if i == 1) == 2 and len(cut) == len(rows)
+    assert {(i, t) for i, t in cut if i == 2} == {(2, rows[3][1][:10]), (2, other), (2, "short"), (2, None)}
+    assert {(i, t) for i, t in cut if i == 3} == {(3, "!"), (3, rows[8][1])}
+
+
 def test_cut_keeps_whole_characters(spark):
     rng = random.Random(4)
     core = "".join(rng.choice("éüäö") for _ in range(80))
