@@ -64,12 +64,19 @@ def resolve_cascade(rows: DataFrame, nodes: DataFrame, title: str, exact: str, g
 
 
 def version_pairs(versions: DataFrame, title: str, version: str, most: int) -> DataFrame:
-    """Ordered pairs of distinct versions of one title; titles with more than `most` versions are refused."""
-    worst = versions.groupBy(title).agg(F.countDistinct(version).alias("n")).agg(F.max("n")).first()[0] or 0
-    if worst > most:
-        raise ValueError(f"a title has {worst} versions, more than {most}")
-    a, b = versions.select(title, F.col(version).alias("a")).distinct(), versions.select(title, F.col(version).alias("b")).distinct()
-    return a.join(b, title).where("a <> b")
+    """Ordered pairs (a, b) of distinct versions of one title.
+
+    The versions of a title with more than `most` are one row each, with a null
+    b that stands for all others of the title: as many rows as versions, from
+    which the pairs follow.
+    """
+    rows = versions.select(title, F.col(version).alias("a")).distinct()
+    sizes = rows.groupBy(title).agg(F.count("*").alias("_n"))
+    rows = rows.join(sizes, title)
+    few = rows.where(F.col("_n") <= most).drop("_n")
+    pairs = few.join(few.withColumnRenamed("a", "b"), title).where("a <> b")
+    many = rows.where(F.col("_n") > most).drop("_n")
+    return pairs.unionByName(many.withColumn("b", F.lit(None).cast(many.schema["a"].dataType)))
 
 
 def stub_join(links: DataFrame, nodes: DataFrame, target: str, node: str, cap: int) -> DataFrame:

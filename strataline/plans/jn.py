@@ -152,8 +152,8 @@ def jn13(s, d):
 _add("jn13_backlinks", jn13, oracle(LINKS, body="SELECT target, source, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos, source) AS place FROM links) WHERE place <= 5"))
 _add("jn14_claims_with_links", lambda s, d: V.facts(s, d).where("rank = 'preferred'").select("subject", "object").distinct().join(V.links(s, d).select(F.col("source").alias("subject"), F.col("target").alias("object")), ["subject", "object"]),
      oracle(FACTS, LINKS, body="SELECT DISTINCT subject, object FROM facts JOIN links ON source = subject AND target = object WHERE rank = 'preferred'"))
-_add("jn15_version_pairs", lambda s, d: J.version_pairs(V.revisions(s, d), "page", "revision_id", 1000),
-     oracle(REVISIONS, body="SELECT a.page, a.revision_id AS a, b.revision_id AS b FROM revisions a JOIN revisions b ON a.page = b.page AND a.revision_id <> b.revision_id"))
+_add("jn15_version_pairs", lambda s, d: J.version_pairs(V.revisions(s, d), "page", "revision_id", 12),
+     oracle(REVISIONS, "n AS (SELECT page, count(DISTINCT revision_id) AS n FROM revisions GROUP BY page)", body="SELECT a.page, a.revision_id AS a, b.revision_id AS b FROM revisions a JOIN revisions b ON a.page = b.page AND a.revision_id <> b.revision_id JOIN n ON a.page = n.page WHERE n <= 12 UNION ALL SELECT DISTINCT page, revision_id, NULL FROM revisions JOIN n USING (page) WHERE n > 12"))
 _add("jn16_stub_join", lambda s, d: J.stub_join(V.links(s, d).select("source", "target"), V.table(s, d, "supplier").select("s_suppkey"), "target", "s_suppkey", 30).select("source", "target", "kind"),
      oracle(LINKS, "u AS (SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT s_suppkey FROM supplier) ORDER BY target LIMIT 30)", body="SELECT source, target, CASE WHEN target IN (SELECT s_suppkey FROM supplier) THEN 'node' WHEN target IN (SELECT target FROM u) THEN 'stub' ELSE 'external' END AS kind FROM links"))
 

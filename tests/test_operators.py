@@ -81,11 +81,14 @@ def test_arena_switches_versions_and_reports_truncation(spark):
     assert G.arena(links, versions, target, 3, 2)[2]
 
 
-def test_version_pairs_refuse_large_titles(spark):
-    rows = spark.createDataFrame([(1, i) for i in range(5)], "page int, v int")
-    assert J.version_pairs(rows, "page", "v", 5).count() == 20
-    with pytest.raises(ValueError):
-        J.version_pairs(rows, "page", "v", 4)
+def test_version_pairs_of_large_titles_are_members(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 7), (2, 8), (2, 8), (3, 9)], "page int, v int")
+    small = {(2, 7, 8), (2, 8, 7)}
+    got = J.version_pairs(rows, "page", "v", 5)
+    assert {tuple(r) for r in got.collect()} == small | {(1, i, j) for i in range(5) for j in range(5) if i != j} and got.count() == 22
+    got = J.version_pairs(rows, "page", "v", 4)
+    assert {tuple(r) for r in got.collect()} == small | {(1, i, None) for i in range(5)} and got.count() == 7
+    assert J.version_pairs(rows.limit(0), "page", "v", 4).count() == 0
 
 
 def test_text_functions(spark):
