@@ -5,12 +5,11 @@ whole corpus and without a cut.  A word is known, and so is an n-gram, if some
 language has it once.  A word that is not known is read by the longest known
 n-gram that ends at each of its characters.
 
-The counts are a table in the shared folder.  Its frequent part is broadcast: a
-key is frequent if its share of the counts of its order is at least `share` for
-each language that has it, so that the part has at most 1 / share entries an
-order, whatever the corpus and the number of languages.  All other words are
-looked up by joins, and of the words the table has not, the n-grams.  `share`
-moves work between the two and changes no result.
+The counts are a table in the shared folder.  Its frequent part is broadcast:
+the keys with the highest counts, as many as have `most` entries (of a key and a
+language) an order, whatever the corpus and the number of languages.  All other
+words are looked up by joins, and of the words the table has not, the n-grams.
+`most` moves work between the two and changes no result.
 
 A frequency counts above the floor, half of one occurrence in the largest
 language: the floor itself adds alike to all languages.
@@ -30,7 +29,8 @@ from strataline.llm import textkit as K
 from strataline.llm.shared import crc_mod, settle, table
 
 ORDERS = (4, 3, 2, 1)
-SHARE = 1e-6
+MOST = 1 << 20
+_STEPS = 8  # of a doubling of counts
 UNKNOWN = "und"
 HELD_KEYS = 4 << 20
 
@@ -160,7 +160,7 @@ class LanguageModel:
     floors: DataFrame
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> LanguageModel:
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST) -> LanguageModel:
     """Counts over all rows of docs with a text and a language; repeated rows count as often as they stand there."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -169,13 +169,19 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", share
     # one row for each language and order
     totals = {(r.lang, r.ord): r.n for r in counts.select("ord", F.inline("by")).groupBy("lang", "ord").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({x for x, _ in totals})
-    most = {o: max((n for (_, p), n in totals.items() if p == o), default=1) for o in (0, *ORDERS)}
-    logs = {(x, o): float(np.log(2.0 * most[o] / n)) for (x, o), n in totals.items()}
-    whole = {o: sum(n for (_, p), n in totals.items() if p == o) for o in (0, *ORDERS)}
-    least = F.lit(0.0)
-    for o, n in whole.items():
-        least = F.when(F.col("ord") == o, F.lit(n * share)).otherwise(least)
-    often = counts.where(F.col("n") >= least * F.size("by")).select("ord", "key", F.inline("by")).toArrow()
+    logs = {(x, o): float(np.log(2.0 * max(m for (_, p), m in totals.items() if p == o) / n)) for (x, o), n in totals.items()}
+    step = F.floor(F.log2("n") * _STEPS)
+    # at most 64 * _STEPS rows for each order
+    sizes = sorted(counts.groupBy("ord", step.alias("step")).agg(F.sum(F.size("by")).alias("entries")).collect(), key=lambda r: -r.step)
+    taken, lowest = dict.fromkeys((0, *ORDERS), 0), {}
+    for r in sizes:
+        taken[r.ord] += r.entries
+        if taken[r.ord] <= most:
+            lowest[r.ord] = r.step
+    often = F.lit(False)
+    for o, least in lowest.items():
+        often = often | ((F.col("ord") == o) & (step >= least))
+    often = counts.where(often).select("ord", "key", F.inline("by")).toArrow()
     floors = spark.createDataFrame([(x, o, langs.index(x), base) for (x, o), base in logs.items()], "lang string, ord int, no int, base double")
     return LanguageModel(langs, Frequent(langs, often, logs), counts, floors)
 
@@ -267,7 +273,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     read = _over(asked, "text", "doc_id", _read, ["words", "gains", "rare"], "doc_id long, words long, gains array<double>, rare array<struct<key: long, n: long, word: string>>", model)
     read = settle(read.withColumn("row", F.monotonically_increasing_id()), "language-words")
     rare = read.select("row", F.inline("rare"))
-    names = rare.groupBy("key").agg(F.any_value("word").alias("word"))
+    names = rare.select("key", "word").distinct()
     floors = F.broadcast(model.floors)  # one row for each language and order
 
     counts = model.counts.where("ord = 0").select("key", "by")
