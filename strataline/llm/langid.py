@@ -6,10 +6,12 @@ language has it once.  A word that is not known is read by the longest known
 n-gram that ends at each of its characters.
 
 The counts are a table in the shared folder.  Its frequent part is broadcast:
-the keys with the highest counts, as many as have `most` entries (of a key and a
-language) an order, whatever the corpus and the number of languages.  All other
-words are looked up by joins, and of the words the table has not, the n-grams.
-`most` moves work between the two and changes no result.
+the keys that make up `share` or more of the counts of their order, so that the
+words left over grow with the input, and of those the most frequent that have
+`most` entries (of a key and a language) together, which bounds it whatever the
+corpus and the number of languages.  All other words are looked up by joins, and
+of the words the table has not, the n-grams.  Both figures move work between the
+two ways and change no result.
 
 A frequency counts above the floor, half of one occurrence in the largest
 language: the floor itself adds alike to all languages.
@@ -29,6 +31,7 @@ from strataline.llm import textkit as K
 from strataline.llm.shared import crc_mod, settle, table
 
 ORDERS = (4, 3, 2, 1)
+SHARE = 1e-7
 MOST = 1 << 20
 _STEPS = 8  # of a doubling of counts
 UNKNOWN = "und"
@@ -160,7 +163,7 @@ class LanguageModel:
     floors: DataFrame
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST) -> LanguageModel:
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, most: int = MOST) -> LanguageModel:
     """Counts over all rows of docs with a text and a language; repeated rows count as often as they stand there."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -180,7 +183,8 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", most:
             lowest[r.ord] = r.step
     often = F.lit(False)
     for o, least in lowest.items():
-        often = often | ((F.col("ord") == o) & (step >= least))
+        total = sum(n for (_, p), n in totals.items() if p == o)
+        often = often | ((F.col("ord") == o) & (step >= least) & (F.col("n") >= share * total))
     often = counts.where(often).select("ord", "key", F.inline("by")).toArrow()
     floors = spark.createDataFrame([(x, o, langs.index(x), base) for (x, o), base in logs.items()], "lang string, ord int, no int, base double")
     return LanguageModel(langs, Frequent(langs, often, logs), counts, floors)
@@ -277,9 +281,10 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     floors = F.broadcast(model.floors)  # one row for each language and order
 
     counts = model.counts.where("ord = 0").select("key", "by")
-    known = names.join(counts, "key").select("key", F.lit(0).alias("ord"), F.inline("by")).join(floors, ["lang", "ord"])
+    names = settle(names.join(counts, "key", "left").select("key", F.when(F.col("by").isNull(), F.col("word")).alias("word"), "by"), "language-lookup")
+    known = names.where("by is not null").select("key", F.lit(0).alias("ord"), F.inline("by")).join(floors, ["lang", "ord"])
     known = known.select("key", "no", (F.log("n") + F.col("base")).alias("gain"))
-    unseen = _over(names.join(counts, "key", "left_anti"), "word", "key", _read_unseen, ["gains", "grams"], "key long, gains array<double>, grams array<struct<place: long, ord: int, gram: long>>", model)
+    unseen = _over(names.where("by is null"), "word", "key", _read_unseen, ["gains", "grams"], "key long, gains array<double>, grams array<struct<place: long, ord: int, gram: long>>", model)
     unseen = settle(unseen, "language-unseen")
     near = unseen.select("key", F.posexplode("gains").alias("no", "gain")).where("gain > 0")
     grams = model.counts.where("ord > 0").select("ord", F.col("key").alias("gram"), "by")

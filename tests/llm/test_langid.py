@@ -98,14 +98,14 @@ def plain_scores(learn, ask):
     return out
 
 
-@pytest.mark.parametrize("most", [1 << 20, 40, 0])
-def test_equals_plain_backoff_whatever_is_frequent(spark, most):
+@pytest.mark.parametrize("most,share", [(1 << 20, 0.0), (40, 0.0), (0, 0.0), (1 << 20, 0.02)])
+def test_equals_plain_backoff_whatever_is_frequent(spark, most, share):
     rng = random.Random(8)
     learn = [(text(rng, lang := rng.choice(list(STEMS)), rng.randint(1, 12)), lang) for _ in range(40)]
     learn += learn[:3] + [(None, "xx"), ("loner", None), ("", "yy"), ("नमस्ते दुनिया", "hi"), ("Straße İx", "yy")]
     ask = [text(rng, rng.choice(list(STEMS)), rng.randint(1, 4)) + rng.choice(["", " kaloq", " qbru brqq", " мирtaso", " ्"]) for _ in range(60)]
     ask += [None, "", " ् 12", "qqqq", "नमस्", "STRASSE straße", ask[0], ask[1], "kalo " * 50 + "q" * 300]
-    model = L.fit_languages(spark.createDataFrame(learn, "text string, lang string").repartition(3), most=most)
+    model = L.fit_languages(spark.createDataFrame(learn, "text string, lang string").repartition(3), most=most, share=share)
     rows = spark.createDataFrame([(i // 2 if i % 7 else None, x, i) for i, x in enumerate(ask)], "doc_id long, text string, score int").repartition(3)
     got = sorted((r.doc_id or -1, r.lang_pred, round(r.score, 6)) for r in L.identify(rows, model).collect())
     want = plain_scores(learn, ask)
