@@ -62,6 +62,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names for a helper that df has not, in any case of letters: the given names, with underscores as needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def numbered(df: DataFrame, order: list[Column], place: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with a column `place`: 1, 2, 3 ... in the given order, anew for each value of the columns `by`.
+
+    Rows are dealt by ranges of the order and settled.  What goes to the driver
+    and back is one row for each partition, or each partition and value of `by`
+    that it holds; as the rows lie in the order of `by`, these are at most the
+    partitions and the values together.
+    """
+    at, part, ahead, *same = fresh(df, "at", "part", "ahead", *by)
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    # more partitions than the session's would only be smaller
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = settle(dealt.withColumn(at, F.monotonically_increasing_id()), name)
+    low = (1 << 33) - 1  # an id holds the partition above 33 bits of the row's number in it
+    held = placed.groupBy(F.shiftright(at, 33).alias(part), *(F.col(c).alias(s) for c, s in zip(by, same))).agg(F.count("*").alias("n"), F.min(F.col(at).bitwiseAND(low)).alias("first")).collect()
+    before: dict[tuple, int] = {}
+    starts = []
+    for row in sorted(held, key=lambda row: row[0]):
+        value = tuple(row[1:-2])
+        starts.append((row[0], *value, before.get(value, 0) - row["first"] + 1))
+        before[value] = before.get(value, 0) + row["n"]
+    schema = ", ".join([f"{part} long", *(f"`{s}` {dict(df.dtypes)[c]}" for c, s in zip(by, same)), f"{ahead} long"])
+    offsets = df.sparkSession.createDataFrame(starts, schema)
+    match = F.shiftright(at, 33) == F.col(part)
+    for c, s in zip(by, same):
+        match &= F.col(c).eqNullSafe(F.col(s))
+    return placed.join(F.broadcast(offsets), match).select(*df.columns, (F.col(at).bitwiseAND(low) + F.col(ahead)).alias(place))
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the column as text, modulo `modulus`."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
