@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataline.llm import chat, decontaminate, embeddings, importance, jaccard, langid, pieces, quality, repeats, tokencounts, toxicity, wrappers
+from strataline.llm import chat, collocations, decontaminate, embeddings, importance, jaccard, langid, pieces, quality, repeats, tokencounts, toxicity, wrappers
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_html": wrappers.op8_html,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_array": repeats.op10_suffix_array,
+    "op11_collocations": collocations.op11_collocations,
     "op12_chat_format": chat.op12_chat_format,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_chat_format": chat.OP12_SQL,
     "op13_importance_resampling": importance.OP13_SQL,
 }
