@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import settle, table
+from strataline.llm.shared import set_aside, settle, table
 
 WINDOW_WORDS = 13
 BENCHMARK_BYTES = 24 << 20  # a block's set takes about seven times this in each Python worker, and is sent as twice this
@@ -157,7 +157,7 @@ def _scan_block(rows: DataFrame, shared, all_rows: bool) -> DataFrame:
 
 
 def _blocks_found(docs: DataFrame, blocks: Iterator[tuple[list, list]], text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """docs with a row number `_row`, and the merged findings of all blocks by `row`.
+    """docs with a row number `_row`, a name that docs must not have, and the merged findings of all blocks by `row`.
 
     docs are written once, so that a number stays with its row.  Each block is
     scanned and its findings written before the next is read, so driver and
@@ -228,7 +228,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     n, blocks = benchmark_blocks(benchmark, item_id, item_text)
     place = docs.columns.index(text)
     if n > 1:
-        names = docs.columns
+        names, schema = docs.columns, docs.schema
+        docs, text = set_aside(docs, text)
         numbered, found = _blocks_found(docs, blocks, text, window)
 
         def cut_found(batches):
@@ -239,7 +240,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         joined = numbered.join(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
-        return joined.select(*names, "_spans").mapInArrow(cut_found, docs.schema)
+        return joined.select(*docs.columns, "_spans").mapInArrow(cut_found, schema)
     shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*next(blocks), window))
 
     def cut(batches):
@@ -265,9 +266,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """
     n, blocks = benchmark_blocks(benchmark, item_id, item_text)
     if n > 1:
+        names = docs.columns
+        docs, text = set_aside(docs, text)
         numbered, found = _blocks_found(docs, blocks, text, window)
         gone = found.where(words_per_hit * F.col("n_hit") >= F.col("n_words")).select(F.col("row").alias("_row"))
-        return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+        return numbered.join(gone, "_row", "left_anti").select(*docs.columns).toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast(BenchmarkWindows(*next(blocks), window))
 
     def keep(batches):

@@ -30,7 +30,7 @@ LEAF_ROWS = 64
 FAN_OUT = 16
 GRID_DIMS = 4
 BOX_DIMS = 12
-SUMS = 16
+SUM_ROWS = 64
 _SLACK = 1e-6  # boxes are kept in single precision
 
 
@@ -74,7 +74,8 @@ def _moments(batches):
             total = total or {}
             total[size] = total.get(size, 0) + part
     for size, part in (total or {}).items():
-        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([part.ravel().tolist()], pa.list_(pa.float64()))], ["size", "part"])
+        for at in range(0, len(part), SUM_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([at], pa.int32()), pa.array([part[at : at + SUM_ROWS].tobytes()], pa.binary())], ["size", "at", "part"])
 
 
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,32 +85,43 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _add_up(batches):
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for size, part in zip(batch.column("size").to_pylist(), batch.column("part").to_pylist()):
-            total[size] = total.get(size, 0) + np.array(part)
-    for size, part in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([part.tolist()], pa.list_(pa.float64()))], ["size", "part"])
+        for *key, part in zip(*(batch.column(c).to_pylist() for c in ("size", "at", "part"))):
+            total[tuple(key)] = total.get(tuple(key), 0) + np.frombuffer(part, np.float64)
+    for (size, at), part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["size", "at", "part"])
 
 
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """For each vector size, the axes of greatest variance, from sums over all vectors.
 
-    The tasks' sums are added up in SUMS tasks before they reach the driver.
+    The tasks' sums are added up by rows of the matrix, so that one matrix of a
+    size reaches the driver, as bytes.
     """
-    sums: dict[int, np.ndarray] = {}
-    schema = "size int, part array<double>"
-    for r in classes.select("vector").mapInArrow(_moments, schema).repartition(SUMS).mapInArrow(_add_up, schema).collect():
-        sums[r["size"]] = sums.get(r["size"], 0) + np.array(r.part).reshape(r["size"] + 2, r["size"])
+    schema = "size int, at int, part binary"
+    parts = classes.select("vector").mapInArrow(_moments, schema).repartition("size", "at").mapInArrow(_add_up, schema).collect()
     axes = {}
-    for size, s in sums.items():
+    for size in sorted({r["size"] for r in parts}):
+        s = np.concatenate([np.frombuffer(r.part, np.float64) for r in sorted(parts, key=lambda r: r.at) if r["size"] == size]).reshape(size + 2, size)
         n = s[-1, 0]
         mean = s[size] / n
-        _, vectors = np.linalg.eigh(s[:size] / n - np.outer(mean, mean))
-        axes[size] = vectors[:, ::-1][:, :BOX_DIMS]
+        axes[size] = _leading_axes(s[:size] / n - np.outer(mean, mean))
     return axes
 
 
+def _leading_axes(covariance: np.ndarray) -> np.ndarray:
+    """The first BOX_DIMS principal axes; of large matrices by subspace iteration, as any orthonormal axes give right results."""
+    size = len(covariance)
+    if size <= 1024:
+        return np.linalg.eigh(covariance)[1][:, ::-1][:, :BOX_DIMS]
+    axes = np.random.RandomState(size).randn(size, 2 * BOX_DIMS)
+    for _ in range(12):
+        axes = np.linalg.qr(covariance @ axes)[0]
+    _, turn = np.linalg.eigh(axes.T @ covariance @ axes)
+    return (axes @ turn)[:, ::-1][:, :BOX_DIMS]
+
+
 def _cells(shared, eps: float):
     def run(batches):
         for batch in batches:
@@ -163,8 +175,8 @@ def _cut_blocks(shared):
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             while held.num_rows:
-                key = np.asarray(held.column("label")) * 8192 + np.asarray(held.column("size"))
-                run_ = int(np.argmax(np.r_[key[1:] != key[:-1], True])) + 1
+                label, size = np.asarray(held.column("label")), np.asarray(held.column("size"))
+                run_ = int(np.argmax(np.r_[(label[1:] != label[:-1]) | (size[1:] != size[:-1]), True])) + 1
                 if run_ == held.num_rows and run_ < BLOCK_ROWS:
                     break
                 take = min(run_, BLOCK_ROWS)

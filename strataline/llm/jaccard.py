@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import components, settle, table
+from strataline.llm.shared import components, set_aside, settle, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -348,12 +348,14 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     their other columns.  An id keeps those of its texts that are in different
     groups.  Rows with a null id, and texts without words, stay.
     """
+    names = docs.columns
+    docs, doc_id, text = set_aside(docs, doc_id, text)
     here = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_h": F.xxhash64(F.col(text)), "_n": F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())})
     gone = _linked(_rows(docs, doc_id, text), SHINGLE_WORDS, THRESHOLD, TOLERANCE).where("first <> struct(doc_id, h)").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     left = here.join(gone.hint("merge"), ["_id", "_h"], "left_anti")
     order = [x.name for x in docs.schema if x.name != text and not any(k in x.dataType.simpleString() for k in ("map<", "variant"))]
     one = left.groupBy("_id", "_h", "_n").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
-    return one.select("row.*")
+    return one.select("row.*").toDF(*names)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import settle
+from strataline.llm.shared import set_aside, settle
 
 LEAST_BYTES = 100
 SEED_BYTES = 24
@@ -449,9 +449,9 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     is left are dropped; texts that were null or empty stay.  Several texts of
     one id are parts of one document, as in repeated_spans.
     """
-    names = docs.columns
-    rows = _with_runs(docs, doc_id, text, least, seed_bytes).select(*names, "_cut_base", "_cut_starts", "_cut_ends")
-    place = names.index(text)
+    names, schema, place = docs.columns, docs.schema, docs.columns.index(text)
+    docs, doc_id, text = set_aside(docs, doc_id, text)
+    rows = _with_runs(docs, doc_id, text, least, seed_bytes).select(*docs.columns, "_cut_base", "_cut_starts", "_cut_ends")
 
     def cut(batches):
         for batch in batches:
@@ -471,7 +471,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
 
-    return rows.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

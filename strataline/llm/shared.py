@@ -73,6 +73,12 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """df with its columns called c0, c1 ... in their order, and what the given ones are called now: no helper column can meet them."""
+    plain = [f"c{k}" for k in range(len(df.columns))]
+    return (df.toDF(*plain), *(plain[df.columns.index(name)] for name in names))
+
+
 def numbered(df: DataFrame, order: list[Column], place: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df with a column `place`: 1, 2, 3 ... in the given order, anew for each value of the columns `by`.
 

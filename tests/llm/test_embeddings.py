@@ -65,3 +65,18 @@ def test_ids_with_several_vectors(spark):
 def test_block_numbers_have_no_gaps(spark):
     blocks = spark.createDataFrame([((task << 32) + k, "x") for task in (0, 3, 4, 9) for k in range(1, task + 2)], "block long, label string")
     assert sorted(r.block for r in E._numbered(blocks).collect()) == list(range(1 + 4 + 5 + 10))
+
+
+def test_sizes_and_labels_are_told_apart(spark):
+    rows = [(1, 0, 8193), (2, 0, 8193), (3, 1, 1), (4, 1, 1), (5, 2, 1), (6, 2, 8193)]
+    axes = spark.sparkContext.broadcast({8193: np.eye(8193, E.BOX_DIMS), 1: np.ones((1, 1))})
+    vectors = spark.createDataFrame([(n, label, size, 1, bytearray(np.ones(size).tobytes())) for n, label, size in rows], "node long, label long, size int, copies long, vector binary").coalesce(1)
+    blocks = vectors.mapInArrow(E._cut_blocks(axes), "block long, label long, size int, box array<float>, ids binary, copies binary, vectors binary").collect()
+    assert [(r["label"], r["size"], np.frombuffer(r.ids, np.int64).tolist()) for r in blocks] == [(0, 8193, [1, 2]), (1, 1, [3, 4]), (2, 1, [5]), (2, 8193, [6])]
+
+
+def test_axes_of_long_vectors(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, (rng.randn(1500) * (np.arange(1500) < 40) + (5 if i % 3 == 0 else 0.01)).tolist(), i % 2) for i in range(60)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == brute([(i, [float(np.float32(x)) for x in v], y) for i, v, y in rows]) and any(n for n, _ in got.values())
