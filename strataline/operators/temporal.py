@@ -85,20 +85,34 @@ def successor_transitions(rows: DataFrame, key: str, holder: str, order: list[st
     return later.where("from_holder is not null and from_holder <> to_holder")
 
 
-def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, ts: str, tie: str) -> DataFrame:
+def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, ts: str, tie: str, days: int = 32) -> DataFrame:
     """Each point with the last version of its key with ts <= at, or nulls where there is none.
 
-    The two sides are put in one sequence for each key, in time order, and the
-    version is carried forward: one shuffle by key, no range join.  Points keep
-    all their columns; version columns come as a struct `version`.
+    The two sides are put in one sequence for each key and stretch of `days`
+    days, in time order, and the version is carried forward; a point before the
+    first version of its stretch takes the last version of an earlier one, of
+    which there is one for each key and stretch.  So a key with many versions
+    is spread over its stretches, both sides are shuffled once, and there is no
+    range join.  Points keep all their columns; version columns come as a struct
+    `version`.  Versions without a key or time belong to no point, and a point
+    without one has no version.  Of equal times the greatest `tie` is the last.
     """
-    version = F.struct(*versions.columns)
-    names = points.columns
-    left = points.select(F.col(key).alias("_key"), F.col(at).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(versions.schema[tie].dataType).alias("_tie"), F.struct(*names).alias("_point"), F.lit(None).cast(versions.schema).alias("_version"))
-    right = versions.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(points.schema).alias("_point"), version.alias("_version"))
-    w = Window.partitionBy("_key").orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = left.unionByName(right).withColumn("version", F.last("_version", ignorenulls=True).over(w))
-    return carried.where("_side = 1").select("_point.*", "version")
+    stretch = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (days * 86_400))
+    kind = versions.schema
+    left = points.select(F.col(key).alias("_key"), F.col(at).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(kind[tie].dataType).alias("_tie"), F.struct(*points.columns).alias("_point"), F.lit(None).cast(kind).alias("_version"))
+    known = versions.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    right = known.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(points.schema).alias("_point"), F.struct(*versions.columns).alias("_version"))
+    sequence = left.unionByName(right).withColumn("_stretch", stretch(F.col("_ts")))
+    inside = Window.partitionBy("_key", "_stretch").orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = sequence.withColumn("version", F.last("_version", ignorenulls=True).over(inside)).where("_side = 1")
+    # the last version of each stretch, and the stretches that points ask for
+    ends = right.select("_key", stretch(F.col("_ts")).alias("_stretch"), "_ts", "_tie", "_version").groupBy("_key", "_stretch").agg(F.max_by("_version", F.struct("_ts", "_tie")).alias("_end"))
+    asked = left.where("_key is not null and _ts is not null").select("_key", stretch(F.col("_ts")).alias("_stretch")).distinct().withColumn("_end", F.lit(None).cast(kind))
+    before = Window.partitionBy("_key").orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = ends.withColumn("_asks", F.lit(False)).unionByName(asked.withColumn("_asks", F.lit(True))).withColumn("_earlier", F.last("_end", ignorenulls=True).over(before))
+    earlier = earlier.where(F.col("_asks") & F.col("_earlier").isNotNull()).select("_key", "_stretch", "_earlier")
+    found = carried.join(earlier, ["_key", "_stretch"], "left")
+    return found.select("_point.*", F.coalesce("version", "_earlier").alias("version"))
 
 
 def end_of_day(date: Column) -> Column:
