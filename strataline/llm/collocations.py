@@ -11,12 +11,12 @@ Level by level, the segments send the keys and lengths of their new lists; keys
 that are frequent over all segments go back to the segments that hold them, and
 only lists of those are kept and extended.  A word is reached only through the
 frequent phrase that starts one word later and ends with it, so no list is made
-that a shorter one rules out.  Keys are hashes that only rule out: frequencies
-are counted by the phrases themselves.
+that a shorter one rules out.  A key is 96 bits of hashes of the phrase; the
+first segment that holds it gives the phrase and its frequency.
 
-What is shuffled are keys (one row for each list and segment), the kept lists,
-and the frequent phrases with their counts.  Nothing is broadcast or collected
-but the places of the partitions of the last sort.
+What is shuffled are keys, one row for each list and segment, twice at most.
+The lists lie where they were made, dealt by segment.  Nothing is broadcast or
+collected but the places of the partitions of the last sort.
 """
 
 from __future__ import annotations
@@ -33,22 +33,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.llm import textkit as K
-from strataline.llm.shared import discard, numbered, settle, table
+from strataline.llm.shared import discard, numbered, settle, settle_dealt, table
 
 MOST_WORDS = 4
 LEAST = 30
 TOP = 2_000
 COVER_PERCENT = 80
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 20
 
 _ENDS_PIECE = np.zeros(256, dtype=bool)
 _ENDS_PIECE[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _IN_WORD = ~_ENDS_PIECE
 _IN_WORD[[ord(" "), ord("\t")]] = False
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
+_TWIST = np.uint64(0x2545F4914F6CDD1D)
 
-_INDEX = pa.schema([("seg", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("term_lang", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary())])
-_INDEX_SQL = "seg long, langs array<string>, lang_words array<long>, terms array<string>, term_lang array<int>, keys array<long>, counts array<long>, positions binary"
+_LISTS = "seg long, langs array<string>, terms array<string>, term_lang array<int>, keys array<long>, checks array<int>, counts array<long>, positions binary"
+_WORDS = _LISTS + ", lang_words array<long>"  # all words of a segment
+_OWN = _LISTS + ", own_lang array<string>, own_phrase array<string>, own_f array<long>"  # frequent phrases, and those that the segment gives
 
 
 def _packed(lists: np.ndarray, counts: np.ndarray) -> bytes:
@@ -91,7 +93,7 @@ class _Segment:
         self.n, self.next = 0, 0
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
-        self.known: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # key, language and word of the distinct words of a part
+        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []  # key, check, language and word of the distinct words of a part
 
     def add(self, data: np.ndarray, bounds: np.ndarray, langs: list[str]) -> None:
         low = K.lower(data)
@@ -101,6 +103,7 @@ class _Segment:
         number = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
         keys = K.mix(K.word_hashes(low, starts, ends) ^ salt[owner])
+        twisted = K.span_hash(K.prefix_sums(K.mix(K.byte_values(low) ^ _TWIST)), starts, ends) ^ salt[owner]
         breaks = np.r_[0, np.cumsum(_ENDS_PIECE[low])]
         apart = (breaks[starts[1:]] > breaks[ends[:-1]]) | (owner[1:] != owner[:-1])
         at = self.next + np.arange(len(starts)) + np.r_[0, np.cumsum(apart)]
@@ -117,24 +120,31 @@ class _Segment:
         text = low[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         offs = np.r_[0, np.cumsum(size)].astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(text.tobytes())])
-        self.known.append((keys[first], number[owner[first]], words))
+        self.known.append((keys[first], K.mix(twisted[first]).astype(np.uint32), number[owner[first]], words))
 
     def index(self, seg: int) -> pa.RecordBatch:
         keys, at = np.concatenate(self.keys), np.concatenate(self.at)
-        some, first = np.unique(np.concatenate([k for k, _, _ in self.known]), return_index=True)
-        lang = np.concatenate([x for _, x, _ in self.known])[first]
-        words = pa.concat_arrays([w for _, _, w in self.known]).take(pa.array(first)).cast(pa.string())
+        some, first = np.unique(np.concatenate([k for k, _, _, _ in self.known]), return_index=True)
+        checks, lang = (np.concatenate([x[k] for x in self.known])[first] for k in (1, 2))
+        words = pa.concat_arrays([x[3] for x in self.known]).take(pa.array(first)).cast(pa.string())
         term = np.searchsorted(some, keys)
         order = np.argsort(term, kind="stable")
         counts = np.bincount(term, minlength=len(some))
         words_of = np.bincount(lang, weights=counts, minlength=len(self.langs)).astype(np.int64)
-        return _index_row(seg, list(self.langs), words_of, words, lang, some, counts, at[order].astype(np.int64))
+        return pa.RecordBatch.from_arrays([*_list_columns(seg, list(self.langs), words, lang, some, checks, counts, at[order].astype(np.int64)), _one(pa.array(words_of))], [*_NAMES, "lang_words"])
 
 
-def _index_row(seg: int, langs: list[str], lang_words: np.ndarray, terms: pa.Array, term_lang: np.ndarray, keys: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    columns = [pa.array([seg]), one(pa.array(langs, pa.string())), one(pa.array(lang_words)), one(terms), one(pa.array(term_lang.astype(np.int32))), one(pa.array(keys.view(np.int64))), one(pa.array(counts.astype(np.int64))), pa.array([_packed(positions, counts)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, schema=_INDEX)
+_NAMES = ["seg", "langs", "terms", "term_lang", "keys", "checks", "counts", "positions"]
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A column of one row, which holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _list_columns(seg: int, langs: list[str], terms: pa.Array, term_lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> list[pa.Array]:
+    lists = [pa.array(langs, pa.string()), terms, *(pa.array(x) for x in (term_lang.astype(np.int32), keys.view(np.int64), checks.view(np.int32), counts.astype(np.int64)))]
+    return [pa.array([seg]), *map(_one, lists), pa.array([_packed(positions, counts)], pa.binary())]
 
 
 def _segments(most: int):
@@ -155,69 +165,114 @@ def _segments(most: int):
 
 
 class _Lists:
-    """A segment's occurrence lists, and what merging each with the next word's gives."""
+    """A segment's occurrence lists."""
 
     def __init__(self, batch: pa.RecordBatch, row: int):
         get = lambda name: batch.column(name)[row].values
-        self.terms, self.langs = get("terms"), batch.column("langs")[row].as_py()
-        self.lang, self.keys, counts = np.asarray(get("term_lang")), np.asarray(get("keys")).view(np.uint64), np.asarray(get("counts"))
-        positions = _unpacked(batch.column("positions")[row].as_py(), counts)
-        # both lists are in the order of positions on this axis, so they are merged by going along it
-        axis = np.full(int(positions.max(initial=0)) + 2, -1, np.int32)
-        axis[positions] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.at = np.flatnonzero((axis[:-1] >= 0) & (axis[1:] >= 0))
-        self.left, self.right = axis[self.at], axis[self.at + 1]
-        self.longer = K.mix(self.keys[self.left] * _FOLD + self.keys[self.right])
+        self.seg, self.langs, self.terms = batch.column("seg")[row].as_py(), batch.column("langs")[row].as_py(), get("terms")
+        self.lang, self.counts = np.asarray(get("term_lang")), np.asarray(get("counts"))
+        self.keys, self.checks = np.asarray(get("keys")).view(np.uint64), np.asarray(get("checks")).view(np.uint32)
+        self.positions = _unpacked(batch.column("positions")[row].as_py(), self.counts)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each position at which a phrase stands and one more a word later, with the numbers of both.
+
+        Both lists are in the order of positions on one axis, so they are merged
+        by going along it.
+        """
+        axis = np.full(int(self.positions.max(initial=0)) + 2, -1, np.int32)
+        axis[self.positions] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        at = np.flatnonzero((axis[:-1] >= 0) & (axis[1:] >= 0))
+        return at, axis[at], axis[at + 1]
+
+    def longer(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key and check of the phrases one word longer."""
+        keys = K.mix(self.keys[left] * _FOLD + self.keys[right])
+        checks = K.mix((self.checks[left].astype(np.uint64) << np.uint64(32)) + self.checks[right]) ^ K.mix(keys * _TWIST)
+        return keys, (checks >> np.uint64(32)).astype(np.uint32)
+
+
+class _Kept:
+    """The frequent keys of a segment, with the frequency of those whose phrase it gives (0 for others)."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        kept = batch.column("kept")[row].values
+        keys, checks, f = (np.asarray(kept.field(k)) for k in ("key", "check", "f"))
+        order = np.lexsort((checks, keys.view(np.uint64)))
+        self.keys, self.checks, self.f = keys.view(np.uint64)[order], checks.view(np.uint32)[order], f[order]
+        _, n = np.unique(self.keys, return_counts=True)
+        self.alike = int(n.max(initial=0))  # keys that differ in their check alone, if there are any
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each key and check, -1 where it is not kept."""
+        out, at = np.full(len(keys), -1, np.int64), np.searchsorted(self.keys, keys)
+        for k in range(self.alike):
+            place = np.minimum(at + k, len(self.keys) - 1)
+            out = np.where((self.keys[place] == keys) & (self.checks[place] == checks), place, out)
+        return out
 
 
 def _longer_keys(batches):
+    """Key, check and length of the list of every phrase that is one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
-            keys, n = np.unique(_Lists(batch, row).longer, return_counts=True)
-            seg = batch.column("seg")[row].as_py()
-            for k in range(0, len(keys), 1 << 17):
-                part = keys[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), seg)), pa.array(part.view(np.int64)), pa.array(n[k : k + (1 << 17)].astype(np.int64))], ["seg", "key", "n"])
+            lists = _Lists(batch, row)
+            _, left, right = lists.merge()
+            pair, n = np.unique(left.astype(np.int64) * len(lists.keys) + right, return_counts=True)
+            for k in range(0, len(pair), 1 << 17):
+                part = pair[k : k + (1 << 17)]
+                keys, checks = lists.longer(part // len(lists.keys), part % len(lists.keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lists.seg)), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(n[k : k + (1 << 17)].astype(np.int32))], ["seg", "key", "check", "n"])
 
 
-def _kept(batches):
-    """The lists whose keys are kept."""
+def _kept_row(lists: _Lists, f: np.ndarray, terms: pa.Array, lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
+    own = np.flatnonzero(f)
+    given = [pa.array([lists.langs[k] for k in lang[own].tolist()], pa.string()), terms.take(pa.array(own)), pa.array(f[own])]
+    return pa.RecordBatch.from_arrays([*_list_columns(lists.seg, lists.langs, terms, lang, keys, checks, counts, positions), *map(_one, given)], [*_NAMES, "own_lang", "own_phrase", "own_f"])
+
+
+def _kept_words(batches):
+    """The lists of frequent words."""
     for batch in batches:
         for row in range(batch.num_rows):
-            get = lambda name: batch.column(name)[row].values  # noqa: B023, E731
-            keys, counts = np.asarray(get("keys")), np.asarray(get("counts"))
-            on = np.isin(keys, np.asarray(get("kept")))
-            positions = _unpacked(batch.column("positions")[row].as_py(), counts)[np.repeat(on, counts)]
-            yield _index_row(batch.column("seg")[row].as_py(), batch.column("langs")[row].as_py(), np.zeros(0, np.int64), get("terms").filter(pa.array(on)), np.asarray(get("term_lang"))[on], keys[on].view(np.uint64), counts[on], positions)
+            lists, kept = _Lists(batch, row), _Kept(batch, row)
+            place = kept.find(lists.keys, lists.checks)
+            on = place >= 0
+            yield _kept_row(lists, kept.f[place[on]], lists.terms.filter(pa.array(on)), lists.lang[on], lists.keys[on], lists.checks[on], lists.counts[on], lists.positions[np.repeat(on, lists.counts)])
 
 
-def _extended(batches):
-    """The lists that are one word longer and whose keys are kept."""
+def _kept_phrases(batches):
+    """The lists of frequent phrases that are one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
-            lists = _Lists(batch, row)
-            kept = np.sort(np.asarray(batch.column("kept")[row].values).view(np.uint64))
-            on = kept[np.minimum(np.searchsorted(kept, lists.longer), len(kept) - 1)] == lists.longer
-            pair = lists.left[on].astype(np.int64) * len(lists.keys) + lists.right[on]
-            some, first, counts = np.unique(pair, return_index=True, return_counts=True)
-            order = np.argsort(pair, kind="stable")
-            left, right = some // len(lists.keys), some % len(lists.keys)
+            lists, kept = _Lists(batch, row), _Kept(batch, row)
+            at, left, right = lists.merge()
+            pair, counts = np.unique(left.astype(np.int64) * len(lists.keys) + right, return_counts=True)
+            keys, checks = lists.longer(pair // len(lists.keys), pair % len(lists.keys))
+            place = kept.find(keys, checks)
+            on = place >= 0
+            pair, counts = pair[on], counts[on]
+            spot = np.searchsorted(pair, every := left.astype(np.int64) * len(lists.keys) + right)
+            here = np.flatnonzero(pair[np.minimum(spot, len(pair) - 1)] == every)
+            here = here[np.argsort(spot[here], kind="stable")]  # by phrase, in the order of positions
+            left, right = pair // len(lists.keys), pair % len(lists.keys)
             last = pa.array([x.rpartition(" ")[2] for x in lists.terms.take(pa.array(right)).to_pylist()], pa.string())
             terms = pc.binary_join_element_wise(lists.terms.take(pa.array(left)), last, " ")
-            yield _index_row(batch.column("seg")[row].as_py(), lists.langs, np.zeros(0, np.int64), terms, lists.lang[left], lists.longer[on][first], counts, lists.at[on][order])
+            yield _kept_row(lists, kept.f[place[on]], terms, lists.lang[left], keys[on], checks[on], counts, at[here])
 
 
 def _frequent(keys: DataFrame, least: int) -> DataFrame:
-    """(seg, kept): of rows (seg, key, n), the keys of each segment whose n add up to `least` or more over all segments."""
-    total = keys.withColumn("f", F.sum("n").over(Window.partitionBy("key"))).where(F.col("f") >= least)
-    return total.groupBy("seg").agg(F.collect_list("key").alias("kept"))
+    """(seg, kept): of rows (seg, key, check, n), the keys of each segment whose n add up to `least` or more over all segments."""
+    same = Window.partitionBy("key", "check")
+    total = keys.withColumns({"f": F.sum("n").over(same), "first": F.min("seg").over(same)}).where(F.col("f") >= least)
+    one = F.struct("key", "check", F.when(F.col("seg") == F.col("first"), F.col("f")).otherwise(0).alias("f"))
+    return total.groupBy("seg").agg(F.collect_list(one).alias("kept"))
 
 
-def _phrases(index: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, f) of the index's phrases with f of `least` or more; counted by the phrases themselves."""
-    each = index.select("langs", F.explode(F.arrays_zip("terms", "term_lang", "counts")).alias("x"))
-    rows = each.select(F.element_at("langs", F.col("x.term_lang") + 1).alias("lang"), F.col("x.terms").alias("phrase"), F.col("x.counts").alias("n"))
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+def _given(lists: DataFrame, words: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases that the segments give: each once."""
+    own = lists.select(F.explode(F.arrays_zip("own_lang", "own_phrase", "own_f")).alias("x"))
+    return settle(own.select(F.col("x.own_lang").alias("lang"), F.col("x.own_phrase").alias("phrase"), F.lit(words).alias("words"), F.col("x.own_f").alias("f")), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST, segment_words: int = SEGMENT_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -229,17 +284,18 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mo
     Empty tables give empty tables.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    whole = settle(rows.mapInArrow(_segments(segment_words), _INDEX_SQL), "words")
+    whole = settle_dealt(rows.mapInArrow(_segments(segment_words), _WORDS), "words", "seg")
     totals = settle(whole.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "totals")
-    kept = _frequent(whole.select("seg", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("seg", F.col("x.keys").alias("key"), F.col("x.counts").alias("n")), least)
-    index = settle(whole.join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept, _INDEX_SQL), "lists", spent=(whole,))
-    found = settle(_phrases(index, least).withColumn("words", F.lit(1)), "phrases")
+    each = whole.select("seg", F.explode(F.arrays_zip("keys", "checks", "counts")).alias("x"))
+    kept = _frequent(each.select("seg", F.col("x.keys").alias("key"), F.col("x.checks").alias("check"), F.col("x.counts").cast("int").alias("n")), least)
+    lists = settle_dealt(whole.join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_words, _OWN), "lists", "seg", spent=(whole,))
+    found = _given(lists, 1)
     for words in range(2, most_words + 1):
-        kept = _frequent(index.select("seg", "langs", "terms", "term_lang", "keys", "counts", "positions").mapInArrow(_longer_keys, "seg long, key long, n long"), least)
-        index = settle(index.join(kept.hint("shuffle_hash"), "seg").mapInArrow(_extended, _INDEX_SQL), "lists", spent=(index,))
-        found = found.unionByName(settle(_phrases(index, least).withColumn("words", F.lit(words)), "phrases"))
-    discard(index)
-    return found.select("lang", "phrase", "words", "f"), totals
+        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "seg long, key long, check int, n int"), least)
+        lists = settle_dealt(lists.select(*_NAMES).join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_phrases, _OWN), "lists", "seg", spent=(lists,))
+        found = found.unionByName(_given(lists, words))
+    discard(lists)
+    return found, totals
 
 
 def _parts(name: str, first, size) -> F.Column:

@@ -50,9 +50,27 @@ def settle(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataF
     return out
 
 
+def settle_dealt(df: DataFrame, name: str, key: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The same, dealt by `key`: joins by that column read the rows where they lie, without a shuffle."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    named = f"strataline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{named}"
+    # fewer buckets than the session's partitions would be dealt anew
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(named)
+    for old in spent:
+        discard(old)
+    out = spark.table(named)
+    out._strataline_path, out._strataline_table = path, named
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table."""
     spark = df.sparkSession
+    if hasattr(df, "_strataline_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df._strataline_table}")
     where = spark._jvm.org.apache.hadoop.fs.Path(df._strataline_path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
