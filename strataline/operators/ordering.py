@@ -111,3 +111,13 @@ def capped(rows: DataFrame, parent: str, order: Sequence, each: int, total: int)
     """The first `each` rows of every parent, then the first `total` of them over parents in order."""
     own = ranked(rows, [parent], order, "_rn").where(F.col("_rn") <= each)
     return own.orderBy(parent, "_rn").limit(total).drop("_rn")
+
+
+def until_target(rows: DataFrame, order: str, counts: Column, target: int) -> DataFrame:
+    """Rows up to the one, by `order`, with which `target` rows have counted; all rows if fewer do.
+
+    The place of the cut is the greatest of the `target` first counting rows, so
+    no task adds up all rows in order.
+    """
+    first = rows.where(counts).select(F.col(order).alias("_order")).orderBy("_order").limit(target).agg(F.count("*").alias("_n"), F.max("_order").alias("_cut"))
+    return rows.join(F.broadcast(first)).where((F.col("_n") < target) | (F.col(order) <= F.col("_cut"))).drop("_n", "_cut")
