@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataline.operators.patterns import find_patterns
+
 
 def similar_popularity(a: Column, b: Column, percent: int) -> Column:
     """|a - b| within a percentage of the larger; unknown values and two zeros pass."""
@@ -23,22 +25,8 @@ def public_fields(rows: DataFrame, public: Sequence[str], private: Sequence[str]
 
 
 def leaks(texts: DataFrame, secrets: DataFrame, key: str, text: str, secret_key: str, secret: str) -> DataFrame:
-    """(key, secret_key) where a text contains a secret literally, without regard to case.
-
-    A secret's words but its first and last stand whole in a text that contains
-    it.  The longest of them joins secrets with the distinct words of the texts,
-    and the pairs are compared literally.  Secrets of fewer than three words have
-    no such word; they are compared with every text, so they should be few.
-    """
-    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
-    inner = F.slice(words(F.col(secret)), F.lit(2), F.greatest(F.size(words(F.col(secret))) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.filter(inner, lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1)
-    named = secrets.where(F.col(secret).isNotNull()).select(F.col(secret_key).alias("_key"), F.lower(secret).alias("_secret"), F.when(F.size(F.filter(inner, lambda w: w != "")) > 0, longest).alias("_word"))
-    own = texts.select(F.col(key).alias("_text_key"), F.lower(F.col(text)).alias("_text"))
-    by_word = own.withColumn("_word", F.explode(F.array_distinct(words(F.col("_text"))))).join(named.where("_word is not null"), "_word")
-    short = own.join(named.where("_word is null"), F.contains(F.col("_text"), F.col("_secret")))
-    found = by_word.where(F.contains(F.col("_text"), F.col("_secret"))).select("_text_key", "_key").unionByName(short.select("_text_key", "_key"))
-    return found.select(F.col("_text_key").alias(key), F.col("_key").alias(secret_key))
+    """(key, secret_key) where a text contains a secret literally, without regard to case."""
+    return find_patterns(texts, secrets, [key], text, secret_key, secret, whole_word=False).select(key, secret_key)
 
 
 def failure_mode(label: Column, unsubmitted: Column, unreached: Column, evidence: Column) -> Column:

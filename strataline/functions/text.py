@@ -62,10 +62,35 @@ def blocks(text: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(text, "\\n\\s*\\n"), F.trim), lambda b: F.length(b) >= least)
 
 
+def quoted(text: Column) -> Column:
+    """The text as a literal part of a pattern."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def mentions(text: Column, alias: Column) -> Column:
     """The alias as a whole word, without regard to case."""
-    quoted = F.concat(F.lit("(?iU)(?<!\\w)\\Q"), alias, F.lit("\\E(?!\\w)"))
-    return F.regexp_like(text, quoted)
+    return F.regexp_like(text, F.concat(F.lit("(?iU)(?<!\\w)"), quoted(alias), F.lit("(?!\\w)")))
+
+
+def answers_directly(text: Column, alias: Column) -> Column:
+    """The text is the alias alone or in one of three affirmative phrases; a longer sentence that mentions it is none."""
+    own, mark = quoted(squeeze(alias)), "[\"']?"
+    forms = [
+        F.concat(own, F.lit("[.!]?")),
+        F.concat(F.lit(rf"(?:the\s+)?answer\s*(?:is|was|:)\s*{mark}"), own, F.lit(rf"{mark}[.!]?")),
+        F.concat(F.lit(rf"(?:it|this|that)\s+(?:is|was)\s+{mark}"), own, F.lit(rf"{mark}[.!]?")),
+        F.concat(F.lit(rf"my\s+(?:final\s+)?answer\s*(?:is|:)\s*{mark}"), own, F.lit(rf"{mark}[.!]?")),
+    ]
+    whole = F.concat(F.lit("(?iu)^(?:"), F.concat_ws("|", *forms), F.lit(")$"))
+    return (F.length(squeeze(alias)) > 0) & F.regexp_like(squeeze(text), whole)
+
+
+def claim_errors(evidence: Column, page: Column, answer: Column, cited: Column, owned: Column, most_words: int = 8) -> Column:
+    """What is wrong with a claim: its evidence does not stand in the page, its answer has no word or too many, or it cites what is not its own."""
+    quote, words = fold_ascii(evidence), F.size(F.filter(F.split(squeeze(answer), " "), lambda w: w != ""))
+    return F.array_compact(F.array(
+        F.when((quote == "") | ~F.contains(fold_ascii(page), quote), F.lit("evidence")), F.when(~words.between(1, most_words), F.lit("answer_length")), F.when(F.size(F.array_except(cited, owned)) > 0, F.lit("citation")),
+    ))
 
 
 def evidence_window(text: Column, alias: Column, before: int, after: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import text as X
 from strataline.operators import analytics as A
+from strataline.operators import patterns as P
 from strataline.sources import views as V
 from strataline.sources.views import ANCHORS, FACTS, LOG, TURNS, oracle
 
@@ -62,11 +63,54 @@ _add("fn12_excerpt", lambda s, d: V.table(s, d, "part").select("p_partkey", X.ex
      "SELECT p_partkey, CASE WHEN length(t) <= 24 THEN t ELSE rtrim(substring(t, 1, 23)) || '…' END AS short FROM (SELECT p_partkey, trim(regexp_replace(concat_ws('  ', p_name, p_type, p_brand), '\\s+', ' ', 'g')) AS t FROM part)")
 _add("fn13_blocks", lambda s, d: V.table(s, d, "documents").select("doc_id", F.size(X.blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).cast("long").alias("n")),
      "SELECT doc_id, CAST(len([x FOR x IN string_split(text, chr(10)) IF length(trim(x)) >= 20]) AS BIGINT) AS n FROM documents")
-_add("fn14_alias_mention", lambda s, d: V.turns(s, d).select("attempt", "step", X.mentions(F.col("text"), F.lit("the")).alias("hit")), oracle(TURNS, body="SELECT attempt, step, regexp_matches(text, '(?i)(^|[^\\pL\\pN_])the($|[^\\pL\\pN_])') AS hit FROM turns"))
-_add("fn15_substring_gate", lambda s, d: V.turns(s, d).select("attempt", "step", (F.contains(F.lower("text"), F.lit("er")) & F.size(F.split(F.trim("text"), "\\s+")).between(1, 60)).alias("ok")),
-     oracle(TURNS, body="SELECT attempt, step, contains(lower(text), 'er') AND len(regexp_split_to_array(trim(text), '\\s+')) BETWEEN 1 AND 60 AS ok FROM turns"))
-_add("fn16_leak_predicate", lambda s, d: V.turns(s, d).select("attempt", "step", F.exists(F.array(F.lit("the the"), F.lit("in of"), F.lit("x")), lambda a: (F.length(a) > 2) & F.contains(F.lower("text"), a)).alias("leak")),
-     oracle(TURNS, body="SELECT attempt, step, contains(lower(text), 'the the') OR contains(lower(text), 'in of') AS leak FROM turns"))
+_FIRST = {1: "^([^ .,]+)", 2: "^([^ .,]+ [^ .,]+)"}
+ALIASES = {k: f"aliases AS (SELECT * FROM (SELECT item_id, regexp_extract(text, '{first}', 1) AS alias FROM benchmark) WHERE length(alias) > 2)" for k, first in _FIRST.items()}
+
+
+def _aliases(s, d, words):
+    """An alias table: the first words of the benchmark's items."""
+    return V.table(s, d, "benchmark").select("item_id", F.regexp_extract("text", _FIRST[words], 1).alias("alias")).where("length(alias) > 2")
+
+
+_add("fn14_alias_mention", lambda s, d: P.find_patterns(V.table(s, d, "documents"), _aliases(s, d, 2), ["doc_id"], "text", "item_id", "alias").select("doc_id", "item_id"),
+     oracle(ALIASES[2], "near AS MATERIALIZED (SELECT doc_id, item_id, text, alias FROM documents, aliases WHERE contains(lower(text), lower(alias)))", body="SELECT doc_id, item_id FROM near WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || regexp_escape(lower(alias)) || '($|[^\\pL\\pN_])')"))
+
+
+def fn14_direct(s, d):
+    """Answers made of part names, held against the name of the part and of the one before it."""
+    name, k = F.col("p_name"), F.col("p_partkey") % 6
+    said = (
+        F.when(k == 0, F.upper(name)).when(k == 1, F.concat(F.lit("The  answer is '"), name, F.lit("'."))).when(k == 2, F.concat(F.lit("it was "), name, F.lit("!")))
+        .when(k == 3, F.concat(F.lit("My final answer: "), name)).when(k == 4, F.concat(F.lit("not "), name)).otherwise(F.concat(F.lit("the page mentions "), name))
+    )
+    parts = V.table(s, d, "part").select("p_partkey", "p_name", said.alias("said"))
+    before = parts.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return parts.join(before, "p_partkey").select("p_partkey", X.answers_directly(F.col("said"), F.col("p_name")).alias("direct"), X.answers_directly(F.col("said"), F.col("other")).alias("direct_other"), X.mentions(F.col("said"), F.col("p_name")).alias("mentioned"))
+
+
+_add("fn14_direct_answer", fn14_direct, "SELECT a.p_partkey, a.p_partkey % 6 < 4 AS direct, a.p_partkey % 6 < 4 AND a.p_name = b.p_name AS direct_other, true AS mentioned FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1")
+
+
+def fn15(s, d):
+    """Errors of claims made of documents: the quoted evidence, the length of the answer, the cited ids."""
+    docs = V.table(s, d, "documents").where("text is not null")
+    quote = F.substring("text", 12, 40)
+    evidence = F.when(F.col("doc_id") % 3 == 0, F.reverse(quote)).otherwise(F.replace(quote, F.lit(" "), F.lit("  ")))
+    answer = F.array_join(F.slice(F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""), 1, (F.col("doc_id") % 12).cast("int")), " ")
+    cited = F.array(F.col("doc_id"), F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 7).otherwise(1))
+    owned = F.sequence(F.col("doc_id") - 1, F.col("doc_id") + 3)
+    return docs.select("doc_id", F.array_join(X.claim_errors(evidence, F.col("text"), answer, cited, owned), ",").alias("errors"))
+
+
+def _squeezed(x):
+    return f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+
+
+_add("fn15_substring_gate", fn15, f"""SELECT doc_id, concat_ws(',', CASE WHEN {_squeezed('e')} = '' OR NOT contains({_squeezed('text')}, {_squeezed('e')}) THEN 'evidence' END,
+  CASE WHEN least(doc_id % 12, len([x FOR x IN regexp_split_to_array(text, '[ \n]+') IF x <> ''])) NOT BETWEEN 1 AND 8 THEN 'answer_length' END, CASE WHEN doc_id % 5 = 0 THEN 'citation' END) AS errors
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN reverse(substring(text, 12, 40)) ELSE substring(text, 12, 40) END AS e FROM documents WHERE text IS NOT NULL)""")
+_add("fn16_leak_predicate", lambda s, d: P.count_patterns(V.turns(s, d).select("attempt", "step", "text"), _aliases(s, d, 1), "text", "alias", "leaks", whole_word=False).drop("text"),
+     oracle(TURNS, ALIASES[1], body="SELECT attempt, step, (SELECT count(DISTINCT alias) FROM aliases WHERE contains(lower(turns.text), lower(alias))) AS leaks FROM turns"))
 _add("fn17_wording_rules", lambda s, d: V.turns(s, d).select("attempt", "step", F.array_join(F.array_compact(F.array(F.when(F.col("text").rlike("\\d"), F.lit("digit")), F.when(~F.col("text").rlike("[.!?]$"), F.lit("no_end")), F.when(F.length("text") > 300, F.lit("long")))), ",").alias("errors")),
      oracle(TURNS, body="SELECT attempt, step, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]') THEN 'digit' END, CASE WHEN NOT regexp_matches(text, '[.!?]$') THEN 'no_end' END, CASE WHEN length(text) > 300 THEN 'long' END) AS errors FROM turns"))
 _add("fn18_question_text", lambda s, d: V.facts(s, d).select("fact_id", F.format_string("After %s, which %s did user %d take?", F.date_format("start", "yyyy-MM-dd"), F.col("property"), F.col("subject")).alias("question")),
