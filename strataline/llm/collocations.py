@@ -192,28 +192,17 @@ class _Lists:
         return keys, (checks >> np.uint64(32)).astype(np.uint32)
 
 
-class _Kept:
-    """The frequent keys of a segment, with the frequency of those whose phrase it gives (0 for others)."""
-
-    def __init__(self, batch: pa.RecordBatch, row: int):
-        kept = batch.column("kept")[row].values
-        keys, checks, f = (np.asarray(kept.field(k)) for k in ("key", "check", "f"))
-        order = np.lexsort((checks, keys.view(np.uint64)))
-        self.keys, self.checks, self.f = keys.view(np.uint64)[order], checks.view(np.uint32)[order], f[order]
-        _, n = np.unique(self.keys, return_counts=True)
-        self.alike = int(n.max(initial=0))  # keys that differ in their check alone, if there are any
-
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Place of each key and check, -1 where it is not kept."""
-        out, at = np.full(len(keys), -1, np.int64), np.searchsorted(self.keys, keys)
-        for k in range(self.alike):
-            place = np.minimum(at + k, len(self.keys) - 1)
-            out = np.where((self.keys[place] == keys) & (self.checks[place] == checks), place, out)
-        return out
+def _kept(batch: pa.RecordBatch, row: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a segment's n lists are kept, and the frequencies of those whose phrases it gives (0 for others)."""
+    on, f = np.zeros(n, bool), np.zeros(n, np.int64)
+    on[np.asarray(batch.column("kept")[row].values)] = True
+    own = batch.column("own")[row].values
+    f[np.asarray(own.field("number"))] = np.asarray(own.field("f"))
+    return on, f
 
 
 def _longer_keys(batches):
-    """Key, check and length of the list of every phrase that is one word longer."""
+    """Number, key, check and length of the list of every phrase that is one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
             lists = _Lists(batch, row)
@@ -222,7 +211,7 @@ def _longer_keys(batches):
             for k in range(0, len(pair), 1 << 17):
                 part = pair[k : k + (1 << 17)]
                 keys, checks = lists.longer(part // len(lists.keys), part % len(lists.keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lists.seg)), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(n[k : k + (1 << 17)].astype(np.int32))], ["seg", "key", "check", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lists.seg)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(n[k : k + (1 << 17)].astype(np.int32))], ["seg", "number", "key", "check", "n"])
 
 
 def _kept_row(lists: _Lists, f: np.ndarray, terms: pa.Array, lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
@@ -235,38 +224,39 @@ def _kept_words(batches):
     """The lists of frequent words."""
     for batch in batches:
         for row in range(batch.num_rows):
-            lists, kept = _Lists(batch, row), _Kept(batch, row)
-            place = kept.find(lists.keys, lists.checks)
-            on = place >= 0
-            yield _kept_row(lists, kept.f[place[on]], lists.terms.filter(pa.array(on)), lists.lang[on], lists.keys[on], lists.checks[on], lists.counts[on], lists.positions[np.repeat(on, lists.counts)])
+            lists = _Lists(batch, row)
+            on, f = _kept(batch, row, len(lists.keys))
+            yield _kept_row(lists, f[on], lists.terms.filter(pa.array(on)), lists.lang[on], lists.keys[on], lists.checks[on], lists.counts[on], lists.positions[np.repeat(on, lists.counts)])
 
 
 def _kept_phrases(batches):
     """The lists of frequent phrases that are one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
-            lists, kept = _Lists(batch, row), _Kept(batch, row)
+            lists = _Lists(batch, row)
             at, left, right = lists.merge()
-            pair, counts = np.unique(left.astype(np.int64) * len(lists.keys) + right, return_counts=True)
-            keys, checks = lists.longer(pair // len(lists.keys), pair % len(lists.keys))
-            place = kept.find(keys, checks)
-            on = place >= 0
+            pair, number, counts = np.unique(left.astype(np.int64) * len(lists.keys) + right, return_inverse=True, return_counts=True)
+            on, f = _kept(batch, row, len(pair))
+            here = np.flatnonzero(on[number])
+            here = here[np.argsort(number[here], kind="stable")]  # by phrase, in the order of positions
             pair, counts = pair[on], counts[on]
-            spot = np.searchsorted(pair, every := left.astype(np.int64) * len(lists.keys) + right)
-            here = np.flatnonzero(pair[np.minimum(spot, len(pair) - 1)] == every)
-            here = here[np.argsort(spot[here], kind="stable")]  # by phrase, in the order of positions
             left, right = pair // len(lists.keys), pair % len(lists.keys)
+            keys, checks = lists.longer(left, right)
             last = pa.array([x.rpartition(" ")[2] for x in lists.terms.take(pa.array(right)).to_pylist()], pa.string())
             terms = pc.binary_join_element_wise(lists.terms.take(pa.array(left)), last, " ")
-            yield _kept_row(lists, kept.f[place[on]], terms, lists.lang[left], keys[on], checks[on], counts, at[here])
+            yield _kept_row(lists, f[on], terms, lists.lang[left], keys, checks, counts, at[here])
 
 
 def _frequent(keys: DataFrame, least: int) -> DataFrame:
-    """(seg, kept): of rows (seg, key, check, n), the keys of each segment whose n add up to `least` or more over all segments."""
+    """(seg, kept, own): of rows (seg, number, key, check, n), the numbers of each segment whose keys have n of `least` or more over all segments.
+
+    own: the number and n over all segments of the keys whose phrase the segment
+    gives, which are those that no earlier segment has.
+    """
     same = Window.partitionBy("key", "check")
     total = keys.withColumns({"f": F.sum("n").over(same), "first": F.min("seg").over(same)}).where(F.col("f") >= least)
-    one = F.struct("key", "check", F.when(F.col("seg") == F.col("first"), F.col("f")).otherwise(0).alias("f"))
-    return total.groupBy("seg").agg(F.collect_list(one).alias("kept"))
+    own = F.when(F.col("seg") == F.col("first"), F.struct("number", "f"))
+    return total.groupBy("seg").agg(F.collect_list("number").alias("kept"), F.collect_list(own).alias("own"))
 
 
 def _given(lists: DataFrame, words: int) -> DataFrame:
@@ -286,12 +276,12 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mo
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     whole = settle_dealt(rows.mapInArrow(_segments(segment_words), _WORDS), "words", "seg")
     totals = settle(whole.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "totals")
-    each = whole.select("seg", F.explode(F.arrays_zip("keys", "checks", "counts")).alias("x"))
-    kept = _frequent(each.select("seg", F.col("x.keys").alias("key"), F.col("x.checks").alias("check"), F.col("x.counts").cast("int").alias("n")), least)
+    each = whole.select("seg", F.posexplode(F.arrays_zip("keys", "checks", "counts")).alias("number", "x"))
+    kept = _frequent(each.select("seg", "number", F.col("x.keys").alias("key"), F.col("x.checks").alias("check"), F.col("x.counts").cast("int").alias("n")), least)
     lists = settle_dealt(whole.join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_words, _OWN), "lists", "seg", spent=(whole,))
     found = _given(lists, 1)
     for words in range(2, most_words + 1):
-        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "seg long, key long, check int, n int"), least)
+        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "seg long, number int, key long, check int, n int"), least)
         lists = settle_dealt(lists.select(*_NAMES).join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_phrases, _OWN), "lists", "seg", spent=(lists,))
         found = found.unionByName(_given(lists, words))
     discard(lists)
