@@ -46,6 +46,18 @@ def path_counts(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def state_key(page: Column, version: Column) -> Column:
+    return F.concat_ws(":", version.cast("string"), page.cast("string"))
+
+
+def state_edges(links: DataFrame, versions: DataFrame) -> DataFrame:
+    """Steps between page states: links within a version, and changes of version on a page."""
+    hyper = links.select(state_key(F.col("source"), F.col("version")).alias("source"), state_key(F.col("target"), F.col("version")).alias("target"))
+    v = versions.select("page", state_key(F.col("page"), F.col("version")).alias("k"))
+    switch = v.select("page", F.col("k").alias("source")).join(v.select("page", F.col("k").alias("target")), "page").where("source <> target").select("source", "target")
+    return hyper.unionByName(switch).distinct()
+
+
 def arena(links: DataFrame, versions: DataFrame, target: DataFrame, depth: int, node_cap: int, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Backward arena over (page, version) states: (states with distance, edges, truncated).
 
@@ -55,11 +67,8 @@ def arena(links: DataFrame, versions: DataFrame, target: DataFrame, depth: int,
     by key, up to `node_cap`; forced states always belong.  Distances are
     recomputed on the edges between the kept states.
     """
-    key = lambda page, version: F.concat_ws(":", version.cast("string"), page.cast("string"))
-    hyper = links.select(key(F.col("source"), F.col("version")).alias("source"), key(F.col("target"), F.col("version")).alias("target"))
-    v = versions.select("page", key(F.col("page"), F.col("version")).alias("k"))
-    switch = v.select("page", F.col("k").alias("source")).join(v.select("page", F.col("k").alias("target")), "page").where("source <> target").select("source", "target")
-    edges = settle(hyper.unionByName(switch).distinct(), "arena")
+    key = state_key
+    edges = settle(state_edges(links, versions), "arena")
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     seeds = target.select(key(F.col("page"), F.col("version")).alias("node"))
     reached = settle(distances(back, seeds, depth))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from strataline.operators import graph as G
 from strataline.operators import joins as J
 from strataline.operators import ordering as O
 from strataline.operators import temporal as T
+from strataline.operators.resumable import resume_search
+from strataline.operators.staging import settle, shared_folder
 from strataline.sources import views as V
 from strataline.sources.views import FACTS, LINKS, LOG, REVISIONS, TURNS, oracle
 
@@ -43,10 +47,13 @@ _add("gr01_outgoing_bfs", lambda s, d: G.distances(capped(s, d), seed(s, 1), 4),
 _add("gr02_reverse_bfs", lambda s, d: G.distances(capped(s, d).select(F.col("target").alias("source"), F.col("source").alias("target")), seed(s, 5), 3), recursive(LINKS, CAP3, bfs_sql("source", 3, 5), body="SELECT node, min(distance) AS distance FROM walk GROUP BY 1"))
 
 
-def _arena(s, d):
+def _states(s, d):
     links = capped(s, d).select((F.col("pos") % 2).alias("version"), "source", "target")
-    pages = links.select(F.col("source").alias("page"), "version").unionByName(links.select(F.col("target").alias("page"), "version")).distinct()
-    return G.arena(links, pages, s.createDataFrame([(5, 0)], "page long, version long"), 3, 100_000)
+    return links, links.select(F.col("source").alias("page"), "version").unionByName(links.select(F.col("target").alias("page"), "version")).distinct()
+
+
+def _arena(s, d):
+    return G.arena(*_states(s, d), s.createDataFrame([(5, 0)], "page long, version long"), 3, 100_000)
 
 
 ARENA = """st AS (SELECT DISTINCT page, version FROM (SELECT source AS page, pos % 2 AS version FROM cap UNION ALL SELECT target, pos % 2 FROM cap)),
@@ -55,8 +62,37 @@ edge AS (SELECT DISTINCT CAST(pos % 2 AS VARCHAR) || ':' || CAST(source AS VARCH
 walk(node, distance) AS (SELECT '0:5', CAST(0 AS BIGINT) UNION SELECT source, distance + 1 FROM walk JOIN edge ON target = node WHERE distance < 3),
 arena AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1)"""
 _add("gr03_temporal_arena", lambda s, d: _arena(s, d)[0].select("node", "distance"), recursive(LINKS, CAP3, ARENA, body="SELECT node, distance FROM arena"))
-_add("gr04_checkpointed_bfs", lambda s, d: G.path_counts(capped(s, d), seed(s, 1), 3).select("node", F.col("walks").cast("long").alias("walks"), "length"),
+_add("gr04_walk_counts", lambda s, d: G.path_counts(capped(s, d), seed(s, 1), 3).select("node", F.col("walks").cast("long").alias("walks"), "length"),
      oracle(LINKS, CAP3, "w0 AS (SELECT CAST(1 AS BIGINT) AS node, CAST(1 AS BIGINT) AS walks)", *(f"w{k} AS (SELECT target AS node, CAST(sum(walks) AS BIGINT) AS walks FROM w{k - 1} JOIN cap ON source = node GROUP BY 1)" for k in (1, 2, 3)), body=" UNION ALL ".join(f"SELECT node, walks, CAST({k} AS BIGINT) AS length FROM w{k}" for k in range(4))))
+
+
+def _back_edges(s, d):
+    """Predecessors of page states: other versions of the page first, then the pages that link to it."""
+    edges = G.state_edges(*_states(s, d))
+    page = lambda c: F.substring_index(c, ":", -1)
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"), (page("source") != page("target")).cast("int").alias("kind"))
+
+
+def gr04(s, d):
+    """The search stopped after 3 and after 40 more nodes, then run to its end."""
+    edges = settle(_back_edges(s, d), "edges")
+    path = f"{shared_folder(s)}/search-{uuid.uuid4().hex}"
+    for budget in (3, 40, 1_000_000):
+        nodes, report = resume_search(edges, ["kind", "target"], ["0:5"], path, depth=4, branch_cap=6, max_nodes=150, budget=budget, name="arena")
+    return nodes.withColumn("complete", F.lit(report["status"] == "complete"))
+
+
+def _level(k):
+    """New nodes of level k in the order of discovery."""
+    known = " UNION ALL ".join(f"SELECT node FROM b{j}" for j in range(k))
+    total = " + ".join(f"(SELECT count(*) FROM b{j})" for j in range(k))
+    return f"""b{k} AS (SELECT node, CAST({total} + row_number() OVER (ORDER BY spot) - 1 AS BIGINT) AS ord, CAST({k} AS BIGINT) AS depth, parent
+  FROM (SELECT p.target AS node, min((b.ord, p.rn)) AS spot, arg_min(b.node, (b.ord, p.rn)) AS parent FROM b{k - 1} b JOIN pred p ON p.source = b.node WHERE p.target NOT IN ({known}) GROUP BY 1)
+  QUALIFY row_number() OVER (ORDER BY spot) <= 150 - ({total}))"""
+
+
+_add("gr04_checkpointed_bfs", gr04, recursive(LINKS, CAP3, ARENA, "pred AS (SELECT * FROM (SELECT target AS source, source AS target, row_number() OVER (PARTITION BY target ORDER BY CAST(split_part(source, ':', 2) <> split_part(target, ':', 2) AS INTEGER), source) AS rn FROM edge) WHERE rn <= 6)",
+     "b0 AS (SELECT '0:5' AS node, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS parent)", *(_level(k) for k in (1, 2, 3, 4)), body=" UNION ALL ".join(f"SELECT node, ord, depth, parent, true AS complete FROM b{k}" for k in range(5))))
 _add("gr05_entity_distance", lambda s, d: G.distances(capped(s, d), seed(s, 2), 3).where("distance = 3").select("node"), recursive(LINKS, CAP3, bfs_sql("target", 3, 2), body="SELECT node FROM walk GROUP BY 1 HAVING min(distance) = 3"))
 _add("gr06_induced_edges", lambda s, d: _arena(s, d)[1].select("source", "target"), recursive(LINKS, CAP3, ARENA, body="SELECT source, target FROM edge WHERE source IN (SELECT node FROM arena) AND target IN (SELECT node FROM arena)"))
 

@@ -290,7 +290,7 @@ def sk05(s, d):
         G.replace_document(_state(s, d).limit(1), path, refuse=True)
     except FileExistsError:
         refused = True
-    return s.read.schema("model string, arm string, n long, k long").json(path).withColumn("refused", F.lit(refused))
+    return G.read_document(s, path, "model string, arm string, n long, k long").withColumn("refused", F.lit(refused))
 
 
 _STATE_SQL = "SELECT model, arm, count(*) AS n, CAST(sum(k) AS BIGINT) AS k{} FROM log GROUP BY 1, 2"

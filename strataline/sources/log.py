@@ -63,25 +63,49 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    where, files = _path(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(int(x.getPath().getName()[1:]) for x in files.listStatus(where) if x.getPath().getName()[0] == "v")
+
+
 def replace_document(df: DataFrame, path: str, refuse: bool = False) -> None:
-    """Replaces a JSON document whole: it is staged beside its place and renamed into it.
+    """Replaces a JSON document whole: a new version is staged and renamed to the next number in one step.
 
-    Readers see the old document or the new one.  With `refuse` an existing
-    document is an error and stays.
+    The document is its version of the greatest number, so readers see the old
+    one or the new one, and a writer that dies leaves the old one.  The version
+    before stays for readers that have begun; older ones go.  With `refuse` an
+    existing document is an error and stays.
     """
-    spark = df.sparkSession
-    where, files = _path(spark, path)
-    if refuse and files.exists(where):
+    spark, hadoop = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs
+    have = _versions(spark, path)
+    if refuse and have:
         raise FileExistsError(path)
-    stage, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    stage, files = _path(spark, f"{path}/_new-{uuid.uuid4().hex}")
     df.write.json(stage.toString())
-    had = files.exists(where) and files.rename(where, old)
-    if not files.rename(stage, where):
-        if had:
-            files.rename(old, where)
-        raise OSError(f"cannot rename into {path}")
-    if had:
-        files.delete(old, True)
+    context = hadoop.FileContext.getFileContext(stage.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    no_overwrite = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    number = have[-1] + 1 if have else 0
+    while True:
+        try:
+            context.rename(files.makeQualified(stage), files.makeQualified(hadoop.Path(f"{path}/v{number:09d}")), no_overwrite)
+            break
+        except Exception as error:  # another writer was first
+            if "FileAlreadyExists" not in str(error):
+                raise
+            if refuse:
+                files.delete(stage, True)
+                raise FileExistsError(path) from error
+            number += 1
+    for old in have[:-1]:
+        files.delete(hadoop.Path(f"{path}/v{old:09d}"), True)
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The document at a path as it is now, or None."""
+    have = _versions(spark, path)
+    return spark.read.schema(schema).json(f"{path}/v{have[-1]:09d}") if have else None
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -247,14 +247,27 @@ def test_leaks_are_literal(spark):
     assert sorted(map(tuple, LB.leaks(texts, secrets, "id", "text", "key", "secret").collect())) == [(1, "a"), (3, "b")]
 
 
-def test_document_replaced_whole(spark, tmp_path):
+def test_document_replaced_whole(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/d.json"
-    for k in (1, 2):
+    read = lambda: [r.k for r in L.read_document(spark, path, "k int").collect()]
+    assert L.read_document(spark, path, "k int") is None
+    began = None
+    for k in (1, 2, 3, 4):
         L.replace_document(spark.createDataFrame([(k,)], "k int"), path)
-        assert [r.k for r in spark.read.json(path).collect()] == [k] and len(list(tmp_path.iterdir())) == 1
+        assert read() == [k] and len(list((tmp_path / "d.json").iterdir())) <= 2
+        assert began is None or [r.k for r in began.collect()] == [k - 1]  # a reader that has begun sees the version before
+        began = L.read_document(spark, path, "k int")
     with pytest.raises(FileExistsError):
-        L.replace_document(spark.createDataFrame([(3,)], "k int"), path, refuse=True)
-    assert [r.k for r in spark.read.json(path).collect()] == [2]
+        L.replace_document(spark.createDataFrame([(5,)], "k int"), path, refuse=True)
+    with pytest.raises(Exception, match="no such column|UNRESOLVED|cannot"):  # a writer that dies leaves the old one
+        L.replace_document(spark.createDataFrame([(5,)], "k int").select(F.raise_error(F.lit("cannot")).alias("k")), path)
+    assert read() == [4]
+    # another writer takes the number in between
+    known = L._versions(spark, path)
+    monkeypatch.setattr(L, "_versions", lambda *_: known[:-1])
+    L.replace_document(spark.createDataFrame([(6,)], "k int"), path)
+    monkeypatch.undo()
+    assert read() == [6]
     with pytest.raises(ValueError):
         L.append_more(spark.createDataFrame([(3,)], "k int"), f"{tmp_path}/none")
 
