@@ -25,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ FAN_IN = 32
 HELD_HOSTS = 2_000
 WRAPPER_BYTES = 16 << 20  # wrappers of all hosts up to this size are broadcast
 SALTS = 16
-DEPTH = 200  # elements nested deeper are read as neighbours of their parents
-LEVEL = 1_000  # longer levels are aligned by pieces of so many items
+DEPTH = 200  # what is nested deeper stands in the level of its outer elements
+CELLS = 1_000_000  # longer levels are cut where an alignment of them can be cut
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -49,13 +50,16 @@ _BLOCK = frozenset(
     "address article aside blockquote body br canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul video".split()
 )
 _CLOSES_P = _BLOCK - frozenset("br body html option caption td th tr tbody thead tfoot title".split())
+_CONTAINERS = frozenset("div section span table tbody td".split())
 _OWN_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _FURNITURE_TAGS = frozenset("head nav footer aside form button select menu dialog title".split())
 _NEVER_MAIN = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar complementary contentinfo cookie cookies consent popup modal newsletter subscribe signup login comment comments disqus reply replies masthead".split()
 )
+_HOLDERS = frozenset("area bar block box container content form holder inner item list section slot unit wrap wrapper #".split())
 _SELDOM_MAIN = frozenset("banner menu side footer notice alert overlay search share sharing social related recommended widget toolbar pagination pager tags copyright".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
+_ONE_COMMENT = frozenset("comment reply".split())
 _MAIN_WORDS = frozenset("main article articlebody content post entry story".split())
 _TEXT = "#"
 
@@ -90,11 +94,12 @@ class Node:
 def nested(page: str) -> list:
     """The tokens of a page, nested: [tag key, items below] for tags, and texts as strings.
 
-    Tags that are never closed end with the level that holds them; what is nested
-    deeper than DEPTH stands beside its parents.
+    Tags that are never closed end with the level that holds them.  What is nested
+    deeper than DEPTH stands in the level at that depth, but furniture below it
+    keeps what it holds.
     """
     root: list = ["", []]
-    stack, at = [root], 0
+    stack, at, held = [root], 0, 0  # held: how long the stack is with the furniture below DEPTH that is open
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text = page[at : m.start()]
@@ -110,6 +115,8 @@ def nested(page: str) -> list:
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0].split(".", 1)[0] == name:
+                    if k >= DEPTH and name in _BLOCK:
+                        stack[-1][1].append(" ")
                     del stack[k:]
                     break
             continue
@@ -129,8 +136,17 @@ def nested(page: str) -> list:
                     break
         item: list = [_key(name, m[4]), []]
         stack[-1][1].append(item)
-        if len(stack) < DEPTH and name not in _VOID and not m[4].rstrip().endswith("/"):
+        if name in _VOID or m[4].rstrip().endswith("/"):
+            continue
+        if len(stack) < held:
+            held = 0
+        if len(stack) < DEPTH:
+            stack.append(item)
+        elif not held and _surely_furniture(item[0]):
             stack.append(item)
+            held = len(stack)
+        else:
+            stack.append([item[0], stack[-1][1]])
     if at < len(page) and not page[at:].isspace():
         stack[-1][1].append(page[at:])
     return root[1]
@@ -172,13 +188,21 @@ def wrapper_of(items: list) -> list[Node]:
 
 def _put(out: list[Node], node: Node) -> None:
     """Add an item to a level; after one of its kind it makes a repeated group with it."""
-    if out and out[-1].key == node.key:
+    if out and out[-1].key == node.key and _alike(out[-1], node):
         _join(out[-1], node, same_pages=True)
         out[-1].repeated = True
     else:
         out.append(node)
 
 
+def _alike(a: Node, b: Node) -> bool:
+    """Whether two following items of one key are of one kind: containers only if most of what they hold is the same."""
+    if a.key not in _CONTAINERS:
+        return True
+    one, two = ({x.key for x in n.below} - {_TEXT} for n in (a, b))
+    return 2 * len(one & two) > len(one | two) or not one | two
+
+
 def _join(a: Node, b: Node, same_pages: bool = False) -> None:
     """Let item a match what b matches; `seen` counts pages."""
     a.optional |= b.optional
@@ -198,29 +222,73 @@ def align(a: list[Node], b: list[Node], same_pages: bool = False) -> list[Node]:
             _join(x, y, same_pages)
         return a
     out: list[Node] = []
-    for k in range(0, max(len(a), len(b)), LEVEL):
-        _align_part(a[k : k + LEVEL], b[k : k + LEVEL], same_pages, out)
+    for x, y in _common([x.key for x in a], [x.key for x in b]):
+        if x is not None and y is not None:
+            _join(a[x], b[y], same_pages)
+        node = b[y] if x is None else a[x]
+        node.optional |= x is None or y is None
+        _put(out, node)
     return out
 
 
-def _align_part(a: list[Node], b: list[Node], same_pages: bool, out: list[Node]) -> None:
-    n, m = len(a), len(b)
+def _common(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """The places of two sequences in one order, those of a longest common sequence together.
+
+    Two long sequences are halved where a longest common sequence of them can be
+    cut, so that memory follows their length.
+    """
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            yield a0, b0
+            a0, b0 = a0 + 1, b0 + 1
+        if (a1 - a0) * (b1 - b0) <= CELLS or a1 - a0 < 2:
+            yield from _common_small(a, a0, a1, b, b0, b1)
+            continue
+        half = (a0 + a1) // 2
+        before, after = _common_lengths(a[a0:half], b[b0:b1]), _common_lengths(a[half:a1][::-1], b[b0:b1][::-1])
+        cut = b0 + int((before + after[::-1]).argmax())
+        todo += [(half, a1, cut, b1), (a0, half, b0, cut)]
+
+
+def _common_small(a: list[str], a0: int, a1: int, b: list[str], b0: int, b1: int) -> Iterator[tuple[int | None, int | None]]:
+    n, m = a1 - a0, b1 - b0
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[a0 + i] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
     i, j = 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            _join(a[i], b[j], same_pages)
-            node, i, j = a[i], i + 1, j + 1
+        if i < n and j < m and a[a0 + i] == b[b0 + j]:
+            yield a0 + i, b0 + j
+            i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            node, i = a[i], i + 1
-            node.optional = True
+            yield a0 + i, None
+            i += 1
         else:
-            node, j = b[j], j + 1
-            node.optional = True
-        _put(out, node)
+            yield None, b0 + j
+            j += 1
+
+
+def _common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common sequence of a and each beginning of b, with the cells of a row as the bits of one number."""
+    where: dict[str, list[int]] = {}
+    for j, key in enumerate(b):
+        where.setdefault(key, []).append(j)
+    masks = {}
+    for key in set(a) & where.keys():
+        bits = np.zeros(len(b), np.uint8)
+        bits[where[key]] = 1
+        masks[key] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    row = full
+    for key in a:
+        if mask := masks.get(key):
+            met = row & mask
+            row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
 
 
 def _fixed(node: Node) -> bool:
@@ -237,24 +305,38 @@ def _all_chars(node: Node, tag: str = "") -> int:
     return sum(_all_chars(x, "" if node.key.split(".")[0] == tag else tag) for x in node.below)
 
 
+def _surely_furniture(key: str) -> bool:
+    """By its element, or by a class all parts of which are words of furniture or of its holders; what is called one comment may be main text."""
+    name, *words = key.split(".")
+    if name in _FURNITURE_TAGS:
+        return True
+    if name in ("article", "body", "html", "main"):
+        return False
+    for word in words:
+        parts = word.split("-")
+        if word not in _ONE_COMMENT and not _NEVER_MAIN.isdisjoint(parts) and all(x in _NEVER_MAIN or x in _SELDOM_MAIN or x in _HOLDERS for x in parts):
+            return True
+    return False
+
+
 def _furniture(node: Node) -> bool:
-    """Whether an item is no main text: by its element, by a sure class word, or by another class word with evidence of the wrapper.
+    """Whether an item is no main text: by its element, by a class that says so as a whole, or by a class word with evidence of the wrapper.
 
     Evidence is text that is the same on all pages, an item that some pages
-    lack, or text that is mostly links.  Without class words, links that are
-    the same on all pages are furniture.
+    lack, or text that is mostly links; of comments also that there are several.
+    Without class words, links that are the same on all pages are furniture.
     """
     name, *words = node.key.split(".")
     if name == "article":  # a reader comment may be an article of its own
         return not _COMMENT_WORDS.isdisjoint(words)
-    if name in _FURNITURE_TAGS:
+    if _surely_furniture(node.key):
         return True
     if name in ("body", "html", "main"):
         return False
     parts = [w.split("-") for w in words]
-    if any(p[0] in _NEVER_MAIN or p[-1] in _NEVER_MAIN for p in parts):
+    if any(not _ONE_COMMENT.isdisjoint(p) for p in parts) and (node.repeated or any(x.repeated for x in node.below)):
         return True
-    named = any(not _SELDOM_MAIN.isdisjoint(p) for p in parts)
+    named = any(not _SELDOM_MAIN.isdisjoint(p) or not _NEVER_MAIN.isdisjoint((p[0], p[-1])) for p in parts)
     if not named and name != "a" and "a" not in (x.key.split(".")[0] for x in node.below):
         return False
     all_ = _all_chars(node)
@@ -283,10 +365,22 @@ def _texts(level: list[Node], sure: bool, varied: bool = False) -> Iterator[Node
             continue
         if x.key == _TEXT:
             yield x
-        elif not _furniture(x) and (sure or x.key.split(".")[0] != "header"):
+        elif x.key.split(".")[0] == "header":  # of an article's own header, its headings
+            if sure:
+                yield from _headings(x)
+        elif not _furniture(x):
             yield from _texts(x.below, sure, varied)
 
 
+def _headings(node: Node, inside: bool = False) -> Iterator[Node]:
+    for x in node.below:
+        if x.key == _TEXT:
+            if inside:
+                yield x
+        elif not _furniture(x):
+            yield from _headings(x, inside or x.key.split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 def _named_main(node: Node) -> bool:
     return any(not _MAIN_WORDS.isdisjoint((w, w.split("-")[0])) for w in node.key.split(".")[1:])
 
@@ -300,7 +394,8 @@ def mark_main(wrapper: list[Node]) -> list[frozenset]:
     all text, if none varies); within a class the one with most text over all
     pages comes first, of equal ones the first in the page.  A slot's role lists
     its candidates.  The outcome has, for each candidate in this order, the
-    candidates that are read with it: articles go with articles.  Inside an
+    candidates that are read with it: articles go with those that have the same
+    classes, so teasers do not go with the article.  Inside an
     article or an element named as content a text counts whether or not it is
     equal on all pages; in another level only texts that vary do, if any does.
     """
@@ -321,7 +416,7 @@ def mark_main(wrapper: list[Node]) -> list[frozenset]:
             return 0 if varied and _fixed(node) else node.chars
         return 0 if id(node) in named or _furniture(node) else sum(unnamed(x, varied) for x in node.below)
 
-    roots = [(x.below, x.key.split(".")[0], False) for x in sorted(tags, key=_chars, reverse=True)]
+    roots = [(x.below, x.key, False) for x in sorted(tags, key=_chars, reverse=True)]
     roots += [(x.below, "", False) for x in sorted(words, key=_chars, reverse=True)]
     varied = any(unnamed(x, True) for x in wrapper)
     roots.append((_innermost(wrapper, lambda x: unnamed(x, varied)), "", varied))
@@ -335,20 +430,27 @@ class Places:
     """Where the items of each key stand in a level."""
 
     def __init__(self):
-        self.known: dict[int, dict[str, list[int]]] = {}
+        self.known: dict[tuple, list[int]] = {}
+
+    def find(self, nodes: list[Node], key: str, holds: frozenset[str], k: int) -> int | None:
+        """The first place of the key whose item has all that `holds` names, from k on or else before; else the first place of the key."""
+        places = self._places(nodes, key)
+        if not places:
+            return None
+        if len(places) > 1 and holds:  # layouts in different order
+            name = (id(nodes), key, holds)
+            if name not in self.known:
+                self.known[name] = [i for i in places if holds.issubset(y.key for y in nodes[i].below)]
+            places = self.known[name] or places
+        at = bisect_left(places, k)
+        return places[at] if at < len(places) else places[0]
 
-    def find(self, nodes: list[Node], key: str, k: int) -> list[int]:
-        """Places of the key, those from k on first."""
-        here = self.known.get(id(nodes))
-        if here is None:
-            here = self.known[id(nodes)] = {}
+    def _places(self, nodes: list[Node], key: str) -> list[int]:
+        if (id(nodes),) not in self.known:
+            self.known[id(nodes),] = []
             for i, x in enumerate(nodes):
-                here.setdefault(x.key, []).append(i)
-        places = here.get(key, [])
-        if len(places) < 2:
-            return places
-        at = bisect_left(places, k)
-        return places[at : at + 8] + places[: min(at, 8)]
+                self.known.setdefault((id(nodes), x.key), []).append(i)
+        return self.known.get((id(nodes), key), [])
 
 
 def read_main(items: list, wrapper: list[Node], choices: list[frozenset], places_of: Places | None = None) -> str:
@@ -364,14 +466,11 @@ def read_main(items: list, wrapper: list[Node], choices: list[frozenset], places
                 parts.append((" ", None))
                 continue
             key = _TEXT if isinstance(x, str) else x[0]
-            places = places_of.find(nodes, key, k)
-            if not places:
+            holds = frozenset() if key == _TEXT else frozenset(_TEXT if isinstance(y, str) else y[0] for y in x[1] if y != " ")
+            at = places_of.find(nodes, key, holds, k)
+            if at is None:
                 continue
-            at = places[0]
-            if len(places) > 1 and key != _TEXT:  # layouts in different order: an item that has all that this one holds
-                holds = {_TEXT if isinstance(y, str) else y[0] for y in x[1] if y != " "}
-                at = next((i for i in places if holds.issubset(y.key for y in nodes[i].below)), at)
-            k = max(k, at)
+            k = max(k, at if key == _TEXT or nodes[at].repeated else at + 1)
             here.add(id(nodes[at]))
             if isinstance(x, str):
                 parts.append((html.unescape(x), nodes[at]))

@@ -138,3 +138,101 @@ def test_alignment_keeps_a_longest_common_sequence():
 def is_part(small, large):
     it = iter(large)
     return all(k in it for k in small)
+
+
+def texts_of(pages, host=None):
+    """The main text of each page of one host, read as the tasks read it."""
+    wrapper = None
+    for page in pages:
+        level = W.wrapper_of(W.nested(page))
+        wrapper = level if wrapper is None else W.align(wrapper, level)
+    reader = W._Reader(W.json.dumps([len(pages), [x.pack() for x in wrapper]]))
+    return [reader.read(page) for page in pages]
+
+
+def test_long_sequences_are_aligned_as_one(monkeypatch):
+    rng = random.Random(12)
+    for cells in (1, 30, W.CELLS):
+        monkeypatch.setattr(W, "CELLS", cells)
+        for _ in range(60):
+            a, b = ([rng.choice("pqrs") for _ in range(rng.randrange(14))] for _ in range(2))
+            pairs = list(W._common(a, b))
+            assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
+            assert all(a[x] == b[y] for x, y in pairs if x is not None and y is not None)
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            assert sum(x is not None and y is not None for x, y in pairs) == best[-1][-1]
+
+
+@pytest.mark.parametrize("pairs", [50, 499, 2_000])
+def test_an_insertion_at_the_front_of_a_long_level(pairs):
+    body = lambda k: "".join(f"<p>text {k} {i}</p><hr>" for i in range(pairs))
+    side = '<div class="side">own side text</div>'
+    more = "".join(f"<h2>more {i}</h2><ol></ol>" for i in range(300))
+    one, two = texts_of([f"<article>{body(1)}{side}</article>", f"<article>{more}{body(2)}{side}</article>"])
+    want = lambda k: " ".join(f"text {k} {i}" for i in range(pairs))
+    # it is the same on both pages, and named so
+    assert one == want(1) and two == " ".join(f"more {i}" for i in range(300)) + " " + want(2)
+    own = [x.replace("own side", f"own side {k}") for k, x in enumerate([f"<article>{body(1)}{side}</article>", f"<article>{more}{body(2)}{side}</article>"])]
+    assert [x.endswith(f"own side {k} text") for k, x in enumerate(texts_of(own))] == [True, True]
+
+
+@pytest.mark.parametrize("depth", [20, 230, 3_000])
+def test_furniture_below_any_depth(depth):
+    inside = lambda k: "<div>" * depth + f'<p>text {k}</p><nav><ul><li>menu</li><li>items {k}</li></ul></nav><div class="ad-slot">buy <b>{k}</b></div><p>more {k}</p>' + "</div>" * depth
+    pages = [f"<body><article><h1>T {k}</h1>{inside(k)}<p>end {k}</p></article><footer>x</footer></body>" for k in range(3)]
+    assert texts_of(pages) == [f"T {k} text {k} more {k} end {k}" for k in range(3)]
+
+
+def test_layouts_far_ahead():
+    """An item that holds what no nearer item of its class holds, behind twelve others."""
+    front = "".join(f'<div class="box"><h{i % 3 + 3}>h {i}</h{i % 3 + 3}></div><p class="k{chr(97 + i)}">between {i}</p>' for i in range(12))
+    last = lambda k: f'<div class="box"><table><tr><td>{k} found</td></tr></table></div>'
+    pages = [f"<article>{front}{last(1)}</article>", f"<article>{front}{last(2)}</article>", f"<article>{last(3)}</article>"]
+    assert [x.endswith(f"{k} found") for k, x in enumerate(texts_of(pages), 1)] == [True] * 3
+
+
+def test_class_words_inside_an_article():
+    kept = "promo-code nav-theory reply ad-hoc comment".split()
+    gone = "ad ad-banner promo cookie-notice newsletter-signup comments sidebar-ad nav".split()
+    page = lambda k: "<article><h1>T</h1>" + "".join(f'<p class="{c}">{c} {k}</p><hr>' for c in kept + gone) + f"<p>end {k}</p></article>"
+    assert texts_of([page(k) for k in range(3)]) == ["T " + " ".join(f"{c} {k}" for c in kept) + f" end {k}" for k in range(3)]
+    replies = lambda k: f'<article><p>text {k}</p><div class="reply">one {k}</div><div class="reply">two {k}</div></article>'
+    assert texts_of([replies(k) for k in range(3)]) == [f"text {k}" for k in range(3)]
+
+
+def test_teasers_and_headers_of_articles():
+    page = lambda k: f'<body><article class="teaser"><p>read also {k}</p></article><article><header><h1>Title {k}</h1><p>site {k}</p></header><p>text {k} of some length</p></article><article class="teaser"><p>and {k}</p></article></body>'
+    assert texts_of([page(k) for k in range(4)]) == [f"Title {k} text {k} of some length" for k in range(4)]
+    parts = lambda k: f"<body><article><p>part one {k}</p></article><hr><article><p>part two {k}</p></article></body>"
+    assert texts_of([parts(k) for k in range(4)]) == [f"part one {k} part two {k}" for k in range(4)]
+
+
+def made_host(seed):
+    """Pages of one host without an article element, and their main texts, which are known as they are made."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n))
+    shells = {
+        "front": ["<div><a href=/a>Home</a> <a href=/b>About</a></div>", "<div><ul><li><a href=/x>One</a><li><a href=/y>Two</a></ul></div>", f"<div>{say(6)}</div>"],
+        "back": [f"<div><p>{say(9)}</p></div>", "<div><a href=/t>Terms</a> <a href=/i>Imprint</a></div>", f"<div><small>{say(4)}</small></div>"],
+    }
+    front, back = (rng.sample(shells[k], rng.randint(1, 3)) for k in ("front", "back"))
+    back.insert(rng.randint(0, len(back)), f"<blockquote><p>{say(600)}</p></blockquote>")  # more than a page says itself
+    tag = rng.choice(["section", "div", "td"])
+    pages, wanted = [], []
+    for k in range(rng.randint(3, 7)):
+        blocks = [say(rng.randint(8, 40)) for _ in range(rng.randint(2, 9))]
+        title = say(4)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{b[:9]}<i>{b[9:14]}</i>{b[14:]}</p>\n" for b in blocks)
+        pages.append(f"<html><head><title>{title} - site</title></head><body>{''.join(front)}<{tag}>{body}</{tag}>{''.join(back)}</body></html>")
+        wanted.append(" ".join([title, *blocks]))
+    return pages, wanted
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_hosts_whose_texts_are_known(seed):
+    """No element or class names the main text: what the pages of the host share is not it."""
+    pages, wanted = made_host(seed)
+    assert texts_of(pages) == wanted
+    assert [texts_of([p])[0] for p in pages] != wanted  # one page alone does not tell
