@@ -7,16 +7,19 @@ postings of the word behind it, and the length of the list is the phrase's exact
 frequency in the segment.  No phrase crosses a piece, so none crosses segments,
 and frequencies add up over segments.
 
-Level by level, the segments send the keys and lengths of their new lists; keys
-that are frequent over all segments go back to the segments that hold them, and
+Level by level, the segments send the keys and lengths of their new lists; those
+that are frequent over all segments are named to the segments that hold them, and
 only lists of those are kept and extended.  A word is reached only through the
 frequent phrase that starts one word later and ends with it, so no list is made
-that a shorter one rules out.  A key is 96 bits of hashes of the phrase; the
+that a shorter phrase rules out.  Single words are not ruled out first: nearly
+all occurrences are of frequent words, and to name these to the segments would
+cost more than the pairs it saves.  A key is 96 bits of hashes of the phrase; the
 first segment that holds it gives the phrase and its frequency.
 
-What is shuffled are keys, one row for each list and segment, twice at most.
-The lists lie where they were made, dealt by segment.  Nothing is broadcast or
-collected but the places of the partitions of the last sort.
+What is shuffled are counts of words, one row for each word and segment, and
+keys, one row for each list and segment.  The lists lie where they were made,
+dealt by segment.  Nothing is broadcast or collected but the places of the
+partitions of the last sort.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ LEAST = 30
 TOP = 2_000
 COVER_PERCENT = 80
 SEGMENT_WORDS = 1 << 20
+_NUMBER_BITS = 26  # of a list in its segment; above it 12 bits of the segment in its task, then the task
 
 _ENDS_PIECE = np.zeros(256, dtype=bool)
 _ENDS_PIECE[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -147,6 +151,12 @@ def _list_columns(seg: int, langs: list[str], terms: pa.Array, term_lang: np.nda
     return [pa.array([seg]), *map(_one, lists), pa.array([_packed(positions, counts)], pa.binary())]
 
 
+def _segment_number(task: int, made: int) -> int:
+    if made >> 12:
+        raise ValueError("a task has too many segments; give a larger number of words")
+    return task << 12 | made
+
+
 def _segments(most: int):
     def run(batches):
         task, made, open_ = TaskContext.get().partitionId(), 0, _Segment()
@@ -156,10 +166,10 @@ def _segments(most: int):
             for part, bounds, row in _chunks(data, offsets):
                 open_.add(part, bounds, langs[row : row + len(bounds)])
                 if open_.n >= most:
-                    yield open_.index(task << 32 | made)
+                    yield open_.index(_segment_number(task, made))
                     made, open_ = made + 1, _Segment()
         if open_.n:
-            yield open_.index(task << 32 | made)
+            yield open_.index(_segment_number(task, made))
 
     return run
 
@@ -202,16 +212,20 @@ def _kept(batch: pa.RecordBatch, row: int, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _longer_keys(batches):
-    """Number, key, check and length of the list of every phrase that is one word longer."""
+    """Place, key, and check and length (31 bits) of the list of every phrase that is one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
             lists = _Lists(batch, row)
             _, left, right = lists.merge()
             pair, n = np.unique(left.astype(np.int64) * len(lists.keys) + right, return_counts=True)
+            if len(pair) >> _NUMBER_BITS:
+                raise ValueError("a segment has too many lists; give a smaller number of words")
             for k in range(0, len(pair), 1 << 17):
                 part = pair[k : k + (1 << 17)]
                 keys, checks = lists.longer(part // len(lists.keys), part % len(lists.keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lists.seg)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(n[k : k + (1 << 17)].astype(np.int32))], ["seg", "number", "key", "check", "n"])
+                place = (lists.seg << _NUMBER_BITS) + np.arange(k, k + len(part))
+                rest = (checks.astype(np.int64) << 31) + n[k : k + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(rest)], ["place", "key", "rest"])
 
 
 def _kept_row(lists: _Lists, f: np.ndarray, terms: pa.Array, lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
@@ -220,15 +234,6 @@ def _kept_row(lists: _Lists, f: np.ndarray, terms: pa.Array, lang: np.ndarray, k
     return pa.RecordBatch.from_arrays([*_list_columns(lists.seg, lists.langs, terms, lang, keys, checks, counts, positions), *map(_one, given)], [*_NAMES, "own_lang", "own_phrase", "own_f"])
 
 
-def _kept_words(batches):
-    """The lists of frequent words."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            lists = _Lists(batch, row)
-            on, f = _kept(batch, row, len(lists.keys))
-            yield _kept_row(lists, f[on], lists.terms.filter(pa.array(on)), lists.lang[on], lists.keys[on], lists.checks[on], lists.counts[on], lists.positions[np.repeat(on, lists.counts)])
-
-
 def _kept_phrases(batches):
     """The lists of frequent phrases that are one word longer."""
     for batch in batches:
@@ -248,15 +253,17 @@ def _kept_phrases(batches):
 
 
 def _frequent(keys: DataFrame, least: int) -> DataFrame:
-    """(seg, kept, own): of rows (seg, number, key, check, n), the numbers of each segment whose keys have n of `least` or more over all segments.
+    """(seg, kept, own): of rows (place, key, rest), the numbers of each segment whose keys have a length of `least` or more over all segments.
 
-    own: the number and n over all segments of the keys whose phrase the segment
-    gives, which are those that no earlier segment has.
+    own: the number and length over all segments of the keys whose phrase the
+    segment gives, which are those that no earlier segment has.
     """
     same = Window.partitionBy("key", "check")
-    total = keys.withColumns({"f": F.sum("n").over(same), "first": F.min("seg").over(same)}).where(F.col("f") >= least)
-    own = F.when(F.col("seg") == F.col("first"), F.struct("number", "f"))
-    return total.groupBy("seg").agg(F.collect_list("number").alias("kept"), F.collect_list(own).alias("own"))
+    rows = keys.repartition("key").select("place", "key", F.shiftright("rest", 31).alias("check"), F.col("rest").bitwiseAND((1 << 31) - 1).alias("n"))
+    total = rows.withColumns({"f": F.sum("n").over(same), "first": F.min("place").over(same)}).where(F.col("f") >= least)
+    number = F.col("place").bitwiseAND((1 << _NUMBER_BITS) - 1).cast("int").alias("number")
+    own = F.when(F.col("place") == F.col("first"), F.struct(number, "f"))
+    return total.groupBy(F.shiftright("place", _NUMBER_BITS).alias("seg")).agg(F.collect_list(number).alias("kept"), F.collect_list(own).alias("own"))
 
 
 def _given(lists: DataFrame, words: int) -> DataFrame:
@@ -276,12 +283,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mo
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     whole = settle_dealt(rows.mapInArrow(_segments(segment_words), _WORDS), "words", "seg")
     totals = settle(whole.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "totals")
-    each = whole.select("seg", F.posexplode(F.arrays_zip("keys", "checks", "counts")).alias("number", "x"))
-    kept = _frequent(each.select("seg", "number", F.col("x.keys").alias("key"), F.col("x.checks").alias("check"), F.col("x.counts").cast("int").alias("n")), least)
-    lists = settle_dealt(whole.join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_words, _OWN), "lists", "seg", spent=(whole,))
-    found = _given(lists, 1)
+    each = whole.select("langs", F.explode(F.arrays_zip("terms", "term_lang", "counts")).alias("x")).select(F.element_at("langs", F.col("x.term_lang") + 1).alias("lang"), F.col("x.terms").alias("phrase"), F.col("x.counts").alias("n"))
+    one = each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    found, lists = settle(one.select("lang", "phrase", F.lit(1).alias("words"), "f"), "phrases"), whole
     for words in range(2, most_words + 1):
-        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "seg long, number int, key long, check int, n int"), least)
+        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "place long, key long, rest long"), least)
         lists = settle_dealt(lists.select(*_NAMES).join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_phrases, _OWN), "lists", "seg", spent=(lists,))
         found = found.unionByName(_given(lists, words))
     discard(lists)
