@@ -1,6 +1,5 @@
-"""Operators whose semantics are sequential: one bounded group per task, groups in parallel.
+"""Operators whose semantics are sequential: picks one after the other over rows of any number, walks and replays of bounded runs.
 
-A group above the stated size is refused instead of silently degraded.
 Randomness comes from hashes of seed, group and step.
 """
 
@@ -17,10 +16,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataline.operators.staging import settle
 
-MOST_ROWS = 100_000
 _TAG = re.compile(r"<!--.*?-->|<(script|style|sup|figure|nav|noscript)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
 _HREF = re.compile(r"""href\s*=\s*["']([^"']*)["']""", re.I)
 _KEPT = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt caption th td".split())
@@ -93,17 +92,6 @@ def revision_diff(before: Column | str, after: Column | str) -> Column:
     return F.pandas_udf(_diffs, "struct<removed:array<string>,added:array<string>,stable:array<string>>")(before, after)
 
 
-def per_group(rows: DataFrame, group: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = MOST_ROWS) -> DataFrame:
-    """function over each group; a group of more than `most` rows is an error."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) > most:
-            raise ValueError(f"a group has {len(p)} rows, more than {most}")
-        return function(p)
-
-    return rows.groupBy(group).applyInPandas(run, schema)
-
-
 def greedy_pool(rows: DataFrame, total: int, per_cell: int, order: list[str], keys: tuple[str, str, str] = ("family", "property", "source")) -> DataFrame:
     """The rows that a greedy pick of `total` can take, if it takes greater values of `order` first within equal (family, property, source).
 
@@ -111,7 +99,7 @@ def greedy_pool(rows: DataFrame, total: int, per_cell: int, order: list[str], ke
     Exact: a row is taken before a better one of its family and property only if
     the better one's source is used, and at most `total` sources are; so are the
     bounds for a family and source, and for a family.  The pool is bounded by the
-    parameters and the number of families, whatever the number of rows.
+    parameters for each family, whatever the number of rows.
     """
     family, prop, source = keys
     pair = total * per_cell + 1
@@ -121,65 +109,78 @@ def greedy_pool(rows: DataFrame, total: int, per_cell: int, order: list[str], ke
     return rows
 
 
-def diverse_by_popularity(p: pd.DataFrame, total: int, per_family: int, per_property: int, per_source: int) -> pd.DataFrame:
-    """Repeated pick of the greatest ln(max(1, views) + 1) / (1 + 2 f + p + s) under three caps; ties go to more views, then to the greatest id."""
-    left = p.sort_values("id").to_dict("records")
-    used: dict[tuple, int] = {}
-    caps = {"family": per_family, "property": per_property, "source": per_source}
-    out = []
-    while left and len(out) < total:
-        best, at = None, -1
-        for i, r in enumerate(left):
-            n = {c: used.get((c, r[c]), 0) for c in caps}
-            if all(n[c] < caps[c] for c in caps):
-                score = math.log1p(max(1, r["views"])) / (1 + 2 * n["family"] + n["property"] + n["source"])
-                if best is None or (score, r["views"], r["id"]) > best:
-                    best, at = (score, r["views"], r["id"]), i
-        if at < 0:
+def greedy_pick(rows: DataFrame, total: int, caps: dict[str, int], order: Callable[[Callable[[str], Column]], list[Column]]) -> DataFrame:
+    """rows picked one after the other, with their place: `total` at most, each the first by `order` among those whose capped values are not used up.
+
+    order gets a function that tells how often the value of a column was picked
+    so far, and returns descending sort columns that end in a unique one, `id`.
+    Every pick is one pass over the rows with a partial maximum in each task;
+    the driver holds what was picked and nothing else, so neither rows nor
+    families are limited.
+    """
+    rows = settle(rows, "pool")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))  # noqa: E731  a null is a value like others
+    kind, out = rows.schema, []
+    used: dict[str, dict[str, int]] = {c: {} for c in rows.columns}
+
+    def count(c: str) -> Column:
+        known = [F.lit(x) for pair in used[c].items() for x in pair]
+        return F.coalesce(F.create_map(*known)[name(c)], F.lit(0)) if known else F.lit(0)
+
+    while len(out) < total:
+        open_ = rows.where(~F.col("id").isin([r["id"] for r in out])) if out else rows
+        for c, most in caps.items():
+            if full := [v for v, n in used[c].items() if n >= most]:
+                open_ = open_.where(~name(c).isin(full))
+        best = open_.orderBy(*order(count)).limit(1).collect()
+        if not best:
             break
-        r = left.pop(at)
-        for c in caps:
-            used[c, r[c]] = used.get((c, r[c]), 0) + 1
-        out.append(r | {"place": len(out)})
-    return pd.DataFrame(out, columns=[*p.columns, "place"])
-
-
-def diverse_by_coverage(p: pd.DataFrame, total: int, caps: dict[str, int]) -> pd.DataFrame:
-    """Repeated pick of the row with most new families, then new properties, then score, then greatest id."""
-    left = p.sort_values("id").to_dict("records")
-    used: dict[tuple, int] = {}
-    out = []
-    while left and len(out) < total:
-        open_ = [r for r in left if all(used.get((c, r[c]), 0) < n for c, n in caps.items())]
-        if not open_:
+        out.append(best[0])
+        for c in used:
+            v = "\0" if best[0][c] is None else _as_text(best[0][c])
+            used[c][v] = used[c].get(v, 0) + 1
+    return _placed(rows, kind, out)
+
+
+def _as_text(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _placed(rows: DataFrame, kind, out: list) -> DataFrame:
+    return rows.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(out)], StructType([*kind.fields, StructField("place", LongType())]))
+
+
+def by_popularity(count: Callable[[str], Column]) -> list[Column]:
+    """The greatest ln(max(1, views) + 1) / (1 + 2 f + p + s); ties go to more views, then to the greatest id."""
+    score = F.log1p(F.greatest(F.lit(1), "views").cast("double")) / (1 + 2 * count("family") + count("property") + count("source"))
+    return [score.desc(), F.desc("views"), F.desc("id")]
+
+
+def by_coverage(count: Callable[[str], Column]) -> list[Column]:
+    """New families, then new properties, then the score, then the greatest id."""
+    return [(count("family") == 0).desc(), (count("property") == 0).desc(), F.desc("score"), F.desc("id")]
+
+
+def capped_round_robin(rows: DataFrame, total: int, lane: str, caps: dict[str, int]) -> DataFrame:
+    """rows picked lap by lap, one of each lane in the order of lanes, the least id whose capped values are not used up; with their place."""
+    rows, out, at, moved = settle(rows, "pool"), [], None, False
+    kind, used = rows.schema, {c: {} for c in caps}
+    while len(out) < total:
+        open_ = rows.where(~F.col("id").isin([r["id"] for r in out])) if out else rows
+        for c, most in caps.items():
+            if full := [v for v, n in used[c].items() if n >= most]:
+                open_ = open_.where(F.col(c).isNull() | ~F.col(c).isin(full))
+        next_ = (open_ if at is None else open_.where(F.col(lane) > at)).where(F.col(lane).isNotNull()).orderBy(lane, "id").limit(1).collect()
+        if next_:
+            out.append(next_[0])
+            at, moved = next_[0][lane], True
+            for c in caps:
+                used[c][next_[0][c]] = used[c].get(next_[0][c], 0) + 1
+        elif not moved:
             break
-        best = max(open_, key=lambda r: (("family", r["family"]) not in used, ("property", r["property"]) not in used, r["score"], r["id"]))
-        left.remove(best)
-        for c in {*caps, "family", "property"}:
-            used[c, best[c]] = used.get((c, best[c]), 0) + 1
-        out.append(best | {"place": len(out)})
-    return pd.DataFrame(out, columns=[*p.columns, "place"])
-
-
-def capped_round_robin(p: pd.DataFrame, total: int, lane: str, caps: dict[str, int]) -> pd.DataFrame:
-    """One row of each lane per lap, lanes in order, skipping rows whose capped values are used up."""
-    lanes = {k: list(g.sort_values("id").to_dict("records")) for k, g in p.groupby(lane, sort=True)}
-    used: dict[tuple, int] = {}
-    out, moved = [], True
-    while moved and len(out) < total:
-        moved = False
-        for k in lanes:
-            while lanes[k]:
-                r = lanes[k].pop(0)
-                if all(used.get((c, r[c]), 0) < n for c, n in caps.items()):
-                    for c in caps:
-                        used[c, r[c]] = used.get((c, r[c]), 0) + 1
-                    out.append(r | {"place": len(out)})
-                    moved = True
-                    break
-            if len(out) == total:
-                break
-    return pd.DataFrame(out, columns=[*p.columns, "place"])
+        else:  # the next lap
+            at, moved = None, False
+    return _placed(rows, kind, out)
 
 
 def pheromones(steps: pd.DataFrame, evaporation: float = 0.15, low: float = 0.05, high: float = 5.0, tail: int = 4) -> pd.DataFrame:

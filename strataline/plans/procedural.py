@@ -40,7 +40,6 @@ def _variants(s, d):
     return V.facts(s, d).select(F.col("fact_id").alias("id"), F.lit(0).alias("grp"), F.col("property").alias("family"), (F.col("object") % 20).alias("property"), F.col("subject").alias("source"), F.col("object").alias("views"), (F.col("object") * 1.0).alias("score"))
 
 
-_FIELDS = "id long, grp int, family string, property long, source long, views long, score double, place long"
 
 
 def _ant_edges(s, d):
@@ -82,9 +81,9 @@ def se08(s, d):
 QUERIES.update(
     sc02_rendered_page=sc02, sc26_snapshot_build=sc26, st05_revision_diff=st05,
     sc02_page_links=sc02_links, st05_block_bags=st05_bags,
-    so04_popularity_sampler=lambda s, d: P.per_group(P.greedy_pool(_variants(s, d), 40, 2, ["views", "id"]), "grp", lambda p: P.diverse_by_popularity(p, 40, 12, 4, 2), _FIELDS),
-    so05_coverage_sampler=lambda s, d: P.per_group(P.greedy_pool(_variants(s, d), 40, 2, ["score", "id"]), "grp", lambda p: P.diverse_by_coverage(p, 40, {"source": 2, "family": 12, "property": 4}), _FIELDS),
-    so06_capped_round_robin=lambda s, d: P.per_group(P.greedy_pool(_variants(s, d).withColumn("_place", -F.col("id")), 40, 1, ["_place"]).drop("_place"), "grp", lambda p: P.capped_round_robin(p, 40, "family", {"source": 1, "property": 3}), _FIELDS),
+    so04_popularity_sampler=lambda s, d: P.greedy_pick(P.greedy_pool(_variants(s, d), 40, 2, ["views", "id"]), 40, {"family": 12, "property": 4, "source": 2}, P.by_popularity),
+    so05_coverage_sampler=lambda s, d: P.greedy_pick(P.greedy_pool(_variants(s, d), 40, 2, ["score", "id"]), 40, {"source": 2, "family": 12, "property": 4}, P.by_coverage),
+    so06_capped_round_robin=lambda s, d: P.capped_round_robin(P.greedy_pool(_variants(s, d).withColumn("_place", -F.col("id")), 40, 1, ["_place"]).drop("_place"), 40, "family", {"source": 1, "property": 3}),
     se07_ant_search=se07, se08_pheromone_replay=se08, lg02_random_walk=lg02,
 )
 ORACLE_SQL["sc26_snapshot_build"] = V.oracle(

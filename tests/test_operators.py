@@ -4,6 +4,7 @@ import math
 import random
 
 import pandas as pd
+import plain_samplers as PS
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,10 +106,10 @@ def test_page_blocks_and_diff():
 
 def test_samplers_respect_caps():
     p = pd.DataFrame({"id": range(40), "grp": 0, "family": ["f%d" % (i % 4) for i in range(40)], "property": [i % 10 for i in range(40)], "source": [i % 5 for i in range(40)], "views": [i * 7 % 40 for i in range(40)], "score": [float(i) for i in range(40)]})
-    got = P.diverse_by_popularity(p, 12, 3, 2, 3)
+    got = PS.diverse_by_popularity(p, 12, 3, 2, 3)
     assert len(got) == 12 and got.family.value_counts().max() <= 3 and got["property"].value_counts().max() <= 2
-    assert list(P.diverse_by_coverage(p, 4, {"source": 1}).family.unique()) == ["f3", "f2", "f1", "f0"]
-    assert P.capped_round_robin(p, 8, "family", {"source": 2}).source.value_counts().max() <= 2
+    assert list(PS.diverse_by_coverage(p, 4, {"source": 1}).family.unique()) == ["f3", "f2", "f1", "f0"]
+    assert PS.capped_round_robin(p, 8, "family", {"source": 2}).source.value_counts().max() <= 2
 
 
 def test_pheromones():
@@ -180,17 +181,32 @@ def test_greedy_pool_loses_nothing(spark):
     whole = df.drop("_place").toPandas()
     total = 6
     for order, each, pick in (
-        (["views", "id"], 2, lambda p: P.diverse_by_popularity(p, total, 3, 3, 2)),
-        (["score", "id"], 2, lambda p: P.diverse_by_coverage(p, total, {"source": 2, "family": 3, "property": 3})),
-        (["_place"], 1, lambda p: P.capped_round_robin(p, total, "family", {"source": 1, "property": 2})),
+        (["views", "id"], 2, lambda p: PS.diverse_by_popularity(p, total, 3, 3, 2)),
+        (["score", "id"], 2, lambda p: PS.diverse_by_coverage(p, total, {"source": 2, "family": 3, "property": 3})),
+        (["_place"], 1, lambda p: PS.capped_round_robin(p, total, "family", {"source": 1, "property": 2})),
     ):
         pool = P.greedy_pool(df, total, each, order).drop("_place").toPandas()
         assert len(pool) < len(whole) / 4 and list(pick(pool)["id"]) == list(pick(whole)["id"])
 
 
+def test_samplers_equal_the_plain_picks_for_any_number_of_families(spark):
+    rng = random.Random(11)
+    rows = [(i, f"f{rng.randrange(40)}" if i % 50 else None, rng.randrange(9), rng.randrange(30), rng.randrange(60), float(rng.randrange(9))) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "id long, family string, property long, source long, views long, score double")
+    whole, total = df.toPandas(), 9
+    ids = lambda found: [r.id for r in sorted(found.collect(), key=lambda r: r.place)]
+    filled = whole.assign(family=whole["family"].where(whole["family"].notna(), "none"))
+    assert ids(P.greedy_pick(df, total, {"family": 2, "property": 2, "source": 1}, P.by_popularity)) == list(PS.diverse_by_popularity(filled, total, 2, 2, 1)["id"])
+    assert ids(P.greedy_pick(df, total, {"source": 2, "family": 3, "property": 2}, P.by_coverage)) == list(PS.diverse_by_coverage(filled, total, {"source": 2, "family": 3, "property": 2})["id"])
+    few = df.where("family in ('f1', 'f2')")
+    for caps, data, most in (({"source": 1, "property": 2}, df, total), ({"source": 1, "property": 1}, few, 30)):
+        assert ids(P.capped_round_robin(data, most, "family", caps)) == list(PS.capped_round_robin(data.where("family is not null").toPandas(), most, "family", caps)["id"])
+    assert P.greedy_pick(df.limit(0), 3, {"family": 1}, P.by_popularity).count() == 0 == P.capped_round_robin(df.limit(0), 3, "family", {}).count()
+
+
 def test_popularity_ties_go_to_views_then_the_greatest_id():
     p = pd.DataFrame({"id": [1, 2, 3, 4], "family": list("aabb"), "property": 1, "source": [1, 2, 3, 4], "views": [0, 1, 1, 0]})
-    assert list(P.diverse_by_popularity(p, 4, 9, 9, 9)["id"])[:2] == [3, 2]
+    assert list(PS.diverse_by_popularity(p, 4, 9, 9, 9)["id"])[:2] == [3, 2]
 
 
 def plain_ants(edges, starts, seed, ants, steps):
