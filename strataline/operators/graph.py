@@ -82,6 +82,52 @@ def arena(links: DataFrame, versions: DataFrame, target: DataFrame, depth: int,
     return kept.join(exact, "node", "left"), inside, truncated
 
 
+def shortest_next(states: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
+    """(node, distance, next): for each node the first by `order` of the nodes one step nearer that it leads to; null at distance 0.
+
+    states: node, distance.  edges: source, target and the columns of `order`,
+    which may be of the target (then `target` itself is the last of them).  The
+    successors form a tree of shortest paths.
+    """
+    steps = edges.join(states.select(F.col("node").alias("source"), F.col("distance").alias("_from")), "source").join(states.select(F.col("node").alias("target"), F.col("distance").alias("_to")), "target").where("_from = _to + 1")
+    first = steps.groupBy("source").agg(F.min_by("target", F.struct(*dict.fromkeys([*order, "target"]))).alias("next"))
+    return states.join(first, states.node == first.source, "left").select("node", "distance", "next")
+
+
+def shortest_chains(tree: DataFrame, depth: int) -> DataFrame:
+    """(node, distance, chain): the way of each node through its successors, up to `depth` steps.
+
+    The tree is written once; each step is one join, and only nodes that are not
+    at their end go on.
+    """
+    tree = settle(tree, "tree")
+    open_ = tree.select("node", "distance", F.array("node").alias("chain"), F.col("next").alias("_at"))
+    done = open_.where("_at is null")
+    for _ in range(depth):
+        ahead = tree.select(F.col("node").alias("_at"), F.col("next").alias("_next"))
+        open_ = settle(open_.where("_at is not null").join(ahead, "_at").select("node", "distance", F.concat("chain", F.array("_at")).alias("chain"), F.col("_next").alias("_at")), "chains")
+        done = done.unionByName(open_.where("_at is null"))
+    return done.unionByName(open_.where("_at is not null")).select("node", "distance", "chain")
+
+
+def chain_errors(chains: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
+    """chains with errors: their length is not the distance, a step is no edge, a step does not come one nearer, or the end is not at 0.
+
+    chains: node, distance, chain.  Steps are held against the edges and the
+    distances by joins on the step's two ends.
+    """
+    steps = chains.select("node", F.posexplode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("source"), F.slice("chain", 2, F.size("chain")).alias("target"))).alias("_k", "_s")).select("node", "_k", "_s.source", "_s.target")
+    known = edges.select("source", "target").distinct().withColumn("_edge", F.lit(True))
+    ends = states.select("node", "distance")
+    checked = steps.join(known, ["source", "target"], "left").join(ends.select(F.col("node").alias("source"), F.col("distance").alias("_a")), "source", "left").join(ends.select(F.col("node").alias("target"), F.col("distance").alias("_b")), "target", "left")
+    bad = checked.groupBy("node").agg(F.coalesce(F.bool_or(F.col("_edge").isNull()), F.lit(False)).alias("_no_edge"), F.coalesce(F.bool_or(~F.col("_a").eqNullSafe(F.col("_b") + 1)), F.lit(False)).alias("_not_nearer"))
+    last = chains.select("node", F.element_at("chain", -1).alias("_last")).join(ends.where("distance = 0").select(F.col("node").alias("_last"), F.lit(True).alias("_home")), "_last", "left").select("node", "_home")
+    told = F.array_compact(F.array(
+        F.when(F.size("chain") - 1 != F.col("distance"), F.lit("length")), F.when(F.col("_no_edge"), F.lit("edge")), F.when(F.col("_not_nearer"), F.lit("distance")), F.when(F.col("_home").isNull(), F.lit("end")),
+    ))
+    return chains.join(bad, "node", "left").join(last, "node").select("node", "distance", "chain", told.alias("errors"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     a, b = nodes.select(F.col("node").alias("source")), nodes.select(F.col("node").alias("target"))

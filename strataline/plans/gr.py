@@ -108,6 +108,33 @@ ROUTES = "r AS (SELECT * FROM (SELECT conv_id AS route, turn AS step, 1 + (conv_
 _add("gr07_route_validation", lambda s, d: G.broken_routes(routes(s, d), V.links(s, d)).select("route", "step"), oracle(LINKS, ROUTES, body="SELECT route, step FROM r WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.source = r.source AND l.target = r.target)"))
 _add("gr08_arena_audit", lambda s, d: _arena(s, d)[0].agg(F.count("*").alias("states"), F.max("distance").alias("deepest"), F.sha2(F.array_join(F.array_sort(F.collect_list("node")), ","), 256).alias("manifest")),
      recursive(LINKS, CAP3, ARENA, body="SELECT count(*) AS states, max(distance) AS deepest, sha256(string_agg(node, ',' ORDER BY node)) AS manifest FROM arena"))
+
+
+def _tree(s, d):
+    """Arena around the pages 1 to 5, its induced edges, and its successors."""
+    links, pages = _states(s, d)
+    states, edges, _ = G.arena(links, pages, s.createDataFrame([(n, v) for n in range(1, 6) for v in (0, 1)], "page long, version long"), 4, 100_000)
+    states = settle(states.where("distance is not null"), "states")
+    return states, edges, G.shortest_next(states, edges, [])
+
+
+WIDE = ARENA.replace("SELECT '0:5', CAST(0 AS BIGINT)", "SELECT CAST(v AS VARCHAR) || ':' || CAST(n AS VARCHAR), CAST(0 AS BIGINT) FROM range(1, 6) a(n), range(0, 2) b(v)").replace("distance < 3", "distance < 4")
+TREE = """tree AS (SELECT a.node, a.distance, (SELECT min(e.target) FROM edge e JOIN arena b ON b.node = e.target WHERE e.source = a.node AND b.distance = a.distance - 1) AS next FROM arena a)"""
+CHAIN = "chain(node, distance, spot, steps) AS (SELECT node, distance, node, [node] FROM tree UNION ALL SELECT c.node, c.distance, t.next, list_append(steps, t.next) FROM chain c JOIN tree t ON t.node = c.spot WHERE t.next IS NOT NULL)"
+_add("gr03_shortest_next", lambda s, d: _tree(s, d)[2], recursive(LINKS, CAP3, WIDE, TREE, body="SELECT node, distance, next FROM tree"))
+
+
+def gr08_chains(s, d):
+    states, edges, tree = _tree(s, d)
+    chains = G.shortest_chains(tree, 4)
+    # one chain in five is broken on purpose: its second step is left out, or its end
+    broken = chains.withColumn("chain", F.when((F.col("distance") > 1) & (F.crc32(F.col("node").cast("binary")) % 5 == 0), F.concat(F.slice("chain", 1, 1), F.slice("chain", 3, 9))).when(F.crc32(F.col("node").cast("binary")) % 5 == 1, F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(1)))).otherwise(F.col("chain")))
+    kept = G.chain_errors(chains, edges, states)
+    found = G.chain_errors(broken, edges, states).select("node", (F.size("errors") > 0).alias("told"), (F.size("chain") != F.col("distance") + 1).alias("broken"))
+    return kept.join(found, "node").select("node", F.array_join("chain", ">").alias("chain"), F.array_join("errors", ",").alias("errors"), (F.col("told") == F.col("broken")).alias("told"))
+
+
+_add("gr08_chain_audit", gr08_chains, recursive(LINKS, CAP3, WIDE, TREE, CHAIN, body="SELECT node, array_to_string(steps, '>') AS chain, '' AS errors, true AS told FROM chain WHERE len(steps) = distance + 1"))
 _add("gr09_waypoints", lambda s, d: routes(s, d).select("route", "step", F.explode(F.filter(F.array(F.struct(F.lit("source").alias("kind"), F.col("source").alias("page")), F.struct(F.lit("target").alias("kind"), F.col("target").alias("page"))), lambda x: (x.kind == "target") | (F.col("step") % 2 == 0))).alias("w")).select("route", "step", "w.kind", "w.page"),
      oracle(ROUTES, body="SELECT route, step, 'source' AS kind, source AS page FROM r WHERE step % 2 = 0 UNION ALL SELECT route, step, 'target', target FROM r"))
 _add("gr10_version_key", lambda s, d: V.revisions(s, d).select("revision_id", F.concat_ws(":", F.col("revision_id").cast("string"), F.lower(F.col("status"))).alias("key")), oracle(REVISIONS, body="SELECT revision_id, CAST(revision_id AS VARCHAR) || ':' || lower(status) AS key FROM revisions"))
