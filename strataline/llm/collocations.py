@@ -13,7 +13,7 @@ only lists of those are kept and extended.  A word is reached only through the
 frequent phrase that starts one word later and ends with it, so no list is made
 that a shorter phrase rules out.  Single words are not ruled out first: nearly
 all occurrences are of frequent words, and to name these to the segments would
-cost more than the pairs it saves.  A key is 96 bits of hashes of the phrase; the
+cost more than the pairs it saves.  A key is 80 bits of hashes of the phrase; the
 first segment that holds it gives the phrase and its frequency.
 
 What is shuffled are counts of words, one row for each word and segment, and
@@ -52,9 +52,10 @@ _IN_WORD[[ord(" "), ord("\t")]] = False
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _TWIST = np.uint64(0x2545F4914F6CDD1D)
 
-_LISTS = "seg long, langs array<string>, terms array<string>, term_lang array<int>, keys array<long>, checks array<int>, counts array<long>, positions binary"
-_WORDS = _LISTS + ", lang_words array<long>"  # all words of a segment
-_OWN = _LISTS + ", own_lang array<string>, own_phrase array<string>, own_f array<long>"  # frequent phrases, and those that the segment gives
+_LISTS = "seg long, langs array<string>, terms array<string>, term_lang array<int>, counts array<long>, positions binary"
+_WORDS = _LISTS + ", lang_words array<long>"  # all words of a segment; their keys follow from them
+_OWN = _LISTS + ", keys array<long>, checks array<int>, own_lang array<string>, own_phrase array<string>, own_f array<long>"  # frequent phrases, and those that the segment gives
+_NAMES = ["seg", "langs", "terms", "term_lang", "counts", "positions"]
 
 
 def _packed(lists: np.ndarray, counts: np.ndarray) -> bytes:
@@ -89,6 +90,19 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield data[start:stop], np.maximum(offsets[a:b] - start, 0), a
 
 
+def _salts(langs: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+
+
+def _word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return K.mix(K.word_hashes(data, starts, ends) ^ salt)
+
+
+def _word_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bits by other values of the bytes."""
+    return K.mix(K.span_hash(K.prefix_sums(K.mix(K.byte_values(data) ^ _TWIST)), starts, ends) ^ salt).astype(np.uint16)
+
+
 class _Segment:
     """The words of some documents, gathered until there are enough for an index."""
 
@@ -97,7 +111,7 @@ class _Segment:
         self.n, self.next = 0, 0
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
-        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []  # key, check, language and word of the distinct words of a part
+        self.known: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # key, language and word of the distinct words of a part
 
     def add(self, data: np.ndarray, bounds: np.ndarray, langs: list[str]) -> None:
         low = K.lower(data)
@@ -105,9 +119,7 @@ class _Segment:
         if not len(starts):
             return
         number = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int64)
-        salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
-        keys = K.mix(K.word_hashes(low, starts, ends) ^ salt[owner])
-        twisted = K.span_hash(K.prefix_sums(K.mix(K.byte_values(low) ^ _TWIST)), starts, ends) ^ salt[owner]
+        keys = _word_keys(low, starts, ends, _salts(langs)[owner])
         breaks = np.r_[0, np.cumsum(_ENDS_PIECE[low])]
         apart = (breaks[starts[1:]] > breaks[ends[:-1]]) | (owner[1:] != owner[:-1])
         at = self.next + np.arange(len(starts)) + np.r_[0, np.cumsum(apart)]
@@ -124,21 +136,18 @@ class _Segment:
         text = low[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         offs = np.r_[0, np.cumsum(size)].astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(text.tobytes())])
-        self.known.append((keys[first], K.mix(twisted[first]).astype(np.uint32), number[owner[first]], words))
+        self.known.append((keys[first], number[owner[first]], words))
 
     def index(self, seg: int) -> pa.RecordBatch:
         keys, at = np.concatenate(self.keys), np.concatenate(self.at)
-        some, first = np.unique(np.concatenate([k for k, _, _, _ in self.known]), return_index=True)
-        checks, lang = (np.concatenate([x[k] for x in self.known])[first] for k in (1, 2))
-        words = pa.concat_arrays([x[3] for x in self.known]).take(pa.array(first)).cast(pa.string())
+        some, first = np.unique(np.concatenate([k for k, _, _ in self.known]), return_index=True)
+        lang = np.concatenate([x for _, x, _ in self.known])[first]
+        words = pa.concat_arrays([w for _, _, w in self.known]).take(pa.array(first)).cast(pa.string())
         term = np.searchsorted(some, keys)
         order = np.argsort(term, kind="stable")
         counts = np.bincount(term, minlength=len(some))
         words_of = np.bincount(lang, weights=counts, minlength=len(self.langs)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*_list_columns(seg, list(self.langs), words, lang, some, checks, counts, at[order].astype(np.int64)), _one(pa.array(words_of))], [*_NAMES, "lang_words"])
-
-
-_NAMES = ["seg", "langs", "terms", "term_lang", "keys", "checks", "counts", "positions"]
+        return pa.RecordBatch.from_arrays([*_list_columns(seg, list(self.langs), words, lang, counts, at[order].astype(np.int64)), _one(pa.array(words_of))], [*_NAMES, "lang_words"])
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -146,8 +155,8 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _list_columns(seg: int, langs: list[str], terms: pa.Array, term_lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> list[pa.Array]:
-    lists = [pa.array(langs, pa.string()), terms, *(pa.array(x) for x in (term_lang.astype(np.int32), keys.view(np.int64), checks.view(np.int32), counts.astype(np.int64)))]
+def _list_columns(seg: int, langs: list[str], terms: pa.Array, term_lang: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> list[pa.Array]:
+    lists = [pa.array(langs, pa.string()), terms, pa.array(term_lang.astype(np.int32)), pa.array(counts.astype(np.int64))]
     return [pa.array([seg]), *map(_one, lists), pa.array([_packed(positions, counts)], pa.binary())]
 
 
@@ -181,7 +190,12 @@ class _Lists:
         get = lambda name: batch.column(name)[row].values
         self.seg, self.langs, self.terms = batch.column("seg")[row].as_py(), batch.column("langs")[row].as_py(), get("terms")
         self.lang, self.counts = np.asarray(get("term_lang")), np.asarray(get("counts"))
-        self.keys, self.checks = np.asarray(get("keys")).view(np.uint64), np.asarray(get("checks")).view(np.uint32)
+        if "keys" in batch.schema.names:
+            self.keys, self.checks = np.asarray(get("keys")).view(np.uint64), np.asarray(get("checks")).astype(np.uint16)
+        else:
+            data, ends, _ = K.column_bytes(self.terms)
+            salt = _salts(self.langs)[self.lang]
+            self.keys, self.checks = (f(data, ends[:-1], ends[1:], salt) for f in (_word_keys, _word_checks))
         self.positions = _unpacked(batch.column("positions")[row].as_py(), self.counts)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +213,7 @@ class _Lists:
         """Key and check of the phrases one word longer."""
         keys = K.mix(self.keys[left] * _FOLD + self.keys[right])
         checks = K.mix((self.checks[left].astype(np.uint64) << np.uint64(32)) + self.checks[right]) ^ K.mix(keys * _TWIST)
-        return keys, (checks >> np.uint64(32)).astype(np.uint32)
+        return keys, checks.astype(np.uint16)
 
 
 def _kept(batch: pa.RecordBatch, row: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +226,7 @@ def _kept(batch: pa.RecordBatch, row: int, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _longer_keys(batches):
-    """Place, key, and check and length (31 bits) of the list of every phrase that is one word longer."""
+    """Place, key, and length and check (16 bits) of the list of every phrase that is one word longer."""
     for batch in batches:
         for row in range(batch.num_rows):
             lists = _Lists(batch, row)
@@ -224,14 +238,15 @@ def _longer_keys(batches):
                 part = pair[k : k + (1 << 17)]
                 keys, checks = lists.longer(part // len(lists.keys), part % len(lists.keys))
                 place = (lists.seg << _NUMBER_BITS) + np.arange(k, k + len(part))
-                rest = (checks.astype(np.int64) << 31) + n[k : k + (1 << 17)]
+                rest = (n[k : k + (1 << 17)] << 16) + checks
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(rest)], ["place", "key", "rest"])
 
 
 def _kept_row(lists: _Lists, f: np.ndarray, terms: pa.Array, lang: np.ndarray, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
     own = np.flatnonzero(f)
     given = [pa.array([lists.langs[k] for k in lang[own].tolist()], pa.string()), terms.take(pa.array(own)), pa.array(f[own])]
-    return pa.RecordBatch.from_arrays([*_list_columns(lists.seg, lists.langs, terms, lang, keys, checks, counts, positions), *map(_one, given)], [*_NAMES, "own_lang", "own_phrase", "own_f"])
+    hashes = [pa.array(keys.view(np.int64)), pa.array(checks.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*_list_columns(lists.seg, lists.langs, terms, lang, counts, positions), *map(_one, hashes + given)], [*_NAMES, "keys", "checks", "own_lang", "own_phrase", "own_f"])
 
 
 def _kept_phrases(batches):
@@ -259,7 +274,7 @@ def _frequent(keys: DataFrame, least: int) -> DataFrame:
     segment gives, which are those that no earlier segment has.
     """
     same = Window.partitionBy("key", "check")
-    rows = keys.repartition("key").select("place", "key", F.shiftright("rest", 31).alias("check"), F.col("rest").bitwiseAND((1 << 31) - 1).alias("n"))
+    rows = keys.repartition("key").select("place", "key", F.col("rest").bitwiseAND((1 << 16) - 1).alias("check"), F.shiftright("rest", 16).alias("n"))
     total = rows.withColumns({"f": F.sum("n").over(same), "first": F.min("place").over(same)}).where(F.col("f") >= least)
     number = F.col("place").bitwiseAND((1 << _NUMBER_BITS) - 1).cast("int").alias("number")
     own = F.when(F.col("place") == F.col("first"), F.struct(number, "f"))
@@ -285,11 +300,12 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mo
     totals = settle(whole.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "totals")
     each = whole.select("langs", F.explode(F.arrays_zip("terms", "term_lang", "counts")).alias("x")).select(F.element_at("langs", F.col("x.term_lang") + 1).alias("lang"), F.col("x.terms").alias("phrase"), F.col("x.counts").alias("n"))
     one = each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    names = _NAMES
     found, lists = settle(one.select("lang", "phrase", F.lit(1).alias("words"), "f"), "phrases"), whole
     for words in range(2, most_words + 1):
-        kept = _frequent(lists.select(*_NAMES).mapInArrow(_longer_keys, "place long, key long, rest long"), least)
-        lists = settle_dealt(lists.select(*_NAMES).join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_phrases, _OWN), "lists", "seg", spent=(lists,))
-        found = found.unionByName(_given(lists, words))
+        kept = _frequent(lists.select(*names).mapInArrow(_longer_keys, "place long, key long, rest long"), least)
+        lists = settle_dealt(lists.select(*names).join(kept.hint("shuffle_hash"), "seg").mapInArrow(_kept_phrases, _OWN), "lists", "seg", spent=(lists,))
+        found, names = found.unionByName(_given(lists, words)), [*_NAMES, "keys", "checks"]
     discard(lists)
     return found, totals
 
