@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataline.operators import ordering as O
+from strataline.operators import submissions as SU
 from strataline.operators import validation as C
 from strataline.sources import views as V
 from strataline.sources.views import FACTS, LOG, REVISIONS, TURNS, oracle
@@ -61,13 +62,45 @@ _add("vl07_candidate_validation", lambda s, d: V.turns(s, d).where("action = 'us
 _add("vl08_excerpt_hash", lambda s, d: V.table(s, d, "benchmark").select("item_id", (F.sha2("text", 256) == F.sha2(F.trim("text"), 256)).alias("ok")), "SELECT item_id, sha256(text) = sha256(trim(text)) AS ok FROM benchmark")
 
 
-def vl09(s, d):
-    want = V.log(s, d).where("slot = 'pk'").select("case_id", "model").distinct()
-    got = V.log(s, d).where("slot = 'gate'").groupBy("case_id", "model").agg(F.bool_or(F.col("label") == "correct").alias("ok"))
-    return want.join(got, ["case_id", "model"], "left").groupBy("case_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("complete"), F.count_if("ok").alias("supported"), F.count("*").alias("claims"))
+def _case_facts(s, d):
+    """The first four facts of a subject, by date: three required claims and the tail."""
+    f = V.facts(s, d).withColumn("pos", F.row_number().over(Window.partitionBy("subject").orderBy("start", "fact_id"))).where("pos <= 4")
+    return f.select(F.col("subject").alias("case"), (F.col("pos") - 1).cast("int").alias("pos"), F.when(F.col("pos") == 4, F.lit("tail")).otherwise(F.format_string("c%d", F.col("pos") - 1)).alias("claim_id"),
+                    F.when(F.col("pos") == 4, F.lit("bridge")).otherwise(F.lit("case")).alias("subject"), F.col("property").alias("relation"), F.when(F.col("pos") == 3, F.lit("bridge")).otherwise(F.concat(F.lit("Object "), F.col("object").cast("string"))).alias("object"),
+                    F.date_format("start", "yyyy-MM-dd").alias("event_time"), "fact_id")
 
 
-_add("vl09_submission", vl09, oracle(LOG, "w AS (SELECT DISTINCT case_id, model FROM log WHERE slot = 'pk')", "g AS (SELECT case_id, model, bool_or(label = 'correct') AS ok FROM log WHERE slot = 'gate' GROUP BY 1, 2)", body="SELECT case_id, bool_and(coalesce(ok, false)) AS complete, count(*) FILTER (WHERE ok) AS supported, count(*) AS claims FROM w LEFT JOIN g USING (case_id, model) GROUP BY 1"))
+def vl09(s, d):
+    """Submissions made of the facts: some claims unnamed, some with another object or time, some evidence not owned or without a witness."""
+    f, n = _case_facts(s, d), F.col("fact_id")
+    required = f.drop("fact_id")
+    evidence_id = F.concat(F.lit("e"), n.cast("string"))
+    claims = f.select("case", (10 - F.col("pos")).alias("pos"), F.when((n % 3 != 0) | (F.col("claim_id") == "tail"), F.col("claim_id")).alias("claim_id"), F.upper("subject").alias("subject"), "relation",
+                      F.when(n % 7 == 0, F.lit("another")).otherwise(F.concat(F.lit(" "), F.col("object"))).alias("object"), F.when(n % 11 == 0, F.lit("2000-01-01")).otherwise(F.col("event_time")).alias("event_time"), F.array(evidence_id).alias("cited"))
+    cases = f.where("claim_id = 'tail'").select("case", F.col("object").alias("answer"), F.when(n % 5 == 0, F.array(F.lit("nobody"))).otherwise(F.array(F.lower("object"), F.lit("it"))).alias("aliases"), (n % 17 != 0).alias("actions_valid"))
+    evidence = f.where(n % 13 != 0).select("case", evidence_id.alias("evidence_id"), F.concat(F.lit("It says "), F.col("object"), F.lit(".")).alias("content"))
+    witnesses = f.where(n % 4 != 1).select("case", "claim_id", evidence_id.alias("evidence_id"))
+    decisions = f.where(n % 4 == 1).select("case", "claim_id", (n % 8 == 1).alias("supported"))
+    last = F.col("claim_id") == "tail"
+    matched = SU.match_claims(required, claims).withColumn("tail", last)
+    return SU.validate_submissions(SU.claim_results(matched, cases, evidence, witnesses, decisions), cases)
+
+
+_add("vl09_submission", vl09, oracle(FACTS, """f AS (SELECT *, pos = 4 AS tail, CASE WHEN pos = 3 THEN 'bridge' ELSE 'Object ' || CAST(object AS VARCHAR) END AS obj
+    FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY start, fact_id) AS pos FROM facts) WHERE pos <= 4)""",
+    "cases AS (SELECT subject AS \"case\", fact_id % 17 <> 0 AS actions_valid, fact_id % 5 <> 0 AS answer_correct FROM f WHERE tail)",
+    # claims of equal shape that are unnamed are taken from the end, as their places run backwards
+    """u AS (SELECT *, fact_id % 3 <> 0 OR tail AS named, row_number() OVER (PARTITION BY subject, tail, property, obj, fact_id % 3 <> 0 OR tail ORDER BY pos) AS rn FROM f)""",
+    """l AS (SELECT *, row_number() OVER (PARTITION BY subject, tail, property, obj ORDER BY pos DESC) AS rn FROM u WHERE NOT named AND fact_id % 7 <> 0)""",
+    """m AS (SELECT u.*, CASE WHEN u.named THEN u.fact_id ELSE l.fact_id END AS said, CASE WHEN u.named THEN u.start ELSE l.start END AS said_start
+    FROM u LEFT JOIN l ON l.subject = u.subject AND l.property = u.property AND l.obj = u.obj AND l.tail = u.tail AND l.rn = u.rn)""",
+    """r AS (SELECT *, coalesce(said % 7 <> 0, false) AS shape, coalesce(said % 13 <> 0, false) AS owned,
+    coalesce(CASE WHEN fact_id % 4 <> 1 THEN said = fact_id ELSE fact_id % 8 = 1 END, false) AS seen, coalesce(said % 11 <> 0 AND said_start = start, false) AS in_time FROM m)""",
+    "p AS (SELECT *, shape AND owned AND seen AND in_time AS passed FROM r)",
+    """g AS (SELECT subject, count(*) FILTER (NOT tail) AS bridges, count(*) FILTER (NOT tail AND passed) AS acquired, coalesce(bool_and(passed) FILTER (NOT tail), false) AS complete, coalesce(bool_and(in_time) FILTER (NOT tail), false) AS temporal,
+    coalesce(bool_or(passed) FILTER (tail), false) AS tail_passed, coalesce(bool_or(shape) FILTER (tail), false) AS tail_shape, coalesce(bool_or(owned) FILTER (tail), false) AS literal FROM p GROUP BY 1)""",
+    "o AS (SELECT \"case\", bridges, acquired, actions_valid, answer_correct, literal, complete, tail_passed, temporal, bridges = 3 AND tail_shape AND answer_correct AS composed FROM cases JOIN g ON g.subject = \"case\")",
+    body="SELECT *, actions_valid AND answer_correct AND literal AND complete AND tail_passed AND temporal AND composed AS success FROM o"))
 _add("vl10_compact_submission", lambda s, d: V.log(s, d).where("slot = 'gate'").groupBy("case_id").agg(F.collect_set("k").alias("cited")).join(V.log(s, d).where("slot = 'pk'").groupBy("case_id").agg(F.collect_set("k").alias("owned")), "case_id").select("case_id", F.size(F.array_except("cited", "owned")).cast("long").alias("foreign")),
      oracle(LOG, "o AS (SELECT DISTINCT case_id, k FROM log WHERE slot = 'pk')", "c AS (SELECT DISTINCT case_id, k FROM log WHERE slot = 'gate')", body='SELECT c.case_id, count(*) FILTER (WHERE o.k IS NULL) AS "foreign" FROM c LEFT JOIN o ON o.case_id = c.case_id AND o.k = c.k WHERE c.case_id IN (SELECT case_id FROM o) GROUP BY 1'))
 
