@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,14 +86,20 @@ def document_order(rows: DataFrame, keys: list[str], content: str, token: Column
     return ranked(rows.withColumn("_at", F.when(at == 0, F.length(content) + F.col(pos)).otherwise(at)), keys, ["_at", pos], "place").drop("_at")
 
 
-def round_schedule(spark: SparkSession, items: Sequence[str], rounds: int, distractor_every: int, seed: str) -> DataFrame:
-    """Rounds 1..n: laps over the items in a seeded order, with a distractor at every k-th round."""
-    slots = spark.range(1, rounds + 1).select(F.col("id").alias("round_no"))
-    i = F.col("round_no") - 1 - F.floor((F.col("round_no") - 1) / distractor_every)
-    lap = F.floor(i / len(items))
-    keyed = F.array_sort(F.transform(F.array(*map(F.lit, items)), lambda x: F.struct(F.sha2(F.concat(F.lit(f"{seed}|"), lap.cast("string"), F.lit("|"), x), 256).alias("h"), x.alias("x"))))
-    item = F.get(keyed, (i % len(items)).cast("int"))["x"]
-    return slots.select("round_no", F.when(F.col("round_no") % distractor_every == 0, F.lit("distractor")).otherwise(item).alias("item"))
+def round_schedules(groups: DataFrame, key: str, items: str, rounds: str, distractor_every: int, seed: str) -> DataFrame:
+    """(key, round_no, item): rounds 1..n of every group, laps over its items in an order seeded by key and lap, a distractor at every k-th round.
+
+    groups: key, an array of items and a number of rounds.  A group without items
+    has distractors alone; distractor_every 0 means none.
+    """
+    slots = groups.where(F.col(rounds) > 0).select(F.col(key).alias("_key"), F.array_distinct(F.coalesce(F.col(items).cast("array<string>"), F.array().cast("array<string>"))).alias("_items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(rounds).cast("long"))).alias("round_no"))
+    away = (F.col("round_no") % distractor_every == 0) if distractor_every else F.lit(False)
+    i = F.col("round_no") - 1 - (F.floor((F.col("round_no") - 1) / distractor_every) if distractor_every else 0)
+    n = F.size("_items")
+    lap = F.floor(i / F.greatest(n, F.lit(1)))
+    keyed = F.array_sort(F.transform("_items", lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), F.col("_key").cast("string"), lap.cast("string"), x), 256).alias("h"), x.alias("x"))))
+    item = F.get(keyed, (i % F.greatest(n, F.lit(1))).cast("int"))["x"]
+    return slots.select(F.col("_key").alias(key), "round_no", F.when(away | (n == 0), F.lit("distractor")).otherwise(item).alias("item"))
 
 
 def top_k(rows: DataFrame, score: Column, identity: Column, seed: str, k: int) -> DataFrame:

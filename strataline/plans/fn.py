@@ -134,8 +134,15 @@ def fn26(s, d):
 _add("fn26_evidence_budget", fn26, oracle(TURNS, "x AS (SELECT attempt, text, coalesce(sum(length(text)) OVER (PARTITION BY attempt ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns)", body="SELECT attempt, CAST(sum(least(length(text), 400 - before)) AS BIGINT) AS used, count(*) AS parts FROM x WHERE before < 400 GROUP BY 1"))
 _add("fn27_claim_text", lambda s, d: V.facts(s, d).select("fact_id", F.when(F.col("property") == "click", F.concat(F.lit("item "), F.col("object").cast("string"))).when(F.col("property") == "view", F.date_format("start", "yyyy-MM-dd")).when(F.col("property") == "error", F.col("rank")).alias("shown")),
      oracle(FACTS, body="SELECT fact_id, CASE property WHEN 'click' THEN 'item ' || CAST(object AS VARCHAR) WHEN 'view' THEN CAST(start AS VARCHAR) WHEN 'error' THEN rank END AS shown FROM facts"))
-_add("fn28_binomial_pmf", lambda s, d: s.range(0, 21).select("id", F.round(A.binomial_pmf(F.col("id"), F.lit(20)), 10).alias("p")),
-     "SELECT id, round(CAST(factorial(20) AS DOUBLE) / (CAST(factorial(CAST(id AS INTEGER)) AS DOUBLE) * CAST(factorial(CAST(20 - id AS INTEGER)) AS DOUBLE)) / 1048576.0, 10) AS p FROM range(0, 21) t(id)")
+
+
+def fn28(s, d):
+    """How likely a case's number of correct labels is, if each were even."""
+    cases = V.log(s, d).groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "correct").alias("k"))
+    return cases.select("case_id", "n", "k", F.round(A.binomial_pmf(F.col("k"), F.col("n")), 9).alias("p"))
+
+
+_add("fn28_binomial_pmf", fn28, oracle(LOG, "c AS (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE label = 'correct') AS k FROM log GROUP BY 1)", body="SELECT case_id, n, k, round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5)), 9) AS p FROM c"))
 _add("fn29_identity_keys", lambda s, d: V.turns(s, d).where("step <= 3").groupBy("attempt").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "action"))), lambda x: x.action), "|"), 256).alias("identity")),
      oracle(TURNS, body="SELECT attempt, sha256(string_agg(action, '|' ORDER BY step, action)) AS identity FROM turns WHERE step <= 3 GROUP BY 1"))
 _add("fn30_action_id", lambda s, d: V.links(s, d).select("source", "target", F.concat(F.lit("follow_"), F.substring(F.sha2(F.to_json(F.struct("source", "target")), 256), 1, 16)).alias("action_id")),

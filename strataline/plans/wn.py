@@ -148,11 +148,16 @@ _add("wn15_log_softmax", wn15, oracle(LOG, """x AS (SELECT line_no, model, case_
      body="SELECT line_no, round(s - m - ln(sum(exp(s - m)) OVER (PARTITION BY model, case_id)), 6) AS logp FROM x"))
 _add("wn16_rank_of_expected", lambda s, d: O.ranked(V.log(s, d), ["model", "case_id"], [F.desc("k"), "line_no"], "place").where("label = 'correct'").select("line_no", F.col("place").cast("long").alias("place")),
      oracle(LOG, body="SELECT line_no, place FROM (SELECT *, row_number() OVER (PARTITION BY model, case_id ORDER BY k DESC, line_no) AS place FROM log) WHERE label = 'correct'"))
-_add("wn17_round_schedule", lambda s, d: O.round_schedule(s, ["d1", "d2", "d3"], 24, 4, "seed"),
-     """WITH slots AS (SELECT r, CAST(floor((r - 1) * 3 / 4) AS BIGINT) AS unused FROM range(1, 25) t(r)),
-kept AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i FROM slots WHERE r % 4 <> 0),
-order_ AS (SELECT lap, item, row_number() OVER (PARTITION BY lap ORDER BY sha256('seed|' || CAST(lap AS VARCHAR) || '|' || item)) - 1 AS j FROM range(0, 24) l(lap), (VALUES ('d1'), ('d2'), ('d3')) v(item))
-SELECT slots.r AS round_no, coalesce(item, 'distractor') AS item FROM slots LEFT JOIN kept USING (r) LEFT JOIN order_ ON lap = i // 3 AND j = i % 3""")
+def wn17(spark, d):
+    """A schedule for every case: its distances as items, a round for each of its log lines."""
+    groups = V.log(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_set("distance")).alias("items"), F.count("*").alias("rounds"))
+    return O.round_schedules(groups, "case_id", "items", "rounds", 4, "seed")
+
+
+_add("wn17_round_schedule", wn17, oracle(LOG, "g AS (SELECT case_id, count(*) AS rounds, count(DISTINCT distance) AS n FROM log GROUP BY 1)", "v AS (SELECT DISTINCT case_id, CAST(distance AS VARCHAR) AS item FROM log WHERE distance IS NOT NULL)",
+     "slots AS (SELECT case_id, n, r, r - 1 - (r - 1) // 4 AS i FROM (SELECT case_id, n, unnest(range(1, rounds + 1)) AS r FROM g))",
+     "laps AS (SELECT DISTINCT case_id, i // n AS lap FROM slots WHERE n > 0)", "o AS (SELECT laps.case_id, lap, item, row_number() OVER (PARTITION BY laps.case_id, lap ORDER BY sha256('seed|' || CAST(laps.case_id AS VARCHAR) || '|' || CAST(lap AS VARCHAR) || '|' || item)) - 1 AS j FROM laps JOIN v ON v.case_id = laps.case_id)",
+     body="SELECT s.case_id, r AS round_no, coalesce(item, 'distractor') AS item FROM slots s LEFT JOIN o ON s.r % 4 <> 0 AND n > 0 AND o.case_id = s.case_id AND o.lap = s.i // s.n AND o.j = s.i % s.n"))
 
 
 def wn18(spark, d):
