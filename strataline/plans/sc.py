@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataline.operators import nested as NE
 from strataline.operators import ordering as O
 from strataline.operators import temporal as T
 from strataline.operators.staging import shared_folder
@@ -129,14 +130,18 @@ def sc19(s, d):
 _add("sc19_model_cutoff", sc19, oracle(LOG, "c AS (SELECT * FROM (VALUES ('click', DATE '2024-01-08'), ('view', DATE '2024-01-12')) v(model, cutoff))", body="SELECT line_no, cutoff FROM log JOIN c USING (model) WHERE CAST(ts AS DATE) > cutoff"))
 
 
-def sc20(s, d):
-    v = V.table(s, d, "events").select("event_id", F.parse_json(F.concat(F.lit('{"a":['), "props", F.lit(',{"b":'), "props", F.lit("}]}"))).alias("v"))
-    first = v.select("event_id", F.variant_get("v", "$.a[0].k", "long").alias("k"))
-    second = v.select("event_id", F.variant_get("v", "$.a[1].b.k", "long").alias("k"))
-    return first.unionByName(second)
+def _nested(s, d):
+    """Events whose properties are wrapped in pages within pages, up to five deep."""
+    wrapped = "CASE WHEN event_id % 6 = 0 THEN props ELSE aggregate(sequence(1, cast(event_id % 6 AS int)), props, (t, i) -> concat('{\"page\":[', t, ',{\"k\":', event_id, '}]}')) END"
+    return V.table(s, d, "events").select("event_id", F.parse_json(F.expr(wrapped)).alias("v"))
 
 
-_add("sc20_nested_evidence", sc20, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events")
+_add("sc20_nested_evidence", lambda s, d: NE.named_values(_nested(s, d), "event_id", "v", ["k"]),
+     """SELECT event_id, '$' || repeat('.page[0]', event_id % 6) || '.k' AS path, json_extract_string(props, '$.k') AS leaf FROM events
+UNION ALL SELECT event_id, '$' || repeat('.page[0]', j) || '.page[1].k', CAST(event_id AS VARCHAR) FROM (SELECT event_id, unnest(range(0, event_id % 6)) AS j FROM events)""")
+_add("pr13_private_values", lambda s, d: NE.private_leaks(NE.leaves(_nested(s, d).where("event_id % 6 > 3"), "event_id", "v"), "event_id", V.table(s, d, "region").select((F.col("r_regionkey") + 7).cast("string").alias("s")), "s", "^(gold|expected)$", F.lit(False)),
+     """SELECT event_id, '$' || repeat('.page[0]', event_id % 6) || '.k' AS path, 'value' AS reason FROM events WHERE event_id % 6 > 3 AND json_extract_string(props, '$.k') IN (SELECT CAST(r_regionkey + 7 AS VARCHAR) FROM region)
+UNION ALL SELECT event_id, '$' || repeat('.page[0]', j) || '.page[1].k', 'value' FROM (SELECT event_id, unnest(range(0, event_id % 6)) AS j FROM events WHERE event_id % 6 > 3 AND CAST(event_id AS VARCHAR) IN (SELECT CAST(r_regionkey + 7 AS VARCHAR) FROM region))""")
 
 
 def sc21(s, d):
