@@ -206,27 +206,32 @@ def replay_pheromones(steps: DataFrame, evaporation: float = 0.15, low: float =
     """pheromones() of every run as a stream over rows sorted by run and step.
 
     A task holds the levels and the last `tail` edges of one run, so a run may have any number of steps.
+    An edge evaporates when it is touched, for all the steps since it was; the
+    work is that of the steps, not of steps times edges.
     """
 
     def replay(batches):
-        run, level, trail = None, None, []
+        run, level, trail, n = None, None, [], 0
+
+        def now(e):
+            value, since = level[e]
+            return max(low, value * (1 - evaporation) ** (n - since))
 
         def give():
             edges = sorted(level, key=lambda e: (e is None, e))
-            return pa.RecordBatch.from_arrays([pa.array([run] * len(edges), pa.int64()), pa.array(edges, pa.int64()), pa.array([round(level[e], 9) for e in edges], pa.float64())], ["run", "edge", "pheromone"])
+            return pa.RecordBatch.from_arrays([pa.array([run] * len(edges), pa.int64()), pa.array(edges, pa.int64()), pa.array([round(now(e), 9) for e in edges], pa.float64())], ["run", "edge", "pheromone"])
 
         for batch in batches:
             for one, edge, reward in zip(*(batch.column(c).to_pylist() for c in ("run", "edge", "reward"))):
                 if level is None or one != run:
                     if level is not None:
                         yield give()
-                    run, level, trail = one, {}, []
+                    run, level, trail, n = one, {}, [], 0
                 trail = [*trail, edge][-tail:]
-                level.setdefault(edge, 1.0)
-                for e in level:
-                    level[e] = max(low, level[e] * (1 - evaporation))
+                level.setdefault(edge, (1.0, n))
+                n += 1
                 for distance, e in enumerate(reversed(trail) if reward > 0 else [edge]):
-                    level[e] = min(high, max(low, level[e] + reward * 0.6**distance))
+                    level[e] = min(high, max(low, now(e) + reward * 0.6**distance)), n
         if level is not None:
             yield give()
 

@@ -166,7 +166,7 @@ def test_streams_match_batches(spark, tmp_path):
 
 
 def test_pheromones_of_a_long_run(spark):
-    n = P.MOST_ROWS + 50
+    n = 100_050
     steps = spark.range(n).selectExpr("if(id < 20, 2, 1) as run", "id as step", "id * id % 7 as edge", "if(id % 3 = 0, -0.5D, 0.2D) as reward").repartition(3)
     frame = steps.toPandas()
     expect = {tuple(r) for run in (1, 2) for r in P.pheromones(frame[frame["run"] == run]).itertuples(index=False)}
