@@ -149,10 +149,15 @@ def run_until_end(stream: DataFrame, path: str, checkpoint: str, mode: str, idle
     them; in processing time they would follow for ever.
     """
     spark, schema = stream.sparkSession, stream.schema
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", idle)
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, idle)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(schema).parquet(path).select(*schema.names)
