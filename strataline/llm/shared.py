@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
