@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import math
 import random
+from fractions import Fraction
 
 import pandas as pd
 import plain_samplers as PS
@@ -27,6 +28,20 @@ def test_mcnemar_golden_values(spark):
     assert [r.p if r.p is None else round(r.p, 7) for r in rows.select(A.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()] == [0.375, 0.7265625, 0.125, None]
 
 
+def test_mcnemar_and_binomial_of_many_trials(spark):
+    """Over 1,029 trials the coefficients pass the range of doubles; held against whole numbers."""
+    pairs = [(2000, 2003), (1950, 2050), (2050, 1951), (2000, 2000), (0, 5000), (515, 514)]
+
+    def exact(b, c):
+        n, own = b + c, math.comb(b + c, b)
+        return float(Fraction(sum(x for x in (math.comb(n, k) for k in range(n + 1)) if x <= own), 2**n))
+
+    rows = spark.createDataFrame(pairs, "b int, c int").coalesce(1)
+    got = rows.select(A.mcnemar(F.col("b"), F.col("c")).alias("p"), A.binomial_pmf(F.col("b"), F.col("b") + F.col("c")).alias("pmf")).collect()
+    assert [r.p for r in got] == pytest.approx([exact(*x) for x in pairs], rel=1e-10, abs=1e-9)
+    assert [r.pmf for r in got] == pytest.approx([float(Fraction(math.comb(b + c, b), 2 ** (b + c))) for b, c in pairs], rel=1e-9)
+
+
 def test_percent_rounds_half_to_even(spark):
     got = spark.createDataFrame([(1, 16), (5, 13), (0, 0)], "s int, n int").select(A.percent(F.col("s"), F.col("n")).alias("p")).collect()
     assert [r.p for r in got] == [6.2, 38.5, None]
