@@ -45,3 +45,12 @@ def test_private_names_and_values(spark):
     found = N.leaves(rows, "key", "value")
     got = N.private_leaks(found, "key", secrets, "s", "^(gold_.*|expected)$", F.lower("leaf") == "open").collect()
     assert sorted(map(tuple, got)) == [(1, "$.a.gold_id", "key"), (1, "$.b[0]", "value"), (3, "$.expected[0]", "key"), (3, "$.expected[1]", "key")]
+
+
+def test_many_levels_are_one_write(spark, monkeypatch):
+    written, settle = [], N.settle
+    monkeypatch.setattr(N, "settle", lambda df, name: written.append(name) or settle(df, name))
+    rows = spark.createDataFrame([(1, '{"a": ' * 7 + '{"k": 1, "x": 2}' + "}" * 7), (2, '{"k": {}, "x": [[], {"k": null}]}')], "key long, text string").withColumn("value", F.parse_json("text"))
+    got = N.named_values(rows, "key", "value", ["k"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "$" + ".a" * 7 + ".k", "1"), (2, "$.x[1].k", None)]
+    assert len(written) == 2  # eight levels down to the values, and one more to see that they are plain
