@@ -4,7 +4,8 @@ All ways to write a text in pieces form a lattice.  A segmentation has the
 probability of its pieces' product; pieces get Zipf probabilities by their rank
 in the model.  Space marks, and characters that no piece has, cut the lattice
 of a text into units; a forward pass over the distinct units of many texts
-gives exact masses, and with them the choice at each place.
+gives exact masses, and with them the choice at each place.  A place has about
+two pieces that end there, so the lattice holds these alone, place by place.
 
 The k segmentations with the greatest Gumbel-perturbed log-probabilities are a
 sample without replacement.  They are found by a best-first (A*) search over
@@ -57,24 +58,25 @@ class PieceModel:
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.step_logp = np.full(1 << 16, -np.inf)
         self.step_logp[:n] = self.logp.astype(np.float32)
+        self.step_logp[_BYTES] = 0.0  # a character in bytes is a unit of one way
         self.bytes_of = [names[i].replace(chr(_MARK), " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids.tolist()):
             self.bytes_of[i] = bytes([b])
         self.byte_at = np.concatenate([[0], np.cumsum([len(x) for x in self.bytes_of])])
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.longest = max(len(names[i]) for i in ids)
-        # every prefix of a piece, so that a search stops where no piece goes on
-        prefixes = sorted({names[i][:k] for i in ids for k in range(1, len(names[i]) + 1)})
-        points = np.frombuffer("".join(prefixes).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(x) for x in prefixes])
+        # every suffix of a piece, read from its end, so that a search stops where no piece goes on
+        of = {names[i][::-1]: i for i in ids}
+        suffixes = sorted({x[:k] for x in of for k in range(1, len(x) + 1)})
+        points = np.frombuffer("".join(suffixes).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(x) for x in suffixes])
         starts = np.concatenate([[0], ends[:-1]])
-        key = np.zeros(len(prefixes), np.uint64)
+        key = np.zeros(len(suffixes), np.uint64)
         for k in range(self.longest):
             on = np.flatnonzero(starts + k < ends)
             key[on] = _longer(key[on], K.mix(points[starts[on] + k].astype(np.uint64)))
         self.table = K.HashTable(key)
-        of = {names[i]: i for i in ids}
-        self.piece_of = np.array([of.get(x, _NONE) for x in prefixes], np.uint16)
+        self.piece_of = np.array([of.get(x, _NONE) for x in suffixes], np.uint16)
         single = np.zeros(0x110002, bool)
         single[[ord(names[i]) for i in ids if len(names[i]) == 1]] = True
         self.single = single
@@ -138,62 +140,94 @@ class Lattice:
             at += size
 
     def _forward(self, first: np.ndarray, size: np.ndarray, known: np.ndarray) -> None:
-        longest = self.model.longest
-        self.base = np.concatenate([[0], np.cumsum(size + 1)])
-        states = int(self.base[-1])
-        self.piece = np.full((states, longest), _NONE, np.uint16)
-        weight = np.full((states, longest), -np.inf, np.float32)
-        ends = np.cumsum(size)
-        for lo in range(0, int(ends[-1]) if len(ends) else 0, _MATCHED):  # places of the units, some at a time
-            place = np.arange(lo, min(lo + _MATCHED, int(ends[-1])))
-            unit = np.searchsorted(ends, place, side="right")
-            inner = place - (ends[unit] - size[unit])
-            self._match(first[unit] + inner, size[unit] - inner, self.base[unit] + inner, known, weight)
-        self.mass = mass = np.zeros(states)
-        self.choice = weight  # a place's shares take the room of its weights
-        long_ = int(np.searchsorted(-size, -_LONG))  # units of more than _LONG come first
+        """Entries, masses and shares of the distinct units, the longest of which come first.
+
+        States (places of distinct units) are numbered unit by unit for units of
+        more than _LONG characters, and behind these by their distance from the
+        unit's start, then by unit.  An entry is a piece that ends at a state;
+        those of a state lie together, the shortest first.
+        """
+        self.long = long_ = int(np.searchsorted(-size, -_LONG))
+        self.base = np.concatenate([[0], np.cumsum(size[:long_] + 1)])
+        short = size[long_:]
+        counts = np.searchsorted(-short, -np.arange(int(short.max(initial=-1)) + 1), side="right")
+        self.level = level = self.base[-1] + np.concatenate([[0], np.cumsum(counts)])
+        states = int(level[-1])
+        self.entry = np.zeros(states + 1, np.int64)  # the first entry of each state
+        found = []
         for unit in range(long_):
-            self._forward_long(int(self.base[unit]), int(size[unit]), weight)
-        base, size = self.base[long_:-1], size[long_:]
-        for e in range(1, int(size.max(initial=0)) + 1):
-            rows = base[: np.searchsorted(-size, -e, side="right")] + e
-            self._settle_rows(rows, weight, min(e, longest))
-
-    def _match(self, at: np.ndarray, left: np.ndarray, state: np.ndarray, known: np.ndarray, weight: np.ndarray) -> None:
-        """Pieces that start at characters `at`, of which `left` remain in their unit, put where they end."""
+            for lo in range(1, int(size[unit]) + 1, _MATCHED):
+                place = np.arange(lo, min(int(size[unit]) + 1, lo + _MATCHED))
+                found.append(self._match(int(self.base[unit]) + lo, first[unit] + place - 1, place, known))
+        for lo in range(int(level[1]) if len(short) else states, states, _MATCHED):
+            state = np.arange(lo, min(states, lo + _MATCHED))
+            place = np.searchsorted(level, state, side="right") - 1
+            found.append(self._match(lo, first[state - level[place] + long_] + place - 1, place, known))
+        self.piece, self.length = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.uint16)] * 2
+        del found
+        np.cumsum(self.entry, out=self.entry)
+        self.mass = np.zeros(states)
+        self.choice = np.empty(len(self.piece), np.float32)
+        for unit in range(long_):
+            self._forward_long(int(self.base[unit]), int(size[unit]))
+        held, since = [], int(level[1]) if len(short) else states
+        for e in range(1, len(level) - 1):
+            held.append(self._settle(e))
+            if e == len(level) - 2 or self.entry[level[e + 1]] - self.entry[since] >= _MATCHED:
+                self._share(since, int(level[e + 1]), np.concatenate(held))
+                held, since = [], int(level[e + 1])
+
+    def _match(self, state: int, at: np.ndarray, place: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces, and their lengths, that end with characters `at`, the last before places `place` of units; their states follow one another from `state`."""
         model = self.model
-        live = np.flatnonzero(known[at])
+        ending = np.full((len(at), model.longest), _NONE, np.uint16)
+        whole = known[at]
+        live = np.flatnonzero(whole)
         key = np.zeros(len(live), np.uint64)
-        for k in range(1, model.longest + 1):
-            key = _longer(key, self.codes[at[live] + k - 1])
+        for k in range(model.longest):
+            key = _longer(key, self.codes[at[live] - k])
             found = model.table.find(key)
-            ids = np.where(found >= 0, model.piece_of[found], _NONE)
-            ok = np.flatnonzero(ids != _NONE)
-            ends = state[live[ok]] + k
-            self.piece[ends, k - 1] = ids[ok]
-            weight[ends, k - 1] = model.logp[ids[ok]]
-            on = (found >= 0) & (left[live] > k)
+            on = np.flatnonzero(found >= 0)
+            live, key = live[on], key[on]
+            ending[live, k] = model.piece_of[found[on]]
+            on = np.flatnonzero(place[live] > k + 1)
             live, key = live[on], key[on]
             if not len(live):
                 break
-        odd = np.flatnonzero(~known[at])  # written in bytes
-        point = self.points[at[odd]]
-        width = 1 + (point > 0x7F) + (point > 0x7FF) + ((point > 0xFFFF) & (point != _LITERAL))
-        self.piece[state[odd] + 1, 0] = _BYTES
-        weight[state[odd] + 1, 0] = width * model.logp[model.byte_ids[0]]
-
-    def _settle_rows(self, rows: np.ndarray, weight: np.ndarray, reach: int) -> None:
-        """Masses and shares of places whose predecessors are known."""
-        part = weight[rows, :reach] + self.mass[rows[:, None] - np.arange(1, reach + 1)]
-        top = part.max(axis=1)
-        p = np.exp(part - top[:, None])
-        total = p.sum(axis=1)
-        self.mass[rows] = top + np.log(total)
-        share = np.cumsum(p, axis=1) / total[:, None]
-        self.choice[rows, :reach] = share / share[:, -1:]
-        self.choice[rows, reach:] = 1
-
-    def _forward_long(self, base: int, size: int, weight: np.ndarray) -> None:
+        ending[np.flatnonzero(~whole), 0] = _BYTES
+        ending = ending.ravel()
+        flat = np.flatnonzero(ending != _NONE)
+        row = flat // model.longest
+        self.entry[state + 1 : state + 1 + len(at)] = np.bincount(row, minlength=len(at))
+        return ending[flat], (flat - row * model.longest + 1).astype(np.min_scalar_type(model.longest))
+
+    def _settle(self, e: int) -> np.ndarray:
+        """Masses of the states at distance `e`, when those before are known; the weights of their entries."""
+        lo, hi = self.level[e], self.level[e + 1]
+        part = slice(self.entry[lo], self.entry[hi])
+        at = self.entry[lo:hi] - self.entry[lo]
+        unit = np.repeat(np.arange(hi - lo), np.diff(self.entry[lo : hi + 1]))
+        before = self.level[np.maximum(e - np.arange(self.model.longest + 1), 0)]
+        logs = self.model.step_logp[self.piece[part]] + self.mass[before[self.length[part]] + unit]
+        top = np.maximum.reduceat(logs, at)
+        logs -= top[unit]
+        p = np.exp(logs, out=logs)
+        self.mass[lo:hi] = top + np.log(np.add.reduceat(p, at))
+        return p
+
+    def _share(self, lo: int, hi: int, p: np.ndarray) -> None:
+        """Rising shares, up to one, of the entries of states [lo, hi), from their weights."""
+        at, left = self.entry[lo:hi] - self.entry[lo], np.diff(self.entry[lo : hi + 1])
+        last, sizes = at + left - 1, left
+        while True:
+            on = np.flatnonzero(left > 1)
+            if not len(on):
+                break
+            at, left = at[on] + 1, left[on] - 1
+            p[at] += p[at - 1]
+        self.choice[self.entry[lo] : self.entry[hi]] = p / np.repeat(p[last], sizes)
+
+    def _forward_long(self, base: int, size: int) -> None:
         """The forward pass of one long unit, cut into lanes that advance together.
 
         Each lane first finds how the masses at its end follow from those of the
@@ -203,7 +237,10 @@ class Lattice:
         longest = self.model.longest
         lanes = -(-size // _LONG)
         step = np.full((lanes * _LONG, longest), -np.inf, np.float32)
-        step[:size] = weight[base + 1 : base + size + 1]
+        for lo, hi in _stretches(1, size + 1):
+            part = slice(self.entry[base + lo], self.entry[base + hi])
+            place = np.repeat(np.arange(lo, hi), np.diff(self.entry[base + lo : base + hi + 1]))
+            step[place - 1, self.length[part] - 1] = self.model.step_logp[self.piece[part]]
         step = step.reshape(lanes, _LONG, longest)
         window = np.broadcast_to(np.eye(longest), (lanes, longest, longest)).copy()  # lane, start place, place behind
         scale = np.zeros((lanes, longest))
@@ -231,71 +268,95 @@ class Lattice:
             with np.errstate(divide="ignore"):
                 masses[:, t + longest] = top + np.log(np.exp(part - top[:, None]).sum(axis=1))
         self.mass[base + 1 : base + size + 1] = masses[:, longest:].ravel()[:size]
-        for lo in range(1, size + 1, 1 << 16):
-            rows = base + np.arange(lo, min(size + 1, lo + (1 << 16)))
-            part = weight[rows].astype(np.float64) + self.mass[np.maximum(rows[:, None] - np.arange(1, longest + 1), 0)]
-            share = np.cumsum(np.exp(part - self.mass[rows][:, None]), axis=1)
-            self.choice[rows] = share / share[:, -1:]
-
-    def step_logs(self, state: np.ndarray, step: np.ndarray) -> np.ndarray:
-        """Log-probability of the step to `step` + 1 places before, from the masses themselves."""
-        piece = self.piece[state, step]
-        out = self.model.step_logp[piece]
-        out += self.mass[state - step - 1]
-        out -= self.mass[state]
-        np.minimum(out, 0.0, out=out)
-        out[piece == _BYTES] = 0.0
-        return out
-
-    def row_logs(self, state: int) -> np.ndarray:
-        """Log-probabilities of all steps from one place; -inf where there is no piece."""
-        if self.piece[state, 0] == _BYTES:
-            return np.where(np.arange(self.model.longest) == 0, 0.0, -np.inf)
-        return self.model.step_logp[self.piece[state]] + self.mass[np.maximum(state - np.arange(1, self.model.longest + 1), 0)] - self.mass[state]
+        for lo, hi in _stretches(1, size + 1):
+            part = slice(self.entry[base + lo], self.entry[base + hi])
+            state = np.repeat(np.arange(base + lo, base + hi), np.diff(self.entry[base + lo : base + hi + 1]))
+            self._share(base + lo, base + hi, np.exp(self.model.step_logp[self.piece[part]] + self.mass[state - self.length[part]] - self.mass[state]))
+
+    def state(self, unit: int, place: int) -> int:
+        """The state of a place of a unit."""
+        row = int(self.row[unit])
+        return int(self.base[row]) + place if row < self.long else int(self.level[place]) + row - self.long
+
+    def state_logs(self, unit: int, place: int) -> tuple[int, np.ndarray]:
+        """The first entry of a place and the log-probabilities of all its entries, from the masses themselves."""
+        state = self.state(unit, place)
+        part = slice(int(self.entry[state]), int(self.entry[state + 1]))
+        if self.piece[part.start] == _BYTES:
+            return part.start, np.zeros(1)
+        length, row = self.length[part].astype(np.int64), int(self.row[unit])
+        before = state - length if row < self.long else self.level[place - length] + row - self.long
+        return part.start, self.model.step_logp[self.piece[part]] + self.mass[before] - self.mass[state]
 
     def walk(self, lane: np.ndarray, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled paths from place `at` of units `lane` to their starts: (lane, state, length, log p), lane by lane."""
-        state = self.base[self.row[lane]] + at
-        floor = self.base[self.row[lane]]
-        lanes, states, lengths = [], [], []
-        for k in np.flatnonzero(at > _LONG).tolist():
-            found, length = self._walk_long(int(floor[k]), int(at[k]), seed[k])
-            lanes.append(np.full(len(found), k))
-            states.append(found)
-            lengths.append(length)
-            state[k] = floor[k]
-        here = np.flatnonzero(state > floor)
-        few = at.max(initial=0) < len(_PLACES)
+        """Sampled paths from place `at` of units `lane` to their starts: (lane, place, entry, log p), lane by lane."""
+        row = self.row[lane]
+        steps = np.zeros(len(lane), np.int64)
+        found = []  # of each turn: the lanes, their steps so far, the places, entries and log-probabilities
+        for k in np.flatnonzero(row < self.long).tolist():
+            place, entry, logs = self._walk_long(int(self.base[row[k]]), int(at[k]), seed[k])
+            steps[k] = len(place)
+            found.append((np.full(len(place), k), np.arange(len(place)), place, entry, logs))
+        here = np.flatnonzero((row >= self.long) & (at > 0))
+        place, row, seed = at[here], row[here] - self.long, seed[here]
+        state = self.level[place] + row
+        mass, turn = self.mass[state], 0
+        few = place.max(initial=0) < len(_PLACES)
         while len(here):
-            s = state[here]
-            place = s - floor[here]
-            u = _uniform(seed[here] ^ (_PLACES[place] if few else _place_noise(place)))
-            step = (self.choice[s] > u[:, None]).argmax(axis=1)  # shares rise to one, and u is below it
-            lanes.append(here)
-            states.append(s)
-            lengths.append(step + 1)
-            state[here] = s - step - 1
-            here = here[state[here] > floor[here]]
-        if not lanes:
-            z = np.zeros(0, np.int64)
-            return z, z, z, np.zeros(0)
-        lanes, states, lengths = np.concatenate(lanes), np.concatenate(states), np.concatenate(lengths)
-        order = np.argsort(lanes, kind="stable")
-        states, lengths = states[order], lengths[order]
-        return lane[lanes[order]], states, lengths, self.step_logs(states, lengths - 1)
-
-    def _walk_long(self, floor: int, at: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+            entry = self._draw(state, _uniform(seed ^ (_PLACES[place] if few else _place_noise(place))))
+            left = place - self.length[entry]
+            state = self.level[left] + row
+            before = self.mass[state]
+            found.append((here, turn, place, entry, self._step_logs(entry, before, mass)))
+            turn += 1
+            on = np.flatnonzero(left > 0)
+            steps[here[left == 0]] = turn
+            here, place, row, seed, state, mass = here[on], left[on], row[on], seed[on], state[on], before[on]
+        stop = np.cumsum(steps)
+        total = int(stop[-1]) if len(stop) else 0
+        places, entries, logs = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        begin = stop - steps
+        for lanes, turn, *values in found:
+            to = begin[lanes] + turn
+            places[to], entries[to], logs[to] = values
+        return np.repeat(lane, steps), places, entries, logs
+
+    def _draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The first entry of each state whose share is above u; shares rise to one, and u is below it."""
+        entry = self.entry[state]
+        more = np.flatnonzero(self.choice[entry] <= u)
+        while len(more):
+            at = entry[more] + 1
+            entry[more] = at
+            more = more[self.choice[at] <= u[more]]
+        return entry
+
+    def _step_logs(self, entry: np.ndarray, before: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Log-probabilities of entries, from the masses of the places where they start and end."""
+        piece = self.piece[entry]
+        out = self.model.step_logp[piece]
+        out += before
+        out -= mass
+        return np.minimum(out, 0.0, out=out)
+
+    def _walk_long(self, floor: int, at: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same walk through one long unit: the draws of all its places at once, then the places met."""
-        length = np.empty(at + 1, np.int64)
-        for lo in range(1, at + 1, 1 << 16):
-            place = np.arange(lo, min(at + 1, lo + (1 << 16)))
-            u = _uniform(seed ^ _place_noise(place))
-            length[place] = (self.choice[floor + place] > u[:, None]).argmax(axis=1) + 1
-        back, met = length.tolist(), []
+        drawn = np.zeros(at + 1, np.int64)
+        for lo, hi in _stretches(1, at + 1):
+            place = np.arange(lo, hi)
+            drawn[lo:hi] = self._draw(floor + place, _uniform(seed ^ _place_noise(place)))
+        back, met = self.length[drawn].tolist(), []
         while at > 0:
             met.append(at)
             at -= back[at]
-        return floor + np.array(met), length[met]
+        place = np.array(met, np.int64)
+        entry = drawn[place]
+        return place, entry, self._step_logs(entry, self.mass[floor + place - self.length[entry]], self.mass[floor + place])
+
+
+def _stretches(first: int, last: int):
+    """Cuts of the range [first, last)."""
+    return ((lo, min(last, lo + (1 << 16))) for lo in range(first, last, 1 << 16))
 
 
 def _place_noise(place: np.ndarray) -> np.ndarray:
@@ -312,10 +373,10 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 class Path:
     """One segmentation of a text: its steps unit by unit, each unit from its end."""
 
-    __slots__ = ("lane", "state", "length", "logs", "before")
+    __slots__ = ("lane", "place", "entry", "logs", "before")
 
-    def __init__(self, lane, state, length, logs):
-        self.lane, self.state, self.length, self.logs = lane, state, length, logs
+    def __init__(self, lane, place, entry, logs):
+        self.lane, self.place, self.entry, self.logs = lane, place, entry, logs
         self.before = np.zeros(len(logs) + 1)
         np.cumsum(logs, out=self.before[1:])
 
@@ -354,17 +415,17 @@ class Search:
                 self.put(bound, mass, ("range", path, a, b))
 
     def leaving(self, lattice: Lattice, path: Path, a: int, b: int) -> np.ndarray:
-        """Log-mass of the segmentations that leave `path` at each step of [a, b), from the terms of the other lengths."""
+        """Log-mass of the segmentations that leave `path` at each step of [a, b), from the terms of the other entries."""
         out = np.empty(b - a)
         for t in range(a, b):
-            logs = lattice.row_logs(int(path.state[t]))
-            logs[int(path.length[t]) - 1] = -np.inf
+            first, logs = lattice.state_logs(int(path.lane[t]), int(path.place[t]))
+            logs[int(path.entry[t]) - first] = -np.inf
             out[t - a] = _log_sum(logs)
         return out + path.before[a] + np.concatenate([[0.0], np.cumsum(path.logs[a : b - 1])])
 
     def open_step(self, lattice: Lattice, bound: float, path: Path, t: int, without: tuple) -> None:
-        """Segmentations that leave `path` at step t by a length not in `without`."""
-        logs = lattice.row_logs(int(path.state[t]))
+        """Segmentations that leave `path` at step t by an entry not in `without`, which counts from the place's first."""
+        _, logs = lattice.state_logs(int(path.lane[t]), int(path.place[t]))
         logs[list(without)] = -np.inf
         rest = _log_sum(logs)
         if rest > -math.inf:
@@ -380,11 +441,11 @@ class Search:
         return k if k < len(total) else int(np.searchsorted(total, total[-1]))
 
     def take(self, lattice: Lattice) -> tuple | None:
-        """The best set left: its bound, and how its best member leaves a known path (path, step, length, log p)."""
+        """The best set left: its bound, and how its best member leaves a known path (path, step, entry, log p)."""
         if not self.heap:
             return None
         value, _, node = heapq.heappop(self.heap)
-        bound, path = -value, node[1]
+        bound, path, without = -value, node[1], None
         if node[0] == "range":
             a, b = node[2], node[3]
             if path.before[b] - path.before[a] < _NEARLY_ONE:
@@ -394,17 +455,17 @@ class Search:
                 t = a + self.pick_weight(np.exp(path.before[a:near] - path.before[a]) * -np.expm1(path.logs[a:near]))
             else:
                 t = a + self.pick(self.leaving(lattice, path, a, b))
-            without = (int(path.length[t]) - 1,)
             self.open_range(lattice, bound, path, a, t)
             self.open_range(lattice, bound, path, t + 1, b)
         else:
             t, without = node[2], node[3]
-        logs = lattice.row_logs(int(path.state[t]))
+        first, logs = lattice.state_logs(int(path.lane[t]), int(path.place[t]))
+        without = without or (int(path.entry[t]) - first,)
         open_ = logs.copy()
         open_[list(without)] = -np.inf
         k = self.pick(open_)
         self.open_step(lattice, bound, path, t, (*without, k))
-        return bound, path, t, k, min(float(logs[k]), 0.0)
+        return bound, path, t, first + k, min(float(logs[k]), 0.0)
 
 
 def _log_sum(logs: np.ndarray) -> float:
@@ -428,28 +489,28 @@ def sample_texts(lattice: Lattice, first: int, last: int, seeds: np.ndarray, sam
             break
         lanes, places = np.concatenate([x[4] for x in pending]), np.concatenate([x[5] for x in pending])
         salt = np.uint64(turn * 0xA0761D6478BD642F & _U64)
-        lane, state, length, logs = lattice.walk(lanes, places, lane_seed[lanes - spans[0]] + salt)
+        lane, place, entry, logs = lattice.walk(lanes, places, lane_seed[lanes - spans[0]] + salt)
         cuts = np.searchsorted(lane, spans)
         for d, bound, head, keep, _, _ in pending:
             part = slice(cuts[d], cuts[d + 1])
             search = searches[d]
-            tail = (lane[part], state[part], length[part], logs[part])
+            tail = (lane[part], place[part], entry[part], logs[part])
             if head is None:
                 path, bound = Path(*tail), _gumbel(search.uniform())
             else:
-                old, t, k, logp = head
-                step = ((old.lane[t],), (old.state[t],), (k + 1,), (logp,))
-                path = Path(*(np.concatenate([x[:t], y, z]) for x, y, z in zip((old.lane, old.state, old.length, old.logs), step, tail)))
+                old, t, left_by, logp = head
+                step = ((old.lane[t],), (old.place[t],), (left_by,), (logp,))
+                path = Path(*(np.concatenate([x[:t], y, z]) for x, y, z in zip((old.lane, old.place, old.entry, old.logs), step, tail)))
             search.best.append((bound, path))
             search.open_range(lattice, bound, path, keep, len(path.logs))
         following = []
         for d, *_ in pending if turn + 1 < samples else ():
             got = searches[d].take(lattice)
             if got is not None:
-                bound, path, t, k, logp = got
+                bound, path, t, left_by, logp = got
                 unit = int(path.lane[t])
-                place = int(path.state[t] - lattice.base[lattice.row[unit]]) - k - 1
-                following.append((d, bound, (path, t, k, logp), t + 1, np.arange(unit, spans[d + 1]), np.concatenate([[place], lattice.size[unit + 1 : spans[d + 1]]])))
+                left = int(path.place[t]) - int(lattice.length[left_by])
+                following.append((d, bound, (path, t, left_by, logp), t + 1, np.arange(unit, spans[d + 1]), np.concatenate([[left], lattice.size[unit + 1 : spans[d + 1]]])))
         pending = following
     return searches
 
@@ -465,7 +526,7 @@ def flat_ids(lattice: Lattice, paths: list[Path]) -> tuple[np.ndarray, np.ndarra
     sizes = [len(p.lane) for p in paths]
     if not sum(sizes):
         return np.zeros(0, np.int32), np.zeros(len(paths), np.int64)
-    lane, state, length = (np.concatenate([getattr(p, x) for p in paths]) for x in ("lane", "state", "length"))
+    lane, entry = (np.concatenate([getattr(p, x) for p in paths]) for x in ("lane", "entry"))
     new = np.ones(len(lane), bool)
     new[1:] = lane[1:] != lane[:-1]
     cuts = np.cumsum(sizes)
@@ -473,13 +534,12 @@ def flat_ids(lattice: Lattice, paths: list[Path]) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(new)
     size = np.diff(at, append=len(lane))
     order = np.repeat(2 * at + size - 1, size) - np.arange(len(lane))  # each unit's steps turned round
-    state, length, lane = state[order], length[order], lane[order]
-    ids = lattice.piece[state, length - 1].astype(np.int32)
+    ids = lattice.piece[entry[order]].astype(np.int32)
     odd = np.flatnonzero(ids == _BYTES)
     if len(odd):
         counts = np.ones(len(ids), np.int64)
         raw = []
-        for k, point in zip(odd.tolist(), lattice.points[lattice.first[lane[odd]]].tolist()):
+        for k, point in zip(odd.tolist(), lattice.points[lattice.first[lane[order[odd]]]].tolist()):
             bytes_ = chr(_MARK if point == _LITERAL else point).encode("utf-8", "surrogatepass")
             counts[k] = len(bytes_)
             raw.append(bytes_)
@@ -522,8 +582,8 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     round_trip: decoding gives the text again.  The draws depend on key, seed and
     text alone; rows repeated under one key get the same samples, a null key
     counts as zero.  A carried column that has the name of one of these columns
-    is left out.  A task holds about 100 bytes for each character of the longest
-    run of text without a space, beside bounded blocks of texts.
+    is left out.  A task holds up to about 170 bytes for each character of the
+    longest run of text without a space, beside bounded blocks of texts.
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:

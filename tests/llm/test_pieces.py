@@ -100,6 +100,35 @@ def test_long_units_in_lanes(monkeypatch):
     assert all(x[0] == found[0][0] and np.allclose(x[1], found[0][1], atol=1e-6) for x in found)
 
 
+def test_lattice_holds_only_pieces_that_are_there():
+    """A place has about two pieces of up to 16 lengths: its arrays follow the pieces, in memory and so in work."""
+    import random
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice(["the", "of", "qu", "tion", "er", "x", "an"]) for _ in range(4)) + str(i) for i in range(5000))
+    lattice = P.Lattice(MODEL, [text])
+    assert sum(v.nbytes for v in vars(lattice).values() if isinstance(v, np.ndarray)) < 60 * len(text)
+
+
+@pytest.mark.parametrize("lane", [4, 2048])
+def test_places_have_all_their_pieces(monkeypatch, lane):
+    """The pieces that end at each place, and their shares, are those of a plain scan, in both numberings of the places."""
+    monkeypatch.setattr(P, "_LONG", lane)
+    text = "the nation == 日本x"
+    lattice = P.Lattice(MODEL, [text])
+    usable = {MODEL.bytes_of[i]: i for i in np.flatnonzero(MODEL.logp > -np.inf) if i not in set(MODEL.byte_ids.tolist())}
+    for unit, (first, size) in enumerate(zip(lattice.first.tolist(), lattice.size.tolist())):
+        chars = (" " + text)[first : first + size]
+        for place in range(1, size + 1):
+            state = lattice.state(unit, place)
+            part = slice(int(lattice.entry[state]), int(lattice.entry[state + 1]))
+            want = {k: usable[x] for k in range(1, place + 1) if (x := chars[place - k : place].encode()) in usable}
+            got = dict(zip(lattice.length[part].tolist(), lattice.piece[part].tolist()))
+            assert got == (want or {1: P._BYTES})
+            first_entry, logs = lattice.state_logs(unit, place)
+            assert first_entry == part.start and np.allclose(np.cumsum(np.exp(logs)), lattice.choice[part], atol=1e-6)
+
+
 def test_carried_columns_and_repeats(spark):
     docs = spark.createDataFrame([(1, "some words", "x", 5, {"a": 1}), (1, "some words", "y", 6, None), (None, None, None, None, None)], "doc_id long, text string, lang string, sample int, `odd name` map<string,int>")
     got = P.sample_segmentations(docs, carry=tuple(docs.columns)).collect()
