@@ -328,3 +328,9 @@ def test_chains_take_single_next_facts_within_the_caps(spark):
     # b is ambiguous at page 2, c leads back, a third a is over the cap
     assert sorted((tuple(r.path), tuple(r.properties), r.score) for r in got) == [((1, 2, 3), ("a", "a"), 320), ((1, 2, 3, 6), ("a", "a", "b"), 640)]
     assert G.discover_chains(facts, rates, facts.where("target <> 6"), "2024-01-05", 3, 10, 5, 2, 2, 300, "s").collect() == []
+
+
+def test_blocks_are_stripped(spark):
+    text = "  0 first block, two\nlines \n \t \n1 second block of text 1\n\n   short    \n\x0b\n\n a third one, longer still\r"
+    got = spark.createDataFrame([(text,)], ["t"]).select(X.blocks(F.col("t")).alias("b")).first()
+    assert got.b == ["0 first block, two\nlines", "1 second block of text 1", "a third one, longer still"]

@@ -61,3 +61,15 @@ def test_revision_dates_of_every_page(spark, con):
     assert len(probed) and not set(listed["page"]) & set(probed["page"])
     assert set(listed["page"]) | set(probed["page"]) == set(pages["o_custkey"])
     assert probed.groupby("page").size().max() <= 20
+
+
+def test_blocks_of_odd_texts(spark, tmp_path):
+    """Digits and spaces at the edges of lines, other space separators, lines of tabs alone."""
+    line = "a line of nineteen."
+    texts = [None, "", " " * 25, f"  {line}  ", f"{line} x", f"10 {line} 0", "\n".join(f"{k}{line}" for k in range(12)), f" {line}　", "\t" * 20, f"{line}x\n{' ' * 20}\n{line}x", f"{line}x\n{chr(9) * 20}\n\n{line}x", f"{line}x\r\n\x0b{line}"]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    got = rows(QUERIES["fn13_blocks"](spark, str(tmp_path)).toPandas())
+    assert got == rows(c.execute(ORACLE["fn13_blocks"]).df())
+    assert [n for _, n in sorted(got[1], key=lambda r: int(r[0]))] == ["null", "0", "0", "0", "1", "1", "12", "0", "1", "2", "3", "2"]
