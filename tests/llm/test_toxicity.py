@@ -173,3 +173,30 @@ def test_bounded_models_keep_every_count(spark, monkeypatch):
         assert sorted(small.pairs[c].find(small.pairs[c].keys).tolist()) == sorted(plain[c].pairs.values())
     monkeypatch.setattr(T, "MOST_WORDS", 20)
     assert fit().vocabulary.size <= 22
+
+
+def test_bounds_change_no_score(spark, monkeypatch):
+    """What the tasks are not told of words and pairs is looked up: scores and the documents kept are those of the whole models."""
+    rng = random.Random(4)
+    data = rows(400)
+    rare = [(d, t + "".join(f" seldom{rng.randrange(120)} {rng.choice('abc')}" for _ in range(8)) + (" vile" + rng.choice("xyz") if y else ""), y) for d, t, y in data]
+    odd = [(None, "a vilex seldom3 b"), (9000, ""), (9001, None), (9002, "never seen at all"), (9003, rare[5][1]), (9004, " ".join(t for _, t, _ in rare[:40]))]
+    docs = spark.createDataFrame([(d, t, 1) for d, t, _ in rare] + [(*o, 2) for o in odd], "doc_id long, text string, h int").repartition(3)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rare], "doc_id long, toxic int")
+
+    def scores():
+        model = T.fit_toxicity(docs, labels)
+        kept = sorted(map(str, T.drop_toxic(docs, model).collect()))
+        return model, sorted((r.doc_id or -1, r.score) for r in T.score_toxicity(docs, model).collect()), kept
+
+    whole, want, kept = scores()
+    assert whole.models.value.vocabulary.size > 300 and 0 < len(kept) < len(rare)
+    for bounds in ({"MOST_PAIRS": 3000}, {"SHARE": 0.01}, {"MOST_WORDS": 150}, {"MOST_PAIRS": 1000, "MOST_WORDS": 60, "SLOTS": 4, "TURNS": 2}):
+        with monkeypatch.context() as m:
+            for name, value in bounds.items():
+                m.setattr(T, name, value)
+            model, got, left = scores()
+        assert model.models.value.vocabulary.size < whole.models.value.vocabulary.size
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4, atol=1e-6), bounds
+        assert left == kept
